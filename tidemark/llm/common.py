@@ -49,6 +49,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_side(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """``df`` written once, and marked for broadcast if it has at most ``most`` rows; else joined by shuffle."""
+    kept = materialize(df, "side")
+    return F.broadcast(kept) if kept.count() <= most else kept
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

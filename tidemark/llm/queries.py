@@ -5,17 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import substring_dedup
+from . import mixing, quality_rules, sharding, substring_dedup
 from .common import documents
 
 
+def op1_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substring_dedup.remove_repeats(documents(spark, sf_dir))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.assess(documents(spark, sf_dir)).select("doc_id", *quality_rules.MEASURES, "kept")
+
+
+def op9_vector_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(documents(spark, sf_dir)).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 QUERIES = {
+    "op1_pareto_mixing": op1_pareto_mixing,
     "op3_substring_dedup": op3_substring_dedup,
+    "op8_quality_divergence": op8_quality_divergence,
+    "op9_vector_sharding": op9_vector_sharding,
 }
 
 ORACLE_SQL: dict[str, str] = {}
