@@ -1,0 +1,80 @@
+import hashlib
+import re
+
+import pyarrow.parquet as pq
+
+from tidemark.llm import queries
+from tidemark.llm.pii import every_pattern, find, redact, reliabilities, train
+
+RULES = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(d):
+    total = 0
+    for i, c in enumerate(reversed(d)):
+        v = int(c) * (1 + i % 2)
+        total += v - 9 * (v > 9)
+    return total % 10 == 0
+
+
+def base(text):
+    out = []
+    for k, (kind, rule) in enumerate(RULES.items()):
+        for m in re.finditer(rule, text or "", re.A):
+            d = re.sub("[^0-9]", "", m[0])
+            if kind == "ip" and any(int(p) > 255 for p in m[0].split(".")):
+                continue
+            if kind == "card" and not (14 <= len(d) <= 19 and luhn(d)):
+                continue
+            if kind == "phone" and not 10 <= len(d) <= 15:
+                continue
+            out.append((m.start(), k, m.end(), kind))
+    return [f"{kind}:{a}:{b}" for a, _, b, kind in sorted(out)]
+
+
+def agree(got, text):
+    want = base(text)
+    assert got.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest(), (text or "")[:200]
+    for k in RULES:
+        assert got[f"n_{k}"] == sum(w.startswith(k + ":") for w in want)
+    assert set(want) <= set(got.spans.split(",") if got.spans else [])
+
+
+def test_whole_table(spark, sf_dir):
+    table = {r["doc_id"]: r["text"] for r in pq.read_table(f"{sf_dir}/documents.parquet").to_pylist()}
+    rows = queries.op7_pii_weak_supervision(spark, sf_dir).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(table)
+    for r in rows:
+        agree(r, table[r.doc_id])
+        found = {(int(a), int(b)) for k, a, b in (s.split(":") for s in r.spans.split(",") if s) if k == "token"}
+        for m in re.finditer(r'token = "([0-9a-f]{40})"', table[r.doc_id]):
+            assert m.span(1) in found
+
+
+def test_awkward_texts(spark, tmp_path):
+    texts = [
+        None, "", "a@b.c_d@e.f", "x..@a.b.c-", "1.2.3.4.5.6.7.8", "001.2.3.255 256.1.1.1 1.1.1.1", "é1.1.1.1ü +1 (017) 555-7713 +12",
+        "4111 1111 1111 1111 4111-1111-1111-1111", "9" * 5000, "a" * 50_000 + "@b.c", "+1 " + "2 " * 4000, "1 " * 3000, "𝒳𝒳 a@b.co 𝒳 4111111111111111",
+        "a@b a@b.c@d.e", "a%@b.c+d@e.f.", "12.34.56.78.90.12.34", "+1+2 345 678 9012+3",
+    ]
+    df = spark.createDataFrame([(i, t, t) for i, t in enumerate(texts)], "doc_id long, text string, spans string")
+    df.select("doc_id", "text").write.parquet(str(tmp_path / "documents.parquet"))
+    for r in queries.op7_pii_weak_supervision(spark, str(tmp_path)).collect():
+        agree(r, texts[r.doc_id])
+    assert find(df.limit(0)).count() == 0
+    clean = {r.doc_id: r.text for r in redact(df).collect()}
+    assert clean[5] == "[ip] 256.1.1.1 [ip]" and clean[0] == ""
+
+
+def test_em_finds_the_reliable_labeler():
+    good, bad = "22222", "00100"
+    share, table, post = reliabilities({good: 300, bad: 700, "21111": 50})
+    assert 0.2 < share < 0.5 and post[good] > 0.95 and post[bad] < 0.05
+    assert table[0][1][2] > table[0][0][2]
+    w = train({("token", good): 300, ("token", bad): 700}, post)
+    assert len(every_pattern()) == 243 and len(w) == 18
