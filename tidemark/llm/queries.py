@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, mixing, pii, quality_rules, sharding, substring_dedup
+from . import decontamination, jaccard_join, language_model, mixing, pii, quality_rules, sharding, substring_dedup
 from .common import documents
 
 
@@ -22,6 +22,10 @@ def op4_jaccard_signature_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.classes(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
+def op5_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op7_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(documents(spark, sf_dir))
     return found.select("doc_id", *[f"n_{k}" for k in pii.KINDS], F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
@@ -37,13 +41,19 @@ def op9_vector_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_recurrent_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_pareto_mixing": op1_pareto_mixing,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_jaccard_signature_trees": op4_jaccard_signature_trees,
+    "op5_template_decontamination": op5_template_decontamination,
     "op7_pii_weak_supervision": op7_pii_weak_supervision,
     "op8_quality_divergence": op8_quality_divergence,
     "op9_vector_sharding": op9_vector_sharding,
+    "op10_recurrent_scoring": op10_recurrent_scoring,
 }
 
 ORACLE_SQL: dict[str, str] = {}
