@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard_join, language_model, mixing, pii, quality_rules, sharding, substring_dedup
+from . import decontamination, jaccard_join, language_model, license_scan, line_dedup, mixing, pii, quality_rules, sharding, substring_dedup
 from .common import documents
 
 
@@ -13,6 +13,11 @@ def op1_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op2_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.drop_recurring(documents(spark, sf_dir))
+    return kept.select("doc_id", "n_lines", "n_dropped", "dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substring_dedup.remove_repeats(documents(spark, sf_dir))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -26,6 +31,10 @@ def op5_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op6_license_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(documents(spark, sf_dir))
+
+
 def op7_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(documents(spark, sf_dir))
     return found.select("doc_id", *[f"n_{k}" for k in pii.KINDS], F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
@@ -47,9 +56,11 @@ def op10_recurrent_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_pareto_mixing": op1_pareto_mixing,
+    "op2_line_templates": op2_line_templates,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_jaccard_signature_trees": op4_jaccard_signature_trees,
     "op5_template_decontamination": op5_template_decontamination,
+    "op6_license_classifier": op6_license_classifier,
     "op7_pii_weak_supervision": op7_pii_weak_supervision,
     "op8_quality_divergence": op8_quality_divergence,
     "op9_vector_sharding": op9_vector_sharding,
