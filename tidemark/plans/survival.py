@@ -147,7 +147,7 @@ def time_auc(spark, sf_dir):
  l AS (SELECT *, lead(survival) OVER w AS s2, lead(n_risk) OVER w AS n2, lead(time) OVER w AS t2 FROM q WINDOW w AS (PARTITION BY study_id ORDER BY seq)),
  x AS (SELECT *, CASE WHEN s2 IS NULL OR survival <= 0 THEN 0 ELSE least(n_risk - n2, greatest(0, round(n_risk * (1 - s2 / survival)))) END::INT AS events FROM l),
  c AS (SELECT *, CASE WHEN n2 IS NULL THEN n_risk ELSE n_risk - n2 - events END::INT AS censored FROM x),
- p AS (SELECT study_id, seq, coalesce(t2, time) AS time, list_concat(list_transform(range(events), x -> 1), list_transform(range(censored), x -> 0)) AS each FROM c)
+ p AS (SELECT study_id, seq, coalesce(t2, time) AS time, list_concat(list_transform(range(events), lambda x: 1), list_transform(range(censored), lambda x: 0)) AS each FROM c)
  SELECT study_id, time, sum(ev)::BIGINT AS events, count(*)::BIGINT AS patients FROM (SELECT study_id, seq, time, unnest(each) AS ev FROM p) GROUP BY ALL""",
 )
 def reconstruct_ipd(spark, sf_dir):
