@@ -1 +1,110 @@
-"""Registered queries."""
+"""Registered queries of the reports."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidemark.functions import scalar
+from tidemark.operators import reports, validate
+from tidemark.plans import adapters
+from tidemark.plans.points import _valid_sql
+from tidemark.registry import query
+
+_D = "WITH " + adapters.POINTS_DIRTY
+
+
+def _docs(spark, sf_dir):
+    d = adapters.table(spark, sf_dir, "documents")
+    n = F.col("doc_id")
+    return d.select("doc_id", (n % 4).alias("figures"), (n % 3).alias("curves"), (n % 11 == 0).cast("int").alias("errors"))
+
+
+@query("batch_summary", "SELECT count(*) AS documents, count(*) FILTER (doc_id % 3 > 0) AS with_curves, sum(doc_id % 4)::BIGINT AS figures, sum(doc_id % 3)::BIGINT AS curves, sum((doc_id % 11 = 0)::INT)::BIGINT AS errors, count(*) FILTER (doc_id % 3 > 0)::DOUBLE / count(*) AS success_rate FROM documents")
+def batch_summary(spark, sf_dir):
+    return reports.batch_summary(_docs(spark, sf_dir))
+
+
+_STATS = _D + """, l AS (SELECT *, time - lag(time) OVER (PARTITION BY figure_id, curve_id ORDER BY seq) < 0 AS back FROM dirty),
+ st AS (SELECT figure_id, curve_id, count(*) AS n, max(time) - min(time) AS time_range, max(survival) - min(survival) AS survival_range, count(*) FILTER (back) = 0 AS time_monotone,
+ bool_and(survival BETWEEN 0 AND 1) AS bounded, count(*) < 50 AS short FROM l GROUP BY ALL)"""
+
+
+@query("curve_stats", _STATS + " SELECT figure_id, curve_id, n, round(time_range, 6) AS time_range, round(survival_range, 6) AS survival_range, time_monotone, bounded, short FROM st")
+def curve_stats(spark, sf_dir):
+    s = reports.curve_stats(adapters.points_dirty(spark, sf_dir), ["figure_id", "curve_id"])
+    return s.withColumn("time_range", F.round("time_range", 6)).withColumn("survival_range", F.round("survival_range", 6))
+
+
+@query("curve_stats_summary", _STATS + " SELECT figure_id, count(*) AS curves, avg(n) AS mean_n, median(n) AS median_n, count(*) FILTER (time_monotone) AS monotone, count(*) FILTER (bounded) AS bounded, count(*) FILTER (short) AS short FROM st GROUP BY ROLLUP (figure_id)")
+def curve_stats_summary(spark, sf_dir):
+    return reports.curve_stats_summary(reports.curve_stats(adapters.points_dirty(spark, sf_dir), ["figure_id", "curve_id"]), "figure_id")
+
+
+def _fetched(spark, sf_dir):
+    return adapters.table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id")), adapters.table(spark, sf_dir, "documents").filter("doc_id % 3 <> 0").select("doc_id")
+
+
+@query("unprocessed_docs", "SELECT DISTINCT page_id AS doc_id FROM pages WHERE page_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 3 <> 0)")
+def unprocessed_docs(spark, sf_dir):
+    return reports.unprocessed_docs(*_fetched(spark, sf_dir), "doc_id")
+
+
+@query("detection_rate", "WITH d AS (SELECT DISTINCT page_id AS doc_id FROM pages), p AS (SELECT DISTINCT doc_id FROM documents WHERE doc_id % 3 <> 0) SELECT count(*) AS downloaded, count(p.doc_id) AS processed, count(p.doc_id)::DOUBLE / count(*) AS rate FROM d LEFT JOIN p ON d.doc_id = p.doc_id")
+def detection_rate(spark, sf_dir):
+    return reports.detection_rate(*_fetched(spark, sf_dir), "doc_id")
+
+
+def _figures(spark, sf_dir):
+    n = F.col("o_orderkey")
+    reason = F.when(n % 3 == 0, "Hough lines found").when(n % 3 == 1, "used fallback").otherwise("text")
+    return adapters.table(spark, sf_dir, "orders").select((n % 5 > 0).alias("valid"), reason.alias("reason"), (n % 101).cast("double").alias("score"))
+
+
+_FIG = "WITH f AS (SELECT o_orderkey % 5 > 0 AS valid, CASE o_orderkey % 3 WHEN 0 THEN 'hough_v2' WHEN 1 THEN 'fallback' ELSE 'other' END AS method, (o_orderkey % 101)::DOUBLE AS score FROM orders)"
+
+
+@query("calibration_report", _FIG + " SELECT method, count(*) AS figures, count(*) FILTER (valid) AS valid, round(avg(score), 6) AS mean_score, min(score) AS min_score, max(score) AS max_score FROM f GROUP BY method")
+def calibration_report(spark, sf_dir):
+    return reports.calibration_report(_figures(spark, sf_dir)).withColumn("mean_score", F.round("mean_score", 6))
+
+
+@query("improvement_vs_baseline", _FIG + ", s AS (SELECT 100.0::DOUBLE * count(*) FILTER (valid) / count(*) AS success FROM f) SELECT round(success, 6) AS success, round(success - 24.0, 6) AS gain, round(greatest(0.0, 90.0 - success), 6) AS gap FROM s")
+def improvement_vs_baseline(spark, sf_dir):
+    r = reports.improvement_vs_baseline(reports.calibration_report(_figures(spark, sf_dir)), 24.0)
+    return r.select(*[F.round(c, 6).alias(c) for c in r.columns])
+
+
+@query(
+    "top_warnings",
+    _valid_sql() + """, w AS (SELECT unnest([CASE WHEN t < 12 THEN 'short time range' END, CASE WHEN v < 0.3 THEN 'low survival range' END, CASE WHEN n < 200 THEN 'sparse curve' END, 'fallback calibration']) AS warning FROM sc WHERE reason IS NULL)
+ SELECT warning, count(*) AS n FROM w WHERE warning IS NOT NULL GROUP BY warning ORDER BY n DESC, warning LIMIT 10""",
+)
+def top_warnings(spark, sf_dir):
+    return reports.top_warnings(validate.validate_curve(adapters.points_dirty(spark, sf_dir), min_points=20, fallback=True))
+
+
+@query("download_report", "SELECT source AS server, count(*) AS fetches, count(*) FILTER (doc_id % 7 = 0) AS failed, sum(CASE WHEN doc_id % 7 = 0 THEN 0 ELSE n_chars END)::BIGINT AS bytes FROM documents GROUP BY ROLLUP (source)")
+def download_report(spark, sf_dir):
+    d = adapters.table(spark, sf_dir, "documents")
+    return reports.download_report(d.select(F.col("source").alias("server"), (F.col("doc_id") % 7 != 0).alias("ok"), F.col("n_chars").alias("bytes")))
+
+
+@query("rebuild_results", "WITH " + adapters.POINTS + ", c AS (SELECT figure_id % 3 AS doc_id, figure_id, curve_id, count(*) AS n_points FROM points GROUP BY ALL), f AS (SELECT doc_id, figure_id, count(*) AS n_curves, sum(n_points) AS n FROM c GROUP BY ALL) SELECT doc_id, count(*) AS n_figures, sum(n_curves)::BIGINT AS n_curves, sum(n)::BIGINT AS n_points FROM f GROUP BY doc_id")
+def rebuild_results(spark, sf_dir):
+    p = adapters.points(spark, sf_dir).groupBy((F.col("figure_id") % 3).alias("doc_id"), "figure_id", "curve_id").agg(F.count("*").alias("n_points"))
+    r = reports.rebuild_results(p)
+    points = F.aggregate(F.flatten(F.transform("figures", lambda f: f["curves"])), F.lit(0).cast("long"), lambda a, c: a + c["n_points"])
+    return r.select("doc_id", "n_figures", F.col("n_curves").cast("long").alias("n_curves"), points.alias("n_points"))
+
+
+@query("keyword_filter", "SELECT doc_id FROM documents WHERE lower(text) SIMILAR TO '(?s).*(kaplan-meier|kaplan meier|survival|oncology|cancer|tumor|tumour|prognosis|time-to-event|the of the).*'")
+def keyword_filter(spark, sf_dir):
+    d = adapters.table(spark, sf_dir, "documents")
+    terms = (*scalar.SURVIVAL_TERMS, "the of the")
+    return d.filter(scalar.keyword_filter(F.lit(""), F.col("text"), terms)).select("doc_id")
+
+
+@query("figure_type", "SELECT doc_id, CASE WHEN lower(text) LIKE '%cumulative incidence%' THEN 'CIF' WHEN lower(text) LIKE '%rmst%' OR lower(text) LIKE '%restricted mean%' THEN 'RMST' WHEN lower(text) LIKE '%hazard ratio%' THEN 'HR' WHEN doc_id % 3 = 0 THEN 'CIF' ELSE 'KM' END AS figure_type FROM documents")
+def figure_type(spark, sf_dir):
+    direction = F.when(F.col("doc_id") % 3 == 0, "increasing").otherwise("decreasing")
+    return adapters.table(spark, sf_dir, "documents").select("doc_id", scalar.figure_type(F.col("text"), direction).alias("figure_type"))
