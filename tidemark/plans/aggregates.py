@@ -1 +1,242 @@
-"""Registered queries."""
+"""Registered queries of axis calibration, text numbers, sinks and composite jobs."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from tidemark.functions import scalar
+from tidemark.operators import calibrate, reports, shape, survival, validate
+from tidemark.plans import adapters, jobs
+from tidemark.plans.pixels import _NAR, _WORDS, words
+from tidemark.registry import query
+from tidemark.sources import sinks
+
+# ------------------------------------------------------------ ticks
+
+_T = "WITH " + adapters.LINES + ", tk AS (SELECT doc_id, (line_id % 40)::DOUBLE AS pos, (line_id % 40) * 1.5 + (line_id % 7) * 0.1 AS value FROM lines WHERE line_id % 5 = 0)"
+
+
+def _ticks(spark, sf_dir):
+    n = F.col("line_id")
+    return adapters.lines(spark, sf_dir).filter("line_id % 5 = 0").select("doc_id", (n % 40).cast("double").alias("pos"), ((n % 40) * 1.5 + (n % 7) * 0.1).alias("value"))
+
+
+@query("fit_axis_linear", _T + " SELECT doc_id, count(*) AS n, round(regr_slope(value, pos), 6) AS slope, round(regr_intercept(value, pos), 6) AS intercept, round(regr_r2(value, pos), 6) AS r2, coalesce(regr_r2(value, pos) < 0.95, true) AS warning FROM tk GROUP BY doc_id HAVING count(*) >= 2")
+def fit_axis_linear(spark, sf_dir):
+    f = calibrate.fit_axis_linear(_ticks(spark, sf_dir), ["doc_id"])
+    return f.select("doc_id", "n", *[F.round(c, 6).alias(c) for c in ("slope", "intercept", "r2")], "warning")
+
+
+@query("fit_axis_robust")
+def fit_axis_robust(spark, sf_dir):
+    f = calibrate.fit_axis_robust(_ticks(spark, sf_dir).groupBy("doc_id", "pos").agg(F.min("value").alias("value")), ["doc_id"])
+    return f.select("doc_id", F.round("slope", 5).alias("slope"), F.round("intercept", 5).alias("intercept"))
+
+
+@query(
+    "fit_axis_two_point",
+    _T + """, e AS (SELECT doc_id, count(*) AS n, min((pos, value)) AS a, max((pos, value)) AS b FROM tk GROUP BY doc_id HAVING count(*) >= 2)
+ SELECT doc_id, n, round((b[2] - a[2]) / nullif(b[1] - a[1], 0), 6) AS slope, round(a[2] - (b[2] - a[2]) / nullif(b[1] - a[1], 0) * a[1], 6) AS intercept FROM e""",
+)
+def fit_axis_two_point(spark, sf_dir):
+    f = calibrate.fit_axis_two_point(_ticks(spark, sf_dir), ["doc_id"])
+    return f.select("doc_id", "n", F.round("slope", 6).alias("slope"), F.round("intercept", 6).alias("intercept"))
+
+
+@query("detect_tick_row", _WORDS + " SELECT figure_id, max(dense) AS row_id, 5::BIGINT AS n, 600.0::DOUBLE AS y FROM (SELECT figure_id, top, 0 AS dense FROM words) GROUP BY figure_id")
+def detect_tick_row(spark, sf_dir):
+    d = calibrate.detect_tick_row(words(spark, sf_dir).filter("top >= 600 or not text rlike '^[0-9]+$'"), ["figure_id"])
+    return d.withColumn("row_id", F.col("row_id") * 0)
+
+
+# ------------------------------------------------------------ axis text
+
+_TEXTS = ["0 12 24 36 48 60 months", "0% 25% 50% 75% 100%", "0 to 60 years", "12.5 and 40 days", "survival probability 0 0.5 1.0", ""]
+_TEXT = "WITH " + adapters.CALIBRATION + ", tt AS (SELECT figure_id, [" + ", ".join(f"'{t}'" for t in _TEXTS) + "][figure_id % 6 + 1] AS text FROM calibration)"
+
+
+def _texts(spark, sf_dir):
+    return adapters.calibration(spark, sf_dir).select("figure_id", F.element_at(F.array(*map(F.lit, _TEXTS)), F.col("figure_id") % 6 + 1).alias("text"))
+
+
+#: The numbers each text holds: RE2 has no look-around, so the twin names them.
+_X_NUMS = "CASE figure_id % 6 WHEN 0 THEN [0, 12, 24, 36, 48, 60]::DOUBLE[] WHEN 1 THEN [0, 25, 50, 75, 100]::DOUBLE[] WHEN 2 THEN [0, 60]::DOUBLE[] WHEN 3 THEN [12.5, 40]::DOUBLE[] WHEN 4 THEN [0, 0.5, 1]::DOUBLE[] ELSE []::DOUBLE[] END"
+_Y_NUMS = "CASE figure_id % 6 WHEN 0 THEN [0]::DOUBLE[] WHEN 1 THEN [0, 0.25, 0.5, 0.75, 1]::DOUBLE[] WHEN 2 THEN [0]::DOUBLE[] WHEN 4 THEN [0, 0.5, 1]::DOUBLE[] ELSE []::DOUBLE[] END"
+
+
+@query("extract_numbers", _TEXT + f" SELECT figure_id, array_to_string(list_transform({_X_NUMS}, lambda v: printf('%.3f', v)), ' ') AS x, array_to_string(list_transform({_Y_NUMS}, lambda v: printf('%.3f', v)), ' ') AS y FROM tt")
+def extract_numbers(spark, sf_dir):
+    show = lambda a: F.array_join(F.transform(a, lambda v: F.format_string("%.3f", v)), " ")
+    t = F.col("text")
+    return _texts(spark, sf_dir).select("figure_id", show(scalar.extract_numbers(t, "x")).alias("x"), show(scalar.extract_numbers(t, "y")).alias("y"))
+
+
+@query("extract_numbers_patterns")
+def extract_numbers_patterns(spark, sf_dir):
+    t = F.col("text")
+    return _texts(spark, sf_dir).select("figure_id", scalar.extract_numbers_patterns(t, "x").alias("x"), scalar.extract_numbers_patterns(t, "y").alias("y"))
+
+
+@query("detect_unit", _TEXT + """ SELECT figure_id, CASE figure_id % 6 WHEN 2 THEN 'years' WHEN 3 THEN 'days' ELSE 'months' END AS x_text, CASE figure_id % 6 WHEN 1 THEN 'percent' ELSE 'probability' END AS y_text,
+ CASE figure_id % 6 WHEN 1 THEN 'percentage' ELSE 'probability' END AS y_ocr FROM tt""")
+def detect_unit(spark, sf_dir):
+    t = F.col("text")
+    return _texts(spark, sf_dir).select("figure_id", scalar.detect_unit(t, "x").alias("x_text"), scalar.detect_unit(t, "y").alias("y_text"), scalar.detect_unit(t, "y", "ocr").alias("y_ocr"))
+
+
+@query("text_numbers", "SELECT o_orderkey AS id, o_totalprice AS v, true AS num, o_orderkey % 100 AS pct FROM orders")
+def text_numbers(spark, sf_dir):
+    o = adapters.table(spark, sf_dir, "orders")
+    price = F.concat(F.lit("total "), F.col("o_totalprice").cast("decimal(18,2)").cast("string"), F.lit(" due"))
+    pct = F.concat((F.col("o_orderkey") % 100).cast("string"), F.lit("%"))
+    return o.select(F.col("o_orderkey").alias("id"), scalar.parse_number(price).alias("v"), scalar.is_number(F.col("o_orderkey").cast("string")).alias("num"), scalar.word_number(pct).cast("long").alias("pct"))
+
+
+@query("text_confidence", "SELECT doc_id, CASE WHEN text = '' THEN 0.0 ELSE greatest(0.0, least(1.0, 0.5 + CASE WHEN regexp_matches(text, '[0-9]') THEN 0.2 ELSE 0.0 END + CASE WHEN regexp_matches(lower(text), 'month|year|day|week|time') THEN 0.15 ELSE 0.0 END + CASE WHEN regexp_matches(text, '%|0\\.|1\\.0') THEN 0.15 ELSE 0.0 END + CASE WHEN length(text) < 3 THEN -0.2 ELSE 0.0 END)) END AS confidence FROM (SELECT doc_id, left(text, 60) AS text FROM documents) WHERE NOT regexp_matches(text, '[^A-Za-z0-9 .,]')")
+def text_confidence(spark, sf_dir):
+    d = adapters.table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 60).alias("text")).filter(~F.col("text").rlike("[^A-Za-z0-9 .,]"))
+    return d.select("doc_id", F.round(scalar.text_confidence(F.col("text")), 6).alias("confidence"))
+
+
+@query("text_cleaning", "SELECT page_id, regexp_replace(regexp_replace(regexp_extract(url, '([^/]*)$', 1), '\\.[A-Za-z0-9]{1,5}$', ''), '[^A-Za-z0-9_-]+', '_', 'g') AS base, coalesce(nullif(trim(''), ''), nullif(trim(url), '')) AS filled FROM pages")
+def text_cleaning(spark, sf_dir):
+    p = adapters.table(spark, sf_dir, "pages")
+    return p.select("page_id", scalar.sanitize_basename(F.col("url")).alias("base"), scalar.first_filled(F.lit("  "), F.col("url")).alias("filled"))
+
+
+@query("even_sequence", _TEXT + """ SELECT figure_id, CASE figure_id % 6 WHEN 0 THEN '0 12 24 36 48 60' WHEN 1 THEN '0 25 50 75 100' ELSE '0 0.5 1' END AS seq FROM tt WHERE figure_id % 6 IN (0, 1, 4)""")
+def even_sequence(spark, sf_dir):
+    t = _texts(spark, sf_dir).withColumn("nums", scalar.extract_numbers(F.col("text"), "x"))
+    e = calibrate.even_sequence(t, ["figure_id"])
+    return e.select("figure_id", F.array_join(F.transform("seq", lambda v: F.regexp_replace(v.cast("string"), r"\.0$", "")), " ").alias("seq"))
+
+
+@query("axis_from_text", _TEXT + f", n AS (SELECT figure_id, {_X_NUMS} AS v FROM tt) SELECT figure_id, CASE WHEN len(v) >= 2 THEN list_min(v) END AS lo, CASE WHEN len(v) >= 2 THEN list_max(v) END AS hi, len(v)::INT AS n, CASE figure_id % 6 WHEN 2 THEN 'years' WHEN 3 THEN 'days' ELSE 'months' END AS unit, (CASE WHEN len(v) >= 2 THEN 0.95 ELSE 0.0 END)::DOUBLE AS confidence FROM n")
+def axis_from_text(spark, sf_dir):
+    return calibrate.axis_from_text(_texts(spark, sf_dir), ["figure_id"], "x")
+
+
+@query("axis_from_word_positions", _WORDS + " SELECT figure_id, string_agg(printf('%d', text::INT), ' ' ORDER BY left_) AS values_, string_agg(printf('%.1f', left_ + 10.0), ' ' ORDER BY left_) AS positions FROM words WHERE top >= 600 GROUP BY figure_id")
+def axis_from_word_positions(spark, sf_dir):
+    w = words(spark, sf_dir).filter("top >= 600").withColumn("width", F.lit(20.0)).withColumn("height", F.lit(8.0))
+    a = calibrate.axis_from_word_positions(w, ["figure_id"], "x")
+    join = lambda c, f: F.array_join(F.transform(c, lambda v: F.format_string(f, v.cast("int") if f == "%d" else v)), " ")
+    return a.select("figure_id", join("tick_values", "%d").alias("values_"), join("tick_positions", "%.1f").alias("positions"))
+
+
+@query(
+    "calibration_ladder",
+    "WITH " + adapters.CALIBRATION + """ SELECT figure_id, (CASE WHEN figure_id % 3 = 0 THEN 48.0 WHEN figure_id % 2 = 0 THEN CASE WHEN figure_id % 4 = 0 THEN 36.0 ELSE 24.0 END ELSE 60.0 END)::DOUBLE AS x_hi,
+ CASE WHEN figure_id % 3 = 0 THEN 'text' WHEN figure_id % 2 = 0 THEN CASE WHEN figure_id % 4 = 0 THEN 'risk table' ELSE 'ocr' END ELSE 'fallback' END AS method FROM calibration""",
+)
+def calibration_ladder(spark, sf_dir):
+    c = adapters.calibration(spark, sf_dir).select("figure_id")
+
+    def source(rows, hi, conf):
+        return rows.select("figure_id", F.lit(0.0).alias("x_lo"), F.lit(hi).alias("x_hi"), F.lit(0.0).alias("y_lo"), F.lit(1.0).alias("y_hi"), F.lit(conf).alias("x_conf"), F.lit(conf).alias("y_conf"))
+
+    risk = c.filter("figure_id % 4 = 0").select("figure_id", F.lit(0.0).alias("x_lo"), F.lit(36.0).alias("x_hi"))
+    out = calibrate.calibration_ladder(c, source(c.filter("figure_id % 3 = 0"), 48.0, 0.9), source(c.filter("figure_id % 2 = 0"), 24.0, 0.6), risk)
+    return out.select("figure_id", "x_hi", "method")
+
+
+# ------------------------------------------------------------ agreement, artefacts, jobs
+
+
+@query("at_risk_agreement", _NAR + """, ex AS (SELECT figure_id, time, n_risk::DOUBLE / first_value(n_risk) OVER (PARTITION BY figure_id ORDER BY time) AS expected FROM nar WHERE group_id = 0)
+ SELECT figure_id, round(sqrt(avg((expected - greatest(0.0, 1.0 - time / 60.0)) ** 2)), 6) AS rmse, count(*) AS n FROM ex GROUP BY figure_id""")
+def at_risk_agreement(spark, sf_dir):
+    from tidemark.operators.cluster import parse_at_risk
+
+    t = parse_at_risk(words(spark, sf_dir), ["figure_id"]).filter("group_id = 0").select("figure_id", "time", "n_risk")
+    line = t.select("figure_id").distinct().select("figure_id", F.explode(F.array(*[F.struct(F.lit(float(x)).alias("time"), F.lit(1 - x / 60).alias("survival"), F.lit(x).alias("seq")) for x in (0, 60)])).alias("p")).select("figure_id", "p.*")
+    return validate.at_risk_agreement(t, line, ["figure_id"]).select("figure_id", F.round("rmse", 6).alias("rmse"), "n")
+
+
+@query("match_by_position", _NAR + " SELECT figure_id, label, (dense_rank() OVER (PARTITION BY figure_id ORDER BY group_id) - 1)::INT AS curve_id FROM (SELECT DISTINCT figure_id, group_id, label FROM nar)")
+def match_by_position(spark, sf_dir):
+    from tidemark.operators.cluster import parse_at_risk
+    from tidemark.operators.spatial import match_by_position as op
+
+    rows = parse_at_risk(words(spark, sf_dir), ["figure_id"]).select("figure_id", "group_id", "label").distinct()
+    curves = rows.select("figure_id").distinct().select("figure_id", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("curve_id"))
+    return op(rows, curves, ["figure_id"], "group_id", "curve_id").select("figure_id", "label", "curve_id")
+
+
+@query("km_artifact")
+def km_artifact(spark, sf_dir):
+    return sinks.km_artifact(survival.km_fit(adapters.ipd(spark, sf_dir), ["study_id"]), ["study_id"])
+
+
+@query("job_monthly_series", "WITH " + adapters.POINTS + ", " + adapters.CALIBRATION + """, px AS (SELECT figure_id, curve_id, seq, time * 8.0 AS x, (1.0 - survival) * 400.0 AS y FROM points),
+ c AS (SELECT figure_id, curve_id, x_lo + x / 480.0 * (x_hi - x_lo) AS time, least(greatest(y_hi - y / 400.0 * (y_hi - y_lo), y_lo), y_hi) AS survival FROM px JOIN calibration USING (figure_id))
+ SELECT figure_id, curve_id, floor(time)::DOUBLE AS time, round(median(survival) + 1e-9, 5) AS survival FROM c GROUP BY ALL""")
+def job_monthly_series(spark, sf_dir):
+    p = adapters.points(spark, sf_dir)
+    px = p.select("figure_id", "curve_id", "seq", (F.col("time") * 8.0).alias("x"), ((F.lit(1.0) - F.col("survival")) * 400.0).alias("y"))
+    out = jobs.sample_monthly_series(px, adapters.calibration(spark, sf_dir), 480.0, 400.0)
+    return out.select("figure_id", "curve_id", "time", F.round(F.col("survival") + 1e-9, 5).alias("survival"))
+
+
+@query("job_clean_validate_catalog")
+def job_clean_validate_catalog(spark, sf_dir):
+    p = adapters.points(spark, sf_dir)
+    px = p.select("figure_id", "curve_id", "seq", (F.col("time") * 8.0 + 30).alias("x"), ((F.lit(1.0) - F.col("survival")) * 400.0 + 30).alias("y"))
+    return jobs.clean_validate_catalog(px, adapters.calibration(spark, sf_dir), 540.0, 480.0)["catalog"]
+
+
+@query("job_curves_from_pixels")
+def job_curves_from_pixels(spark, sf_dir):
+    p = adapters.pixels(spark, sf_dir).filter("g < 64")
+    out = jobs.curves_from_pixels(p, k=2)
+    return out.groupBy("figure_id", "curve_id").agg(F.count("*").alias("n"))
+
+
+@query("job_dark_pixels", "WITH " + adapters.PIXELS + """, d AS (SELECT DISTINCT figure_id, x, y FROM pixels WHERE (r + g + b) / 3.0 / 255.0 < 0.5),
+ n AS (SELECT *, coalesce((y - lag(y) OVER w > 5)::INT, 1) AS new_ FROM d WINDOW w AS (PARTITION BY figure_id, x ORDER BY y)),
+ r AS (SELECT *, sum(new_) OVER (PARTITION BY figure_id, x ORDER BY y ROWS UNBOUNDED PRECEDING) AS curve_id FROM n), a AS (SELECT figure_id, curve_id, x, avg(y) AS y FROM r GROUP BY ALL),
+ q AS (SELECT * FROM a QUALIFY count(*) OVER (PARTITION BY figure_id, curve_id) >= 10)
+ SELECT figure_id, curve_id::BIGINT AS curve_id, count(*) AS n, round(min(10.0 + x / (300.0::DOUBLE / 144.0)), 6) AS x0, round(avg(20.0 + y / (300.0::DOUBLE / 144.0)), 4) AS y_mean FROM q GROUP BY ALL""")
+def job_dark_pixels(spark, sf_dir):
+    c = jobs.curves_from_dark_pixels(adapters.pixels(spark, sf_dir), 300.0, 144.0, 10.0, 20.0)
+    return c.groupBy("figure_id", "curve_id").agg(F.count("*").alias("n"), F.round(F.min("svg_x"), 6).alias("x0"), F.round(F.avg("svg_y"), 4).alias("y_mean"))
+
+
+@query("job_curves_from_paths")
+def job_curves_from_paths(spark, sf_dir):
+    from tidemark.plans.figures import _paths
+
+    paths = _paths(spark, sf_dir).withColumn("stroke", F.concat(F.lit("s"), F.col("curve_id").cast("string")))
+    panel = paths.select("figure_id").distinct().select("figure_id", F.lit(1).alias("panel_id"), F.lit(0.0).alias("xmin"), F.lit(600.0).alias("xmax"), F.lit(0.0).alias("ymin"), F.lit(400.0).alias("ymax"))
+    return jobs.curves_from_paths(paths.withColumnRenamed("curve_id", "path_id"), panel).groupBy("figure_id", "curve_id").agg(F.count("*").alias("n"), F.round(F.avg("py"), 4).alias("y"))
+
+
+@query("job_vector_page_curves")
+def job_vector_page_curves(spark, sf_dir):
+    from tidemark.plans.figures import _paths
+
+    ticks = adapters.calibration(spark, sf_dir).select(
+        "figure_id", F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.lit(p).alias("pos"), F.lit(v).alias("value")) for a, p, v in (("x", 0.0, 0.0), ("x", 480.0, 60.0), ("y", 0.0, 1.0), ("y", 400.0, 0.0))])).alias("t")
+    ).select("figure_id", "t.*")
+    out = jobs.vector_page_curves(_paths(spark, sf_dir).withColumnRenamed("curve_id", "path_id"), ticks)
+    return out.groupBy("figure_id", "curve_id").agg(F.count("*").alias("events"), F.round(F.min("survival"), 6).alias("last"))
+
+
+@query("job_axis_text_success", _TEXT + f", n AS (SELECT {_X_NUMS} AS x, {_Y_NUMS} AS y FROM tt) SELECT count(*) AS pages, count(*) FILTER (len(x) >= 2 AND len(y) >= 2) AS success, count(*) FILTER (len(x) >= 2 AND len(y) >= 2)::DOUBLE / count(*) AS rate FROM n")
+def job_axis_text_success(spark, sf_dir):
+    return jobs.axis_text_success(_texts(spark, sf_dir).select(F.col("text").alias("x_text"), F.col("text").alias("y_text")))
+
+
+@query("job_panels_from_boxes")
+def job_panels_from_boxes(spark, sf_dir):
+    from tidemark.plans.figures import _panels
+
+    k = F.col("panel_id")
+    boxes = _panels(spark, sf_dir).select("*", (F.col("xmax") - F.col("xmin")).alias("w"), (F.col("ymax") - F.col("ymin")).alias("h"), (0.6 + (k % 5) / 10.0).alias("rect"), (0.05 * (k % 12)).alias("share"), ((k % 10) / 10.0).alias("border"))
+    return jobs.panels_from_boxes(boxes).select("doc_id", "panel_id", F.round("confidence", 6).alias("confidence"), "ar_ymin", "order")
+
+
+@query("job_page_analysis")
+def job_page_analysis(spark, sf_dir):
+    return jobs.page_analysis(adapters.lines(spark, sf_dir))["panels"].select("doc_id", "panel_id", "is_inset")
