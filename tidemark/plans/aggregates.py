@@ -93,7 +93,7 @@ def text_numbers(spark, sf_dir):
     return o.select(F.col("o_orderkey").alias("id"), scalar.parse_number(price).alias("v"), scalar.is_number(F.col("o_orderkey").cast("string")).alias("num"), scalar.word_number(pct).cast("long").alias("pct"))
 
 
-@query("text_confidence", "SELECT doc_id, CASE WHEN text = '' THEN 0.0 ELSE greatest(0.0, least(1.0, 0.5 + CASE WHEN regexp_matches(text, '[0-9]') THEN 0.2 ELSE 0.0 END + CASE WHEN regexp_matches(lower(text), 'month|year|day|week|time') THEN 0.15 ELSE 0.0 END + CASE WHEN regexp_matches(text, '%|0\\.|1\\.0') THEN 0.15 ELSE 0.0 END + CASE WHEN length(text) < 3 THEN -0.2 ELSE 0.0 END)) END AS confidence FROM (SELECT doc_id, left(text, 60) AS text FROM documents) WHERE NOT regexp_matches(text, '[^A-Za-z0-9 .,]')")
+@query("text_confidence", "SELECT doc_id, CASE WHEN text = '' THEN 0.0 ELSE greatest(0.0, least(1.0, 0.5 + CASE WHEN regexp_matches(text, '[0-9]') THEN 0.2 ELSE 0.0 END + CASE WHEN regexp_matches(lower(text), 'month|year|day|week|time') THEN 0.15 ELSE 0.0 END + CASE WHEN regexp_matches(text, '%|0\\.|1\\.0') THEN 0.15 ELSE 0.0 END + CASE WHEN length(text) < 3 THEN -0.2 ELSE 0.0 END)) END::DOUBLE AS confidence FROM (SELECT doc_id, left(text, 60) AS text FROM documents) WHERE NOT regexp_matches(text, '[^A-Za-z0-9 .,]')")
 def text_confidence(spark, sf_dir):
     d = adapters.table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 60).alias("text")).filter(~F.col("text").rlike("[^A-Za-z0-9 .,]"))
     return d.select("doc_id", F.round(scalar.text_confidence(F.col("text")), 6).alias("confidence"))

