@@ -67,4 +67,26 @@ QUERIES = {
     "op10_recurrent_scoring": op10_recurrent_scoring,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_substring_dedup": f"""
+WITH w AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
+ g AS (SELECT doc_id, p, array_to_string(ws[p:p + 19], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS p FROM w)),
+ r AS (SELECT doc_id, p FROM g QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, p) > 1),
+ c AS (SELECT DISTINCT doc_id, unnest(range(p, p + 20)) AS q FROM r),
+ words AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS q FROM w),
+ kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY q) AS t, count(*) AS n FROM words ANTI JOIN c USING (doc_id, q) GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id""",
+    "op4_jaccard_signature_trees": f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS ws FROM documents),
+ s AS (SELECT DISTINCT doc_id, array_to_string(ws[p:p + 4], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, least(len(ws), 1) + 1))) AS p FROM w)),
+ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+ pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY ALL),
+ links AS (SELECT x, y FROM pairs JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 75 * (a.n + b.n - c)),
+ both_ AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+ reach(doc_id, least) AS (SELECT doc_id, doc_id FROM n UNION SELECT y, least FROM reach JOIN both_ ON x = reach.doc_id AND least < y)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(m.least, w.doc_id) AS component_id
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(least) AS least FROM reach GROUP BY doc_id) m USING (doc_id)""",
+}
