@@ -55,11 +55,29 @@ def small_side(df: DataFrame, most: int = 10_000) -> DataFrame:
     return F.broadcast(kept) if kept.count() <= most else kept
 
 
+def commonest(df: DataFrame, count: str, most: int) -> DataFrame:
+    """The rows with the largest counts, at most ``most`` in all, so that collecting them is bounded at any input size.
+
+    A histogram of the counts (exact below 1,024, then 64 bins for each factor
+    e: some thousands of rows) gives the cut; rows at a bin that would exceed
+    ``most`` are left out together.
+    """
+    c = F.col(count)
+    bin_ = F.when(c < 1024, c.cast("long")).otherwise(1024 + F.floor(F.log(c / 1024.0) * 64)).cast("long")
+    total, cut = 0, None
+    for b, n in sorted(((r[0], r[1]) for r in df.groupBy(bin_.alias("b")).agg(F.count("*")).collect()), reverse=True):
+        total += n
+        if total > most:
+            break
+        cut = b
+    return df.filter(bin_ >= cut) if cut is not None else df.limit(0)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def block_count(docs: DataFrame, block_bytes: int = 12_000_000) -> int:
+def block_count(docs: DataFrame, block_bytes: int = 8_000_000) -> int:
     """Blocks of about ``block_bytes`` of text, so that a task's memory stays flat as tables grow."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
