@@ -17,14 +17,15 @@ from tidemark.sources import sinks
 _T = "WITH " + adapters.LINES + ", tk AS (SELECT doc_id, (line_id % 40)::DOUBLE AS pos, (line_id % 40) * 1.5 + (line_id % 7) * 0.1 AS value FROM lines WHERE line_id % 5 = 0)"
 
 
-def _ticks(spark, sf_dir):
+def _ticks(spark, sf_dir, every=1):
+    """Ticks of all lines or, as the twins have it, of every fifth."""
     n = F.col("line_id")
-    return adapters.lines(spark, sf_dir).filter("line_id % 5 = 0").select("doc_id", (n % 40).cast("double").alias("pos"), ((n % 40) * 1.5 + (n % 7) * 0.1).alias("value"))
+    return adapters.lines(spark, sf_dir).filter(n % every == 0).select("doc_id", (n % 40).cast("double").alias("pos"), ((n % 40) * 1.5 + (n % 7) * 0.1).alias("value"))
 
 
 @query("fit_axis_linear", _T + " SELECT doc_id, count(*) AS n, round(regr_slope(value, pos), 6) AS slope, round(regr_intercept(value, pos), 6) AS intercept, round(regr_r2(value, pos), 6) AS r2, coalesce(regr_r2(value, pos) < 0.95, true) AS warning FROM tk GROUP BY doc_id HAVING count(*) >= 2")
 def fit_axis_linear(spark, sf_dir):
-    f = calibrate.fit_axis_linear(_ticks(spark, sf_dir), ["doc_id"])
+    f = calibrate.fit_axis_linear(_ticks(spark, sf_dir, 5), ["doc_id"])
     return f.select("doc_id", "n", *[F.round(c, 6).alias(c) for c in ("slope", "intercept", "r2")], "warning")
 
 
@@ -40,7 +41,7 @@ def fit_axis_robust(spark, sf_dir):
  SELECT doc_id, n, round((b[2] - a[2]) / nullif(b[1] - a[1], 0), 6) AS slope, round(a[2] - (b[2] - a[2]) / nullif(b[1] - a[1], 0) * a[1], 6) AS intercept FROM e""",
 )
 def fit_axis_two_point(spark, sf_dir):
-    f = calibrate.fit_axis_two_point(_ticks(spark, sf_dir), ["doc_id"])
+    f = calibrate.fit_axis_two_point(_ticks(spark, sf_dir, 5), ["doc_id"])
     return f.select("doc_id", "n", F.round("slope", 6).alias("slope"), F.round("intercept", 6).alias("intercept"))
 
 
@@ -188,8 +189,7 @@ def job_clean_validate_catalog(spark, sf_dir):
 
 @query("job_curves_from_pixels")
 def job_curves_from_pixels(spark, sf_dir):
-    p = adapters.pixels(spark, sf_dir).filter("g < 64")
-    out = jobs.curves_from_pixels(p, k=2)
+    out = jobs.curves_from_pixels(adapters.pixels(spark, sf_dir), k=2)
     return out.groupBy("figure_id", "curve_id").agg(F.count("*").alias("n"))
 
 

@@ -183,8 +183,10 @@ def text_in_region(spark, sf_dir):
 _PATH = "WITH " + adapters.POINTS + """, k AS (SELECT figure_id, curve_id, seq, floor(time * 8)::INT AS x, floor((1.0 - survival) * 400.0)::INT AS y FROM points WHERE seq < 40)"""
 
 
-def _paths(spark, sf_dir):
-    p = adapters.points(spark, sf_dir).filter("seq < 40")
+def _paths(spark, sf_dir, most=None):
+    """One path for each curve, of all its points or, as some twins have it, of the first ``most``."""
+    p = adapters.points(spark, sf_dir)
+    p = p if most is None else p.filter(F.col("seq") < most)
     xy = p.select("figure_id", "curve_id", "seq", F.floor(F.col("time") * 8).cast("int").alias("x"), F.floor((F.lit(1.0) - F.col("survival")) * 400.0).cast("int").alias("y"))
     part = F.when(F.col("seq") == 0, F.concat(F.lit("M "), F.col("x").cast("string"), F.lit(" "), F.col("y").cast("string"))).otherwise(
         F.concat(F.lit("H "), F.col("x").cast("string"), F.lit(" V "), F.col("y").cast("string"))
@@ -200,10 +202,10 @@ def _paths(spark, sf_dir):
  UNION ALL SELECT figure_id, curve_id, (2 * seq)::INT, x::DOUBLE, y::DOUBLE FROM k WHERE seq > 0""",
 )
 def flatten_path(spark, sf_dir):
-    return spatial.flatten_path(_paths(spark, sf_dir), ["figure_id", "curve_id"])
+    return spatial.flatten_path(_paths(spark, sf_dir, 40), ["figure_id", "curve_id"])
 
 
 @query("path_candidates", _PATH + " SELECT figure_id, curve_id, 2 * (count(*) - 1) AS segments FROM k GROUP BY ALL HAVING 2 * (count(*) - 1) >= 20")
 def path_candidates(spark, sf_dir):
-    c = spatial.path_candidates(_paths(spark, sf_dir), ["figure_id", "curve_id"])
+    c = spatial.path_candidates(_paths(spark, sf_dir, 40), ["figure_id", "curve_id"])
     return c.select("figure_id", "curve_id", F.regexp_count("d", F.lit("[LHVlhv]")).cast("long").alias("segments"))
