@@ -66,3 +66,17 @@ def test_templates_and_edges(spark, monkeypatch):
             assert 3 in by[i].dropped and (2 in by[i].dropped or wide == 1)
             assert "own line" in by[i].text
     assert ld.drop_recurring(df.limit(0), blocks=2).count() == 0
+
+
+def test_leaves_of_any_size_are_generalised_alike(spark, sf_dir, monkeypatch):
+    line = "We use cookies on this site so that {} can read our pages in peace"
+    rows = [(i, line.format(f"{chr(97 + i)}xyz")) for i in range(20)] + [(30, "seen in just two places"), (31, "seen in just two places")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    seen = []
+    for wide in (ld.WIDE, 1):
+        monkeypatch.setattr(ld, "WIDE", wide)
+        got = {r.doc_id: r.dropped for r in ld.drop_recurring(df, blocks=3).collect()}
+        assert got == {i: [0] if 0 < i < 20 or i == 31 else [] for i, _ in rows}
+        seen.append({r.doc_id: r.dropped for r in ld.drop_recurring(table, blocks=3).collect()})
+    assert seen[0] == seen[1] and any(seen[0].values())

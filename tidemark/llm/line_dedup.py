@@ -13,8 +13,10 @@ the first one (smallest doc_id, then line) stays.
 *Scale.* Documents are dealt once into blocks by doc_id, and a block sends one
 row per distinct line, so a line that a third of all documents share costs one
 row per block. Leaves known to few documents end after the first pass. Leaves
-hold distinct lines; one of more than ``WIDE`` is split by ``DEEP`` leading
-tokens. Decisions go back to the blocks that hold the line.
+hold distinct lines. One of up to ``WIDE`` is generalised in a task; in a larger
+one tokens are counted by (leaf, position, token) and the constant ones joined
+back, by the same rules and with the same result. Decisions go back to the
+blocks that hold the line.
 
 Defined cases: a null text is empty; blank lines stay and are not counted; a
 null doc_id counts as the largest; rows that repeat a doc_id count as one
@@ -24,6 +26,7 @@ document; on an empty table the result is empty. Other columns are ignored.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +36,8 @@ from pyspark.sql import functions as F
 
 from .common import binary, block_count, materialize, unsigned, with_block
 
-MIN_DOCS = 3
-DEPTH, DEEP = 3, 8
+MIN_DOCS = 2
+DEPTH = 3
 CONSTANT, TAIL = 0.6, 5
 WIDE = 50_000
 
@@ -73,7 +76,8 @@ def _lines(table: pa.Table):
 
 def _leaf(words: list[bytes]) -> int:
     """The leaf: token count and leading tokens. Other tokens are looked at only where the leaf recurs."""
-    return xxhash.xxh3_64_intdigest(b" ".join([w if _TOKEN[w] else b"\0" for w in words[:DEPTH]]), len(words)) - (1 << 63)
+    # the count is hashed as text: as a seed it cancels against a character of a short key
+    return xxhash.xxh3_64_intdigest(b"%d " % len(words) + b" ".join([w if _TOKEN[w] else b"\0" for w in words[:DEPTH]])) - (1 << 63)
 
 
 def _tokens(words: list[bytes]) -> np.ndarray:
@@ -95,7 +99,7 @@ def _leaves(table: pa.Table) -> pa.Table:
     return pa.table({"leaf": pa.array(list(docs), pa.int64()), "block": pa.array([_where(table)] * len(docs), pa.int32()), "n": pa.array(list(docs.values()), pa.int64())})
 
 
-_DISTINCT = "line long, leaf long, deep long, block int, n long, first_doc long, first_line int, last_doc long, literal boolean, tokens binary"
+_DISTINCT = "line long, leaf long, block int, n long, first_doc long, first_line int, last_doc long, literal boolean, tokens binary"
 
 
 def _distinct(table: pa.Table, wanted: pa.Table) -> pa.Table:
@@ -107,16 +111,24 @@ def _distinct(table: pa.Table, wanted: pa.Table) -> pa.Table:
             line = _hash(tokens)
             row = found.get(line)
             if row is None:
-                deep = _hash(np.append(tokens[:DEEP], np.uint64(len(tokens))))
-                found[line] = [line, leaf, deep, _where(table), 1, i, k, i, bool(tokens.any()), tokens.tobytes()]
-            elif row[7] != i:
-                row[4] += 1
-                row[7] = i
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary())
+                found[line] = [line, leaf, _where(table), 1, i, k, i, bool(tokens.any()), tokens.tobytes()]
+            elif row[6] != i:
+                row[3] += 1
+                row[6] = i
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary())
     columns = list(zip(*found.values())) if found else [[] for _ in kinds]
     return pa.table({name.split()[0]: pa.array(c, t) for name, c, t in zip(_DISTINCT.split(", "), columns, kinds)})
 
 
+def _named(tokens: np.ndarray, constant: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of lines of one length: whether they are generalised, and the hashes of their templates."""
+    tail = tokens[:, DEPTH:] != _STAR
+    fixed = (constant[:, DEPTH:] & tail).sum(axis=1)
+    general = (fixed >= TAIL) & (fixed >= CONSTANT * tail.sum(axis=1))
+    shown = np.where(constant | ~general[:, None], tokens, np.uint64(2))
+    return general, np.array([_hash(row) for row in shown], np.int64)
+
+
 def _templates(min_docs: int):
     def run(table: pa.Table) -> pa.Table:
         """Lines of a leaf that belong to a recurring template, with the template's first place."""
@@ -126,13 +138,8 @@ def _templates(min_docs: int):
         for p in range(tokens.shape[1]):
             _, which = np.unique(tokens[:, p], return_inverse=True)
             constant[:, p] = np.bincount(which, n)[which] >= min_docs
-        digit = tokens == _STAR
-        tail = ~digit[:, DEPTH:]
-        fixed = (constant[:, DEPTH:] & tail).sum(axis=1)
-        general = (fixed >= TAIL) & (fixed >= CONSTANT * tail.sum(axis=1))
-        exact = (n >= min_docs) & (~digit).any(axis=1)
-        shown = np.where(constant | ~general[:, None], tokens, np.uint64(2))
-        names = np.array([_hash(row) for row in shown])
+        general, names = _named(tokens, constant)
+        exact = (n >= min_docs) & (tokens != _STAR).any(axis=1)
         _, which = np.unique(names, return_inverse=True)
         total = np.bincount(which, n)
         least = np.full(len(total), _LAST)
@@ -157,6 +164,47 @@ def _templates(min_docs: int):
     return run
 
 
+_AT = "leaf long, line long, pos int, token long, n long"
+
+
+def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each token of each line."""
+    for batch in batches:
+        for leaf, line, n, raw in zip(*(batch.column(c).to_pylist() for c in ("leaf", "line", "n", "tokens"))):
+            tokens = np.frombuffer(raw, np.int64)
+            size = len(tokens)
+            columns = (np.full(size, leaf), np.full(size, line), np.arange(size, dtype=np.int32), tokens, np.full(size, n))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [x.split()[0] for x in _AT.split(", ")])
+
+
+def _name_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``line, name, general`` of lines with the places of their constant tokens."""
+    for batch in batches:
+        rows = []
+        for line, raw, places in zip(*(batch.column(c).to_pylist() for c in ("line", "tokens", "places"))):
+            tokens = np.frombuffer(raw, np.uint64)
+            constant = np.zeros(len(tokens), bool)
+            constant[places or []] = True
+            general, name = _named(tokens[None], constant[None])
+            rows.append((line, int(name[0]), bool(general[0])))
+        columns = list(zip(*rows)) if rows else [[], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.bool_()))], ["line", "name", "general"])
+
+
+def _wide_templates(lines: DataFrame, min_docs: int) -> DataFrame:
+    """What ``_templates`` gives, for leaves of any size: no leaf meets in one task."""
+    at = lines.select("leaf", "line", "n", "tokens").mapInArrow(_positions, _AT)
+    constant = at.groupBy("leaf", "pos", "token").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_docs).select("leaf", "pos", "token")
+    places = at.join(constant, ["leaf", "pos", "token"]).groupBy("line").agg(F.collect_list("pos").alias("places"))
+    named = lines.select("line", "tokens").join(places, "line", "left").mapInArrow(_name_each, "line long, name long, general boolean")
+    named = materialize(lines.drop("tokens").join(named, "line"), "named")
+    found = named.groupBy("leaf", "name").agg(
+        F.sum("n").alias("total"), F.min("first_doc").alias("least"), F.max("last_doc").alias("most"), F.min(F.struct("first_doc", "first_line")).alias("head")
+    )
+    recurs = (F.col("general") & (F.col("total") >= min_docs) & (F.col("least") != F.col("most"))) | ((F.col("n") >= min_docs) & F.col("literal"))
+    return named.join(found, ["leaf", "name"]).filter(recurs).select("line", F.col("head.first_doc").alias("keep_doc"), F.col("head.first_line").alias("keep_line"))
+
+
 def _cut(table: pa.Table, drop: pa.Table) -> pa.Table:
     gone = {a: (b, c) for a, b, c in zip(*(drop.column(x).to_pylist() for x in ("line", "keep_doc", "keep_line")))}
     leaves = set(drop.column("leaf").to_pylist())
@@ -194,15 +242,18 @@ def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, blocks: int | None
     often = leaves.groupBy("leaf").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_docs).select("leaf")
     wanted = leaves.join(often, "leaf").select("block", "leaf")
     lines = materialize(dealt.cogroup(wanted.groupBy("block")).applyInArrow(_distinct, _DISTINCT), "lines")
-    whole = lines.groupBy("line", "leaf", "deep").agg(
+    whole = lines.groupBy("line", "leaf").agg(
         F.sum("n").alias("n"), F.min(F.struct("first_doc", "first_line")).alias("place"), F.max("last_doc").alias("last_doc"), F.first("literal").alias("literal"), F.first("tokens").alias("tokens")
-    ).select("line", "leaf", "deep", "n", "place.*", "last_doc", "literal", "tokens")
+    ).select("line", "leaf", "n", "place.*", "last_doc", "literal", "tokens")
     whole = materialize(whole, "distinct")
     sizes = whole.groupBy("leaf").agg(F.count("*").alias("lines"))
     placed = whole.join(sizes, "leaf")
     # a leaf of one distinct line has that line as its template
     lone = placed.filter((F.col("lines") == 1) & F.col("literal") & (F.col("n") >= min_docs)).select("line", F.col("first_doc").alias("keep_doc"), F.col("first_line").alias("keep_line"))
-    many = placed.filter("lines > 1").withColumn("leaf", F.when(F.col("lines") > WIDE, F.col("deep")).otherwise(F.col("leaf"))).drop("literal", "lines", "deep")
-    recurring = lone.union(many.groupBy("leaf").applyInArrow(_templates(min_docs), "line long, keep_doc long, keep_line int"))
+    narrow = placed.filter((F.col("lines") > 1) & (F.col("lines") <= WIDE)).drop("literal", "lines")
+    recurring = lone.union(narrow.groupBy("leaf").applyInArrow(_templates(min_docs), "line long, keep_doc long, keep_line int"))
+    wide = placed.filter((F.col("lines") > 1) & (F.col("lines") > WIDE)).drop("lines")
+    if wide.limit(1).count():
+        recurring = recurring.union(_wide_templates(materialize(wide, "wide"), min_docs))
     back = lines.select("line", "leaf", "block").join(recurring, "line").select("block", "leaf", "line", "keep_doc", "keep_line")
     return dealt.cogroup(back.groupBy("block")).applyInArrow(_cut, OUT)
