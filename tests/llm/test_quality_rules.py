@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 from math import log2, sqrt
 
@@ -48,3 +49,14 @@ def test_distance(spark):
     h = lambda x, y: sum(i * log2(2 * i / (i + j)) for i, j in zip(x, y) if i)
     df = spark.createDataFrame([(p, q)], "p array<long>, q array<long>")
     assert abs(df.select(js_distance(df.p, df.q)).first()[0] - sqrt((h(a, b) + h(b, a)) / 2)) < 1e-12
+
+
+def test_long_texts_without_the_words_of_their_language(spark):
+    rng = random.Random(1)
+    common, other = "the of and to in a is that for it as was".split(), [f"{a}{b}ing" for a in "bcdfghklmn" for b in "aeiou"]
+    prose = [" ".join(rng.choice(common if rng.random() < 0.2 else other) for _ in range(600)) for _ in range(40)]
+    foreign = " ".join(rng.choice("der die und den von zu mit sich".split() if rng.random() < 0.2 else other) for _ in range(600))
+    salad = " ".join(rng.choice(other) for _ in range(600))
+    rows = [*enumerate(prose), (50, foreign), (51, salad), (52, " ".join(salad.split()[:50]))]
+    df = spark.createDataFrame([(i, t, "en") for i, t in rows] + [(60, salad, "xx")], "doc_id long, text string, lang string")
+    assert {r.doc_id for r in assess(df).filter("not kept").collect()} == {50, 51}

@@ -8,7 +8,9 @@ its language's commonest function words. The language's reference histograms
 are the sums over all documents of that ``lang``. A document goes if its
 Jensen-Shannon distance (base 2, 0 to 1) to the reference is above the
 threshold and it is long enough for the histogram to mean something: short
-documents are judged by the base rules alone.
+documents are judged by the base rules alone. A document of enough words is
+also compared with all its other words as one more bin, so that one in which
+the function words are missing is far from its language.
 
 *Scale.* Two scans and no shuffle but of one partial sum per language. All
 measures of a text are computed within its row; references come back by a
@@ -42,6 +44,9 @@ MOST_CHAR_DISTANCE = 0.28
 MOST_WORD_DISTANCE = 0.70
 LEAST_CHARS = 200
 LEAST_HITS = 60
+#: The same with all other words as a bin, where a text without function words is at about 0.30, given so many words.
+MOST_MISSING = 0.20
+LEAST_WORDS = 200
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
 
@@ -99,6 +104,7 @@ def _char_histogram(text: Column) -> Column:
 
 
 def _word_histogram(text: Column, lang: Column) -> Column:
+    """Function words of the language, then all other words."""
     lists = F.create_map(*[F.lit(x) for k, v in FUNCTION_WORDS.items() for x in (k, v)])
     mine = F.split(F.coalesce(F.try_element_at(lists, lang), F.lit("")), " ")
 
@@ -106,9 +112,10 @@ def _word_histogram(text: Column, lang: Column) -> Column:
         return F.transform(of, lambda w: F.size(F.filter(hits, lambda x: x == w)).cast("long"))
 
     def histogram(of: Column) -> Column:
-        return let(F.filter(_words(text), lambda w: F.array_contains(of, w)), lambda hits: counts(hits, of))
+        found = lambda words: let(F.filter(words, lambda w: F.array_contains(of, w)), lambda hits: F.array_append(counts(hits, of), (F.size(words) - F.size(hits)).cast("long")))
+        return let(_words(text), found)
 
-    return F.when(lang.isin(*FUNCTION_WORDS), let(mine, histogram)).otherwise(F.array_repeat(F.lit(0).cast("long"), N_WORDS))
+    return F.when(lang.isin(*FUNCTION_WORDS), let(mine, histogram)).otherwise(F.array_repeat(F.lit(0).cast("long"), N_WORDS + 1))
 
 
 def _shares(counts: Column) -> Column:
@@ -132,9 +139,9 @@ def references(docs: DataFrame) -> DataFrame:
     """``lang, ref_chars, ref_words``: the summed histograms of all documents of a language."""
     text = F.coalesce(F.col("text"), F.lit(""))
     seen = docs.select("lang", _char_histogram(text).alias("c"), _word_histogram(text, F.col("lang")).alias("w"))
-    sums = [F.sum(F.get("c", F.lit(i))).alias(f"c{i}") for i in range(6)] + [F.sum(F.get("w", F.lit(i))).alias(f"w{i}") for i in range(N_WORDS)]
+    sums = [F.sum(F.get("c", F.lit(i))).alias(f"c{i}") for i in range(6)] + [F.sum(F.get("w", F.lit(i))).alias(f"w{i}") for i in range(N_WORDS + 1)]
     return seen.groupBy("lang").agg(*sums).select(
-        F.col("lang").alias("__lang"), F.array(*[f"c{i}" for i in range(6)]).alias("ref_chars"), F.array(*[f"w{i}" for i in range(N_WORDS)]).alias("ref_words")
+        F.col("lang").alias("__lang"), F.array(*[f"c{i}" for i in range(6)]).alias("ref_chars"), F.array(*[f"w{i}" for i in range(N_WORDS + 1)]).alias("ref_words")
     )
 
 
@@ -143,6 +150,7 @@ def assess(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     refs = small_side(references(docs))
     keep = [c for c in docs.columns if c not in {*MEASURES, "char_distance", "word_distance", "kept"}]
+    common = lambda w: F.slice(w, 1, N_WORDS)
     measured = docs.select(
         *keep,
         word_count(text).alias("n_words"),
@@ -158,12 +166,13 @@ def assess(docs: DataFrame) -> DataFrame:
         measured.join(refs, F.col("lang").eqNullSafe(F.col("__lang")), "left")
         .withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
         .withColumn("char_distance", js_distance(F.col("__c"), F.col("ref_chars")))
-        .withColumn("word_distance", js_distance(F.col("__w"), F.col("ref_words")))
+        .withColumn("word_distance", js_distance(common(F.col("__w")), common(F.col("ref_words"))))
     )
-    hits = F.aggregate("__w", F.lit(0).cast("long"), lambda a, b: a + b)
+    hits = F.aggregate(common(F.col("__w")), F.lit(0).cast("long"), lambda a, b: a + b)
+    missing = F.coalesce(js_distance(F.col("__w"), F.col("ref_words")), F.lit(0.0))
     far = ((F.col("__n") >= LEAST_CHARS) & (F.coalesce("char_distance", F.lit(0.0)) > MOST_CHAR_DISTANCE)) | (
         (hits >= LEAST_HITS) & (F.coalesce("word_distance", F.lit(0.0)) > MOST_WORD_DISTANCE)
-    )
+    ) | ((F.col("n_words") >= LEAST_WORDS) & (missing > MOST_MISSING))
     return judged.withColumn("kept", ~F.col("base_failed") & ~far).select(*keep, *MEASURES, "char_distance", "word_distance", "kept")
 
 
