@@ -222,3 +222,10 @@ def test_twinless_queries_see_their_whole_tables(spark, tmp_path):
     assert [r.doc_id for r in registry.QUERIES["fit_axis_robust"](spark, str(tmp_path)).collect()] == [1]
     spark.createDataFrame([(2, k, 7 * k) for k in range(1, 31)], "l_suppkey long, l_partkey long, l_orderkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
     assert sum(r.n for r in registry.QUERIES["job_curves_from_pixels"](spark, str(tmp_path)).collect()) > 0
+
+
+def test_neighbours_across_a_wide_figure(spark):
+    rows = [(0, i, 3000 * i, 7) for i in range(4)] + [(1, i, i, 0) for i in range(9)] + [(1, 9, 5000, 5000)]
+    near = cluster.knn_join(spark.createDataFrame(rows, "f int, id long, x int, y int"), ["f"], 5)
+    counts = {(r.f, r.id): r["count"] for r in near.groupBy("f", "id").count().collect()}
+    assert counts == {**{(0, i): 3 for i in range(4)}, **{(1, i): 5 for i in range(10)}}

@@ -270,8 +270,11 @@ def knn_join(pixels: DataFrame, keys: list[str], k: int, cell: int = 8) -> DataF
     cells of four times the size, and so on until all have k or the figure ends.
     """
     total = pixels.groupBy(*keys).agg(F.count("*").alias("__all"))
-    todo, done, size = pixels, None, cell
-    for _ in range(4):
+    extent = pixels.groupBy(*keys).agg(F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("e")).agg(F.max("e")).first()[0] or 0
+    todo, done, size, last = pixels, None, cell, False
+    # a cell as large as a figure's diagonal sees all of it
+    while not last:
+        last = size >= 1.5 * extent
         at = lambda c: F.floor(F.col(c) / size)  # noqa: B023, E731
         offsets = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
         probe = todo.select(*keys, "id", "x", "y", offsets.alias("o")).withColumn("cx", at("x") + F.col("o.i")).withColumn("cy", at("y") + F.col("o.j"))
