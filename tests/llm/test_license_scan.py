@@ -36,3 +36,11 @@ def test_edges(spark):
     got = sorted((r.doc_id, r.paragraph, r.family) for r in ls.scan(df).collect())
     assert got == [(3, 0, "mit"), (3, 0, "mit"), (5, 1, "cc-by-nc")]
     assert ls.scan(df.limit(0)).count() == 0
+
+
+def test_notices_without_a_frequent_cue_and_hard_wrapped(spark):
+    wrapped = "Permission is hereby granted, free\nof charge, to any person obtaining\na copy of this software and\nassociated documentation files"
+    texts = ["Distributed under CC BY 4.0.", f"some prose\n\n{wrapped}\n\nmore prose", f"{wrapped}\n"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((r.doc_id, r.paragraph, r.family, r.text) for r in ls.scan(df).collect())
+    assert got == [(0, 0, "cc-by", texts[0]), (1, 2, "mit", wrapped), (2, 0, "mit", wrapped)]

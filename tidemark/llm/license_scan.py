@@ -16,6 +16,10 @@ its family's calibrated probability is at least ``CONFIDENT``.
 *Scale.* The model (a bounded table) goes to every task; documents are scanned
 once as they lie, without a shuffle.
 
+*Paragraphs.* Each line is one, and so are the lines between two blank ones
+together (a hard-wrapped notice) if none of them is a notice; ``paragraph`` is
+the number of the first line.
+
 Defined cases: a null or empty text has no paragraph; blank lines are no
 paragraphs; equal rows are reported each; on an empty table the negatives are
 empty and the result is empty. Other columns are ignored.
@@ -144,6 +148,20 @@ class Model:
         share = self.confirm(FAMILIES[best], h)
         return (FAMILIES[best], float(p[best]), share) if share >= CONFIRM else None
 
+    def notices(self, text: bytes) -> Iterator[tuple[int, str, float, float, bytes]]:
+        """(line, family, probability, share, paragraph) of lines, and of runs of lines in which no line is a notice."""
+        lines = text.split(b"\n")
+        start = 0
+        while start < len(lines):
+            end = start
+            while end < len(lines) and lines[end].strip():
+                end += 1
+            found = [(k, *y, lines[k]) for k in range(start, end) if (y := self.classify(lines[k]))]
+            if not found and end - start > 1 and (whole := self.classify(b"\n".join(lines[start:end]))):
+                found = [(start, *whole, b"\n".join(lines[start:end]))]
+            yield from found
+            start = end + 1
+
 
 def _prose(rng: np.random.Generator, pool: list[bytes], n: int) -> list[bytes]:
     return [w for i in rng.integers(0, len(pool), 1 + n // 8) for w in pool[i].split()][:n] if pool else []
@@ -219,6 +237,8 @@ _CUES = frozenset(
     b"license licensed mit apache gpl gnu bsd mozilla cc creative commons copyright rights permission redistribution redistribute spdx-license-identifier domain copy".split()
 )
 _CUE_PATTERN = re.compile(rb"(?i)licen|gpl|copyright|permission|redistribut|all rights|domain|spdx|copy of")
+#: Opening paragraphs with one of these are no negatives. In small letters two of them are words of prose.
+_NO_NEGATIVE = _CUE_PATTERN.pattern.decode() + r"|creative commons|apache|gnu|mozilla|(?-i:\b(?:CC|MIT)\b)"
 
 
 def _scan(model):
@@ -227,12 +247,7 @@ def _scan(model):
         for batch in batches:
             rows = []
             for i, text in zip(batch.column("doc_id").to_pylist(), binary(batch.column("text"))):
-                # most texts hold no cue at all
-                if text and (_CUE_PATTERN.search(text)):
-                    for k, paragraph in enumerate(text.split(b"\n")):
-                        found = m.classify(paragraph)
-                        if found:
-                            rows.append((i, k, *found, paragraph))
+                rows += [(i, *found) for found in m.notices(text or b"")]
             kinds = (pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.float64(), pa.binary())
             columns = list(zip(*rows)) if rows else [[] for _ in kinds]
             arrays = [pa.array(c, t) for c, t in zip(columns, kinds)]
@@ -248,7 +263,7 @@ def sample_negatives(docs: DataFrame, most: int = NEGATIVES) -> list[bytes]:
     # a share of the documents that holds some times as many, so that no task sends more than its part
     share = min(1.0, 8.0 * most / max(1, docs.count()))
     lines = lines.filter(F.pmod(F.col("h"), F.lit(1 << 40)) < int(share * (1 << 40)))
-    picked = lines.filter("p is not null").filter(~F.col("p").rlike(_CUE_PATTERN.pattern.decode())).filter(F.col("p").rlike(r"\S+\s+\S+\s+\S+"))
+    picked = lines.filter("p is not null").filter(~F.col("p").rlike(_NO_NEGATIVE)).filter(F.col("p").rlike(r"\S+\s+\S+\s+\S+"))
     return [r["p"].encode() for r in picked.orderBy("h", "p").limit(most).collect()]
 
 
