@@ -70,3 +70,12 @@ def test_reparameterised_and_inconsistent(spark, monkeypatch):
         assert clean.columns == docs.columns and sorted(r.doc_id for r in clean.collect()) == [3, 4, 5, 6]
     assert dc.contaminated(docs.limit(0), bench).count() == 0
     assert dc.contaminated(docs, bench.limit(0)).count() == 0
+
+
+def test_items_dense_in_numbers(spark):
+    item = "Sums: 12 34 56 78 90 and 21 43 65 87 then Lyon Metz Paris."
+    docs = spark.createDataFrame([(1, "we add " + item + " and go on"), (2, item.replace("43", "44")), (3, "Sums: 1 2 3")], "doc_id long, text string")
+    bench = spark.createDataFrame([(10, item)], "item_id long, text string")
+    got = dc.contaminated(docs, bench).collect()
+    assert [(r.doc_id, r.item_id, r.exact) for r in got] == [(1, 10, True)]
+    assert sorted(r.doc_id for r in dc.keep_clean(docs, bench).collect()) == [2, 3]

@@ -5,7 +5,8 @@ and units after a number are replaced by typed placeholders; other words lose
 their case and the marks around them. Windows of ``window`` template words
 (the whole item where it is shorter) are hash-joined with the benchmark's.
 A window opens with its word as it is, so that a passage pasted into the middle
-of a sentence is found, and needs ``literals`` words besides placeholders.
+of a sentence is found, and needs ``literals`` words besides placeholders; one
+with fewer is compared word for word, without placeholders.
 
 *Slots.* Matches of a document and an item on one diagonal are checked
 together: equal slot values of the item must have equal values in the document
@@ -96,16 +97,17 @@ class Template:
         self.code = np.where(number, _SLOTS["number"], np.where(name, _SLOTS["name"], np.where(unit, _SLOTS["unit"], self.plain)))
         self.slot = number | name | unit
 
-    def windows(self, size: int, literals: int) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and hashes of the windows with enough words besides placeholders."""
+    def windows(self, size: int, literals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and hashes of the windows, and which have too few words besides placeholders: those are hashed word for word."""
         n = len(self.words) - size + 1
         if n <= 0:
-            return np.empty(0, np.int64), np.empty(0, np.uint64)
+            return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, bool)
         with np.errstate(over="ignore"):
             h = mix(self.plain[:n] * np.uint64(0xD6E8FEB86659FD93) + gram_hash(self.code, size - 1)[1 : n + 1] + np.uint64(size))
+            word = mix(gram_hash(self.plain, size) * np.uint64(0xA0761D6478BD642F) + np.uint64(size))
         filled = np.concatenate([[0], np.cumsum(self.slot)])
-        at = np.flatnonzero(size - (filled[size:] - filled[:-size]) >= min(literals, size - 1))
-        return at, h[at]
+        sparse = size - (filled[size:] - filled[:-size]) < min(literals, size - 1)
+        return np.arange(n), np.where(sparse, word, h), sparse
 
 
 def consistent(pairs: list[tuple[int, int]]) -> bool:
@@ -131,7 +133,7 @@ class Benchmark:
             self.sizes.add(size)
             where = len(self.items)
             self.items.append((item_id, t))
-            for p, h in zip(*t.windows(size, literals)):
+            for p, h, _ in zip(*t.windows(size, literals)):
                 found.setdefault(int(h), []).append((where, int(p), size))
         self.found = found
         self.keys = np.sort(np.fromiter(found, np.uint64, len(found)))
@@ -139,20 +141,23 @@ class Benchmark:
     def search(self, text: bytes | None) -> list[tuple[int, int, int, int, int, bool]]:
         """(item_id, windows, first word, end, slots, exact) for each item found in a text."""
         t = Template(text)
-        lines: dict[tuple[int, int], set[tuple[int, int]]] = {}
+        lines: dict[tuple[int, int], set[tuple[int, int, bool]]] = {}
         for size in self.sizes:
-            at, h = t.windows(size, self.literals)
+            at, h, sparse = t.windows(size, self.literals)
             hit = is_in(h, self.keys)
-            for p, x in zip(at[hit], h[hit]):
+            for p, x, verbatim in zip(at[hit], h[hit], sparse[hit]):
                 for where, q, s in self.found[int(x)]:
                     if s == size:
-                        lines.setdefault((where, int(p) - q), set()).add((int(p), int(p) + size))
+                        lines.setdefault((where, int(p) - q), set()).add((int(p), int(p) + size, bool(verbatim)))
         best: dict[int, tuple] = {}
         for (where, shift), spans in lines.items():
-            item_id, item = self.items[where]
-            covered = sorted({j for a, b in spans for j in range(a, b)})
-            slots = [(int(item.plain[j - shift]), int(t.plain[j])) for j in covered if t.slot[j] and item.slot[j - shift]]
-            if consistent(slots):
+            item = self.items[where][1]
+            # windows found word for word stand even where others on the diagonal contradict each other
+            for spans in (spans, {x for x in spans if x[2]}):  # noqa: B020, PLW2901
+                covered = sorted({j for a, b, _ in spans for j in range(a, b)})
+                slots = [(int(item.plain[j - shift]), int(t.plain[j])) for j in covered if t.slot[j] and item.slot[j - shift]]
+                if not spans or not consistent(slots):
+                    continue
                 exact = all(a == b for a, b in slots)
                 found = (len(spans), covered[0], covered[-1] + 1, len(slots), exact)
                 if where not in best or found > best[where]:
