@@ -7,13 +7,14 @@ A *word* is a maximal run of characters other than ASCII white space
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from math import ceil
+from collections.abc import Iterator
+from math import ceil, sqrt
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,9 +30,11 @@ def word_count(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
+    """The folder that driver and executors share; a temporary one only where none is set and all run in one process."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -59,18 +62,22 @@ def commonest(df: DataFrame, count: str, most: int) -> DataFrame:
     """The rows with the largest counts, at most ``most`` in all, so that collecting them is bounded at any input size.
 
     A histogram of the counts (exact below 1,024, then 64 bins for each factor
-    e: some thousands of rows) gives the cut; rows at a bin that would exceed
-    ``most`` are left out together.
+    e: some thousands of rows) gives the cut; of the bin that would exceed
+    ``most``, rows are taken by the hash of all their columns.
     """
     c = F.col(count)
     bin_ = F.when(c < 1024, c.cast("long")).otherwise(1024 + F.floor(F.log(c / 1024.0) * 64)).cast("long")
-    total, cut = 0, None
+    draw = F.pmod(F.xxhash64(*df.columns, F.lit(3)), F.lit(1 << 30))
+    total, cut, share = 0, 0, 1.0
     for b, n in sorted(((r[0], r[1]) for r in df.groupBy(bin_.alias("b")).agg(F.count("*")).collect()), reverse=True):
-        total += n
-        if total > most:
+        if total + n > most:
+            # a margin of five standard deviations keeps the draw below the bound
+            share = max(0.0, most - total - 5 * sqrt(most)) / n
+            cut = b
             break
+        total += n
         cut = b
-    return df.filter(bin_ >= cut) if cut is not None else df.limit(0)
+    return df.filter((bin_ > cut) | ((bin_ == cut) & (draw < int(share * (1 << 30)))))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,21 +100,88 @@ def with_block(docs: DataFrame, blocks: int) -> DataFrame:
     )
 
 
-class WordHash(dict):
-    """64-bit hash of a word, remembered; forgotten words are simply hashed again."""
-
-    def __init__(self, most: int = 400_000):
-        super().__init__()
-        self.most = most
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+#: A random value for each byte; the second table folds A-Z into a-z.
+_VALUES = np.random.default_rng(20).integers(0, 1 << 63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+_FOLDED = _VALUES.copy()
+_FOLDED[65:91] = _VALUES[97:123]
+_STEP = 0x9E3779B97F4A7C15
+_SEGMENT = 1 << 16
+
+
+class _Powers:
+    """Powers of an odd step modulo 2^64, and of its inverse."""
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            with np.errstate(over="ignore"):
+                for name, base in (("up", _STEP), ("down", pow(_STEP, -1, 1 << 64))):
+                    steps = np.full(n, base, np.uint64)
+                    steps[0] = 1
+                    setattr(self, name, np.cumprod(steps))
+        return self.up[:n], self.down[:n]
+
+
+_POWERS = _Powers()
+
+
+class Words:
+    """The words of a batch of texts: places in ``data``, and ``first[i]:first[i + 1]`` are those of text i."""
+
+    def __init__(self, column: pa.ChunkedArray | pa.Array):
+        if isinstance(column, pa.ChunkedArray):
+            column = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
+        column = column.cast(pa.large_binary())
+        if column.null_count:
+            column = column.fill_null(b"")
+        _, offsets, data = column.buffers()
+        at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+        self.data = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None and at[-1] > at[0] else np.empty(0, np.uint8)
+        self.at = at - at[0]
+        word = np.zeros(len(self.data) + 2, bool)
+        word[1:-1] = (self.data != 32) & (self.data - np.uint8(9) > 4)
+        starts, ends = word[1:] & ~word[:-1], word[:-1] & ~word[1:]
+        # a text ends its last word even if the next text begins with one
+        edge = self.at[1:-1]
+        cut = edge[word[edge] & word[edge + 1]]
+        starts[cut] = ends[cut] = True
+        self.starts, self.ends = np.flatnonzero(starts), np.flatnonzero(ends)
+        self.first = np.searchsorted(self.starts, self.at)
+
+    def hashes(self, fold: bool = False) -> np.ndarray:
+        """A 64-bit hash of each word's bytes; ``fold`` takes A-Z for a-z."""
+        out = np.empty(len(self.starts), np.uint64)
+        values = _FOLDED if fold else _VALUES
+        lo = 0
+        with np.errstate(over="ignore"):
+            while lo < len(out):
+                begin = self.starts[lo]
+                hi = max(lo + 1, int(np.searchsorted(self.ends, begin + _SEGMENT, "right")))
+                end = int(self.ends[hi - 1])
+                up, down = _POWERS(end - begin + 1)
+                total = np.zeros(end - begin + 1, np.uint64)
+                np.cumsum(values[self.data[begin:end]] * up[:-1], out=total[1:])
+                a, b = self.starts[lo:hi] - begin, self.ends[lo:hi] - begin
+                out[lo:hi] = (total[b] - total[a]) * down[a] + (b - a).astype(np.uint64)
+                lo = hi
+            return mix(out)
+
+    def word(self, i: int) -> bytes:
+        return self.data[self.starts[i] : self.ends[i]].tobytes()
+
+
+def few_texts(batches: Iterator[pa.RecordBatch], most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``most`` bytes, or of one row."""
+    for batch in batches:
+        step = max(1, int(len(batch) * most / max(1, batch.nbytes)))
+        for lo in range(0, len(batch), step):
+            part = batch.slice(lo, step)
+            if len(part) > 1 and part.nbytes > 2 * most:
+                yield from few_texts(iter([part.slice(k, 1) for k in range(len(part))]), most)
+            else:
+                yield part
 
 
 def mix(x: np.ndarray) -> np.ndarray:

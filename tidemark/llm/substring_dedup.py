@@ -30,10 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHash, block_count, binary, gram_hash, is_in, signed, unsigned, with_block
+from .common import Words, block_count, binary, gram_hash, is_in, signed, unsigned, with_block
 
 _LAST = np.iinfo(np.int64).max
-_HASHES = WordHash()
 
 OUT = "doc_id long, n_words long, n_removed long, kept string, spans array<struct<start:int,end:int>>"
 
@@ -47,19 +46,14 @@ class _Block:
         self.order = sorted(range(len(ids)), key=lambda i: (_LAST if ids[i] is None else ids[i], texts[i] or b""))
         self.ids = [ids[i] for i in self.order]
         self.texts = [texts[i] or b"" for i in self.order]
-        parts, counts = [], []
-        for text in self.texts:
-            h = _HASHES.of(text.split())
-            parts.append(h)
-            counts.append(len(h))
-        self.words = np.concatenate(parts) if parts else np.empty(0, np.uint64)
-        self.counts = np.array(counts, np.int64)
-        self.starts = np.concatenate([[0], np.cumsum(self.counts)]).astype(np.int64)
+        words = Words(pa.array(self.texts, pa.large_binary()))
+        self.words, self.starts = words.hashes(), words.first
+        self.counts = np.diff(self.starts)
         self.length, self.anchor = length, anchor
         # positions at which a window fits into its document
         room = np.maximum(self.counts - length + 1, 0)
         first = np.repeat(self.starts[:-1], room)
-        self.doc = np.repeat(np.arange(len(counts)), room)
+        self.doc = np.repeat(np.arange(len(room)), room)
         self.pos = np.arange(len(first)) - np.repeat(np.cumsum(room) - room, room)
         self.at = first + self.pos
         self.id_of = np.array([_LAST if i is None else i for i in self.ids], np.int64)
