@@ -1,11 +1,14 @@
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 
 from tidemark.llm import language_model as lm
 from tidemark.llm import queries
+from tidemark.llm.common import Words
 
 
 def reference(rows):
@@ -36,12 +39,15 @@ def test_whole_table(spark, sf_dir, monkeypatch):
 
 
 def tiny():
-    words = [f"w{i}".encode() for i in range(300)]
-    top = [(w, 1000 // (i + 1) + 1) for i, w in enumerate(words)] + [(b"", 50)]
-    mass = np.zeros(lm.TAILS)
-    for w, c in top:
-        mass[lm.tail_class(w)] += c + 0.1
-    return lm.Vocabulary(top, mass, sum(c for _, c in top)), words
+    words = lm.token_ids(Words(pa.array([f"w{i}" for i in range(300)])))
+    counts = 1000 // (np.arange(300) + 1) + 1
+    words, counts = np.append(words, lm.END), np.append(counts, 50)
+    mass = np.bincount((words & lm._CLASS).astype(int), counts + 0.1, lm.TAILS)
+    return lm.Vocabulary(words, counts, mass, int(counts.sum())), words
+
+
+def joined(docs):
+    return np.concatenate(docs), np.concatenate([[0], np.cumsum([len(d) for d in docs])])
 
 
 def test_probabilities_sum_to_one():
@@ -91,19 +97,68 @@ def test_packing_does_not_change_scores():
     p = lm.start(v)
     rng = np.random.default_rng(3)
     docs = [np.append(rng.integers(1, 300, n), 0) for n in (0, 1, 5, 900, 40, 40, 3, 17)]
-    one = np.concatenate([lm.log_scores(p, [d]) for d in docs])
-    assert np.allclose(lm.log_scores(p, docs, lanes=3), one, rtol=1e-5)
-    assert np.allclose(lm.log_scores(p, docs), one, rtol=1e-5)
+    one = np.concatenate([lm.log_scores(p, *joined([d])) for d in docs])
+    assert np.allclose(lm.log_scores(p, *joined(docs), lanes=3), one, rtol=1e-5)
+    assert np.allclose(lm.log_scores(p, *joined(docs)), one, rtol=1e-5)
 
 
 def test_training_lowers_the_loss():
     v, words = tiny()
+    docs = joined([np.array([*([1 + i % 2, 5 + i % 2] * 40), 0]) for i in range(60)])
     p = lm.start(v)
-    docs = [np.array([*([1 + i % 2, 5 + i % 2] * 40), 0]) for i in range(60)]
-    before, after = lm.log_scores(p, docs).sum(), lm.log_scores(lm.train(p, docs, 0.01), docs).sum()
+    before = lm.log_scores(p, *docs).sum()
+    after = lm.log_scores(lm.train(p, *docs, lm.Adam(p)), *docs).sum()
     assert after > before * 0.8
 
 
+def test_a_very_long_text_takes_memory_of_its_own_words_only():
+    v, words = tiny()
+    rng = np.random.default_rng(4)
+    docs = joined([np.append(rng.integers(1, 300, n), 0) for n in [100_000, *[100] * 600]])
+    p = lm.start(v)
+    tracemalloc.start()
+    scores = lm.log_scores(p, *docs)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(scores) == 601 and most < 80_000_000
+
+
+def test_whole_scores_against_a_plain_scorer(spark, monkeypatch):
+    """The score of each text by a loop over its words, with dictionaries and the formulas of the model."""
+    rng = np.random.default_rng(6)
+    texts = [" ".join(rng.choice(["Ax", "bee", "cat", "dot", "end", "fig", f"r{i}"], 3 + i % 9)) for i in range(60)] + [None, "unseen"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen = {}
+    monkeypatch.setattr(lm, "KNOWN", 60)
+    fit = lm.fit
+    monkeypatch.setattr(lm, "fit", lambda parts, v, b: seen.update(p=fit(parts, v, b), v=v) or seen["p"])
+    got = {r.doc_id: r.score for r in lm.score(df).collect()}
+    p, v = {k: a.astype(np.float64) for k, a in seen["p"].items()}, seen["v"]
+    name = lambda w: int(lm.token_ids(Words(pa.array([w])))[0]) if w else int(lm.END)
+    toks = {i: [*(t or "").lower().split(), ""] for i, t in enumerate(texts)}
+    counts = Counter(w for i, ws in toks.items() if zlib.crc32(str(i).encode()) % 10 for w in ws)
+    model = dict(zip(v.words.tolist(), v.model.tolist()))
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    n = lm.HIDDEN
+    for i, ws in toks.items():
+        h, at, total = np.zeros(n), 0, 0.0
+        for w in ws:
+            a, u = p["x"][at] + p["b"], h @ p["u"]
+            z, r = sigmoid(a[:n] + u[:n]), sigmoid(a[n : 2 * n] + u[n : 2 * n])
+            h = (1 - z) * np.tanh(a[2 * n :] + r * u[2 * n :]) + z * h
+            at = model.get(name(w), lm.HEAD + name(w) % lm.TAILS)
+            scores = h @ p["cw"] + p["cb"]
+            head = at < lm.HEAD
+            c = at // lm.WIDTH if head else v.classes + at - lm.HEAD
+            total += scores[c] - np.log(np.exp(scores).sum())
+            if head:
+                inner = h @ p["ww"][c] + p["wb"][c]
+                total += inner[at % lm.WIDTH] - np.log(np.exp(inner).sum())
+            else:
+                total += np.log((counts[w] + 0.1) / v.tail_mass[at - lm.HEAD])
+        assert abs(got[i] - total / np.log(10)) < 1e-3 * max(1, abs(got[i]))
+
+
 def test_edges(spark):
     rows = [(1, None), (2, ""), (3, "A b"), (3, "a B"), (None, "zz"), (11, "w " * 20_000)]
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, n int")

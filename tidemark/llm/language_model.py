@@ -11,75 +11,106 @@ one of ``TAILS`` classes by its last two bytes, in which its probability is its
 smoothed share of the class by the counts; each such class keeps room for one
 unseen word. So every word has a probability, and known words sum to at most 1.
 
-*Training.* Truncated backpropagation in numpy with the state carried from
-window to window, over a sample of whole training documents that grows with the
-square root of the corpus (all of it up to ``SAMPLE`` tokens). Documents are
-dealt to replicas of about ``REPLICA`` tokens; after each round Spark averages
-the replicas' weights. The law is the same at every size.
+*Training.* Truncated backpropagation in numpy over every training document, at
+every size, with the state carried from window to window. Each task is a replica
+that trains on the documents it reads, some ``BUFFER`` tokens at a time; Spark
+averages the replicas' weights by their tokens (as whole numbers, so that the
+order of the sum does not matter).
 
 *Scoring.* A task packs whole documents into lanes, carries the state through
 each document from its first to its last word, and adds up log10 P. Counts of
 the ``KNOWN`` commonest words go to the tasks (a bounded table); rarer words
-are joined with the counts by a shuffle, so every count is exact.
+are joined with the counts by a shuffle, so every count is exact. Words are
+known by 64 bits: 58 of their hash and the class.
 
 Defined cases: a null text is empty and consists of the end alone; a null
 doc_id counts as the text "" for the split; rows that repeat a doc_id are scored
-each; without training documents all counts are 0; on an empty table the result
-is empty. Other columns are ignored.
+each; words of equal count are ranked by their hash; a very long text fills a
+lane of its own and takes memory in proportion to its words alone; without
+training documents all counts are 0; on an empty table the result is empty.
+Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections import Counter
 from collections.abc import Iterator
 from math import ceil, log10, sqrt
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary, commonest, materialize
+from .common import Words, commonest, few_texts, materialize, mix, signed, unsigned
 
 HIDDEN = 16
 HEAD, WIDTH, TAILS = 2048, 64, 64
-KNOWN = 200_000
-SAMPLE = 400_000
-REPLICA = 400_000
-ROUNDS = 2
-LANES, WINDOW = 32, 16
+KNOWN = 1_000_000
+LANES, WINDOW = 256, 16
+#: A lane is given so many tokens at least while there are fewer than LANES.
+LANE_TOKENS = 4096
 BUFFER = 600_000
-END = b""
+RATE = 0.01
+#: Weights are averaged in steps of this.
+GRAIN = 2.0**-40
 _UNUSED = -30.0
-
-
-def tail_class(word: bytes) -> int:
-    return xxhash.xxh32_intdigest(word[-2:]) % TAILS
+_CLASS = np.uint64(TAILS - 1)
+_LOW = np.arange(256, dtype=np.uint64)
+_LOW[65:91] += 32
+_ENDINGS = (mix(np.arange(1 << 16, dtype=np.uint64)) & _CLASS).astype(np.uint64)
+#: The end of a document.
+END = mix(np.array([1 << 40], np.uint64))[0] & ~_CLASS
+
+
+def token_ids(words: Words) -> np.ndarray:
+    """Of each word 58 bits of a hash, and its class in the low bits."""
+    if not len(words.starts):
+        return np.empty(0, np.uint64)
+    last = _LOW[words.data[words.ends - 1]]
+    before = np.where(words.ends - words.starts > 1, _LOW[words.data[words.ends - 2]], 0).astype(np.uint64)
+    return (words.hashes(fold=True) & ~_CLASS) | _ENDINGS[before * np.uint64(256) + last]
+
+
+def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The words and ends of all texts, and where each text begins (with the total last)."""
+    words = Words(texts)
+    n = len(words.first) - 1
+    first = words.first + np.arange(n + 1)
+    out = np.full(first[-1], END, np.uint64)
+    ends = first[1:] - 1
+    place = np.ones(len(out), bool)
+    place[ends] = False
+    out[place] = token_ids(words)
+    return out, first
 
 
 # ---------------------------------------------------------------- counts
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter[bytes] = Counter()
-
-    def out():
-        words, n = list(counts), np.fromiter(counts.values(), np.int64, len(counts))
-        cls = np.fromiter(map(tail_class, words), np.int32, len(words))
-        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(cls), pa.array(n)], ["word", "cls", "c"])
-
-    for batch in batches:
-        for text in binary(batch.column("text")):
-            counts.update((text or b"").lower().split())
-            counts[END] += 1
-        if len(counts) > 300_000:
-            yield out()
-            counts.clear()
-    if counts:
-        yield out()
+    held, size = [], 0
+
+    def added() -> tuple[np.ndarray, np.ndarray]:
+        word, n = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(word, kind="stable")
+        word = word[order]
+        begins = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+        return word[begins], np.add.reduceat(n[order], begins)
+
+    for batch in few_texts(batches):
+        held.append(np.unique(tokens(batch.column("text"))[0], return_counts=True))
+        size += len(held[-1][0])
+        if size > 2_000_000:
+            held = [added()]
+            size = len(held[0][0])
+            if size > 1_000_000:
+                yield pa.RecordBatch.from_arrays([signed(held[0][0]), pa.array(held[0][1])], ["word", "c"])
+                held, size = [], 0
+    if held:
+        word, n = added()
+        yield pa.RecordBatch.from_arrays([signed(word), pa.array(n)], ["word", "c"])
 
 
 def split(docs: DataFrame) -> DataFrame:
@@ -89,32 +120,39 @@ def split(docs: DataFrame) -> DataFrame:
 
 
 def word_counts(parts: DataFrame) -> DataFrame:
-    """``word, cls, c`` over all training documents; the end of a document is the empty word."""
-    counted = parts.filter("not held_out").select("text").mapInArrow(_count_words, "word binary, cls int, c long")
-    return counted.groupBy("word", "cls").agg(F.sum("c").alias("c"))
+    """``word, c`` over all training documents."""
+    counted = parts.filter("not held_out").select("text").mapInArrow(_count_words, "word long, c long")
+    return counted.groupBy("word").agg(F.sum("c").alias("c"))
 
 
 # ---------------------------------------------------------------- model
 
 
 class Vocabulary:
-    """Model ids of words: the head by rank, then a id for each tail class."""
-
-    def __init__(self, top: list[tuple[bytes, int]], tail_mass: np.ndarray, total: int):
-        words = [w for w, _ in top if w != END][: HEAD - 1]
-        self.head = [END, *words]
-        counts = dict(top)
-        self.total = total
-        self.tail_mass = tail_mass - np.bincount([tail_class(w) for w in self.head], [counts.get(w, 0) + 0.1 for w in self.head], TAILS)
-        self.tail_mass = np.maximum(self.tail_mass, 0.0) + 0.1
-        self.classes = ceil(HEAD / WIDTH)
+    """The commonest words with their counts, and their model ids: the end, the head by rank, then an id for each tail class."""
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray, tail_mass: np.ndarray, total: int):
+        if END not in words:
+            words, counts = np.append(words, END), np.append(counts, 0)
+        rank = np.lexsort((words, -counts, words != END))
+        head = rank[:HEAD]
+        self.total, self.classes = total, ceil(HEAD / WIDTH)
+        self.size = len(head)
         self.head_counts = np.zeros(HEAD)
-        self.head_counts[: len(self.head)] = [counts.get(w, 0) for w in self.head]
-        self.model = {w: i for i, w in enumerate(self.head)}
+        self.head_counts[: self.size] = counts[head]
+        self.tail_mass = tail_mass - np.bincount((words[head] & _CLASS).astype(np.int64), counts[head] + 0.1, TAILS)
+        self.tail_mass = np.maximum(self.tail_mass, 0.0) + 0.1
+        model = HEAD + (words & _CLASS).astype(np.int32)
+        model[head] = np.arange(self.size)
+        order = np.argsort(words)
+        self.words, self.counts, self.model = words[order], counts[order].astype(np.float64), model[order].astype(np.int32)
 
-    def ids(self, words: list[bytes]) -> list[int]:
-        get = self.model.get
-        return [i if (i := get(w)) is not None else HEAD + tail_class(w) for w in words]
+    def find(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of words, which are among the commonest, their place there, and their model ids."""
+        at = np.searchsorted(self.words, words)
+        at[at == len(self.words)] = 0
+        hit = self.words[at] == words
+        return hit, at, np.where(hit, self.model[at], HEAD + (words & _CLASS).astype(np.int32))
 
 
 def start(v: Vocabulary, seed: int = 11) -> dict[str, np.ndarray]:
@@ -122,7 +160,7 @@ def start(v: Vocabulary, seed: int = 11) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
     mass = np.concatenate([v.head_counts.reshape(v.classes, WIDTH).sum(1), v.tail_mass])
     inner = np.log(v.head_counts + 0.1)
-    inner[len(v.head) :] = _UNUSED
+    inner[v.size :] = _UNUSED
     inner = inner.reshape(v.classes, WIDTH)
     inner = inner - np.log(np.exp(inner).sum(1, keepdims=True))
     small = lambda *shape: rng.normal(0, 0.15, shape)
@@ -161,8 +199,8 @@ def log_probs(p: dict[str, np.ndarray], h: np.ndarray, ids: np.ndarray) -> np.nd
     classes = len(p["ww"])
     cls = _target_class(ids, classes)
     out = np.empty(len(ids), np.float64)
-    for lo in range(0, len(ids), 8192):
-        s = slice(lo, lo + 8192)
+    for lo in range(0, len(ids), 4096):
+        s = slice(lo, lo + 4096)
         logits = h[s] @ p["cw"] + p["cb"]
         picked = logits[np.arange(len(logits)), cls[s]]
         np.exp(logits, out=logits)
@@ -171,8 +209,8 @@ def log_probs(p: dict[str, np.ndarray], h: np.ndarray, ids: np.ndarray) -> np.nd
     ends = np.searchsorted(cls[order], np.arange(classes + 1))
     for c in range(classes):
         rows = order[ends[c] : ends[c + 1]]
-        for lo in range(0, len(rows), 8192):
-            part = rows[lo : lo + 8192]
+        for lo in range(0, len(rows), 4096):
+            part = rows[lo : lo + 4096]
             logits = h[part] @ p["ww"][c] + p["wb"][c]
             picked = logits[np.arange(len(part)), ids[part] % WIDTH]
             np.exp(logits, out=logits)
@@ -241,16 +279,16 @@ def gradients(p: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray,
         g["u"] += before[t].T @ du
         dh = (dh * z[t] + du @ p["u"].T) * kept[t]
     flat_gates = d_gates.reshape(-1, 3 * HIDDEN)
-    ids, where = np.unique(inputs.reshape(-1), return_inverse=True)
-    one = np.zeros((len(ids), len(where)), np.float32)
-    one[where, np.arange(len(where))] = 1
-    g["x"][ids] = one @ flat_gates
+    at = inputs.reshape(-1)
+    order = np.argsort(at, kind="stable")
+    begins = np.flatnonzero(np.diff(at[order], prepend=-1))
+    g["x"][at[order[begins]]] = np.add.reduceat(flat_gates[order], begins, axis=0)
     g["b"] = flat_gates.sum(axis=0)
     return g, h
 
 
 class Adam:
-    def __init__(self, p: dict[str, np.ndarray], rate: float = 0.01):
+    def __init__(self, p: dict[str, np.ndarray], rate: float = RATE):
         self.m = {k: np.zeros_like(a) for k, a in p.items()}
         self.v = {k: np.zeros_like(a) for k, a in p.items()}
         self.t, self.rate = 0, rate
@@ -278,80 +316,67 @@ def pack(lengths: list[int], lanes: int) -> list[list[int]]:
     return sorted(out, key=lambda ds: -sum(lengths[d] for d in ds))
 
 
-def train(p: dict[str, np.ndarray], docs: list[np.ndarray], rate: float) -> dict[str, np.ndarray]:
-    """One pass over documents (arrays of ids, ending with the end)."""
-    p = {k: a.copy() for k, a in p.items()}
-    if not docs:
-        return p
-    order = np.random.default_rng(7).permutation(len(docs))
-    docs = [docs[i] for i in order]
-    lanes = pack([len(d) for d in docs], LANES)
-    longest = sum(len(docs[d]) for d in lanes[0])
-    inputs = np.zeros((longest, len(lanes)), np.int64)
-    targets = np.full((longest, len(lanes)), -1, np.int64)
-    fresh = np.zeros((longest, len(lanes)), bool)
-    for j, mine in enumerate(lanes):
-        t = 0
-        for d in np.random.default_rng(j).permutation(mine):
-            n = len(docs[d])
-            inputs[t + 1 : t + n, j] = docs[d][:-1]
-            targets[t : t + n, j] = docs[d]
-            fresh[t, j] = True
-            t += n
-    adam = Adam(p, rate)
-    h = np.zeros((len(lanes), HIDDEN), np.float32)
-    for t in range(0, longest, WINDOW):
-        s = slice(t, t + WINDOW)
-        scored = int((targets[s] >= 0).sum())
-        g, h = gradients(p, inputs[s], targets[s], fresh[s], h)
-        adam.step(p, {k: a / max(1, scored) for k, a in g.items()})
+class Lanes:
+    """Documents (arrays of ids, ending with the end) packed into lanes, one after the other, lanes from long to short."""
+
+    def __init__(self, ids: np.ndarray, first: np.ndarray, lanes: int):
+        sizes = np.diff(first)
+        packed = pack(sizes.tolist(), lanes)
+        order = np.array([d for mine in packed for d in mine], np.int64)
+        begins = np.concatenate([[0], np.cumsum(sizes[order])[:-1]])
+        self.order, self.begins = order, begins
+        self.targets = ids[np.repeat(first[order] - begins, sizes[order]) + np.arange(len(ids))]
+        self.inputs = np.concatenate([[0], self.targets[:-1]])
+        self.inputs[begins] = 0
+        self.fresh = np.zeros(len(ids), bool)
+        self.fresh[begins] = True
+        self.lengths = np.array([sizes[mine].sum() for mine in packed], np.int64)
+        self.at = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
+
+    def busy(self, t: int) -> int:
+        """Lanes that have a token at step t."""
+        return int(np.searchsorted(-self.lengths, -t, side="left"))
+
+
+def train(p: dict[str, np.ndarray], ids: np.ndarray, first: np.ndarray, adam: Adam) -> dict[str, np.ndarray]:
+    """One pass over documents, whose tokens are ``ids[first[i]:first[i + 1]]``; changes ``p``."""
+    docs = np.random.default_rng(7).permutation(len(first) - 1)
+    sizes = np.diff(first)[docs]
+    begins = np.concatenate([[0], np.cumsum(sizes)])
+    ids = ids[np.repeat(first[:-1][docs] - begins[:-1], sizes) + np.arange(len(ids))]
+    x = Lanes(ids, begins, min(LANES, max(8, len(ids) // LANE_TOKENS)))
+    h = np.zeros((len(x.lengths), HIDDEN), np.float32)
+    for t in range(0, int(x.lengths[0]), WINDOW):
+        b = x.busy(t)
+        steps = np.arange(t, min(t + WINDOW, int(x.lengths[0])))[:, None]
+        inside = steps < x.lengths[:b]
+        at = np.where(inside, x.at[:b] + steps, 0)
+        g, h = gradients(p, np.where(inside, x.inputs[at], 0), np.where(inside, x.targets[at], -1), inside & x.fresh[at], h[:b])
+        scored = int(inside.sum())
+        adam.step(p, {k: a / scored for k, a in g.items()})
     return p
 
 
-def log_scores(p: dict[str, np.ndarray], docs: list[np.ndarray], lanes: int = 512) -> np.ndarray:
-    """Natural log P of each document (arrays of ids, ending with the end), its state carried through."""
-    lengths = [len(d) for d in docs]
-    packed = pack(lengths, lanes)
-    sizes = np.array([sum(lengths[d] for d in mine) for mine in packed])
-    longest = int(sizes[0])
-    inputs = np.zeros((longest, len(packed)), np.int32)
-    targets = np.full((longest, len(packed)), -1, np.int32)
-    owner = np.zeros((longest, len(packed)), np.int32)
-    kept = np.ones((longest, len(packed)), np.float32)
-    for j, mine in enumerate(packed):
-        t = 0
-        for d in mine:
-            n = lengths[d]
-            inputs[t + 1 : t + n, j] = docs[d][:-1]
-            targets[t : t + n, j] = docs[d]
-            owner[t : t + n, j] = d
-            kept[t, j] = 0
-            t += n
-    busy = np.searchsorted(-sizes, -np.arange(longest), side="left")  # lanes longer than t
+def log_scores(p: dict[str, np.ndarray], ids: np.ndarray, first: np.ndarray, lanes: int = 512) -> np.ndarray:
+    """Natural log P of each document, its state carried through."""
+    x = Lanes(ids, first, lanes)
     table = p["x"] + p["b"]
-    out = np.zeros(len(docs))
-    h = np.zeros((len(packed), HIDDEN), np.float32)
-    held, ids, who = [], [], []
-
-    def flush():
-        nonlocal held, ids, who
-        if held:
-            target = np.concatenate(ids)
-            out[:] += np.bincount(np.concatenate(who), log_probs(p, np.concatenate(held), target), len(docs))
-            held, ids, who = [], [], []
-
-    rows = 0
-    for t in range(longest):
-        b = int(busy[t])
-        h, *_ = _cell(p, table[inputs[t, :b]], h[:b] * kept[t, :b, None])
+    kept = (~x.fresh).astype(np.float32)
+    scored = np.empty(len(ids))
+    h = np.zeros((len(x.lengths), HIDDEN), np.float32)
+    held, where, rows = [], [], 0
+    for t in range(int(x.lengths[0])):
+        at = x.at[: x.busy(t)] + t
+        h, *_ = _cell(p, table[x.inputs[at]], h[: len(at)] * kept[at, None])
         held.append(h)
-        ids.append(targets[t, :b])
-        who.append(owner[t, :b])
-        rows += b
-        if rows > 150_000:
-            flush()
-            rows = 0
-    flush()
+        where.append(at)
+        rows += len(at)
+        if rows > 100_000 or t + 1 == x.lengths[0]:
+            at = np.concatenate(where)
+            scored[at] = log_probs(p, np.concatenate(held), x.targets[at])
+            held, where, rows = [], [], 0
+    out = np.empty(len(x.order))
+    out[x.order] = np.add.reduceat(scored, x.begins)
     return out
 
 
@@ -370,131 +395,80 @@ def _shaped(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarr
     return out
 
 
-PIECE = 8192
-
-
-def _train_replicas(weights, vocabulary, rate: float):
-    def run(table: pa.Table) -> pa.Table:
-        v, p = vocabulary.value, weights.value
-        docs = [np.array(v.ids([*(t or b"").lower().split(), END])) for t in binary(table.column("text"))]
-        n = float(sum(map(len, docs)))
-        flat = _flat(train(p, docs, rate)).astype(np.float64) * n
-        pieces = [flat[i : i + PIECE].tobytes() for i in range(0, len(flat), PIECE)]
-        return pa.table({"piece": pa.array(range(len(pieces)), pa.int32()), "w": pa.array(pieces, pa.binary()), "n": pa.array([n] * len(pieces))})
+def _train_replica(vocabulary):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """``i, w``: the task's weights, each times its share of all training tokens, in whole grains."""
+        v = vocabulary.value
+        p = start(v)
+        adam = Adam(p)
+        seen = 0
+        for batch in few_texts(batches, 6 * BUFFER):
+            ids, first = tokens(batch.column("text"))
+            words, back = np.unique(ids, return_inverse=True)
+            train(p, v.find(words)[2][back], first, adam)
+            seen += len(ids)
+        if seen:
+            w = np.round(np.clip(_flat(p).astype(np.float64), -1000, 1000) * (seen / v.total) / GRAIN).astype(np.int64)
+            for lo in range(0, len(w), 50_000):
+                part = w[lo : lo + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(lo, lo + len(part), dtype=np.int32)), pa.array(part)], ["i", "w"])
 
     return run
 
 
-def _add_up(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x, np.float64) for x in table.column("w").to_pylist())
-    n = sum(table.column("n").to_pylist())
-    return pa.table({"piece": table.column("piece").slice(0, 1), "w": pa.array([(total / max(n, 1.0)).tobytes()], pa.binary())})
-
-
 def fit(parts: DataFrame, vocabulary: Vocabulary, shared_vocabulary) -> dict[str, np.ndarray]:
-    """Weights averaged over replicas, after each of ``ROUNDS`` rounds."""
-    spark = parts.sparkSession
+    """Weights averaged over the tasks' replicas: one pass over every training document."""
     p = start(vocabulary)
     if not vocabulary.total:
         return p
-    fraction = min(1.0, sqrt(SAMPLE / vocabulary.total))
-    replicas = max(1, round(vocabulary.total * fraction / REPLICA))
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) < int(fraction * 1_000_000)
-    sample = materialize(
-        parts.filter(~F.col("held_out") & draw).select(F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(replicas)).alias("replica"), "text"), "sample"
-    )
-    for k in range(ROUNDS):
-        weights = spark.sparkContext.broadcast(p)
-        trained = sample.groupBy("replica").applyInArrow(_train_replicas(weights, shared_vocabulary, 0.01 / (1 + k)), "piece int, w binary, n double")
-        rows = trained.groupBy("piece").applyInArrow(_add_up, "piece int, w binary").orderBy("piece").collect()  # the weights once
-        if rows:
-            p = _shaped(np.concatenate([np.frombuffer(r["w"], np.float64) for r in rows]), p)
-        weights.unpersist()
-    return p
-
+    trained = parts.filter("not held_out").select("text").mapInArrow(_train_replica(shared_vocabulary), "i int, w long")
+    rows = trained.groupBy("i").agg(F.sum("w").alias("w")).toArrow()  # the weights once
+    flat = np.zeros(rows.num_rows)
+    flat[rows.column("i").to_numpy()] = rows.column("w").to_numpy() * GRAIN
+    return _shaped(flat, p)
 
-class _Known(dict):
-    def __missing__(self, word: bytes) -> int:
-        return -1
 
-
-def _score(weights, vocabulary, known, base_total: float):
-    """(0, uid, doc_id, held_out, tokens, known, base, score) a document, (1, uid, word, n) a rarer word in it."""
+def _score(weights, vocabulary, base_total: float):
+    """A row for each document, and one (uid, word, n) for each rarer word in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, v = weights.value, vocabulary.value
-        words, counts = known.value
-        ranks = _Known(zip(words, range(len(words))))
-        get = ranks.__getitem__
-        model = np.array(v.ids(words), np.int64)
-        tail = model >= HEAD
-        cls = np.where(tail, model - HEAD, 0)
-        base_of = np.log10((counts + 0.1) / base_total)
-        tail_log = np.log10(v.tail_mass)
-        extra_of = np.where(tail, np.log10(counts + 0.1) - tail_log[cls], 0.0)
-        seen_of = counts > 0
-        task = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36
-        made = 0
-        docs, rows, size = [], [], 0
-
-        def flush():
-            nonlocal docs, rows, size
-            gained = log_scores(p, docs) / np.log(10.0)
-            columns = [list(c) for c in zip(*rows)]
-            columns[5] = list(np.array(columns[5]) + gained)
-            out = _doc_rows(*columns)
-            docs, rows, size = [], [], 0
-            return out
-
-        for batch in batches:
-            uids, rare_words, rare_n, rare_cls = [], [], [], []
-            for i, held_out, text in zip(batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist(), binary(batch.column("text"))):
-                tokens = (text or b"").lower().split()
-                tokens.append(END)
-                at = np.fromiter(map(get, tokens), np.int64, len(tokens))
-                ids = model[at]
-                rare = np.flatnonzero(at < 0)
-                uid = task + made
-                made += 1
-                if len(rare):
-                    for w, n in Counter([tokens[j] for j in rare]).items():
-                        uids.append(uid)
-                        rare_words.append(w)
-                        rare_n.append(n)
-                        rare_cls.append(tail_class(w))
-                    ids[rare] = [HEAD + tail_class(tokens[j]) for j in rare]
-                    at = at[at >= 0]
-                docs.append(ids)
-                rows.append((uid, i, held_out, len(tokens), int(seen_of[at].sum()), float(extra_of[at].sum()), float(base_of[at].sum())))
-                size += len(ids)
-                if size > BUFFER:
-                    yield flush()
-            if uids:
-                yield _word_rows(uids, rare_words, rare_cls, rare_n)
-        if docs:
-            yield flush()
+        base_of = np.log10((v.counts + 0.1) / base_total)
+        tail = v.model >= HEAD
+        extra_of = np.where(tail, np.log10(v.counts + 0.1) - np.log10(v.tail_mass)[np.where(tail, v.model - HEAD, 0)], 0.0)
+        uid = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36
+        for batch in few_texts(batches, 6 * BUFFER):
+            ids, first = tokens(batch.column("text"))
+            words, back = np.unique(ids, return_inverse=True)
+            hit, at, model = v.find(words)
+            begins, n = first[:-1], len(first) - 1
+            per_doc = lambda x: np.add.reduceat(np.where(hit, x, 0)[back], begins)  # noqa: B023, E731
+            gained = log_scores(p, model[back], first) / np.log(10.0) + per_doc(extra_of[at])
+            uids = pa.array(np.arange(uid, uid + n))
+            yield _rows(
+                uid=uids, doc_id=batch.column("doc_id"), held_out=batch.column("held_out"), n_tokens=pa.array(np.diff(first)),
+                n_known=pa.array(per_doc((v.counts[at] > 0).astype(np.int64))), score=pa.array(gained), base=pa.array(per_doc(base_of[at])),
+            )
+            rare = np.flatnonzero(~hit[back])
+            if len(rare):
+                doc = np.searchsorted(first, rare, side="right") - 1
+                pairs, times = np.unique(doc * len(words) + back[rare], return_counts=True)
+                yield _rows(uid=pa.array(uid + pairs // len(words)), word=signed(words[pairs % len(words)]), n=pa.array(times))
+            uid += n
 
     return run
 
 
 _FIELDS = [
     ("uid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
-    ("score", pa.float64()), ("base", pa.float64()), ("word", pa.binary()), ("cls", pa.int32()), ("n", pa.int64()),
+    ("score", pa.float64()), ("base", pa.float64()), ("word", pa.int64()), ("n", pa.int64()),
 ]
-_SCORED = "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, score double, base double, word binary, cls int, n long"
+_SCORED = "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, score double, base double, word long, n long"
 
 
-def _rows(**have) -> pa.RecordBatch:
+def _rows(**have: pa.Array) -> pa.RecordBatch:
     size = len(have["uid"])
-    return pa.RecordBatch.from_arrays([pa.array(have[k], t) if k in have else pa.nulls(size, t) for k, t in _FIELDS], [k for k, _ in _FIELDS])
-
-
-def _doc_rows(uid, doc_id, held_out, n_tokens, n_known, score, base) -> pa.RecordBatch:
-    return _rows(uid=uid, doc_id=doc_id, held_out=held_out, n_tokens=n_tokens, n_known=n_known, score=score, base=base)
-
-
-def _word_rows(uid, word, cls, n) -> pa.RecordBatch:
-    return _rows(uid=uid, word=word, cls=cls, n=n)
+    return pa.RecordBatch.from_arrays([have[k].cast(t) if k in have else pa.nulls(size, t) for k, t in _FIELDS], [k for k, _ in _FIELDS])
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -503,24 +477,20 @@ def score(docs: DataFrame) -> DataFrame:
     parts = split(docs)
     counts = materialize(word_counts(parts), "counts")
     total = counts.agg(F.sum("c"), F.count("*")).first()
-    tokens, distinct = total[0] or 0, total[1]
-    base_total = tokens + 0.1 * (distinct + 1)
+    tokens_, distinct = total[0] or 0, total[1]
+    base_total = tokens_ + 0.1 * (distinct + 1)
+    cls = F.col("word").bitwiseAND(F.lit(TAILS - 1))
     mass = np.zeros(TAILS)
-    for r in counts.groupBy("cls").agg(F.sum(F.col("c") + F.lit(0.1)).alias("m")).collect():  # TAILS rows
+    for r in counts.groupBy(cls.alias("cls")).agg(F.sum(F.col("c") + F.lit(0.1)).alias("m")).collect():  # TAILS rows
         mass[r["cls"]] = r["m"]
-    top = commonest(counts, "c", KNOWN).select("word", "c").toArrow()
-    ranked = sorted(zip(top.column("c").to_pylist(), binary(top.column("word"))), key=lambda r: (-r[0], r[1]))
-    words, n = [w for _, w in ranked], np.array([c for c, _ in ranked], np.float64)
-    if END not in words:
-        words, n = [END, *words], np.concatenate([[0.0], n])
-    v = Vocabulary(list(zip(words, n.tolist())), mass, tokens)
-    known = spark.sparkContext.broadcast((words, n))
+    top = commonest(counts, "c", KNOWN).toArrow()
+    v = Vocabulary(unsigned(top.column("word")), top.column("c").to_numpy(), mass, tokens_)
     vocabulary = spark.sparkContext.broadcast(v)
     weights = spark.sparkContext.broadcast(fit(parts, v, vocabulary))
 
-    scored = materialize(parts.mapInArrow(_score(weights, vocabulary, known, base_total), _SCORED), "scored")
-    tail_log = F.element_at(F.array(*[F.lit(float(x)) for x in np.log10(v.tail_mass)]), F.col("cls") + 1)
-    rare = scored.filter("word is not null").select("uid", "word", "cls", "n").join(counts.select("word", "c"), "word", "left")
+    scored = materialize(parts.mapInArrow(_score(weights, vocabulary, base_total), _SCORED), "scored")
+    tail_log = F.element_at(F.array(*[F.lit(float(x)) for x in np.log10(v.tail_mass)]), cls.cast("int") + 1)
+    rare = scored.filter("word is not null").select("uid", "word", "n").join(counts.select("word", "c"), "word", "left")
     c = F.coalesce(F.col("c"), F.lit(0))
     added = rare.groupBy("uid").agg(
         F.sum(F.when(c > 0, F.col("n")).otherwise(F.lit(0))).alias("known_more"),
@@ -532,7 +502,7 @@ def score(docs: DataFrame) -> DataFrame:
         "held_out",
         "n_tokens",
         (F.col("n_known") + F.coalesce("known_more", F.lit(0))).alias("n_known"),
-        F.lit(tokens).cast("long").alias("train_tokens"),
+        F.lit(tokens_).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("base_more", F.lit(0.0))).alias("base_score"),
         (F.col("score") + F.coalesce("score_more", F.lit(0.0))).alias("score"),
     )
