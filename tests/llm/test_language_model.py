@@ -107,7 +107,7 @@ def test_training_lowers_the_loss():
     docs = joined([np.array([*([1 + i % 2, 5 + i % 2] * 40), 0]) for i in range(60)])
     p = lm.start(v)
     before = lm.log_scores(p, *docs).sum()
-    after = lm.log_scores(lm.train(p, *docs, lm.Adam(p)), *docs).sum()
+    after = lm.log_scores(lm.train(lm.Adam(p), *docs), *docs).sum()
     assert after > before * 0.8
 
 

@@ -13,7 +13,7 @@ unseen word. So every word has a probability, and known words sum to at most 1.
 
 *Training.* Truncated backpropagation in numpy over every training document, at
 every size, with the state carried from window to window. Each task is a replica
-that trains on the documents it reads, some ``BUFFER`` tokens at a time; Spark
+that trains on the documents it reads, in pieces of at most ``PIECE`` tokens; Spark
 averages the replicas' weights by their tokens (as whole numbers, so that the
 order of the sum does not matter).
 
@@ -21,7 +21,7 @@ order of the sum does not matter).
 each document from its first to its last word, and adds up log10 P. Counts of
 the ``KNOWN`` commonest words go to the tasks (a bounded table); rarer words
 are joined with the counts by a shuffle, so every count is exact. Words are
-known by 64 bits: 58 of their hash and the class.
+known by 64 bits: 59 of their hash and the class.
 
 Defined cases: a null text is empty and consists of the end alone; a null
 doc_id counts as the text "" for the split; rows that repeat a doc_id are scored
@@ -46,12 +46,15 @@ from pyspark.sql import functions as F
 from .common import Words, commonest, few_texts, materialize, mix, signed, unsigned
 
 HIDDEN = 16
-HEAD, WIDTH, TAILS = 2048, 64, 64
+HEAD, WIDTH, TAILS = 2048, 64, 32
 KNOWN = 1_000_000
-LANES, WINDOW = 256, 16
-#: A lane is given so many tokens at least while there are fewer than LANES.
-LANE_TOKENS = 4096
-BUFFER = 600_000
+LANES, WINDOW = 512, 16
+#: Rows whose scores over the classes are held at once: so many stay in a core's cache.
+ROWS = 1024
+#: Longer documents are trained in pieces of so many tokens, each with a fresh state; a lane gets as many at least.
+PIECE = 2048
+#: Bytes of text that are trained on, or scored, together.
+TRAIN_BYTES, SCORE_BYTES = 6_000_000, 12_000_000
 RATE = 0.01
 #: Weights are averaged in steps of this.
 GRAIN = 2.0**-40
@@ -65,7 +68,7 @@ END = mix(np.array([1 << 40], np.uint64))[0] & ~_CLASS
 
 
 def token_ids(words: Words) -> np.ndarray:
-    """Of each word 58 bits of a hash, and its class in the low bits."""
+    """Of each word 59 bits of a hash, and its class in the low bits."""
     if not len(words.starts):
         return np.empty(0, np.uint64)
     last = _LOW[words.data[words.ends - 1]]
@@ -177,7 +180,14 @@ def start(v: Vocabulary, seed: int = 11) -> dict[str, np.ndarray]:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1.0 / (1.0 + np.exp(-x))
+    out = np.tanh(0.5 * x)
+    out *= 0.5
+    out += 0.5
+    return out
+
+
+def _row_sums(x: np.ndarray) -> np.ndarray:
+    return x @ np.ones(x.shape[1], x.dtype)
 
 
 def _cell(p: dict[str, np.ndarray], gates: np.ndarray, h: np.ndarray):
@@ -199,110 +209,141 @@ def log_probs(p: dict[str, np.ndarray], h: np.ndarray, ids: np.ndarray) -> np.nd
     classes = len(p["ww"])
     cls = _target_class(ids, classes)
     out = np.empty(len(ids), np.float64)
-    for lo in range(0, len(ids), 4096):
-        s = slice(lo, lo + 4096)
-        logits = h[s] @ p["cw"] + p["cb"]
+    for lo in range(0, len(ids), ROWS):
+        s = slice(lo, lo + ROWS)
+        logits = h[s] @ p["cw"]
+        logits += p["cb"]
         picked = logits[np.arange(len(logits)), cls[s]]
         np.exp(logits, out=logits)
-        out[s] = picked - np.log(logits.sum(axis=1))
-    order = np.argsort(cls, kind="stable")
+        out[s] = picked - np.log(_row_sums(logits))
+    order = np.argsort(cls.astype(np.int16), kind="stable")
     ends = np.searchsorted(cls[order], np.arange(classes + 1))
     for c in range(classes):
         rows = order[ends[c] : ends[c + 1]]
-        for lo in range(0, len(rows), 4096):
-            part = rows[lo : lo + 4096]
-            logits = h[part] @ p["ww"][c] + p["wb"][c]
+        for lo in range(0, len(rows), ROWS):
+            part = rows[lo : lo + ROWS]
+            logits = h[part] @ p["ww"][c]
+            logits += p["wb"][c]
             picked = logits[np.arange(len(part)), ids[part] % WIDTH]
             np.exp(logits, out=logits)
-            out[part] += picked - np.log(logits.sum(axis=1))
+            out[part] += picked - np.log(_row_sums(logits))
     return out
 
 
 def _output_grads(p: dict[str, np.ndarray], h: np.ndarray, ids: np.ndarray, g: dict[str, np.ndarray]) -> np.ndarray:
     """Adds the output layer's gradients to ``g``; returns those of the states."""
     classes = len(p["ww"])
+    order = np.argsort(_target_class(ids, classes).astype(np.int16), kind="stable")
+    h, ids = h[order], ids[order]
     cls = _target_class(ids, classes)
-    logits = h @ p["cw"] + p["cb"]
-    np.exp(logits, out=logits)
-    logits /= logits.sum(axis=1, keepdims=True)
-    logits[np.arange(len(ids)), cls] -= 1
-    g["cw"] += h.T @ logits
-    g["cb"] += logits.sum(axis=0)
-    dh = logits @ p["cw"].T
-    order = np.argsort(cls, kind="stable")
-    ends = np.searchsorted(cls[order], np.arange(classes + 1))
+    dh = np.empty_like(h)
+    for lo in range(0, len(ids), ROWS):
+        s = slice(lo, lo + ROWS)
+        logits = h[s] @ p["cw"]
+        logits += p["cb"]
+        np.exp(logits, out=logits)
+        logits *= (1 / _row_sums(logits))[:, None]
+        logits[np.arange(len(logits)), cls[s]] -= 1
+        g["cw"] += h[s].T @ logits
+        g["cb"] += np.ones(len(logits), logits.dtype) @ logits
+        dh[s] = logits @ p["cw"].T
+    ends = np.searchsorted(cls, np.arange(classes + 1))
     for c in np.flatnonzero(np.diff(ends)):
-        rows = order[ends[c] : ends[c + 1]]
-        hc = h[rows]
-        inner = hc @ p["ww"][c] + p["wb"][c]
-        np.exp(inner, out=inner)
-        inner /= inner.sum(axis=1, keepdims=True)
-        inner[np.arange(len(rows)), ids[rows] % WIDTH] -= 1
-        g["ww"][c] += hc.T @ inner
-        g["wb"][c] += inner.sum(axis=0)
-        dh[rows] += inner @ p["ww"][c].T
-    return dh
-
-
-def gradients(p: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        for lo in range(ends[c], ends[c + 1], ROWS):
+            s = slice(lo, min(lo + ROWS, ends[c + 1]))
+            inner = h[s] @ p["ww"][c]
+            inner += p["wb"][c]
+            np.exp(inner, out=inner)
+            inner *= (1 / _row_sums(inner))[:, None]
+            inner[np.arange(len(inner)), ids[s] % WIDTH] -= 1
+            g["ww"][c] += h[s].T @ inner
+            g["wb"][c] += np.ones(len(inner), inner.dtype) @ inner
+            dh[s] += inner @ p["ww"][c].T
+    out = np.empty_like(dh)
+    out[order] = dh
+    return out
+
+
+def gradients(
+    p: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray, fresh: np.ndarray, h: np.ndarray, g: dict[str, np.ndarray] | None = None
+) -> tuple[dict[str, np.ndarray], np.ndarray]:
     """Backpropagation through one window; arrays are (time, lane), ``fresh`` marks the first token of a document.
 
-    Targets below 0 are not scored. Returns summed gradients and the last state.
+    Targets below 0 are not scored. Returns summed gradients (in ``g``, all 0, if given) and the last state.
     """
     steps, lanes = inputs.shape
+    kind = p["u"].dtype
     gates = p["x"][inputs] + p["b"]
-    kept = (~fresh)[:, :, None].astype(np.float32)
-    before, z, r, n, un, after = [], [], [], [], [], []
+    kept = (~fresh)[:, :, None].astype(kind)
+    before, z, r, n, un, after = (np.empty((steps, lanes, HIDDEN), kind) for _ in range(6))
     for t in range(steps):
-        h = h * kept[t]
-        before.append(h)
-        h, *parts = _cell(p, gates[t], h)
-        for a, x in zip((z, r, n, un), parts):
-            a.append(x)
-        after.append(h)
-    g = {k: np.zeros_like(a) for k, a in p.items()}
-    states = np.concatenate(after)
+        np.multiply(h, kept[t], out=before[t])
+        h, z[t], r[t], n[t], un[t] = _cell(p, gates[t], before[t])
+        after[t] = h
+    g = {k: np.zeros_like(a) for k, a in p.items()} if g is None else g
     flat = targets.reshape(-1)
     scored = flat >= 0
-    d_out = np.zeros_like(states)
-    d_out[scored] = _output_grads(p, states[scored], flat[scored], g)
+    if scored.all():
+        d_out = _output_grads(p, after.reshape(-1, HIDDEN), flat, g)
+    else:
+        d_out = np.zeros((steps * lanes, HIDDEN), kind)
+        d_out[scored] = _output_grads(p, after.reshape(-1, HIDDEN)[scored], flat[scored], g)
     d_out = d_out.reshape(steps, lanes, HIDDEN)
-    d_gates = np.empty((steps, lanes, 3 * HIDDEN), np.float32)
-    dh = np.zeros((lanes, HIDDEN), np.float32)
+    # what the gradient of a state is multiplied by for each gate
+    of_n = (1 - z) * (1 - n * n)
+    of_z = (before - n) * z * (1 - z)
+    of_r = un * r * (1 - r)
+    d_gates = np.empty((steps, lanes, 3 * HIDDEN), kind)
+    du = np.empty_like(d_gates)
+    dh = np.zeros((lanes, HIDDEN), kind)
+    back = np.ascontiguousarray(p["u"].T)
     for t in range(steps - 1, -1, -1):
         dh = dh + d_out[t]
-        dn = dh * (1 - z[t]) * (1 - n[t] ** 2)
-        dz = dh * (before[t] - n[t]) * z[t] * (1 - z[t])
-        dr = dn * un[t] * r[t] * (1 - r[t])
-        d_gates[t] = np.concatenate([dz, dr, dn], axis=1)
-        du = np.concatenate([dz, dr, dn * r[t]], axis=1)
-        g["u"] += before[t].T @ du
-        dh = (dh * z[t] + du @ p["u"].T) * kept[t]
+        dz, dr, dn = d_gates[t, :, :HIDDEN], d_gates[t, :, HIDDEN : 2 * HIDDEN], d_gates[t, :, 2 * HIDDEN :]
+        np.multiply(dh, of_n[t], out=dn)
+        np.multiply(dh, of_z[t], out=dz)
+        np.multiply(dn, of_r[t], out=dr)
+        du[t, :, : 2 * HIDDEN] = d_gates[t, :, : 2 * HIDDEN]
+        np.multiply(dn, r[t], out=du[t, :, 2 * HIDDEN :])
+        dh = (dh * z[t] + du[t] @ back) * kept[t]
+    g["u"] += before.reshape(-1, HIDDEN).T @ du.reshape(-1, 3 * HIDDEN)
     flat_gates = d_gates.reshape(-1, 3 * HIDDEN)
-    at = inputs.reshape(-1)
+    at = inputs.reshape(-1).astype(np.int16)
     order = np.argsort(at, kind="stable")
     begins = np.flatnonzero(np.diff(at[order], prepend=-1))
     g["x"][at[order[begins]]] = np.add.reduceat(flat_gates[order], begins, axis=0)
-    g["b"] = flat_gates.sum(axis=0)
+    g["b"] += flat_gates.sum(axis=0)
     return g, h
 
 
 class Adam:
+    """Weights and gradients as views of one array each, so that a step is a few operations."""
+
     def __init__(self, p: dict[str, np.ndarray], rate: float = RATE):
-        self.m = {k: np.zeros_like(a) for k, a in p.items()}
-        self.v = {k: np.zeros_like(a) for k, a in p.items()}
+        self.flat, self.grad = _flat(p), np.zeros(sum(a.size for a in p.values()), np.float32)
+        self.p, self.g = _views(self.flat, p), _views(self.grad, p)
+        self.m, self.v, self.work = (np.zeros_like(self.grad) for _ in range(3))
         self.t, self.rate = 0, rate
 
-    def step(self, p: dict[str, np.ndarray], g: dict[str, np.ndarray]) -> None:
+    def step(self, scored: int) -> None:
+        """One step along the gradients, of so many tokens; they are 0 afterwards."""
         self.t += 1
-        size = self.rate * sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t)
-        norm = sqrt(sum(float((a * a).sum()) for a in g.values()))
-        scale = min(1.0, 5.0 / (norm + 1e-6))
-        for k, a in g.items():
-            a = a * scale
-            self.m[k] += 0.1 * (a - self.m[k])
-            self.v[k] += 0.001 * (a * a - self.v[k])
-            p[k] -= size * self.m[k] / (np.sqrt(self.v[k]) + 1e-6)
+        g, m, v, work = self.grad, self.m, self.v, self.work
+        g *= np.float32(1 / max(1, scored))
+        g *= np.float32(min(1.0, 5.0 / (sqrt(float(g @ g)) + 1e-6)))
+        np.subtract(g, m, out=work)
+        work *= np.float32(0.1)
+        m += work
+        np.multiply(g, g, out=g)
+        g -= v
+        g *= np.float32(0.001)
+        v += g
+        np.sqrt(v, out=work)
+        work += np.float32(1e-6)
+        np.divide(m, work, out=work)
+        work *= np.float32(self.rate * sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t))
+        self.flat -= work
+        g.fill(0)
 
 
 def pack(lengths: list[int], lanes: int) -> list[list[int]]:
@@ -317,17 +358,18 @@ def pack(lengths: list[int], lanes: int) -> list[list[int]]:
 
 
 class Lanes:
-    """Documents (arrays of ids, ending with the end) packed into lanes, one after the other, lanes from long to short."""
+    """Runs of ids, with the id before each, packed into lanes, one run after the other, lanes from long to short."""
 
-    def __init__(self, ids: np.ndarray, first: np.ndarray, lanes: int):
+    def __init__(self, ids: np.ndarray, before: np.ndarray, first: np.ndarray, lanes: int, shuffle: bool = False):
         sizes = np.diff(first)
         packed = pack(sizes.tolist(), lanes)
+        if shuffle:
+            packed = [np.random.default_rng(len(mine)).permutation(mine).tolist() for mine in packed]
         order = np.array([d for mine in packed for d in mine], np.int64)
         begins = np.concatenate([[0], np.cumsum(sizes[order])[:-1]])
         self.order, self.begins = order, begins
-        self.targets = ids[np.repeat(first[order] - begins, sizes[order]) + np.arange(len(ids))]
-        self.inputs = np.concatenate([[0], self.targets[:-1]])
-        self.inputs[begins] = 0
+        moved = np.repeat(first[order] - begins, sizes[order]) + np.arange(len(ids))
+        self.targets, self.inputs = ids[moved], before[moved]
         self.fresh = np.zeros(len(ids), bool)
         self.fresh[begins] = True
         self.lengths = np.array([sizes[mine].sum() for mine in packed], np.int64)
@@ -338,28 +380,31 @@ class Lanes:
         return int(np.searchsorted(-self.lengths, -t, side="left"))
 
 
-def train(p: dict[str, np.ndarray], ids: np.ndarray, first: np.ndarray, adam: Adam) -> dict[str, np.ndarray]:
-    """One pass over documents, whose tokens are ``ids[first[i]:first[i + 1]]``; changes ``p``."""
-    docs = np.random.default_rng(7).permutation(len(first) - 1)
-    sizes = np.diff(first)[docs]
-    begins = np.concatenate([[0], np.cumsum(sizes)])
-    ids = ids[np.repeat(first[:-1][docs] - begins[:-1], sizes) + np.arange(len(ids))]
-    x = Lanes(ids, begins, min(LANES, max(8, len(ids) // LANE_TOKENS)))
+def _before(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The id before each, the end at the start of a document."""
+    out = np.concatenate([[0], ids[:-1]])
+    out[first[:-1]] = 0
+    return out
+
+
+def train(adam: Adam, ids: np.ndarray, first: np.ndarray) -> dict[str, np.ndarray]:
+    """One pass over documents, whose tokens are ``ids[first[i]:first[i + 1]]``; changes and returns the weights."""
+    pieces = np.concatenate([np.arange(a, b, PIECE) for a, b in zip(first[:-1], first[1:])] + [first[-1:]])
+    x = Lanes(ids, _before(ids, first), pieces, min(LANES, max(8, len(ids) // PIECE)), shuffle=True)
     h = np.zeros((len(x.lengths), HIDDEN), np.float32)
     for t in range(0, int(x.lengths[0]), WINDOW):
         b = x.busy(t)
         steps = np.arange(t, min(t + WINDOW, int(x.lengths[0])))[:, None]
         inside = steps < x.lengths[:b]
         at = np.where(inside, x.at[:b] + steps, 0)
-        g, h = gradients(p, np.where(inside, x.inputs[at], 0), np.where(inside, x.targets[at], -1), inside & x.fresh[at], h[:b])
-        scored = int(inside.sum())
-        adam.step(p, {k: a / scored for k, a in g.items()})
-    return p
+        _, h = gradients(adam.p, np.where(inside, x.inputs[at], 0), np.where(inside, x.targets[at], -1), inside & x.fresh[at], h[:b], adam.g)
+        adam.step(int(inside.sum()))
+    return adam.p
 
 
 def log_scores(p: dict[str, np.ndarray], ids: np.ndarray, first: np.ndarray, lanes: int = 512) -> np.ndarray:
     """Natural log P of each document, its state carried through."""
-    x = Lanes(ids, first, lanes)
+    x = Lanes(ids, _before(ids, first), first, lanes)
     table = p["x"] + p["b"]
     kept = (~x.fresh).astype(np.float32)
     scored = np.empty(len(ids))
@@ -387,10 +432,10 @@ def _flat(p: dict[str, np.ndarray]) -> np.ndarray:
     return np.concatenate([p[k].ravel() for k in sorted(p)])
 
 
-def _shaped(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+def _views(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     out, at = {}, 0
     for k in sorted(like):
-        out[k] = flat[at : at + like[k].size].reshape(like[k].shape).astype(np.float32)
+        out[k] = flat[at : at + like[k].size].reshape(like[k].shape)
         at += like[k].size
     return out
 
@@ -399,16 +444,15 @@ def _train_replica(vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """``i, w``: the task's weights, each times its share of all training tokens, in whole grains."""
         v = vocabulary.value
-        p = start(v)
-        adam = Adam(p)
+        adam = Adam(start(v))
         seen = 0
-        for batch in few_texts(batches, 6 * BUFFER):
+        for batch in few_texts(batches, TRAIN_BYTES):
             ids, first = tokens(batch.column("text"))
             words, back = np.unique(ids, return_inverse=True)
-            train(p, v.find(words)[2][back], first, adam)
+            train(adam, v.find(words)[2][back], first)
             seen += len(ids)
         if seen:
-            w = np.round(np.clip(_flat(p).astype(np.float64), -1000, 1000) * (seen / v.total) / GRAIN).astype(np.int64)
+            w = np.round(np.clip(adam.flat.astype(np.float64), -1000, 1000) * (seen / v.total) / GRAIN).astype(np.int64)
             for lo in range(0, len(w), 50_000):
                 part = w[lo : lo + 50_000]
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(lo, lo + len(part), dtype=np.int32)), pa.array(part)], ["i", "w"])
@@ -425,7 +469,7 @@ def fit(parts: DataFrame, vocabulary: Vocabulary, shared_vocabulary) -> dict[str
     rows = trained.groupBy("i").agg(F.sum("w").alias("w")).toArrow()  # the weights once
     flat = np.zeros(rows.num_rows)
     flat[rows.column("i").to_numpy()] = rows.column("w").to_numpy() * GRAIN
-    return _shaped(flat, p)
+    return _views(flat.astype(np.float32), p)
 
 
 def _score(weights, vocabulary, base_total: float):
@@ -437,7 +481,7 @@ def _score(weights, vocabulary, base_total: float):
         tail = v.model >= HEAD
         extra_of = np.where(tail, np.log10(v.counts + 0.1) - np.log10(v.tail_mass)[np.where(tail, v.model - HEAD, 0)], 0.0)
         uid = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36
-        for batch in few_texts(batches, 6 * BUFFER):
+        for batch in few_texts(batches, SCORE_BYTES):
             ids, first = tokens(batch.column("text"))
             words, back = np.unique(ids, return_inverse=True)
             hit, at, model = v.find(words)
