@@ -91,10 +91,10 @@ def block_count(docs: DataFrame, block_bytes: int = 8_000_000) -> int:
     return max(least, ceil(total / block_bytes))
 
 
-def with_block(docs: DataFrame, blocks: int) -> DataFrame:
-    """``(block, doc_id, text)``: all rows of a doc_id fall into one block; other columns are dropped."""
+def with_block(docs: DataFrame, blocks: int, *by: str) -> DataFrame:
+    """``(block, doc_id, text)``: rows alike in ``by`` (the doc_id) fall into one block; other columns are dropped."""
     return docs.select(
-        F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"),
+        F.pmod(F.xxhash64(*(by or ["doc_id"])), F.lit(blocks)).cast("int").alias("block"),
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("text").cast("string").alias("text"),
     )
@@ -168,6 +168,14 @@ class Words:
                 lo = hi
             return mix(out)
 
+    def runs(self, first: np.ndarray, sizes: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+        """A hash of each run of tokens ``tokens[first[i]:first[i] + sizes[i]]``."""
+        up, down = _POWERS(len(tokens) + 1)
+        with np.errstate(over="ignore"):
+            total = np.zeros(len(tokens) + 1, np.uint64)
+            np.cumsum(tokens * up[:-1], out=total[1:])
+            return mix((total[first + sizes] - total[first]) * down[first] + sizes.astype(np.uint64))
+
     def word(self, i: int) -> bytes:
         return self.data[self.starts[i] : self.ends[i]].tobytes()
 

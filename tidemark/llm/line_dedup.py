@@ -3,257 +3,245 @@
 A line's tokens are its words; words with a digit are variable and read as
 ``<*>``. The tree has a fixed depth: token count, then the ``DEPTH`` leading
 tokens lead to a leaf. In a leaf, a position of a line is constant if its token
-stands there in lines of at least ``min_docs`` documents, else it is variable;
-the line's template keeps the constant tokens. A template recurs if it is found
-in at least ``min_docs`` documents and either no position beyond the digits was
-generalised, or at least ``CONSTANT`` of the words after the leading ones (and
-``TAIL`` of them) are constant. Occurrences of recurring templates are dropped;
-the first one (smallest doc_id, then line) stays.
-
-*Scale.* Documents are dealt once into blocks by doc_id, and a block sends one
-row per distinct line, so a line that a third of all documents share costs one
-row per block. Leaves known to few documents end after the first pass. Leaves
-hold distinct lines. One of up to ``WIDE`` is generalised in a task; in a larger
-one tokens are counted by (leaf, position, token) and the constant ones joined
-back, by the same rules and with the same result. Decisions go back to the
-blocks that hold the line.
+stands there in lines of two documents or more, else it is variable; the line's
+template keeps the constant tokens. Positions are generalised only if at least
+``CONSTANT`` of the words after the leading ones (and ``TAIL`` of them) are
+constant; else the line is its own template. A template recurs if it is found in
+two documents or more. Occurrences of recurring templates are dropped; the first
+one (smallest doc_id, then line) stays.
+
+*Scale.* Documents are dealt into blocks, and a block sends one row per distinct
+line with the first and the last document that has it, so a line that a third of
+all documents share costs one row per block; the least of the first and the
+greatest of the last tell whether there are two documents. Leaves known to one
+document end after the first pass. Leaves hold distinct lines. Those of up to
+``LEAF_BYTES`` are generalised in a task; in a larger one tokens are summed by
+(leaf, position, token) and the constant ones joined back, by the same rules and
+with the same result. Decisions go back to the blocks that hold the line.
 
 Defined cases: a null text is empty; blank lines stay and are not counted; a
 null doc_id counts as the largest; rows that repeat a doc_id count as one
-document; on an empty table the result is empty. Other columns are ignored.
+document, and equal places of them stay together; a very long text is one row of
+its block, a very long line one row of its leaf; on an empty table the
+result is empty. Other columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary, block_count, materialize, unsigned, with_block
+from .common import Words, binary, block_count, materialize, mix, with_block
 
-MIN_DOCS = 2
 DEPTH = 3
 CONSTANT, TAIL = 0.6, 5
-WIDE = 50_000
+LEAF_BYTES = 8_000_000
 
 OUT = "doc_id long, n_lines int, n_dropped int, text string, dropped array<int>"
 _LAST = np.iinfo(np.int64).max
-_DIGIT = re.compile(rb"[0-9]")
-_STAR = 0
-
-
-class _Token(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        v = self[word] = _STAR if _DIGIT.search(word) else xxhash.xxh3_64_intdigest(word) | 1
-        return v
-
-
-_TOKEN = _Token()
-
-
-def _hash(tokens: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(tokens.tobytes(), len(tokens)) - (1 << 63)
-
-
-def _lines(table: pa.Table):
-    """(doc_id, line number, words, leaf) of every line with a word, in order of doc_id."""
-    ids = [_LAST if i is None else i for i in table.column("doc_id").to_pylist()]
-    texts = [t or b"" for t in binary(table.column("text"))]
-    for d in sorted(range(len(ids)), key=lambda d: (ids[d], texts[d])):
-        i = ids[d]
-        for k, line in enumerate(texts[d].split(b"\n")):
-            words = line.split()
-            if words:
-                yield i, k, words, _leaf(words)
-
-
-def _leaf(words: list[bytes]) -> int:
-    """The leaf: token count and leading tokens. Other tokens are looked at only where the leaf recurs."""
-    # the count is hashed as text: as a seed it cancels against a character of a short key
-    return xxhash.xxh3_64_intdigest(b"%d " % len(words) + b" ".join([w if _TOKEN[w] else b"\0" for w in words[:DEPTH]])) - (1 << 63)
-
-
-def _tokens(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_TOKEN.__getitem__, words), np.uint64, len(words))
-
-
-def _where(table: pa.Table) -> int:
-    return table.column("block")[0].as_py() if len(table) else 0
+_STAR = np.uint64(0)
+_ODD = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
+
+
+class _Lines:
+    """The lines with a word of a block, in order of doc_id and text: ``leaf`` and ``line`` are hashes."""
+
+    def __init__(self, table: pa.Table):
+        ids = [_LAST if i is None else i for i in table.column("doc_id").to_pylist()]
+        texts = [t or b"" for t in binary(table.column("text"))]
+        order = sorted(range(len(ids)), key=lambda d: (ids[d], texts[d]))
+        self.ids = np.array([ids[d] for d in order], np.int64)
+        self.texts = [texts[d] for d in order]
+        self.block = table.column("block")[0].as_py() if len(table) else 0
+        words = Words(pa.array(self.texts, pa.large_binary()))
+        digits = np.concatenate([[0], np.cumsum(words.data - np.uint8(48) < 10)])
+        self.tokens = words.hashes() | np.uint64(1)
+        self.tokens[digits[words.ends] > digits[words.starts]] = _STAR
+        doc = np.repeat(np.arange(len(self.texts)), np.diff(words.first))
+        breaks = np.concatenate([[0], np.cumsum(words.data == 10)])
+        number = breaks[words.starts] - breaks[words.at[:-1]][doc]
+        new = np.ones(len(doc), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (number[1:] != number[:-1])
+        self.first = np.flatnonzero(new)
+        self.size = np.diff(np.append(self.first, len(doc)))
+        self.doc, self.number = doc[self.first], number[self.first].astype(np.int32)
+        self.id = self.ids[self.doc]
+        with np.errstate(over="ignore"):
+            leaf = self.size.astype(np.uint64)
+            for k in range(DEPTH):
+                there = self.size > k
+                leaf[there] = mix(leaf[there] + (self.tokens[self.first[there] + k] + np.uint64(k)) * _ODD[k])
+        self.leaf = leaf.view(np.int64)
+        self.line = words.runs(self.first, self.size, self.tokens).view(np.int64)
+
+    def tokens_of(self, i: int) -> np.ndarray:
+        return self.tokens[self.first[i] : self.first[i] + self.size[i]]
+
+
+def _ends(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first and the last place of each distinct key."""
+    order = np.argsort(keys, kind="stable")
+    begins = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]])) if len(keys) else np.empty(0, np.int64)
+    return order[begins], order[np.append(begins[1:], len(keys)) - 1]
 
 
 def _leaves(table: pa.Table) -> pa.Table:
-    """Leaves with the number of documents (up to MIN_DOCS matters) that have a line there."""
-    docs: dict[int, int] = {}
-    last: dict[int, int] = {}
-    for i, _, _, leaf in _lines(table):
-        if last.get(leaf) != i:
-            last[leaf] = i
-            docs[leaf] = docs.get(leaf, 0) + 1
-    return pa.table({"leaf": pa.array(list(docs), pa.int64()), "block": pa.array([_where(table)] * len(docs), pa.int32()), "n": pa.array(list(docs.values()), pa.int64())})
+    """Leaves with the first and the last document that has a line there."""
+    x = _Lines(table)
+    a, b = _ends(x.leaf)
+    return pa.table({"leaf": x.leaf[a], "block": np.full(len(a), x.block, np.int32), "first_doc": x.id[a], "last_doc": x.id[b]})
 
 
-_DISTINCT = "line long, leaf long, block int, n long, first_doc long, first_line int, last_doc long, literal boolean, tokens binary"
+_DISTINCT = "line long, leaf long, block int, first_doc long, first_line int, last_doc long, tokens binary"
 
 
 def _distinct(table: pa.Table, wanted: pa.Table) -> pa.Table:
-    keep = set(wanted.column("leaf").to_pylist())
-    found: dict[int, list] = {}
-    for i, k, words, leaf in _lines(table):
-        if leaf in keep:
-            tokens = _tokens(words)
-            line = _hash(tokens)
-            row = found.get(line)
-            if row is None:
-                found[line] = [line, leaf, _where(table), 1, i, k, i, bool(tokens.any()), tokens.tobytes()]
-            elif row[6] != i:
-                row[3] += 1
-                row[6] = i
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary())
-    columns = list(zip(*found.values())) if found else [[] for _ in kinds]
-    return pa.table({name.split()[0]: pa.array(c, t) for name, c, t in zip(_DISTINCT.split(", "), columns, kinds)})
-
-
-def _named(tokens: np.ndarray, constant: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of lines of one length: whether they are generalised, and the hashes of their templates."""
+    x = _Lines(table)
+    at = np.flatnonzero(np.isin(x.leaf, wanted.column("leaf").to_numpy()))
+    a, b = _ends(x.line[at])
+    a, b = at[a], at[b]
+    return pa.table(
+        {
+            "line": x.line[a], "leaf": x.leaf[a], "block": np.full(len(a), x.block, np.int32), "first_doc": x.id[a], "first_line": x.number[a],
+            "last_doc": x.id[b], "tokens": pa.array([x.tokens_of(i).tobytes() for i in a], pa.binary()),
+        }
+    )
+
+
+def _named(tokens: np.ndarray, constant: np.ndarray) -> np.ndarray:
+    """Hashes of the templates of lines of one length."""
     tail = tokens[:, DEPTH:] != _STAR
     fixed = (constant[:, DEPTH:] & tail).sum(axis=1)
     general = (fixed >= TAIL) & (fixed >= CONSTANT * tail.sum(axis=1))
     shown = np.where(constant | ~general[:, None], tokens, np.uint64(2))
-    return general, np.array([_hash(row) for row in shown], np.int64)
-
-
-def _templates(min_docs: int):
-    def run(table: pa.Table) -> pa.Table:
-        """Lines of a leaf that belong to a recurring template, with the template's first place."""
-        tokens = np.array([np.frombuffer(t, np.uint64) for t in table.column("tokens").to_pylist()])
-        n, first, last = (table.column(c).to_numpy() for c in ("n", "first_doc", "last_doc"))
-        constant = np.zeros(tokens.shape, bool)
-        for p in range(tokens.shape[1]):
-            _, which = np.unique(tokens[:, p], return_inverse=True)
-            constant[:, p] = np.bincount(which, n)[which] >= min_docs
-        general, names = _named(tokens, constant)
-        exact = (n >= min_docs) & (tokens != _STAR).any(axis=1)
-        _, which = np.unique(names, return_inverse=True)
-        total = np.bincount(which, n)
-        least = np.full(len(total), _LAST)
-        most = np.full(len(total), np.iinfo(np.int64).min)
-        np.minimum.at(least, which, first)
-        np.maximum.at(most, which, last)
-        recurs = (general & (total[which] >= min_docs) & (least[which] != most[which])) | exact
-        at = np.flatnonzero(recurs)
-        line_no = table.column("first_line").to_numpy()
-        order = np.lexsort((line_no, first))
-        head: dict[int, tuple[int, int]] = {}
-        for i in order:
-            head.setdefault(int(which[i]), (int(first[i]), int(line_no[i])))
-        return pa.table(
-            {
-                "line": table.column("line").take(pa.array(at)),
-                "keep_doc": pa.array([head[int(which[i])][0] for i in at], pa.int64()),
-                "keep_line": pa.array([head[int(which[i])][1] for i in at], pa.int32()),
-            }
-        )
-
-    return run
-
-
-_AT = "leaf long, line long, pos int, token long, n long"
+    with np.errstate(over="ignore"):
+        steps = mix(np.arange(1, tokens.shape[1] + 1, dtype=np.uint64)) | np.uint64(1)
+        # a line that is not generalised is its own template, whatever templates look alike
+        return mix((mix(shown) * steps).sum(axis=1, dtype=np.uint64) + general.astype(np.uint64)).view(np.int64)
+
+
+def _spread(which: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Whether the rows of a key belong to two documents or more, for each row."""
+    least, most = np.full(which.max() + 1, _LAST), np.full(which.max() + 1, np.iinfo(np.int64).min)
+    np.minimum.at(least, which, first)
+    np.maximum.at(most, which, last)
+    return (least != most)[which]
+
+
+def _leaf_templates(tokens: np.ndarray, first: np.ndarray, number: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lines of a leaf that belong to a recurring template, and the line that stays of each one's template."""
+    constant = np.zeros(tokens.shape, bool)
+    for p in range(tokens.shape[1]):
+        _, which = np.unique(tokens[:, p], return_inverse=True)
+        constant[:, p] = _spread(which, first, last)
+    _, which = np.unique(_named(tokens, constant), return_inverse=True)
+    recurs = _spread(which, first, last) & (tokens != _STAR).any(axis=1)
+    order = np.lexsort((number, first))
+    _, head = np.unique(which[order], return_index=True)
+    return np.flatnonzero(recurs), order[head][which][recurs]
+
+
+def _templates(table: pa.Table) -> pa.Table:
+    """``line, keep_doc, keep_line`` of the recurring lines of some whole leaves."""
+    leaf, line, first, last, number = (table.column(c).to_numpy() for c in ("leaf", "line", "first_doc", "last_doc", "first_line"))
+    raw = table.column("tokens").to_pylist()
+    order = np.argsort(leaf, kind="stable")
+    found, kept = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for at in np.split(order, np.flatnonzero(np.diff(leaf[order])) + 1):
+        if len(at):
+            tokens = np.frombuffer(b"".join([raw[i] for i in at]), np.uint64).reshape(len(at), -1)
+            recurs, head = _leaf_templates(tokens, first[at], number[at], last[at])
+            found.append(at[recurs])
+            kept.append(at[head])
+    a, b = np.concatenate(found), np.concatenate(kept)
+    return pa.table({"line": line[a], "keep_doc": first[b], "keep_line": number[b]})
+
+
+_AT = "leaf long, line long, pos int, token long, first_doc long, last_doc long"
 
 
 def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each token of each line."""
     for batch in batches:
-        for leaf, line, n, raw in zip(*(batch.column(c).to_pylist() for c in ("leaf", "line", "n", "tokens"))):
+        for raw, *row in zip(*(batch.column(c).to_pylist() for c in ("tokens", "leaf", "line", "first_doc", "last_doc"))):
             tokens = np.frombuffer(raw, np.int64)
-            size = len(tokens)
-            columns = (np.full(size, leaf), np.full(size, line), np.arange(size, dtype=np.int32), tokens, np.full(size, n))
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [x.split()[0] for x in _AT.split(", ")])
+            leaf, line, first, last = (np.full(len(tokens), x) for x in row)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (leaf, line, np.arange(len(tokens), dtype=np.int32), tokens, first, last)], [x.split()[0] for x in _AT.split(", ")])
 
 
 def _name_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``line, name, general`` of lines with the places of their constant tokens."""
+    """``line, name, literal`` of lines with the places of their constant tokens."""
     for batch in batches:
-        rows = []
-        for line, raw, places in zip(*(batch.column(c).to_pylist() for c in ("line", "tokens", "places"))):
+        names, literal = [], []
+        for raw, places in zip(batch.column("tokens").to_pylist(), batch.column("places").to_pylist()):
             tokens = np.frombuffer(raw, np.uint64)
             constant = np.zeros(len(tokens), bool)
             constant[places or []] = True
-            general, name = _named(tokens[None], constant[None])
-            rows.append((line, int(name[0]), bool(general[0])))
-        columns = list(zip(*rows)) if rows else [[], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.bool_()))], ["line", "name", "general"])
+            names.append(int(_named(tokens[None], constant[None])[0]))
+            literal.append(bool(tokens.any()))
+        yield pa.RecordBatch.from_arrays([batch.column("line"), pa.array(names, pa.int64()), pa.array(literal, pa.bool_())], ["line", "name", "literal"])
 
 
-def _wide_templates(lines: DataFrame, min_docs: int) -> DataFrame:
+def _wide_templates(lines: DataFrame) -> DataFrame:
     """What ``_templates`` gives, for leaves of any size: no leaf meets in one task."""
-    at = lines.select("leaf", "line", "n", "tokens").mapInArrow(_positions, _AT)
-    constant = at.groupBy("leaf", "pos", "token").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_docs).select("leaf", "pos", "token")
-    places = at.join(constant, ["leaf", "pos", "token"]).groupBy("line").agg(F.collect_list("pos").alias("places"))
-    named = lines.select("line", "tokens").join(places, "line", "left").mapInArrow(_name_each, "line long, name long, general boolean")
+    at = lines.select("leaf", "line", "first_doc", "last_doc", "tokens").mapInArrow(_positions, _AT)
+    spread = at.groupBy("leaf", "pos", "token").agg(F.min("first_doc").alias("a"), F.max("last_doc").alias("b")).filter("a <> b")
+    places = at.join(spread.select("leaf", "pos", "token"), ["leaf", "pos", "token"]).groupBy("line").agg(F.collect_list("pos").alias("places"))
+    named = lines.select("line", "tokens").join(places, "line", "left").mapInArrow(_name_each, "line long, name long, literal boolean")
     named = materialize(lines.drop("tokens").join(named, "line"), "named")
-    found = named.groupBy("leaf", "name").agg(
-        F.sum("n").alias("total"), F.min("first_doc").alias("least"), F.max("last_doc").alias("most"), F.min(F.struct("first_doc", "first_line")).alias("head")
-    )
-    recurs = (F.col("general") & (F.col("total") >= min_docs) & (F.col("least") != F.col("most"))) | ((F.col("n") >= min_docs) & F.col("literal"))
-    return named.join(found, ["leaf", "name"]).filter(recurs).select("line", F.col("head.first_doc").alias("keep_doc"), F.col("head.first_line").alias("keep_line"))
+    found = named.groupBy("leaf", "name").agg(F.min("first_doc").alias("a"), F.max("last_doc").alias("b"), F.min(F.struct("first_doc", "first_line")).alias("head"))
+    recurs = named.join(found.filter("a <> b"), ["leaf", "name"]).filter("literal")
+    return recurs.select("line", F.col("head.first_doc").alias("keep_doc"), F.col("head.first_line").alias("keep_line"))
 
 
 def _cut(table: pa.Table, drop: pa.Table) -> pa.Table:
-    gone = {a: (b, c) for a, b, c in zip(*(drop.column(x).to_pylist() for x in ("line", "keep_doc", "keep_line")))}
-    leaves = set(drop.column("leaf").to_pylist())
-    ids, texts = table.column("doc_id").to_pylist(), binary(table.column("text"))
-    out: list[list] = [[], [], [], [], []]
-    for i, text in zip(ids, texts):
-        key = _LAST if i is None else i
-        kept, dropped, n = [], [], 0
-        for k, line in enumerate((text or b"").split(b"\n")):
-            words = line.split()
-            if words:
-                n += 1
-                stays = gone.get(_hash(_tokens(words))) if leaves and _leaf(words) in leaves else None
-                if stays is not None and stays != (key, k):
-                    dropped.append(k)
-                    continue
-            kept.append(line)
-        for c, v in zip(out, (i, n, len(dropped), b"\n".join(kept), dropped)):
-            c.append(v)
+    x = _Lines(table)
+    gone = drop.column("line").to_numpy()
+    order = np.argsort(gone)
+    gone, keep_doc, keep_line = gone[order], drop.column("keep_doc").to_numpy()[order], drop.column("keep_line").to_numpy()[order]
+    away = np.zeros(len(x.line), bool)
+    if len(gone):
+        at = np.minimum(np.searchsorted(gone, x.line), len(gone) - 1)
+        away = (gone[at] == x.line) & ~((keep_doc[at] == x.id) & (keep_line[at] == x.number))
+    dropped: dict[int, list[int]] = {}
+    for d, k in zip(x.doc[away].tolist(), x.number[away].tolist()):
+        dropped.setdefault(d, []).append(k)
+    texts = list(x.texts)
+    for d, lines in dropped.items():
+        out = set(lines)
+        texts[d] = b"\n".join([t for k, t in enumerate(texts[d].split(b"\n")) if k not in out])
+    n = len(texts)
     return pa.table(
         {
-            "doc_id": pa.array(out[0], pa.int64()),
-            "n_lines": pa.array(out[1], pa.int32()),
-            "n_dropped": pa.array(out[2], pa.int32()),
-            "text": pa.array(out[3], pa.binary()).cast(pa.string()),
-            "dropped": pa.array(out[4], pa.list_(pa.int32())),
+            "doc_id": pa.array(x.ids, mask=x.ids == _LAST),
+            "n_lines": np.bincount(x.doc, minlength=n).astype(np.int32),
+            "n_dropped": np.bincount(x.doc[away], minlength=n).astype(np.int32),
+            "text": pa.array(texts, pa.binary()).cast(pa.string()),
+            "dropped": pa.array([dropped.get(d, []) for d in range(n)], pa.list_(pa.int32())),
         }
     )
 
 
-def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, blocks: int | None = None) -> DataFrame:
+def drop_recurring(docs: DataFrame, blocks: int | None = None) -> DataFrame:
     """``doc_id, n_lines, n_dropped, text, dropped`` for every document; ``dropped`` are line numbers."""
-    dealt = with_block(docs, blocks or block_count(docs)).groupBy("block")
-    leaves = materialize(dealt.applyInArrow(_leaves, "leaf long, block int, n long"), "leaves")
-    often = leaves.groupBy("leaf").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_docs).select("leaf")
+    dealt = with_block(docs, blocks or block_count(docs), "doc_id", "text").groupBy("block")
+    leaves = materialize(dealt.applyInArrow(_leaves, "leaf long, block int, first_doc long, last_doc long"), "leaves")
+    often = leaves.groupBy("leaf").agg(F.min("first_doc").alias("a"), F.max("last_doc").alias("b")).filter("a <> b").select("leaf")
     wanted = leaves.join(often, "leaf").select("block", "leaf")
     lines = materialize(dealt.cogroup(wanted.groupBy("block")).applyInArrow(_distinct, _DISTINCT), "lines")
-    whole = lines.groupBy("line", "leaf").agg(
-        F.sum("n").alias("n"), F.min(F.struct("first_doc", "first_line")).alias("place"), F.max("last_doc").alias("last_doc"), F.first("literal").alias("literal"), F.first("tokens").alias("tokens")
-    ).select("line", "leaf", "n", "place.*", "last_doc", "literal", "tokens")
-    whole = materialize(whole, "distinct")
-    sizes = whole.groupBy("leaf").agg(F.count("*").alias("lines"))
-    placed = whole.join(sizes, "leaf")
-    # a leaf of one distinct line has that line as its template
-    lone = placed.filter((F.col("lines") == 1) & F.col("literal") & (F.col("n") >= min_docs)).select("line", F.col("first_doc").alias("keep_doc"), F.col("first_line").alias("keep_line"))
-    narrow = placed.filter((F.col("lines") > 1) & (F.col("lines") <= WIDE)).drop("literal", "lines")
-    recurring = lone.union(narrow.groupBy("leaf").applyInArrow(_templates(min_docs), "line long, keep_doc long, keep_line int"))
-    wide = placed.filter((F.col("lines") > 1) & (F.col("lines") > WIDE)).drop("lines")
+    whole = lines.groupBy("line", "leaf").agg(F.min(F.struct("first_doc", "first_line")).alias("place"), F.max("last_doc").alias("last_doc"), F.first("tokens").alias("tokens"))
+    whole = materialize(whole.select("line", "leaf", "place.*", "last_doc", "tokens"), "distinct")
+    placed = whole.join(whole.groupBy("leaf").agg(F.sum(F.octet_length("tokens")).alias("bytes")), "leaf")
+    total = whole.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // LEAF_BYTES)
+    narrow = placed.filter(F.col("bytes") <= LEAF_BYTES).withColumn("part", F.pmod(F.xxhash64("leaf"), F.lit(parts)))
+    recurring = narrow.groupBy("part").applyInArrow(_templates, "line long, keep_doc long, keep_line int")
+    wide = placed.filter(F.col("bytes") > LEAF_BYTES).drop("bytes")
     if wide.limit(1).count():
-        recurring = recurring.union(_wide_templates(materialize(wide, "wide"), min_docs))
-    back = lines.select("line", "leaf", "block").join(recurring, "line").select("block", "leaf", "line", "keep_doc", "keep_line")
+        recurring = recurring.union(_wide_templates(materialize(wide, "wide")))
+    back = lines.select("line", "block").join(recurring, "line").select("block", "line", "keep_doc", "keep_line")
     return dealt.cogroup(back.groupBy("block")).applyInArrow(_cut, OUT)
