@@ -112,53 +112,46 @@ def _distinct(table: pa.Table, wanted: pa.Table) -> pa.Table:
     )
 
 
-def _named(tokens: np.ndarray, constant: np.ndarray) -> np.ndarray:
-    """Hashes of the templates of lines of one length."""
-    tail = tokens[:, DEPTH:] != _STAR
-    fixed = (constant[:, DEPTH:] & tail).sum(axis=1)
-    general = (fixed >= TAIL) & (fixed >= CONSTANT * tail.sum(axis=1))
-    shown = np.where(constant | ~general[:, None], tokens, np.uint64(2))
+def _named(tokens: np.ndarray, constant: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Hashes of the templates of lines; line i has ``tokens[begins[i]:begins[i] + sizes[i]]``."""
+    pos = np.arange(len(tokens)) - np.repeat(begins, sizes)
+    tail = (pos >= DEPTH) & (tokens != _STAR)
+    words = np.add.reduceat(tail.astype(np.int64), begins)
+    fixed = np.add.reduceat((tail & constant).astype(np.int64), begins)
+    general = (fixed >= TAIL) & (fixed >= CONSTANT * words)
+    shown = np.where(constant | ~np.repeat(general, sizes), tokens, np.uint64(2))
     with np.errstate(over="ignore"):
-        steps = mix(np.arange(1, tokens.shape[1] + 1, dtype=np.uint64)) | np.uint64(1)
+        steps = mix(pos.astype(np.uint64) + np.uint64(1)) | np.uint64(1)
         # a line that is not generalised is its own template, whatever templates look alike
-        return mix((mix(shown) * steps).sum(axis=1, dtype=np.uint64) + general.astype(np.uint64)).view(np.int64)
+        return mix(np.add.reduceat(mix(shown) * steps, begins) + general.astype(np.uint64))
 
 
-def _spread(which: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Whether the rows of a key belong to two documents or more, for each row."""
-    least, most = np.full(which.max() + 1, _LAST), np.full(which.max() + 1, np.iinfo(np.int64).min)
-    np.minimum.at(least, which, first)
-    np.maximum.at(most, which, last)
-    return (least != most)[which]
-
-
-def _leaf_templates(tokens: np.ndarray, first: np.ndarray, number: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lines of a leaf that belong to a recurring template, and the line that stays of each one's template."""
-    constant = np.zeros(tokens.shape, bool)
-    for p in range(tokens.shape[1]):
-        _, which = np.unique(tokens[:, p], return_inverse=True)
-        constant[:, p] = _spread(which, first, last)
-    _, which = np.unique(_named(tokens, constant), return_inverse=True)
-    recurs = _spread(which, first, last) & (tokens != _STAR).any(axis=1)
-    order = np.lexsort((number, first))
-    _, head = np.unique(which[order], return_index=True)
-    return np.flatnonzero(recurs), order[head][which][recurs]
+def _spread(keys: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """For each row, whether the rows of its key belong to two documents or more."""
+    order = np.argsort(keys)
+    begins = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]]))
+    several = np.minimum.reduceat(first[order], begins) != np.maximum.reduceat(last[order], begins)
+    out = np.empty(len(keys), bool)
+    out[order] = np.repeat(several, np.diff(np.append(begins, len(keys))))
+    return out
 
 
 def _templates(table: pa.Table) -> pa.Table:
     """``line, keep_doc, keep_line`` of the recurring lines of some whole leaves."""
     leaf, line, first, last, number = (table.column(c).to_numpy() for c in ("leaf", "line", "first_doc", "last_doc", "first_line"))
     raw = table.column("tokens").to_pylist()
-    order = np.argsort(leaf, kind="stable")
-    found, kept = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for at in np.split(order, np.flatnonzero(np.diff(leaf[order])) + 1):
-        if len(at):
-            tokens = np.frombuffer(b"".join([raw[i] for i in at]), np.uint64).reshape(len(at), -1)
-            recurs, head = _leaf_templates(tokens, first[at], number[at], last[at])
-            found.append(at[recurs])
-            kept.append(at[head])
-    a, b = np.concatenate(found), np.concatenate(kept)
-    return pa.table({"line": line[a], "keep_doc": first[b], "keep_line": number[b]})
+    tokens, sizes = np.frombuffer(b"".join(raw), np.uint64), np.array([len(t) // 8 for t in raw])
+    begins = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    owner = np.repeat(np.arange(len(line)), sizes)
+    with np.errstate(over="ignore"):
+        at = mix(leaf.view(np.uint64))[owner] + (np.arange(len(tokens)) - begins[owner]).astype(np.uint64)
+        constant = _spread(mix(mix(at) + tokens), first[owner], last[owner])
+        name = mix(_named(tokens, constant, begins, sizes) + leaf.view(np.uint64))
+    recurs = _spread(name, first, last) & (np.bitwise_or.reduceat(tokens, begins) != _STAR)
+    order = np.lexsort((number, first, name))
+    heads = order[np.concatenate([[True], name[order][1:] != name[order][:-1]])]
+    head = heads[np.searchsorted(name[heads], name[recurs])]
+    return pa.table({"line": line[recurs], "keep_doc": first[head], "keep_line": number[head]})
 
 
 _AT = "leaf long, line long, pos int, token long, first_doc long, last_doc long"
@@ -181,7 +174,7 @@ def _name_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tokens = np.frombuffer(raw, np.uint64)
             constant = np.zeros(len(tokens), bool)
             constant[places or []] = True
-            names.append(int(_named(tokens[None], constant[None])[0]))
+            names.append(int(_named(tokens, constant, np.zeros(1, np.int64), np.array([len(tokens)])).view(np.int64)[0]))
             literal.append(bool(tokens.any()))
         yield pa.RecordBatch.from_arrays([batch.column("line"), pa.array(names, pa.int64()), pa.array(literal, pa.bool_())], ["line", "name", "literal"])
 
