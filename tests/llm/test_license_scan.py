@@ -5,7 +5,7 @@ import pyarrow.parquet as pq
 from tidemark.llm import license_scan as ls
 from tidemark.llm import queries
 
-RULES = {"gpl": "GNU General Public License, version", "cc-by-nc": "Licensed under CC BY-NC", "mit": "under the MIT License", "apache": "under the Apache License"}
+RULES = {"gpl": "GNU General Public License, version", "cc-by-nc": "Licensed under CC BY-NC", "mit": "under the MIT License", "apache": "under the Apache License", "proprietary": "^All rights reserved"}
 
 
 def test_every_notice_of_the_table_and_nothing_else(spark):
@@ -22,10 +22,19 @@ def test_held_out_accuracy():
     pool = [f"some prose of line {i} that says nothing at all".encode() for i in range(300)]
     m = ls.fit(pool)
     fresh = [(t, y) for t, y in ls.notices(pool, each=30, seed=99)]
-    right = sum((m.classify(t) or ("none",))[0] == ls.FAMILIES[y] for t, y in fresh)
-    assert right / len(fresh) > 0.85
-    wrong = sum((m.classify(t) or (ls.FAMILIES[y],))[0] != ls.FAMILIES[y] for t, y in fresh)
-    assert wrong / len(fresh) < 0.02
+    found = [((m.classify(t) or ("none",))[0], ls.FAMILIES[y]) for t, y in fresh]
+    named = [(a, b) for a, b in found if b not in ("none", ls.UNKNOWN)]
+    assert sum(a == b for a, b in named) >= 0.9 * len(named)
+    assert sum(a not in (b, "none", ls.UNKNOWN) for a, b in found) < 0.02 * len(found)
+    assert sum(a != "none" for a, b in found if b == "none") < 0.02 * sum(b == "none" for _, b in found)
+    unknown = [a for a, b in found if b == ls.UNKNOWN]
+    assert unknown.count(ls.UNKNOWN) > 0.5 * len(unknown)
+    for text, family in (
+        ("This project is licensed under the terms of the ISC license.", ls.UNKNOWN), ("Licensed under the Example Custom License 9.", ls.UNKNOWN),
+        ("This work is licensed under the EUPL license, version 1.2.", ls.UNKNOWN), ("Distributed under CC BY 4.0.", "cc-by"),
+        ("Released under the MIT License.", "mit"), ("All rights reserved.", "proprietary"),
+    ):
+        assert (m.classify(text.encode()) or ("none",))[0] == family, (text, m.classify(text.encode()))
     for text in (b"he copied the licence plate", b"the public domain of numbers is large", b"permission to land was given", b"a b"):
         assert m.classify(text) is None
 

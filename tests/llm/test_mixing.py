@@ -1,7 +1,10 @@
 from collections import defaultdict
+from math import log
 
 import pyarrow.parquet as pq
 
+from pyspark.sql import functions as F
+
 from tidemark.llm import queries
 from tidemark.llm.mixing import mix, mixture
 
@@ -61,3 +64,33 @@ def test_null_source_hot_source_and_repeats(spark):
     assert mix(df.limit(0)).count() == 0
     nothing = spark.createDataFrame([(1, None, "a"), (2, " ", None)], "doc_id long, text string, source string")
     assert [r.taken for r in mix(nothing).collect()] == [0, 0]
+
+
+def test_the_draw_against_ranks_put_in_order(spark):
+    """Pareto order sampling by hand: odds over inclusion odds, in order, until the words are there."""
+    rows = [(i, "w " * (1 + i * i % 50), "abc"[i % 3 if i % 5 else 0]) for i in range(400)] + [(7, "w", "a"), (400, "w " * 20_000, "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    seeds = df.select("doc_id", F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(20)), 11).alias("u")).distinct().collect()
+    u = {r.doc_id: (r.u + 0.5) / 2**53 for r in seeds}
+    got = sorted((r.source, r.doc_id, r.size, r.copies) for r in mix(df).collect())
+    clash = df.withColumns({c: F.lit(1) for c in ("rank", "row", "of", "__source", "bucket", "size", "certain")})
+    assert sorted((r.source, r.doc_id, r.copies) for r in mix(clash).collect()) == [(s, i, c) for s, i, _, c in got]
+    docs = defaultdict(list)
+    for i, t, s in rows:
+        docs[s].append((i, len(t.split())))
+    target = fill({s: sum(n for _, n in d) for s, d in docs.items()})
+    want = []
+    for s, mine in docs.items():
+        size = sum(n for _, n in mine)
+        certain, rest = int(target[s] // size), target[s] - target[s] // size * size
+        f = lambda n: round(1000 * log(n + 2))
+        scale = rest / sum(f(n) * n for _, n in mine)
+        ranked = []
+        for i, n in mine:
+            p = min(1 - 1e-9, max(1e-12, scale * f(n)))
+            ranked.append((u[i] / (1 - u[i]) / (p / (1 - p)), i, n))
+        words = 0.0
+        for _, i, n in sorted(ranked):
+            words += n
+            want.append((s, i, n, certain + (words - n / 2 <= rest)))
+    assert got == sorted(want)

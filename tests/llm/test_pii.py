@@ -76,5 +76,5 @@ def test_em_finds_the_reliable_labeler():
     share, table, post = reliabilities({good: 300, bad: 700, "21111": 50})
     assert 0.2 < share < 0.5 and post[good] > 0.95 and post[bad] < 0.05
     assert table[0][1][2] > table[0][0][2]
-    w = train({("token", good): 300, ("token", bad): 700}, post)
-    assert len(every_pattern()) == 243 and len(w) == 18
+    w = train({("token", good + "3211"): 300, ("token", bad + "2000"): 700}, post)
+    assert len(every_pattern()) == 243 and len(w) == 43

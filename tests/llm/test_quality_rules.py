@@ -3,7 +3,9 @@ from collections import Counter
 from math import log2, sqrt
 
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
+from tidemark.llm import quality_rules as qr
 from tidemark.llm import queries
 from tidemark.llm.quality_rules import assess, js_distance, keep_good
 
@@ -39,6 +41,8 @@ def test_edges(spark):
     for r in assess(df).collect():
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == measures(texts[r.doc_id]), r.doc_id
     assert assess(df.limit(0)).count() == 0
+    clash = df.withColumns({c: F.lit(1) for c in ("ref_chars", "ref_words", "__c", "__lang", "row", "whole", "own_lang")})
+    assert assess(clash).count() == len(rows) and keep_good(clash).columns == clash.columns
     kept = keep_good(df)
     assert kept.columns == df.columns and {r.kept for r in kept.collect()} == {"mine"}
 
@@ -60,3 +64,45 @@ def test_long_texts_without_the_words_of_their_language(spark):
     rows = [*enumerate(prose), (50, foreign), (51, salad), (52, " ".join(salad.split()[:50]))]
     df = spark.createDataFrame([(i, t, "en") for i, t in rows] + [(60, salad, "xx")], "doc_id long, text string, lang string")
     assert {r.doc_id for r in assess(df).filter("not kept").collect()} == {50, 51}
+
+
+def test_kept_by_hand_and_with_languages_swapped(spark):
+    """The verdict from histograms and distances worked out in plain Python, on the table and with other labels."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    table = [(r.doc_id, r.text or "", r.lang) for r in docs.collect()]
+
+    def chars(t):
+        known = [sum(c in " \t\n\x0b\x0c\r" for c in t), sum("A" <= c <= "Z" for c in t), sum(c in ".,;:?'()-" for c in t), sum(c in "!\"#*$%&|<>@+=_~^[]{}/\\" for c in t), len(t.encode()) - len(t)]
+        return [*known, max(0, len(t) - sum(known))]
+
+    def words(t, lang):
+        found = Counter(w.decode() for w in t.encode().split())
+        hits = [found[w] for w in qr.FUNCTION_WORDS[lang].split()]
+        return [*hits, sum(found.values()) - sum(found[w] for w in set(qr.FUNCTION_WORDS[lang].split()))]
+
+    def distance(p, q):
+        if not sum(p) or not sum(q):
+            return 0.0
+        a, b = [x / sum(p) for x in p], [x / sum(q) for x in q]
+        h = lambda x, y: sum(i * log2(2 * i / (i + j)) for i, j in zip(x, y) if i)
+        return sqrt(max(0.0, h(a, b) + h(b, a)) / 2)
+
+    swap = {"en": "de", "de": "fr", "fr": "es", "es": "en"}
+    mixed = [(i, t, swap[x] if i % 40 == 3 else x) for i, t, x in table]
+    for rows in (table, mixed):
+        refs = {x: ([0] * 6, [0] * 13) for x in swap}
+        seen = {}
+        for i, t, x in rows:
+            seen[i] = chars(t), words(t, x)
+            for ref, mine in zip(refs[x], seen[i]):
+                ref[:] = [a + b for a, b in zip(ref, mine)]
+        got = {r.doc_id: r.kept for r in assess(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+        for i, t, x in rows:
+            c, w = seen[i]
+            n, *_, failed = measures(t)
+            far = len(t) >= qr.LEAST_CHARS and distance(c, refs[x][0]) > qr.MOST_CHAR_DISTANCE
+            far |= n >= qr.LEAST_WORDS and distance(w[:12], refs[x][1][:12]) > qr.MOST_WORD_DISTANCE
+            far |= n >= qr.LEAST_WORDS and distance(w, refs[x][1]) > qr.MOST_MISSING
+            assert got[i] == (not failed and not far), i
+    moved = [i for i, t, _ in mixed if i % 40 == 3 and len(t.split()) >= qr.LEAST_WORDS]
+    assert moved and sum(got[i] for i in moved) <= 0.1 * len(moved)

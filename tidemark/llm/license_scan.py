@@ -1,17 +1,22 @@
 """Licence families of paragraphs: a trained classifier, calibrated, then confirmed by templates.
 
 *Classifier.* Multinomial logistic regression over hashed word 1- to 3-grams
-(A-Z lower-cased, edge marks off), one class per licence family and one for
-"none". It is trained on notices made from the templates below (words dropped,
-names and prose around them) and, as "none", on at most ``NEGATIVES`` opening paragraphs of documents that hold no
-cue word; the bound is a parameter, and the fit runs on the driver.
-
-*Unknown.* A fifth of the training rows is held out. The scores' temperature is
-the one with the smallest held-out loss, and a paragraph is left unknown unless
-its family's calibrated probability is at least ``CONFIDENT``.
-
-*Templates.* A prediction counts only if the paragraph holds at least
-``CONFIRM`` of the word pairs of one of that family's templates.
+(A-Z lower-cased, edge marks off), one class per licence family, one for
+"unknown" licences and one for "none". Families are trained on notices made from
+the templates below (words dropped, prose around them), "unknown" on the same
+notices with the family's names replaced by invented ones or by ``OTHERS``.
+"none" is trained on at most ``NEGATIVES`` opening paragraphs of documents that
+hold no cue word, as they are and with cue words strewn in; the bound is a
+parameter, and the fit runs on the driver.
+
+*Calibration.* A fifth of the training rows is held out. The scores' temperature
+is the one with the smallest held-out loss.
+
+*Templates.* A prediction of at least ``CONFIDENT`` counts if the paragraph holds
+``CONFIRM`` of the word pairs of one of that family's templates, and one of the
+family's names where the template has one. Other paragraphs that are a notice of
+some kind by the model (``NOTICE``), with ``CONFIRM`` of the pairs of any
+template without its names, are reported as ``unknown``.
 
 *Scale.* The model (a bounded table) goes to every task; documents are scanned
 once as they lie, without a shuffle.
@@ -21,8 +26,10 @@ together (a hard-wrapped notice) if none of them is a notice; ``paragraph`` is
 the number of the first line.
 
 Defined cases: a null or empty text has no paragraph; blank lines are no
-paragraphs; equal rows are reported each; on an empty table the negatives are
-empty and the result is empty. Other columns are ignored.
+paragraphs; equal rows are reported each; of families with equal probability the
+first in the list counts; a very long text is scanned whole, a paragraph at a
+time; on an empty table the negatives are empty and the result is empty. Other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,6 +49,8 @@ DIMENSIONS = 1 << 15
 NEGATIVES = 2_000
 CONFIDENT = 0.8
 CONFIRM = 0.5
+#: A paragraph is a notice if its probability of "none" is below 1 less this.
+NOTICE = 0.9
 GRAMS = (1, 2, 3)
 
 OUT = "doc_id long, paragraph int, family string, probability double, confirmed double, text string"
@@ -88,13 +97,20 @@ TEMPLATES = {
     "proprietary": [
         "All rights reserved. No part of this publication may be reproduced without permission.",
         "Copyright 2020 The Authors. All rights reserved.",
+        "All rights reserved.",
     ],
     "public-domain": [
         "This work is dedicated to the public domain under CC0 1.0.",
         "This is free and unencumbered software released into the public domain.",
     ],
 }
-FAMILIES = ["none", *TEMPLATES]
+# Words by which templates name their family; and names of other licences.
+NAMES = frozenset(
+    "mit apache apache-2.0 gnu general public lesser gpl v3 bsd 3-clause mozilla cc by by-sa by-nc cc0 creative commons attribution attribution-noncommercial international".split()
+)
+OTHERS = "ISC; Zlib; Artistic; EUPL 1.2; Eclipse Public; Boost Software; Unlicense; WTFPL; Open Software; Academic Free; Python Software Foundation; SIL Open Font; Custom; Example; Community; Vendor"
+UNKNOWN = "unknown"
+FAMILIES = ["none", *TEMPLATES, UNKNOWN]
 
 _MARKS = bytes(range(33, 48)) + bytes(range(58, 65)) + bytes(range(91, 97)) + bytes(range(123, 127))
 
@@ -121,10 +137,22 @@ def _slots(h: np.ndarray) -> np.ndarray:
     return np.unique(grams % np.uint64(DIMENSIONS)).astype(np.int64)
 
 
+class _Template:
+    """Word pairs of a template, those of it without its family's names, and its names."""
+
+    def __init__(self, text: str):
+        words = text.encode().split()
+        named = np.array([w.strip(_MARKS).lower().decode() in NAMES for w in words])
+        h = _hashes(text.encode())
+        self.pairs, self.names = np.unique(gram_hash(h, 2)), h[named]
+        plain = ~(named[1:] | named[:-1])
+        self.plain = np.unique(gram_hash(h, 2)[plain]) if len(h) > 1 else h[:0]
+
+
 class Model:
     def __init__(self, weights: np.ndarray, bias: np.ndarray, temperature: float, cues: np.ndarray):
         self.weights, self.bias, self.temperature, self.cues = weights, bias, temperature, cues
-        self.pairs = {f: [np.unique(gram_hash(_hashes(t.encode()), 2)) for t in ts] for f, ts in TEMPLATES.items()}
+        self.templates = {f: [_Template(t) for t in ts] for f, ts in TEMPLATES.items()}
 
     def probabilities(self, rows: list[np.ndarray]) -> np.ndarray:
         scores = np.array([self.weights[r].sum(axis=0) / np.sqrt(max(1, len(r))) for r in rows]) + self.bias
@@ -133,8 +161,11 @@ class Model:
         return e / e.sum(axis=1, keepdims=True)
 
     def confirm(self, family: str, h: np.ndarray) -> float:
+        """The largest share of a template's word pairs that are here."""
         have = gram_hash(h, 2)
-        return max(float(np.isin(p, have).mean()) if len(p) else 0.0 for p in self.pairs[family])
+        if family == UNKNOWN:
+            return max(float(np.isin(t.plain, have).mean()) for ts in self.templates.values() for t in ts if len(t.plain) > 1)
+        return max(float(np.isin(t.pairs, have).mean()) if not len(t.names) or np.isin(t.names, h).any() else 0.0 for t in self.templates[family])
 
     def classify(self, paragraph: bytes) -> tuple[str, float, float] | None:
         """(family, probability, share of a template confirmed), or nothing."""
@@ -143,10 +174,11 @@ class Model:
             return None  # no word of any template that prose lacks: no template can be confirmed
         p = self.probabilities([_slots(h)])[0]
         best = int(p.argmax())
-        if not best or p[best] < CONFIDENT:
-            return None
-        share = self.confirm(FAMILIES[best], h)
-        return (FAMILIES[best], float(p[best]), share) if share >= CONFIRM else None
+        if best and FAMILIES[best] != UNKNOWN and p[best] >= CONFIDENT and (share := self.confirm(FAMILIES[best], h)) >= CONFIRM:
+            return FAMILIES[best], float(p[best]), share
+        if 1 - p[0] >= NOTICE and (share := self.confirm(UNKNOWN, h)) >= CONFIRM:
+            return UNKNOWN, float(p[-1]), share
+        return None
 
     def notices(self, text: bytes) -> Iterator[tuple[int, str, float, float, bytes]]:
         """(line, family, probability, share, paragraph) of lines, and of runs of lines in which no line is a notice."""
@@ -167,20 +199,42 @@ def _prose(rng: np.random.Generator, pool: list[bytes], n: int) -> list[bytes]:
     return [w for i in rng.integers(0, len(pool), 1 + n // 8) for w in pool[i].split()][:n] if pool else []
 
 
+def _unnamed(words: list[bytes], rng: np.random.Generator) -> list[bytes]:
+    """A notice with its family's names replaced by those of another licence or by invented ones."""
+    out: list[bytes] = []
+    others = OTHERS.encode().split(b"; ")
+    for i, w in enumerate(words):
+        if w.strip(_MARKS).lower().decode() not in NAMES:
+            out.append(w)
+        elif not i or words[i - 1].strip(_MARKS).lower().decode() not in NAMES:
+            name = others[rng.integers(len(others))] if rng.random() < 0.6 else b"".join(bytes([97 + x]) for x in rng.integers(0, 26, rng.integers(3, 9))).title()
+            out += name.split()
+    return out
+
+
 def notices(pool: list[bytes], each: int = 40, seed: int = 3) -> list[tuple[bytes, int]]:
-    """Labelled notices: templates with words lost and, often, prose around them."""
+    """Labelled notices: templates with words lost and, often, prose around them; and prose with cue words in it."""
     rng = np.random.default_rng(seed)
     out = []
     for label, family in enumerate(FAMILIES):
         for t in TEMPLATES.get(family, ()):
             words = t.encode().split()
+            names = [w for w in words if w.strip(_MARKS).lower().decode() in NAMES]
             for k in range(each):
-                mine = [w for w in words if k < 5 or rng.random() > 0.08]
-                if k % 3 == 1:
-                    mine = _prose(rng, pool, int(rng.integers(1, 15))) + mine
-                if k % 4 == 2:
-                    mine = mine + _prose(rng, pool, int(rng.integers(1, 15)))
-                out.append((b" ".join(mine), label))
+                for other in (False, True) if names and k % 2 else (False,):
+                    kept = [w for w in words if k < 5 or w in names or rng.random() > 0.08]
+                    mine = _unnamed(kept, rng) if other else kept
+                    if k % 3 == 1:
+                        mine = _prose(rng, pool, int(rng.integers(1, 15))) + mine
+                    if k % 4 == 2:
+                        mine = mine + _prose(rng, pool, int(rng.integers(1, 15)))
+                    out.append((b" ".join(mine), len(FAMILIES) - 1 if other else label))
+    cues = sorted(_CUES)
+    for _ in range(10 * each if pool else 0):
+        words = _prose(rng, pool, int(rng.integers(8, 60)))
+        for _ in range(int(rng.integers(1, 3))):
+            words.insert(int(rng.integers(0, len(words) + 1)), cues[rng.integers(len(cues))])
+        out.append((b" ".join(words), 0))
     return out
 
 

@@ -7,10 +7,10 @@ left is shared by weight again until no target is above its cap.
 *Certain copies.* A source whose target is r times its size takes every
 document floor(r) times. *Pareto order sample.* The rest of the target is a
 fixed-size sample (fixed in words) with unequal probabilities: a document's
-rank is its random odds u/(1-u) divided by its inclusion odds, and documents
-are taken in order of rank until the words are there. A document's inclusion
-odds are the source's odds times ``favour``; the source's factor is the same
-for all its documents, so it does not change the order.
+rank is its random odds u/(1-u) divided by its inclusion odds p/(1-p), and
+documents are taken in order of rank until the words are there. A document's
+inclusion probability p is in proportion to ``favour`` of its size, scaled for
+its source so that the expected words are the rest of the target.
 
 *Scale.* Ranks are cut into fine buckets; sums by (source, bucket) find the
 bucket in which a source's sample ends, and only that bucket's documents (one
@@ -29,26 +29,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_side, word_count
+from .common import materialize, small_side, word_count
 
 BUCKETS = 65_536
 
 
-def _rank(seed: int, favour: Column) -> Column:
+def _rank(seed: int, odds: Column) -> Column:
     """Random odds over inclusion odds, mapped from (0, inf) to (0, 1)."""
     draw = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11)
     u = (draw + F.lit(0.5)) / F.lit(float(2**53))
-    odds = u / (F.lit(1.0) - u) / favour
-    return odds / (F.lit(1.0) + odds)
+    ratio = u / (F.lit(1.0) - u) / odds
+    return ratio / (F.lit(1.0) + ratio)
 
 
-def _measured(docs: DataFrame, seed: int) -> DataFrame:
-    size = word_count(F.col("text"))
-    out = docs.withColumn("size", size)
-    # longer documents are somewhat likelier to be drawn
-    return out.withColumn("__rank", _rank(seed, F.log(F.col("size") + F.lit(2.0)))).withColumn(
-        "__bucket", F.least(F.floor(F.col("__rank") * BUCKETS), F.lit(BUCKETS - 1)).cast("int")
-    )
+def favour(size: Column) -> Column:
+    """What inclusion probabilities are in proportion to: longer documents are somewhat likelier. A whole number, so that sums are exact."""
+    return F.round(F.log(size + F.lit(2.0)) * 1000).cast("long")
 
 
 def targets(sources: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.0) -> DataFrame:
@@ -75,56 +71,56 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: flo
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.0, seed: int = 20) -> DataFrame:
     """All documents with ``size, source_size, target, copies`` and ``taken`` = copies * size."""
-    measured = _measured(docs, seed)
-    slim = measured.select("source", "doc_id", "size", "__rank", "__bucket")
-
-    sums = slim.groupBy("source", "__bucket").agg(F.sum("size").alias("size"))
+    added = ["size", "source_size", "target", "copies", "taken"]
+    rows = docs.select(F.struct(*[c for c in docs.columns if c not in added]).alias("row"), "source", "doc_id", word_count(F.col("text")).alias("size"))
+    sizes = materialize(rows.select("source", "doc_id", "size"), "sizes")
+    totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(favour(F.col("size")) * F.col("size")).alias("favoured"))
     plan = (
-        targets(sums.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap)
-        .withColumn("__certain", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("int"))
-        .withColumn("__rest", F.col("target") - F.col("__certain") * F.col("source_size"))
-        .withColumnRenamed("source", "__source")
+        targets(totals, weights, cap)
+        .withColumn("certain", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("int"))
+        .withColumn("rest", F.col("target") - F.col("certain") * F.col("source_size"))
+        # inclusion probabilities scale * favour take the rest, in words, on average
+        .select(F.col("source").alias("of"), "source_size", "target", "certain", "rest", F.when(F.col("favoured") > 0, F.col("rest") / F.col("favoured")).otherwise(F.lit(0.0)).alias("scale"))
     )
-    same = F.col("source").eqNullSafe(F.col("__source"))
-    running = Window.partitionBy("source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, 0)
+    plan = small_side(plan)
+    same = F.col("source").eqNullSafe(F.col("of"))
+    probability = F.least(F.lit(1 - 1e-9), F.greatest(F.lit(1e-12), F.col("scale") * favour(F.col("size"))))
+    rank = _rank(seed, probability / (1 - probability))
+    bucket = F.least(F.floor(rank * BUCKETS), F.lit(BUCKETS - 1)).cast("int")
+    ranked = sizes.join(plan.select("of", "rest", "scale"), same).select("of", "doc_id", "size", "rest", rank.alias("rank"), bucket.alias("bucket"))
+
+    running = Window.partitionBy("of").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     ends = (
-        sums.withColumn("__upto", F.sum("size").over(running))
-        .join(plan.select("__source", "__rest"), same)
-        .filter((F.col("__upto") > F.col("__rest")) & (F.col("__upto") - F.col("size") <= F.col("__rest")))
-        .select("__source", F.col("__bucket").alias("__end"), (F.col("__upto") - F.col("size")).alias("__before"), "__rest")
+        ranked.groupBy("of", "bucket").agg(F.sum("size").alias("here"), F.first("rest").alias("rest"))
+        .withColumn("upto", F.sum("here").over(running))
+        .filter((F.col("upto") > F.col("rest")) & (F.col("upto") - F.col("here") <= F.col("rest")))
+        .select(F.col("of").alias("of_end"), F.col("bucket").alias("end"), (F.col("upto") - F.col("here")).alias("before"))
     )
+    ends = small_side(ends)
+    taken_upto = F.sum("size").over(Window.partitionBy("of").orderBy("place").rangeBetween(Window.unboundedPreceding, 0))
     last = (
-        slim.join(ends, same & (F.col("__bucket") == F.col("__end")))
-        .withColumn("__struct", F.struct("__rank", "doc_id"))
-        .withColumn("__upto", F.col("__before") + F.sum("size").over(Window.partitionBy("__source").orderBy("__struct").rangeBetween(Window.unboundedPreceding, 0)))
+        ranked.join(ends, F.col("of").eqNullSafe(F.col("of_end")) & (F.col("bucket") == F.col("end")))
+        .withColumn("place", F.struct("rank", "doc_id"))
+        .withColumn("upto", F.col("before") + taken_upto)
         # the document at the border is taken if that comes nearer to the target
-        .filter(F.col("__upto") - F.col("size") / 2 <= F.col("__rest"))
-        .groupBy("__source")
-        .agg(F.max("__struct").alias("__last"))
-    )
-    border = (
-        plan.join(ends.select(F.col("__source").alias("__s1"), "__end"), F.col("__source").eqNullSafe(F.col("__s1")), "left")
-        .join(last.withColumnRenamed("__source", "__s2"), F.col("__source").eqNullSafe(F.col("__s2")), "left")
-        .select("__source", "source_size", "target", "__certain", "__rest", "__end", "__last")
+        .filter(F.col("upto") - F.col("size") / 2 <= F.col("rest"))
+        .groupBy(F.col("of").alias("of_last"))
+        .agg(F.max("place").alias("last"))
     )
+    border = plan.join(ends, F.col("of").eqNullSafe(F.col("of_end")), "left").join(last, F.col("of").eqNullSafe(F.col("of_last")), "left")
+    border = small_side(border.select("of", "source_size", "target", "certain", "rest", "scale", "end", "last"))
     drawn = (
-        F.when(F.col("__rest") <= 0, F.lit(False))
-        .when(F.col("__end").isNull(), F.lit(True))  # the rest is all that the source has
-        .when(F.col("__bucket") != F.col("__end"), F.col("__bucket") < F.col("__end"))
-        .otherwise(F.coalesce(F.struct("__rank", "doc_id") <= F.col("__last"), F.lit(False)))
-    )
-    copies = F.col("__certain") + F.when((F.col("size") > 0) & drawn, F.lit(1)).otherwise(F.lit(0))
-    out = (
-        measured.drop("source_size", "target")
-        .join(small_side(border), same)
-        .withColumn("copies", copies.cast("int"))
-        .withColumn("taken", F.col("copies").cast("long") * F.col("size"))
+        F.when(F.col("rest") <= 0, F.lit(False))
+        .when(F.col("end").isNull(), F.lit(True))  # the rest is all that the source has
+        .when(F.col("bucket") != F.col("end"), F.col("bucket") < F.col("end"))
+        .otherwise(F.coalesce(F.struct("rank", "doc_id") <= F.col("last"), F.lit(False)))
     )
-    added = ["size", "source_size", "target", "copies", "taken"]
-    return out.select(*[c for c in docs.columns if c not in added], *added)
+    copies = F.col("certain") + F.when((F.col("size") > 0) & drawn, F.lit(1)).otherwise(F.lit(0))
+    out = rows.join(border, same).withColumn("rank", rank).withColumn("bucket", bucket).withColumn("copies", copies.cast("int"))
+    return out.select("row.*", "size", "source_size", "target", "copies", (F.col("copies").cast("long") * F.col("size")).alias("taken"))
 
 
 def mixture(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each document as often as it is taken, with the columns of ``docs``."""
-    taken = mix(docs.select(F.struct(*docs.columns).alias("__row"), "doc_id", "source", "text"), **options)
-    return taken.filter("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("__row.*")
+    taken = mix(docs.select(F.struct(*docs.columns).alias("whole"), "doc_id", "source", "text"), **options)
+    return taken.filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("whole.*")

@@ -12,17 +12,19 @@ around it.
 
 *Aggregation.* Expectation-maximisation over the counts of vote patterns
 estimates the share of true candidates and each labeler's reliability. Its
-posteriors, as soft labels, train a logistic regression over the votes. A
-proposed span is added if the regression gives it 0.5 or more and it overlaps
-no base span.
+posteriors, as soft labels, train a logistic regression over the kind, the votes
+and features of the span (length, share of digits) and of the characters beside
+it. A proposed span is added if the regression gives it 0.5 or more and it
+overlaps no base span.
 
 *Scale.* One scan finds the candidates of each text within its row. Vote
-patterns are counted by Spark; at most 3^5 * kinds of them exist, and only
-these counts reach the driver, where both fits run. No Python runs on the
-executors.
+patterns are counted by Spark; at most 3^5 * 4^4 * kinds of them exist (some
+hundreds occur), and only these counts reach the driver, where both fits run. No
+Python runs on the executors.
 
 Defined cases: a null text is empty; a text without spans has an empty list;
-equal spans of two kinds are both kept; on an empty table nothing is fitted and
+equal spans of two kinds are both kept; repeated rows are searched each; a very
+long text is searched whole, in its row; on an empty table nothing is fitted and
 the result is empty. Other columns are ignored.
 """
 
@@ -31,6 +33,7 @@ from __future__ import annotations
 from itertools import product
 from math import exp, log
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,6 +61,7 @@ GAZETTEER = r"(?i)(mail|gmail|yahoo|outlook|hotmail|proton|example|localhost|tok
 CONTEXT = r"(?i)(e-?mail|contact|write to|call|phone|tel|fax|mobile|token|secret|key|password|bearer|ssn|iban|account|passport|card|id)\W{1,6}$"
 REACH = 24
 LABELERS = ("pattern", "shape", "gazetteer", "context", "border")
+FEATURES = ("length", "digits", "left", "right")
 
 SPAN = "kind string, start int, end int, text string"
 _NONE = "array<struct<kind:string,start:int,end:int,text:string>>"
@@ -132,7 +136,7 @@ def proposed_spans(text: Column) -> Column:
 
 
 def _votes(text: Column, s: Column) -> Column:
-    """One digit a labeler: 0 no, 1 abstain, 2 yes."""
+    """One digit a labeler (0 no, 1 abstain, 2 yes), then one a feature of the span and of its context (0 to 3)."""
     m, kind = s["text"], s["kind"]
     n_digits = F.char_length(_digits(m))
     n = F.char_length(m)
@@ -157,7 +161,10 @@ def _votes(text: Column, s: Column) -> Column:
     context = F.when(before.rlike(CONTEXT), F.lit(2)).otherwise(F.lit(1))
     quiet = lambda c: (c == "") | c.rlike(r"[\s\"'(),;:!?.<>\[\]]")
     border = F.when(quiet(left) & quiet(right), F.lit(2)).when(left.rlike("[A-Za-z0-9]") | right.rlike("[A-Za-z0-9]"), F.lit(0)).otherwise(F.lit(1))
-    return F.concat(*[v.cast("string") for v in (strict, shape, gazetteer, context, border)])
+    side = lambda c: F.when((c == "") | c.rlike(r"\s"), F.lit(0)).when(c.rlike("[\"'=:(\\[]"), F.lit(1)).when(c.rlike("[A-Za-z0-9]"), F.lit(2)).otherwise(F.lit(3))
+    length = F.when(n < 8, F.lit(0)).when(n < 16, F.lit(1)).when(n < 32, F.lit(2)).otherwise(F.lit(3))
+    digits = F.when(share == 0, F.lit(0)).when(share < 0.5, F.lit(1)).when(share < 1, F.lit(2)).otherwise(F.lit(3))
+    return F.concat(*[v.cast("string") for v in (strict, shape, gazetteer, context, border, length, digits, side(left), side(right))])
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -201,27 +208,26 @@ def reliabilities(patterns: dict[str, int], rounds: int = 60) -> tuple[float, li
     return share, table, post
 
 
-def _features(kind: str, votes: str) -> list[float]:
-    out = [1.0]
-    for x in votes:
-        out += [float(x == "2"), float(x == "0")]
-    return out + [float(kind == k) for k in (*KINDS, *PROPOSED)]
+def _features(kind: str, pattern: str) -> list[int]:
+    """Places of a pattern's features: its kind, then each digit."""
+    names = [*KINDS, *PROPOSED]
+    return [names.index(kind), *(len(names) + 4 * k + int(x) for k, x in enumerate(pattern))]
 
 
 def train(patterns: dict[tuple[str, str], int], post: dict[str, float], rounds: int = 300, rate: float = 1.0, decay: float = 1e-3) -> list[float]:
-    """Logistic regression on soft labels, by gradient descent over distinct (kind, votes)."""
-    rows = [(_features(k, v), post[v], n) for (k, v), n in sorted(patterns.items())]
-    total = sum(n for *_, n in rows)
-    w = [0.0] * len(_features("", "1" * len(LABELERS)))
+    """Logistic regression on soft labels, by gradient descent over distinct (kind, pattern)."""
+    size = len(KINDS) + len(PROPOSED) + 4 * (len(LABELERS) + len(FEATURES))
+    rows = sorted(patterns.items())
+    x = np.zeros((len(rows), size))
+    for i, ((kind, pattern), _) in enumerate(rows):
+        x[i, _features(kind, pattern)] = 1
+    y = np.array([post[v[: len(LABELERS)]] for (_, v), _ in rows])
+    n = np.array([c for _, c in rows], float) / sum(patterns.values())
+    w = np.zeros(size)
     for _ in range(rounds):
-        grad = [decay * x for x in w]
-        for x, y, n in rows:
-            p = 1 / (1 + exp(-max(-30.0, min(30.0, sum(a * b for a, b in zip(w, x))))))
-            for j, f in enumerate(x):
-                if f:
-                    grad[j] += n / total * (p - y) * f
-        w = [a - rate * g for a, g in zip(w, grad)]
-    return w
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        w -= rate * (x.T @ (n * (p - y)) + decay * w)
+    return w.tolist()
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -229,18 +235,21 @@ def find(docs: DataFrame) -> DataFrame:
     found = materialize(candidates(docs), "pii")
     counted = (
         found.select(F.explode(F.concat("base", "proposed")).alias("s")).groupBy("s.kind", "s.votes").count().collect()
-    )  # at most 3 ** 5 patterns a kind
+    )  # at most 3 ** 5 * 4 ** 4 patterns a kind
     patterns = {(r["kind"], r["votes"]): r["count"] for r in counted}
     votes: dict[str, int] = {}
     for (_, v), n in patterns.items():
-        votes[v] = votes.get(v, 0) + n
-    scores = {}
-    if patterns:
-        _, _, post = reliabilities(votes)
-        w = train(patterns, post)
-        scores = {k + v: 1 / (1 + exp(-sum(a * b for a, b in zip(w, _features(k, v))))) for k, v in patterns}
-    table = F.create_map(*[F.lit(x) for item in (scores or {"": 0.0}).items() for x in item])
-    score = lambda s: F.coalesce(F.try_element_at(table, F.concat(s["kind"], s["votes"])), F.lit(0.0))
+        votes[v[: len(LABELERS)]] = votes.get(v[: len(LABELERS)], 0) + n
+    names = [*KINDS, *PROPOSED]
+    weights = train(patterns, reliabilities(votes)[2]) if patterns else [0.0] * (len(names) + 4 * (len(LABELERS) + len(FEATURES)))
+
+    def score(s: Column) -> Column:
+        terms = [F.element_at(F.array(*[F.lit(x) for x in weights[: len(names)]]), _rank(s["kind"]) + 1)]
+        for k in range(len(LABELERS) + len(FEATURES)):
+            of = weights[len(names) + 4 * k : len(names) + 4 * k + 4]
+            terms.append(F.element_at(F.array(*[F.lit(x) for x in of]), F.substring(s["votes"], k + 1, 1).cast("int") + 1))
+        return F.lit(1.0) / (F.lit(1.0) + F.exp(-sum(terms[1:], terms[0])))
+
     out = lambda s: F.struct(s["start"].alias("start"), _rank(s["kind"]).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"), s["text"].alias("text"), score(s).alias("score"))
     added = F.filter("proposed", lambda s: score(s) >= 0.5)
     return found.select(

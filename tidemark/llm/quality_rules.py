@@ -17,8 +17,10 @@ measures of a text are computed within its row; references come back by a
 broadcast join after their number is checked.
 
 Defined cases: a null text is an empty one and fails; a null or unknown
-language has the reference of its own documents, without function words; on an
-empty table the result is empty. Columns named like an added one are replaced.
+language has the reference of its own documents, without function words; a very
+long text is measured whole, in its row; repeated rows are judged each, and
+nothing depends on ties; on an empty table the result is empty. Columns named
+like an added one are replaced, others may have any name.
 """
 
 from __future__ import annotations
@@ -39,14 +41,13 @@ FUNCTION_WORDS = {
 }
 N_WORDS = 12
 
-#: Distances above these reject, given at least so many characters or function words.
+#: Distances above these reject, given at least so many characters or words.
 MOST_CHAR_DISTANCE = 0.28
-MOST_WORD_DISTANCE = 0.70
+MOST_WORD_DISTANCE = 0.42
 LEAST_CHARS = 200
-LEAST_HITS = 60
-#: The same with all other words as a bin, where a text without function words is at about 0.30, given so many words.
-MOST_MISSING = 0.20
 LEAST_WORDS = 200
+#: The same with all other words as a bin, where a text without function words is at about 0.30.
+MOST_MISSING = 0.20
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
 
@@ -152,7 +153,7 @@ def assess(docs: DataFrame) -> DataFrame:
     keep = [c for c in docs.columns if c not in {*MEASURES, "char_distance", "word_distance", "kept"}]
     common = lambda w: F.slice(w, 1, N_WORDS)
     measured = docs.select(
-        *keep,
+        F.struct(*keep).alias("row"),
         word_count(text).alias("n_words"),
         (F.char_length(text) - _count(text, SPACE_CLASS)).cast("long").alias("word_chars"),
         _count(text, r"[#*$%&|<>]").alias("n_symbols"),
@@ -161,22 +162,21 @@ def assess(docs: DataFrame) -> DataFrame:
         _char_histogram(text).alias("__c"),
         _word_histogram(text, F.col("lang")).alias("__w"),
         F.char_length(text).alias("__n"),
+        F.col("lang").alias("own_lang"),
     )
     judged = (
-        measured.join(refs, F.col("lang").eqNullSafe(F.col("__lang")), "left")
+        measured.join(refs, F.col("own_lang").eqNullSafe(F.col("__lang")), "left")
         .withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
         .withColumn("char_distance", js_distance(F.col("__c"), F.col("ref_chars")))
         .withColumn("word_distance", js_distance(common(F.col("__w")), common(F.col("ref_words"))))
     )
-    hits = F.aggregate(common(F.col("__w")), F.lit(0).cast("long"), lambda a, b: a + b)
     missing = F.coalesce(js_distance(F.col("__w"), F.col("ref_words")), F.lit(0.0))
     far = ((F.col("__n") >= LEAST_CHARS) & (F.coalesce("char_distance", F.lit(0.0)) > MOST_CHAR_DISTANCE)) | (
-        (hits >= LEAST_HITS) & (F.coalesce("word_distance", F.lit(0.0)) > MOST_WORD_DISTANCE)
-    ) | ((F.col("n_words") >= LEAST_WORDS) & (missing > MOST_MISSING))
-    return judged.withColumn("kept", ~F.col("base_failed") & ~far).select(*keep, *MEASURES, "char_distance", "word_distance", "kept")
+        (F.col("n_words") >= LEAST_WORDS) & ((F.coalesce("word_distance", F.lit(0.0)) > MOST_WORD_DISTANCE) | (missing > MOST_MISSING))
+    )
+    return judged.withColumn("kept", ~F.col("base_failed") & ~far).select("row.*", *MEASURES, "char_distance", "word_distance", "kept")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that pass, with their columns as they are."""
-    row = docs.select(F.struct(*docs.columns).alias("__row"), "text", "lang")
-    return assess(row).filter("kept").select("__row.*")
+    return assess(docs.select(F.struct(*docs.columns).alias("whole"), "text", "lang")).filter("kept").select("whole.*")
