@@ -132,7 +132,8 @@ def test_kmeans_finds_groups(spark):
     df = spark.createDataFrame(rows, "figure_id int, id long, f0 double, f1 double, f2 double")
     got = cluster.kmeans_groups(df, ["figure_id"], 3, rounds=3).collect()
     assert {(r.id % 3, r.cluster) for r in got} == {(0, 0), (1, 1), (2, 2)}
-    assert cluster.auto_k(df, ["figure_id"], most=4, rounds=2).first().k in (2, 3)
+    for method in ("silhouette", "elbow", "combined"):
+        assert cluster.auto_k(df, ["figure_id"], most=4, rounds=2, method=method).first().k in (2, 3)
 
 
 def test_cox_against_numpy(spark):
@@ -229,3 +230,26 @@ def test_neighbours_across_a_wide_figure(spark):
     near = cluster.knn_join(spark.createDataFrame(rows, "f int, id long, x int, y int"), ["f"], 5)
     counts = {(r.f, r.id): r["count"] for r in near.groupBy("f", "id").count().collect()}
     assert counts == {**{(0, i): 3 for i in range(4)}, **{(1, i): 5 for i in range(10)}}
+
+
+def test_logrank_of_two_groups_is_the_two_group_test_and_of_three_is_right(spark):
+    rows = [("a", g, float(t), int((t + len(g)) % 3 > 0)) for g in ("x", "yy") for t in range(1, 20 + 4 * len(g))]
+    ipd = spark.createDataFrame(rows, "study_id string, arm string, time double, event int")
+    two, many = survival.logrank(ipd, ["study_id"], "arm").first(), survival.logrank_test(ipd, ["study_id"], "arm").first()
+    assert (many.groups, many.df) == (2, 1) and abs(two.chi2 - many.chi2) < 1e-9 and abs(many.p_value - survival.chi2_tail(two.chi2, 1)) < 1e-12
+    # three groups by hand: one event a time, risk sets falling by one
+    rows = [("s", g, t, 1) for g, t in zip("abcabc", (1.0, 2.0, 3.0, 4.0, 5.0, 6.0))]
+    got = survival.logrank_test(spark.createDataFrame(rows, "study_id string, arm string, time double, event int"), ["study_id"], "arm").first()
+    gap, cov = np.zeros(3), np.zeros((3, 3))
+    for i, (_, g, _, _) in enumerate(rows):
+        left = [r[1] for r in rows[i:]]
+        share = np.array([left.count(x) for x in "abc"]) / len(left)
+        gap += np.array([g == x for x in "abc"]) - share
+        cov += np.diag(share) - np.outer(share, share)
+    assert abs(got.chi2 - gap[:2] @ np.linalg.solve(cov[:2, :2], gap[:2])) < 1e-9 and got.df == 2
+
+
+def test_numbers_of_ranges_and_next_to_letters(spark):
+    cases = {"0-60": [0, 60], "0.0 - 1.0": [0, 1], "12. and .5": [5, 12], "p5 5p 7": [7], "0.5x": [0], "-3 to 4": [3, 4], "": []}
+    df = spark.createDataFrame([(t,) for t in cases], "t string").select("t", scalar.extract_numbers(F.col("t"), "x").alias("x"))
+    assert {r.t: r.x for r in df.collect()} == {t: [float(v) for v in x] for t, x in cases.items()}

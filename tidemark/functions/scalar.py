@@ -96,26 +96,27 @@ def style_key(stroke: Column, dash: Column, width: Column) -> Column:
     return F.concat_ws("|", F.lower(F.coalesce(F.nullif(stroke, F.lit("")), F.lit("none"))), pattern, thick)
 
 
-_NUMBER = r"(?<![0-9.A-Za-z-])[0-9]+(?:\.[0-9]+)?(?![0-9.A-Za-z%])"
+#: A number that touches no letter or digit; in a range like 0-60 both ends are.
+_NUMBER = r"(?U)(?<!\w)[0-9]+\.?[0-9]*(?!\w)"
+_PLAIN = r"(?<![0-9.A-Za-z-])[0-9]+(?:\.[0-9]+)?(?![0-9.A-Za-z%])"
 _PERCENT = r"([0-9]+(?:\.[0-9]+)?)\s*%"
-_SCIENTIFIC = r"(?<![0-9.A-Za-z-])([0-9]+(?:\.[0-9]+)?[eE][-+]?[0-9]+)"
+_SCIENTIFIC = r"([0-9]+\.?[0-9]*[eE][-+]?[0-9]+)"
 
 
 def extract_numbers(text: Column, axis: str, x_top: float = 400.0) -> Column:
-    """Distinct sorted numbers of an axis text: plain, percent (divided by 100 on y) and scientific."""
+    """Distinct sorted numbers of an axis text: plain ones, ranges, scientific ones, and on y percents divided by 100."""
     find = lambda p, i: F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(i)), lambda x: x.try_cast("double"))
-    percent = find(_PERCENT, 1)
-    if axis == "y":
-        percent = F.transform(percent, lambda x: x / 100.0)
     low, high = (0.0, 1.1) if axis == "y" else (0.0, x_top)
-    every = F.concat(find(_NUMBER, 0), percent, find(_SCIENTIFIC, 1))
+    every = F.concat(find(_NUMBER, 0), find(_SCIENTIFIC, 1))
+    if axis == "y":
+        every = F.concat(every, F.transform(find(_PERCENT, 1), lambda x: x / 100.0))
     return F.array_sort(F.array_distinct(F.filter(every, lambda v: v.isNotNull() & v.between(low, high))))
 
 
 def extract_numbers_patterns(text: Column, axis: str) -> Column:
     """As above with number-unit pairs and ranges; percents always divided, y values divided when the largest is over 10."""
     find = lambda p, i: F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(i)), lambda x: x.try_cast("double"))
-    plain = find(_NUMBER, 0)
+    plain = find(_PLAIN, 0)
     united = find(r"([0-9]+(?:\.[0-9]+)?)\s*(?:months?|years?|days?|weeks?|mo|yr)\b", 1)
     left, right = find(r"([0-9]+(?:\.[0-9]+)?)\s*-\s*[0-9]", 1), find(r"[0-9]\s*-\s*([0-9]+(?:\.[0-9]+)?)", 1)
     percent = F.transform(find(_PERCENT, 1), lambda x: x / 100.0)

@@ -136,16 +136,52 @@ def inertia(clustered: DataFrame, keys: list[str]) -> DataFrame:
     return clustered.groupBy(*keys).agg(F.sum("d2").alias("inertia"))
 
 
-def auto_k(rows: DataFrame, keys: list[str], most: int = 6, rounds: int = 5) -> DataFrame:
-    """``keys, k``: the number of groups at the sharpest bend of inertia over k = 1..most; 1 below 100 rows."""
+def silhouette(clustered: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, silhouette``: mean of (b - a) / max(a, b), from the distances a to the own centre and b to the nearest other one.
+
+    Distances to centres stand in for mean distances to all members, which would
+    take every pair of rows. Halved if a cluster holds less than 1 % of the rows.
+    """
+    centres = clustered.groupBy(*keys, "cluster").agg(F.count("*").alias("n"), *[F.avg(f"f{i}").alias(f"c{i}") for i in range(len(FEATURES))])
+    packed = centres.groupBy(*keys).agg(F.collect_list(F.struct("cluster", *[f"c{i}" for i in range(len(FEATURES))])).alias("__c"), (F.min("n") < 0.01 * F.sum("n")).alias("__small"))
+    dist = lambda c: sum(((F.col(f"f{i}") - c[f"c{i}"]) * (F.col(f"f{i}") - c[f"c{i}"]) for i in range(len(FEATURES))), F.lit(0.0))
+    near = lambda own: F.array_min(F.transform(F.filter("__c", lambda c: (c["cluster"] == F.col("cluster")) == F.lit(own)), lambda c: F.sqrt(dist(c))))
+    rows = clustered.join(packed, keys).select(*keys, "__small", near(True).alias("a"), near(False).alias("b"))
+    one = F.when(F.greatest("a", "b") > 0, (F.col("b") - F.col("a")) / F.greatest("a", "b")).otherwise(F.lit(0.0))
+    return rows.groupBy(*keys).agg((F.avg(one) * F.when(F.max("__small"), F.lit(0.5)).otherwise(F.lit(1.0))).alias("silhouette"))
+
+
+def auto_k(rows: DataFrame, keys: list[str], most: int = 6, rounds: int = 5, method: str = "silhouette") -> DataFrame:
+    """``keys, k``: the number of groups in 1..most; 1 below 100 rows.
+
+    ``silhouette`` takes the k with the largest one, ``elbow`` that at the
+    sharpest bend of inertia; ``combined`` takes the first, but no more than one
+    above the second.
+    """
+    if method not in ("silhouette", "elbow", "combined"):
+        raise ValueError(f"no such method: {method}")
     every = None
     for k in range(1, most + 1):
-        one = inertia(kmeans_groups(rows, keys, k, rounds), keys).withColumn("k", F.lit(k))
+        groups = kmeans_groups(rows, keys, k, rounds)
+        groups = written(groups.select(*keys, "cluster", "d2", *FEATURES)) if method != "elbow" else groups
+        one = inertia(groups, keys).withColumn("k", F.lit(k))
+        if method != "elbow":
+            one = one.join(silhouette(groups, keys), keys) if k > 1 else one.withColumn("silhouette", F.lit(-1.0))
         every = one if every is None else every.unionByName(one)
-    w = Window.partitionBy(*keys).orderBy("k")
-    bend = F.lag("inertia").over(w) - 2 * F.col("inertia") + F.lead("inertia").over(w)
-    best = every.withColumn("bend", bend).filter("bend is not null").groupBy(*keys).agg(F.max_by("k", F.struct("bend", -F.col("k"))).alias("k"))
     size = rows.groupBy(*keys).agg(F.count("*").alias("n"))
+    if method != "elbow":
+        every = written(every)
+        by_silhouette = every.groupBy(*keys).agg(F.max_by("k", F.struct("silhouette", -F.col("k"))).alias("s"))
+    if method != "silhouette":
+        w = Window.partitionBy(*keys).orderBy("k")
+        bend = F.lag("inertia").over(w) - 2 * F.col("inertia") + F.lead("inertia").over(w)
+        by_elbow = every.withColumn("bend", bend).filter("bend is not null").groupBy(*keys).agg(F.max_by("k", F.struct("bend", -F.col("k"))).alias("e"))
+    if method == "silhouette":
+        best = by_silhouette.withColumnRenamed("s", "k")
+    elif method == "elbow":
+        best = by_elbow.withColumnRenamed("e", "k")
+    else:
+        best = by_silhouette.join(by_elbow, keys).withColumn("k", F.least("s", F.col("e") + 1)).drop("s", "e")
     return best.join(size, keys).select(*keys, F.when(F.col("n") < 100, 1).otherwise(F.col("k")).alias("k"))
 
 
@@ -231,6 +267,8 @@ def connected_areas(pixels: DataFrame, keys: list[str], rounds: int = 60) -> Dat
         labels = done.select(*keys, "u", F.col("next").alias("label"))
         if not changed:
             break
+    else:
+        raise RuntimeError(f"areas did not settle in {rounds} rounds")
     size = runs.groupBy(*keys, F.struct("y", "x0").alias("u")).agg(F.count("*").alias("n"))
     return size.join(labels, [*keys, "u"]).groupBy(*keys, F.col("label").alias("component")).agg(F.sum("n").alias("area"))
 

@@ -32,8 +32,8 @@ def network_components(edges: DataFrame, vertices: DataFrame, rounds: int = 30)
         moved = step.filter("next <> component").limit(1).count()
         labels = step.select("treatment", F.col("next").alias("component"))
         if not moved:
-            break
-    return labels
+            return labels
+    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def risk_sets(ipd: DataFrame, strata: list[str]) -> DataFrame:

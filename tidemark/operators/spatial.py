@@ -99,19 +99,37 @@ def nearest_within(left: DataFrame, right: DataFrame, keys: list[str], lxy: tupl
     return pairs.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n", "__cx", "__cy")
 
 
-def nearest_label(swatches: DataFrame, texts: DataFrame, keys: list[str], reach: float = 25.0) -> DataFrame:
-    """For each style the shortest label found nearest to one of its swatch lines."""
+def _in_panels(at: DataFrame, panels: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Rows of ``at(mx, my)`` with a panel around them (left_semi), or without one (left_anti)."""
+    box = panels.select(*[F.col(k).alias(f"__{k}") for k in keys], *[F.col(c).alias(f"__{c}") for c in ("xmin", "xmax", "ymin", "ymax")])
+    on = F.col("mx").between(F.col("__xmin"), F.col("__xmax")) & F.col("my").between(F.col("__ymin"), F.col("__ymax"))
+    for k in keys:
+        on &= F.col(k) == F.col(f"__{k}")
+    return at.join(box, on, how)
+
+
+def nearest_label(swatches: DataFrame, texts: DataFrame, keys: list[str], reach: float = 25.0, panels: DataFrame | None = None, longest: float = 40.0) -> DataFrame:
+    """For each style the shortest label found nearest to one of its swatch lines.
+
+    Lines of no length, of more than ``longest``, or inside a panel are no swatches.
+    """
     mx, my = scalar.line_midpoint(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
-    at = swatches.withColumn("mx", mx).withColumn("my", my)
+    length = scalar.line_length(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
+    at = swatches.filter((length > 0) & (length <= longest)).withColumn("mx", mx).withColumn("my", my)
+    if panels is not None:
+        at = _in_panels(at, panels, keys, "left_anti")
     found = nearest_within(at, texts, keys, ("mx", "my"), ("tx", "ty"), reach, ["label"])
     return found.groupBy(*keys, "style_key").agg(F.min_by("label", F.struct(F.char_length("label"), F.col("label"))).alias("label"))
 
 
-def assign_censor_ticks(lines: DataFrame, points: DataFrame, keys: list[str], reach: float = 4.0) -> DataFrame:
-    """Lines of 2 to 8 pixels with the curve whose point lies nearest to their middle, within ``reach``."""
+def assign_censor_ticks(lines: DataFrame, points: DataFrame, keys: list[str], reach: float = 4.0, panels: DataFrame | None = None) -> DataFrame:
+    """Lines of 2 to 8 pixels, inside a panel, with the curve whose point lies nearest to their middle, within ``reach``."""
     mx, my = scalar.line_midpoint(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
     short = lines.withColumn("length", scalar.line_length(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))).filter(F.col("length").between(2, 8))
-    return nearest_within(short.withColumn("mx", mx).withColumn("my", my), points, keys, ("mx", "my"), ("px", "py"), reach, ["curve_id", "px", "py"])
+    short = short.withColumn("mx", mx).withColumn("my", my)
+    if panels is not None:
+        short = _in_panels(short, panels, keys, "left_semi")
+    return nearest_within(short, points, keys, ("mx", "my"), ("px", "py"), reach, ["curve_id", "px", "py"])
 
 
 def attach_legend(curves: DataFrame, legend: DataFrame, keys: list[str]) -> DataFrame:

@@ -120,6 +120,38 @@ def logrank_terms(ipd: DataFrame, strata: list[str], group: str) -> DataFrame:
     return at.groupBy(*strata, group).agg(F.sum("d").alias("observed"), F.sum(F.col("d_all") * F.col("n") / F.col("n_all")).alias("expected"))
 
 
+def logrank_test(ipd: DataFrame, strata: list[str], group: str) -> DataFrame:
+    """``strata, groups, chi2, df, p_value``: the log-rank test of any number of groups in each stratum.
+
+    Rows are the groups of a stratum at its event times, twice for the
+    covariance; meant for tens of groups. The matrix of a stratum is solved in one task.
+    """
+    table = ipd.groupBy(*strata, group, "time").agg(F.sum("event").alias("d"), F.count("*").alias("m"))
+    total = table.groupBy(*strata, "time").agg(F.sum("d").alias("d_all"), F.sum("m").alias("m_all"))
+    grid = table.select(*strata, group).distinct().join(total, strata).join(table, [*strata, group, "time"], "left").fillna(0, ["d", "m"])
+    mine = Window.partitionBy(*strata, group).orderBy(F.desc("time")).rowsBetween(Window.unboundedPreceding, 0)
+    at = grid.withColumn("n", F.sum("m").over(mine)).withColumn("n_all", F.sum("m_all").over(mine)).filter("d_all > 0")
+    other = at.select(*strata, "time", F.col(group).alias("other"), F.col("n").alias("n_other"))
+    share = F.col("n") / F.col("n_all")
+    same = F.when(F.col(group) == F.col("other"), F.lit(1.0)).otherwise(F.lit(0.0))
+    spread = F.when(F.col("n_all") > 1, F.col("d_all") * (F.col("n_all") - F.col("d_all")) / (F.col("n_all") - 1)).otherwise(F.lit(0.0))
+    cells = at.join(other, [*strata, "time"]).groupBy(*strata, group, "other").agg(
+        F.sum(F.col("d") - F.col("d_all") * share).alias("gap"), F.sum(spread * share * (same - F.col("n_other") / F.col("n_all"))).alias("cov")
+    )
+
+    def solve(rows):
+        import numpy as np
+        import pandas as pd
+
+        square = rows.pivot(index=group, columns="other", values="cov").sort_index().sort_index(axis=1).to_numpy()[:-1, :-1]
+        gap = rows.groupby(group)["gap"].first().sort_index().to_numpy()[:-1]
+        chi2 = float(gap @ np.linalg.pinv(square) @ gap) if len(gap) else 0.0
+        return pd.DataFrame([[*rows[strata].iloc[0], len(gap) + 1, chi2, len(gap), chi2_tail(chi2, len(gap)) if len(gap) else 1.0]], columns=[*strata, "groups", "chi2", "df", "p_value"])
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ipd.select(*strata).schema)
+    return cells.groupBy(*strata).applyInPandas(solve, f"{kinds}, groups int, chi2 double, df int, p_value double")
+
+
 def chi2_tail(x: float, df: int) -> float:
     """P(chi-square with df degrees > x), for the few rows of a test result."""
     if x <= 0:

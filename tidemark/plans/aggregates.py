@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalar
 from tidemark.operators import calibrate, reports, shape, survival, validate
+from tidemark.operators.shared import shared_path
 from tidemark.plans import adapters, jobs
+from tidemark.plans.figures import _PANELS
 from tidemark.plans.pixels import _NAR, _WORDS, words
 from tidemark.registry import query
-from tidemark.sources import sinks
+from tidemark.sources import curves, sinks
 
 # ------------------------------------------------------------ ticks
 
@@ -66,24 +68,52 @@ _X_NUMS = "CASE figure_id % 6 WHEN 0 THEN [0, 12, 24, 36, 48, 60]::DOUBLE[] WHEN
 _Y_NUMS = "CASE figure_id % 6 WHEN 0 THEN [0]::DOUBLE[] WHEN 1 THEN [0, 0.25, 0.5, 0.75, 1]::DOUBLE[] WHEN 2 THEN [0]::DOUBLE[] WHEN 4 THEN [0, 0.5, 1]::DOUBLE[] ELSE []::DOUBLE[] END"
 
 
-@query("extract_numbers", _TEXT + f" SELECT figure_id, array_to_string(list_transform({_X_NUMS}, lambda v: printf('%.3f', v)), ' ') AS x, array_to_string(list_transform({_Y_NUMS}, lambda v: printf('%.3f', v)), ' ') AS y FROM tt")
+# One axis text an order, of five forms, around two numbers of its keys.
+_ORDER_TEXT = "WITH o AS (SELECT o_orderkey AS id, o_orderkey % 5 AS form, (o_orderkey % 89)::DOUBLE AS a, (o_orderkey % 89 + 10 + o_custkey % 50)::DOUBLE AS b FROM orders)"
+
+
+def _order_texts(spark, sf_dir):
+    a = F.col("o_orderkey") % 89
+    b = a + 10 + F.col("o_custkey") % 50
+    form = F.col("o_orderkey") % 5
+    text = (
+        F.when(form == 0, F.format_string("%d-%d months", a, b)).when(form == 1, F.format_string("%d to %d.5 years", a, b))
+        .when(form == 2, F.format_string("%d%% and %d %%", a, b)).when(form == 3, F.format_string("week -%d at %d days, p5 and 1e-3", a, b)).otherwise("")
+    )
+    return adapters.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), text.alias("text"))
+
+
+#: What each form holds, worked out from the numbers and not from the text.
+_X_OF = "CASE form WHEN 0 THEN [a, b] WHEN 1 THEN [a, b + 0.5] WHEN 2 THEN [a, b] WHEN 3 THEN [a, b, 3, 0.001] ELSE []::DOUBLE[] END"
+_Y_OF = "CASE form WHEN 2 THEN [a, b, a / 100.0, b / 100.0] ELSE " + _X_OF + " END"
+_PATTERNS_OF = "CASE form WHEN 0 THEN [a, b] WHEN 1 THEN [a, b + 0.5] WHEN 2 THEN [a / 100.0, b / 100.0, b] WHEN 3 THEN [b] ELSE []::DOUBLE[] END"
+_SHOWN = "array_to_string(list_transform(list_sort(list_distinct(list_filter({}, lambda v: v >= 0 AND v <= {}))), lambda v: printf('%.5f', v)), ' ')"
+
+
+def _shown(values):
+    return F.array_join(F.transform(values, lambda v: F.format_string("%.5f", v)), " ")
+
+
+@query("extract_numbers", _ORDER_TEXT + f" SELECT id, {_SHOWN.format(_X_OF, 400)} AS x, {_SHOWN.format(_Y_OF, 1.1)} AS y FROM o")
 def extract_numbers(spark, sf_dir):
-    show = lambda a: F.array_join(F.transform(a, lambda v: F.format_string("%.3f", v)), " ")
     t = F.col("text")
-    return _texts(spark, sf_dir).select("figure_id", show(scalar.extract_numbers(t, "x")).alias("x"), show(scalar.extract_numbers(t, "y")).alias("y"))
+    return _order_texts(spark, sf_dir).select("id", _shown(scalar.extract_numbers(t, "x")).alias("x"), _shown(scalar.extract_numbers(t, "y")).alias("y"))
 
 
-@query("extract_numbers_patterns")
+@query(
+    "extract_numbers_patterns",
+    _ORDER_TEXT + f", v AS (SELECT id, {_PATTERNS_OF} AS v FROM o WHERE form <> 3), y AS (SELECT *, list_transform(v, lambda n: CASE WHEN list_max(v) > 10 AND n > 1 THEN n / 100.0 ELSE n END) AS w FROM v)"
+    f" SELECT id, {_SHOWN.format('v', 1000)} AS x, {_SHOWN.format('w', 1000)} AS y FROM y",
+)
 def extract_numbers_patterns(spark, sf_dir):
     t = F.col("text")
-    return _texts(spark, sf_dir).select("figure_id", scalar.extract_numbers_patterns(t, "x").alias("x"), scalar.extract_numbers_patterns(t, "y").alias("y"))
+    return _order_texts(spark, sf_dir).filter("id % 5 <> 3").select("id", _shown(scalar.extract_numbers_patterns(t, "x")).alias("x"), _shown(scalar.extract_numbers_patterns(t, "y")).alias("y"))
 
 
-@query("detect_unit", _TEXT + """ SELECT figure_id, CASE figure_id % 6 WHEN 2 THEN 'years' WHEN 3 THEN 'days' ELSE 'months' END AS x_text, CASE figure_id % 6 WHEN 1 THEN 'percent' ELSE 'probability' END AS y_text,
- CASE figure_id % 6 WHEN 1 THEN 'percentage' ELSE 'probability' END AS y_ocr FROM tt""")
+@query("detect_unit", _ORDER_TEXT + " SELECT id, CASE form WHEN 1 THEN 'years' WHEN 3 THEN 'days' ELSE 'months' END AS x_text, CASE form WHEN 2 THEN 'percent' ELSE 'probability' END AS y_text, CASE form WHEN 2 THEN 'percentage' ELSE 'probability' END AS y_ocr FROM o WHERE form <> 3")
 def detect_unit(spark, sf_dir):
     t = F.col("text")
-    return _texts(spark, sf_dir).select("figure_id", scalar.detect_unit(t, "x").alias("x_text"), scalar.detect_unit(t, "y").alias("y_text"), scalar.detect_unit(t, "y", "ocr").alias("y_ocr"))
+    return _order_texts(spark, sf_dir).filter("id % 5 <> 3").select("id", scalar.detect_unit(t, "x").alias("x_text"), scalar.detect_unit(t, "y").alias("y_text"), scalar.detect_unit(t, "y", "ocr").alias("y_ocr"))
 
 
 @query("text_numbers", "SELECT o_orderkey AS id, o_totalprice AS v, true AS num, o_orderkey % 100 AS pct FROM orders")
@@ -94,9 +124,9 @@ def text_numbers(spark, sf_dir):
     return o.select(F.col("o_orderkey").alias("id"), scalar.parse_number(price).alias("v"), scalar.is_number(F.col("o_orderkey").cast("string")).alias("num"), scalar.word_number(pct).cast("long").alias("pct"))
 
 
-@query("text_confidence", "SELECT doc_id, CASE WHEN text = '' THEN 0.0 ELSE greatest(0.0, least(1.0, 0.5 + CASE WHEN regexp_matches(text, '[0-9]') THEN 0.2 ELSE 0.0 END + CASE WHEN regexp_matches(lower(text), 'month|year|day|week|time') THEN 0.15 ELSE 0.0 END + CASE WHEN regexp_matches(text, '%|0\\.|1\\.0') THEN 0.15 ELSE 0.0 END + CASE WHEN length(text) < 3 THEN -0.2 ELSE 0.0 END)) END::DOUBLE AS confidence FROM (SELECT doc_id, left(text, 60) AS text FROM documents) WHERE NOT regexp_matches(text, '[^A-Za-z0-9 .,]')")
+@query("text_confidence", "SELECT doc_id, CASE WHEN text = '' THEN 0.0 ELSE greatest(0.0, least(1.0, 0.5 + CASE WHEN regexp_matches(text, '[0-9]') THEN 0.2 ELSE 0.0 END + CASE WHEN regexp_matches(lower(text), 'month|year|day|week|time') THEN 0.15 ELSE 0.0 END + CASE WHEN regexp_matches(text, '%|0\\.|1\\.0') THEN 0.15 ELSE 0.0 END + CASE WHEN length(text) < 3 THEN -0.2 ELSE 0.0 END)) END::DOUBLE AS confidence FROM documents")
 def text_confidence(spark, sf_dir):
-    d = adapters.table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 60).alias("text")).filter(~F.col("text").rlike("[^A-Za-z0-9 .,]"))
+    d = adapters.table(spark, sf_dir, "documents")
     return d.select("doc_id", F.round(scalar.text_confidence(F.col("text")), 6).alias("confidence"))
 
 
@@ -170,6 +200,43 @@ def km_artifact(spark, sf_dir):
     return sinks.km_artifact(survival.km_fit(adapters.ipd(spark, sf_dir), ["study_id"]), ["study_id"])
 
 
+@query("export_curves", "WITH " + adapters.POINTS + " SELECT figure_id::INT AS figure_id, curve_id::INT AS curve_id, round(time, 6) AS time, round(survival, 6) AS survival FROM points")
+def export_curves(spark, sf_dir):
+    """Curves written as CSV by curve and read back."""
+    path = shared_path(spark, "export")
+    sinks.write_curve_points(adapters.points(spark, sf_dir).select("figure_id", "curve_id", "time", "survival"), path, ["figure_id", "curve_id"])
+    back = spark.read.option("header", True).schema("time double, survival double, figure_id int, curve_id int").csv(path)
+    return back.select("figure_id", "curve_id", F.round("time", 6).alias("time"), F.round("survival", 6).alias("survival"))
+
+
+@query("write_manifest", "WITH " + adapters.IPD + ", m AS (SELECT study_id, count(*) AS n_subjects, sum(event)::BIGINT AS n_events, median(time) AS median_follow_up FROM ipd GROUP BY study_id) SELECT study_id, n_subjects, n_events, round(median_follow_up, 6) AS median_follow_up, 'page ' || study_id AS origin FROM m")
+def write_manifest(spark, sf_dir):
+    """The manifest with provenance, written and read back."""
+    from tidemark.operators import records
+
+    rows = records.manifest_rows(adapters.ipd(spark, sf_dir), ["study_id"])
+    path = shared_path(spark, "manifest")
+    sinks.write_manifest(rows, rows.select("study_id", F.concat(F.lit("page "), F.col("study_id")).alias("origin")), "study_id", path)
+    back = spark.read.option("header", True).csv(path)
+    return back.select("study_id", F.col("n_subjects").cast("long").alias("n_subjects"), F.col("n_events").cast("long").alias("n_events"), F.round(F.col("median_follow_up").cast("double"), 6).alias("median_follow_up"), "origin")
+
+
+@query("bind_pages", "SELECT page_id AS id, url, NULL::VARCHAR AS source FROM pages UNION ALL SELECT doc_id, NULL, source FROM documents")
+def bind_pages(spark, sf_dir):
+    pages, docs = adapters.table(spark, sf_dir, "pages"), adapters.table(spark, sf_dir, "documents")
+    return curves.bind_pages(pages.select(F.col("page_id").alias("id"), "url"), docs.select(F.col("doc_id").alias("id"), "source"))
+
+
+@query("write_km_artifact", "WITH " + adapters.IPD + " SELECT study_id, count(DISTINCT time)::INT AS times, sum(event)::BIGINT AS events, (count(*) - sum(event))::BIGINT AS censored FROM ipd GROUP BY study_id")
+def write_km_artifact(spark, sf_dir):
+    """One JSON text a stratum, written and read back."""
+    path = shared_path(spark, "km")
+    sinks.write_km_artifact(survival.km_fit(adapters.ipd(spark, sf_dir), ["study_id"]), ["study_id"], path)
+    back = spark.read.schema("study_id string, time array<double>, n_event array<long>, n_censor array<long>").json(path)
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, b: a + b)
+    return back.select("study_id", F.size("time").alias("times"), total("n_event").alias("events"), total("n_censor").alias("censored"))
+
+
 @query("job_monthly_series", "WITH " + adapters.POINTS + ", " + adapters.CALIBRATION + """, px AS (SELECT figure_id, curve_id, seq, time * 8.0 AS x, (1.0 - survival) * 400.0 AS y FROM points),
  c AS (SELECT figure_id, curve_id, x_lo + x / 480.0 * (x_hi - x_lo) AS time, least(greatest(y_hi - y / 400.0 * (y_hi - y_lo), y_lo), y_hi) AS survival FROM px JOIN calibration USING (figure_id))
  SELECT figure_id, curve_id, floor(time)::DOUBLE AS time, round(median(survival) + 1e-9, 5) AS survival FROM c GROUP BY ALL""")
@@ -228,7 +295,13 @@ def job_axis_text_success(spark, sf_dir):
     return jobs.axis_text_success(_texts(spark, sf_dir).select(F.col("text").alias("x_text"), F.col("text").alias("y_text")))
 
 
-@query("job_panels_from_boxes")
+_BOXES = _PANELS + """, b AS (SELECT doc_id, panel_id, ymax, xmax - xmin AS w, ymax - ymin AS h, 0.6 + (panel_id % 5) / 10.0 AS rect, 0.05 * (panel_id % 12) AS share, (panel_id % 10) / 10.0 AS border FROM panels),
+ c AS (SELECT *, 0.3 * least(rect / 0.95, 1.0) + 0.3 * greatest(0.0, 1.0 - abs(w / h - 1.3) / 2.0) + 0.4 * border AS confidence FROM b)
+ SELECT doc_id, panel_id, round(confidence, 6) AS confidence, ymax + 10 AS ar_ymin, row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, panel_id)::INT AS "order" FROM c
+ WHERE share BETWEEN 0.05 AND 0.5 AND w / h BETWEEN 0.5 AND 2.5 AND rect >= 0.7 AND confidence >= 0.5"""
+
+
+@query("job_panels_from_boxes", _BOXES)
 def job_panels_from_boxes(spark, sf_dir):
     from tidemark.plans.figures import _panels
 
@@ -237,6 +310,8 @@ def job_panels_from_boxes(spark, sf_dir):
     return jobs.panels_from_boxes(boxes).select("doc_id", "panel_id", F.round("confidence", 6).alias("confidence"), "ar_ymin", "order")
 
 
-@query("job_page_analysis")
+@query("job_page_analysis", _PANELS + """, s AS (SELECT *, (xmax - xmin) * (ymax - ymin) AS area FROM panels)
+ SELECT doc_id, panel_id, area <= 0.25 * max(area) OVER (PARTITION BY doc_id) AND EXISTS (SELECT 1 FROM panels o WHERE o.doc_id = s.doc_id AND o.panel_id <> s.panel_id
+ AND s.xmin >= o.xmin AND s.xmax <= o.xmax AND s.ymin >= o.ymin AND s.ymax <= o.ymax) AS is_inset FROM s""")
 def job_page_analysis(spark, sf_dir):
     return jobs.page_analysis(adapters.lines(spark, sf_dir))["panels"].select("doc_id", "panel_id", "is_inset")

@@ -112,33 +112,35 @@ def affine_transform(spark, sf_dir):
     return adapters.lines(spark, sf_dir).select("doc_id", "line_id", F.round(x, 6).alias("tx"), F.round(y, 6).alias("ty"))
 
 
-_SW = _L + f""", sw AS (SELECT doc_id, line_id, (x1 + x2) / 2.0 AS mx, (y1 + y2) / 2.0 AS my, lower(stroke) || '|' || {_STYLE} || '|' || sw::INT::VARCHAR AS style_key FROM lines WHERE line_id % 400 < 40),
- tx AS (SELECT doc_id, 'label' || (line_id % 97)::VARCHAR AS label, x1 + 3.0 AS tx, y1 + 4.0 AS ty FROM lines WHERE line_id % 3 = 0)"""
+_SW = _L + f""", sw AS (SELECT doc_id, line_id, (x1 + x2) / 2.0 AS mx, (y1 + y2) / 2.0 AS my, lower(stroke) || '|' || {_STYLE} || '|' || sw::INT::VARCHAR AS style_key FROM lines WHERE sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) BETWEEN 1e-9 AND 40),
+ tx AS (SELECT doc_id, 'label' || (line_id % 97)::VARCHAR AS label, x1 + 3.0 AS tx, y1 + 4.0 AS ty FROM lines)"""
 
 
 @query(
     "nearest_label",
-    _SW + """, d AS (SELECT sw.doc_id, line_id, style_key, label, sqrt((mx - tx) * (mx - tx) + (my - ty) * (my - ty)) AS dist FROM sw JOIN tx ON sw.doc_id = tx.doc_id),
+    _PANELS + _SW.removeprefix(_L) + """, d AS (SELECT sw.doc_id, line_id, style_key, label, sqrt((mx - tx) * (mx - tx) + (my - ty) * (my - ty)) AS dist FROM sw JOIN tx ON sw.doc_id = tx.doc_id
+  WHERE NOT EXISTS (SELECT 1 FROM panels p WHERE p.doc_id = sw.doc_id AND mx BETWEEN xmin AND xmax AND my BETWEEN ymin AND ymax)),
  n AS (SELECT * FROM d WHERE dist <= 25 QUALIFY row_number() OVER (PARTITION BY doc_id, line_id ORDER BY dist, label) = 1)
  SELECT doc_id, style_key, arg_min(label, (length(label), label)) AS label FROM n GROUP BY ALL""",
 )
 def nearest_label(spark, sf_dir):
     lines = adapters.lines(spark, sf_dir)
-    swatches = lines.filter("line_id % 400 < 40").withColumn("style_key", scalar.style_key(F.col("stroke"), F.col("dash"), F.col("sw")))
-    texts = lines.filter("line_id % 3 = 0").select("doc_id", F.concat(F.lit("label"), (F.col("line_id") % 97).cast("string")).alias("label"), (F.col("x1") + 3.0).alias("tx"), (F.col("y1") + 4.0).alias("ty"))
-    return spatial.nearest_label(swatches, texts, ["doc_id"])
+    swatches = lines.withColumn("style_key", scalar.style_key(F.col("stroke"), F.col("dash"), F.col("sw")))
+    texts = lines.select("doc_id", F.concat(F.lit("label"), (F.col("line_id") % 97).cast("string")).alias("label"), (F.col("x1") + 3.0).alias("tx"), (F.col("y1") + 4.0).alias("ty"))
+    return spatial.nearest_label(swatches, texts, ["doc_id"], panels=_panels(spark, sf_dir))
 
 
 @query(
     "attach_legend",
-    _SW + f""", lg AS (SELECT doc_id, style_key, min(label) AS label FROM sw JOIN tx USING (doc_id) WHERE line_id % 7 = 0 GROUP BY ALL),
+    _SW + f""", lg AS (SELECT doc_id, style_key, min(label) AS label FROM sw JOIN (SELECT doc_id, min(label) AS label FROM tx GROUP BY doc_id) USING (doc_id) GROUP BY ALL),
  st AS (SELECT doc_id, lower(stroke) || '|' || {_STYLE} || '|' || sw::INT::VARCHAR AS style_key FROM lines)
  SELECT st.doc_id, style_key, label, count(*) AS n FROM st LEFT JOIN lg USING (doc_id, style_key) GROUP BY ALL""",
 )
 def attach_legend(spark, sf_dir):
     lines = adapters.lines(spark, sf_dir).withColumn("style_key", scalar.style_key(F.col("stroke"), F.col("dash"), F.col("sw")))
-    low = lines.filter("line_id % 3 = 0").groupBy("doc_id").agg(F.min(F.concat(F.lit("label"), (F.col("line_id") % 97).cast("string"))).alias("label"))
-    legend = lines.filter("line_id % 400 < 40 and line_id % 7 = 0").select("doc_id", "style_key").distinct().join(low, "doc_id")
+    low = lines.groupBy("doc_id").agg(F.min(F.concat(F.lit("label"), (F.col("line_id") % 97).cast("string"))).alias("label"))
+    short = scalar.line_length(*[F.col(c) for c in ("x1", "y1", "x2", "y2")]).between(1e-9, 40)
+    legend = lines.filter(short).select("doc_id", "style_key").distinct().join(low, "doc_id")
     return spatial.attach_legend(lines.select("doc_id", "style_key"), legend, ["doc_id"]).groupBy("doc_id", "style_key", "label").agg(F.count("*").alias("n"))
 
 
@@ -147,14 +149,15 @@ _PTS = _L + ", pt AS (SELECT doc_id, (line_id % 3)::INT AS curve_id, x2 AS px, y
 
 @query(
     "assign_censor_ticks",
-    _PTS + """, t AS (SELECT doc_id, line_id, (x1 + x2) / 2.0 AS mx, (y1 + y2) / 2.0 AS my, sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) AS length FROM lines),
- d AS (SELECT t.doc_id, line_id, curve_id, px, py, sqrt((mx - px) * (mx - px) + (my - py) * (my - py)) AS dist FROM t JOIN pt ON t.doc_id = pt.doc_id WHERE length BETWEEN 2 AND 8)
+    _PANELS + _PTS.removeprefix(_L) + """, t AS (SELECT doc_id, line_id, (x1 + x2) / 2.0 AS mx, (y1 + y2) / 2.0 AS my, sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) AS length FROM lines),
+ d AS (SELECT t.doc_id, line_id, curve_id, px, py, sqrt((mx - px) * (mx - px) + (my - py) * (my - py)) AS dist FROM t JOIN pt ON t.doc_id = pt.doc_id WHERE length BETWEEN 2 AND 8
+  AND EXISTS (SELECT 1 FROM panels p WHERE p.doc_id = t.doc_id AND mx BETWEEN xmin AND xmax AND my BETWEEN ymin AND ymax))
  SELECT doc_id, line_id, curve_id, round(dist, 6) AS dist FROM d WHERE dist <= 4 QUALIFY row_number() OVER (PARTITION BY doc_id, line_id ORDER BY dist, curve_id, px, py) = 1""",
 )
 def assign_censor_ticks(spark, sf_dir):
     lines = adapters.lines(spark, sf_dir)
     pts = lines.select("doc_id", (F.col("line_id") % 3).cast("int").alias("curve_id"), F.col("x2").alias("px"), F.col("y2").alias("py"))
-    return spatial.assign_censor_ticks(lines, pts, ["doc_id"]).select("doc_id", "line_id", "curve_id", F.round("dist", 6).alias("dist"))
+    return spatial.assign_censor_ticks(lines, pts, ["doc_id"], panels=_panels(spark, sf_dir)).select("doc_id", "line_id", "curve_id", F.round("dist", 6).alias("dist"))
 
 
 @query(
@@ -180,13 +183,12 @@ def text_in_region(spark, sf_dir):
     return spatial.text_in_region(words, regions, ["doc_id"])
 
 
-_PATH = "WITH " + adapters.POINTS + """, k AS (SELECT figure_id, curve_id, seq, floor(time * 8)::INT AS x, floor((1.0 - survival) * 400.0)::INT AS y FROM points WHERE seq < 40)"""
+_PATH = "WITH " + adapters.POINTS + """, k AS (SELECT figure_id, curve_id, seq, floor(time * 8)::INT AS x, floor((1.0 - survival) * 400.0)::INT AS y FROM points)"""
 
 
-def _paths(spark, sf_dir, most=None):
-    """One path for each curve, of all its points or, as some twins have it, of the first ``most``."""
+def _paths(spark, sf_dir):
+    """One path for each curve."""
     p = adapters.points(spark, sf_dir)
-    p = p if most is None else p.filter(F.col("seq") < most)
     xy = p.select("figure_id", "curve_id", "seq", F.floor(F.col("time") * 8).cast("int").alias("x"), F.floor((F.lit(1.0) - F.col("survival")) * 400.0).cast("int").alias("y"))
     part = F.when(F.col("seq") == 0, F.concat(F.lit("M "), F.col("x").cast("string"), F.lit(" "), F.col("y").cast("string"))).otherwise(
         F.concat(F.lit("H "), F.col("x").cast("string"), F.lit(" V "), F.col("y").cast("string"))
@@ -202,10 +204,10 @@ def _paths(spark, sf_dir, most=None):
  UNION ALL SELECT figure_id, curve_id, (2 * seq)::INT, x::DOUBLE, y::DOUBLE FROM k WHERE seq > 0""",
 )
 def flatten_path(spark, sf_dir):
-    return spatial.flatten_path(_paths(spark, sf_dir, 40), ["figure_id", "curve_id"])
+    return spatial.flatten_path(_paths(spark, sf_dir), ["figure_id", "curve_id"])
 
 
 @query("path_candidates", _PATH + " SELECT figure_id, curve_id, 2 * (count(*) - 1) AS segments FROM k GROUP BY ALL HAVING 2 * (count(*) - 1) >= 20")
 def path_candidates(spark, sf_dir):
-    c = spatial.path_candidates(_paths(spark, sf_dir, 40), ["figure_id", "curve_id"])
+    c = spatial.path_candidates(_paths(spark, sf_dir), ["figure_id", "curve_id"])
     return c.select("figure_id", "curve_id", F.regexp_count("d", F.lit("[LHVlhv]")).cast("long").alias("segments"))

@@ -111,9 +111,9 @@ def raster_column_split(spark, sf_dir):
     return cluster.raster_column_split(dark, ["figure_id"]).withColumn("y", F.round("y", 6))
 
 
-@query("raster_to_vector_coords", _X + " SELECT figure_id, x, y, 10.0 + x / (300.0::DOUBLE / 144.0) AS svg_x, 20.0 + y / (300.0::DOUBLE / 144.0) AS svg_y FROM pixels WHERE g < 16")
+@query("raster_to_vector_coords", _X + " SELECT figure_id, x, y, 10.0 + x / (300.0::DOUBLE / 144.0) AS svg_x, 20.0 + y / (300.0::DOUBLE / 144.0) AS svg_y FROM pixels")
 def raster_to_vector_coords(spark, sf_dir):
-    return cluster.raster_to_vector_coords(adapters.pixels(spark, sf_dir).filter("g < 16").select("figure_id", "x", "y"), 300.0, 144.0, 10.0, 20.0)
+    return cluster.raster_to_vector_coords(adapters.pixels(spark, sf_dir).select("figure_id", "x", "y"), 300.0, 144.0, 10.0, 20.0)
 
 
 @query(
@@ -171,7 +171,7 @@ def kmeans_colors(spark, sf_dir):
 
 @query("auto_k")
 def auto_k(spark, sf_dir):
-    return cluster.auto_k(_vectors(spark, sf_dir), ["figure_id"], most=4, rounds=3)
+    return cluster.auto_k(_vectors(spark, sf_dir), ["figure_id"], most=4, rounds=3, method="combined")
 
 
 @query("cluster_confidence")

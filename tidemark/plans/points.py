@@ -183,7 +183,15 @@ def dedupe_consecutive(spark, sf_dir):
     return shape.dedupe_consecutive(_p(spark, sf_dir), 0.2)
 
 
-@query("step_regularize")
+@query(
+    "step_regularize",
+    _P + f""", o AS (SELECT *, row_number() OVER ({_ORDER}) AS i FROM points),
+ f AS (SELECT figure_id, curve_id, list({{'time': time, 'seq': seq, 'survival': survival}} ORDER BY i) AS pts FROM o GROUP BY ALL),
+ k AS (SELECT figure_id, curve_id, list_reduce(list_transform(pts, lambda x: [x]), lambda a, x: CASE WHEN abs(x[1].time - a[-1].time) < 0.02 AND abs(x[1].survival - a[-1].survival) < 0.02 THEN a
+  WHEN abs(x[1].time - a[-1].time) < abs(x[1].survival - a[-1].survival) THEN list_append(a, {{'time': a[-1].time, 'seq': x[1].seq, 'survival': x[1].survival}})
+  ELSE list_append(a, {{'time': x[1].time, 'seq': x[1].seq, 'survival': a[-1].survival}}) END) AS kept FROM f)
+ SELECT figure_id, curve_id, p.seq AS seq, p.time AS time, p.survival AS survival FROM (SELECT figure_id, curve_id, unnest(kept) AS p FROM k)""",
+)
 def step_regularize(spark, sf_dir):
     return shape.step_regularize(_p(spark, sf_dir), 0.02)
 
@@ -207,22 +215,27 @@ def segment_plateaus(spark, sf_dir):
     return _r(shape.segment_plateaus(_p(spark, sf_dir)), "level")
 
 
-@query(
-    "reconstruct_steps",
-    _PLATEAUS + """, nx AS (SELECT *, lead(level) OVER (PARTITION BY figure_id, curve_id ORDER BY segment) AS nxt FROM pl),
+_REBUILT = _PLATEAUS + """, nx AS (SELECT *, lead(level) OVER (PARTITION BY figure_id, curve_id ORDER BY segment) AS nxt FROM pl),
  c AS (SELECT figure_id, curve_id, (segment * 2)::INT AS seq, t_start AS time, level AS survival FROM nx UNION ALL
   SELECT figure_id, curve_id, (segment * 2 + 1)::INT, t_end, coalesce(nxt, level) FROM nx),
  e AS (SELECT figure_id, curve_id, seq, time, least(1.0, greatest(0.0, min(survival) OVER (PARTITION BY figure_id, curve_id ORDER BY time, seq ROWS UNBOUNDED PRECEDING))) AS survival FROM c),
  o AS (SELECT *, row_number() OVER (PARTITION BY figure_id, curve_id ORDER BY time, seq) AS i FROM e),
  f AS (SELECT figure_id, curve_id, list({'i': i, 'time': time, 'seq': seq, 'survival': survival} ORDER BY i) AS pts FROM o GROUP BY ALL),
- k AS (SELECT figure_id, curve_id, list_reduce(list_transform(pts, lambda x: [x]), lambda a, x: CASE WHEN abs(x[1].survival - a[-1].survival) > 0.005 THEN list_concat(a, x) ELSE a END) AS kept FROM f)
- SELECT figure_id, curve_id, p.seq AS seq, p.time AS time, round(p.survival + 1e-9, 6) AS survival FROM (SELECT figure_id, curve_id, unnest(kept) AS p FROM k)""",
-)
+ k AS (SELECT figure_id, curve_id, list_reduce(list_transform(pts, lambda x: [x]), lambda a, x: CASE WHEN abs(x[1].survival - a[-1].survival) > 0.005 THEN list_concat(a, x) ELSE a END) AS kept FROM f)"""
+
+
+@query("reconstruct_steps", _REBUILT + " SELECT figure_id, curve_id, p.seq AS seq, p.time AS time, round(p.survival + 1e-9, 6) AS survival FROM (SELECT figure_id, curve_id, unnest(kept) AS p FROM k)")
 def reconstruct_steps(spark, sf_dir):
     return _r(shape.reconstruct_steps(_p(spark, sf_dir)), "survival")
 
 
-@query("step_function")
+@query(
+    "step_function",
+    _REBUILT + """, r AS (SELECT figure_id, curve_id, p.seq AS seq, p.time AS time, p.survival AS survival FROM (SELECT figure_id, curve_id, unnest(kept) AS p FROM k)),
+ env2 AS (SELECT figure_id, curve_id, seq, time, least(1.0, greatest(0.0, min(survival) OVER (PARTITION BY figure_id, curve_id ORDER BY time, seq ROWS UNBOUNDED PRECEDING))) AS survival FROM r),
+ l2 AS (SELECT *, time - lag(time) OVER w AS dt, lag(survival) OVER w - survival AS ds FROM env2 WINDOW w AS (PARTITION BY figure_id, curve_id ORDER BY time, seq))
+ SELECT figure_id, curve_id, seq, time, round(survival + 1e-9, 6) AS survival FROM l2 WHERE coalesce(dt > 1e-6 OR ds > 1e-6, true)""",
+)
 def step_function(spark, sf_dir):
     return _r(shape.step_function(_p(spark, sf_dir)), "survival")
 

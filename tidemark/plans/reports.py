@@ -97,10 +97,10 @@ def rebuild_results(spark, sf_dir):
     return r.select("doc_id", "n_figures", F.col("n_curves").cast("long").alias("n_curves"), points.alias("n_points"))
 
 
-@query("keyword_filter", "SELECT doc_id FROM documents WHERE lower(text) SIMILAR TO '(?s).*(kaplan-meier|kaplan meier|survival|oncology|cancer|tumor|tumour|prognosis|time-to-event|the of the).*'")
+@query("keyword_filter", "SELECT doc_id FROM documents WHERE lower(text) SIMILAR TO '(?s).*(kaplan-meier|kaplan meier|survival|oncology|cancer|tumor|tumour|prognosis|time-to-event|license).*'")
 def keyword_filter(spark, sf_dir):
     d = adapters.table(spark, sf_dir, "documents")
-    terms = (*scalar.SURVIVAL_TERMS, "the of the")
+    terms = (*scalar.SURVIVAL_TERMS, "license")
     return d.filter(scalar.keyword_filter(F.lit(""), F.col("text"), terms)).select("doc_id")
 
 

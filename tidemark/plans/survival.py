@@ -113,6 +113,11 @@ def logrank_k_groups(spark, sf_dir):
     return _rounded(survival.logrank_terms(adapters.ipd(spark, sf_dir), ["study_id"], "arm"), "expected")
 
 
+@query("logrank_test")
+def logrank_test(spark, sf_dir):
+    return _rounded(survival.logrank_test(adapters.ipd(spark, sf_dir), ["study_id"], "arm"), "chi2", "p_value")
+
+
 _SCORED = adapters.IPD + ", sc AS (SELECT study_id, time, event, subject_id % 7 AS risk FROM ipd)"
 
 
