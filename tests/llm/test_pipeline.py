@@ -1,6 +1,7 @@
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -8,6 +9,7 @@ from tests.llm.test_decontamination import windows  # noqa: E402
 from tests.llm.test_jaccard_join import brute  # noqa: E402
 from tests.llm.test_quality_rules import measures  # noqa: E402
 from tidemark.llm import decontamination as dc  # noqa: E402
+from tidemark.llm.common import materialize  # noqa: E402
 
 
 def test_stages_on_whole_table(spark, sf_dir, tmp_path):
@@ -44,3 +46,19 @@ def test_stages_on_whole_table(spark, sf_dir, tmp_path):
     assert len(rows) == n
     for s in range(8):
         assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
+
+
+def test_awkward_rows_pass_every_stage(spark, sf_dir):
+    """Nulls, empty and long texts, repeated rows and clashing names; then an empty table."""
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
+    odd = [(None, None, None, None, None), (1, "", "en", "a", 0), (1, "", "en", "a", 0), (None, "word " * 30_000, None, None, 5), (7, "é", "xx", "b", 1)]
+    docs = table.unionByName(spark.createDataFrame(odd, table.schema))
+    for c in ("row", "id", "key", "label", "copy", "size", "group", "ref_chars", "__c", "of"):
+        docs = docs.withColumn(c, F.lit(1))
+    for start in (docs, docs.limit(0)):
+        step = start
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, step, sf_dir)
+            assert name == "sharding" or out.columns == docs.columns
+            step = materialize(out, "step")
+            assert step.count() <= 3 * max(1, start.count())
