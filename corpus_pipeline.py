@@ -3,6 +3,12 @@
 Each stage takes ``(spark, docs, sf_dir)`` and works on all rows its predecessor
 kept. All but the last return the columns of documents; the mixture repeats a
 document as often as it is taken, so later stages see repeated rows.
+
+Defined cases: a null or empty text fails the quality rules; of rows with one
+doc_id, or none, those with different texts are different documents and equal
+ones are copies; ties go to the smallest doc_id, nulls last; a very long text is
+worked on whole in every stage; other columns may have any name and are kept; on
+an empty table every stage returns none.
 """
 
 from __future__ import annotations
