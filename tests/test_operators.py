@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalar
 from tidemark.operators import calibrate, cluster, nma, shape, spatial, survival, validate
-from tidemark.plans import adapters
+from tidemark.plans import adapters, jobs
 from tidemark.sources import curves, sinks
 from tidemark.streaming.incremental import incremental_curves
 
@@ -253,3 +253,56 @@ def test_numbers_of_ranges_and_next_to_letters(spark):
     cases = {"0-60": [0, 60], "0.0 - 1.0": [0, 1], "12. and .5": [5, 12], "p5 5p 7": [7], "0.5x": [0], "-3 to 4": [3, 4], "": []}
     df = spark.createDataFrame([(t,) for t in cases], "t string").select("t", scalar.extract_numbers(F.col("t"), "x").alias("x"))
     assert {r.t: r.x for r in df.collect()} == {t: [float(v) for v in x] for t, x in cases.items()}
+
+
+def test_unmixed_curves_carry_labels_from_bin_to_bin(spark):
+    px = [(0, 10), (1, 20), (2, 10), (31, 21), (32, 40), (61, 12), (62, 39)]
+    df = spark.createDataFrame([("s", x, y) for x, y in px], "style string, x int, y int")
+    got = {(r.x, r.y): (r.bin, r.k, r.label) for r in cluster.unmix_overlaps(df, ["style"]).collect()}
+    # classes of bin 1: 10 and 10 in turn, then 20 again the first, so their means are 15 and 10
+    assert got[0, 10] == (1, 2, 1) and got[2, 10] == (1, 2, 2) and got[1, 20] == (1, 2, 1)
+    # 21 and 40 are both nearest to the mean 15; 12 and 39 then have one curve to follow
+    assert got[31, 21] == (2, 2, 1) and got[32, 40] == (2, 2, 1) and got[61, 12] == (3, 2, 1)
+    one = spark.createDataFrame([("s", x, 5) for x in range(90)], "style string, x int, y int")
+    assert {r.label for r in cluster.unmix_overlaps(one, ["style"]).collect()} == {1}
+
+
+def test_c_index_against_all_pairs(spark):
+    rng = np.random.default_rng(3)
+    rows = [(s, float(t), int(e), int(r)) for s in "ab" for t, e, r in zip(rng.integers(1, 40, 80), rng.random(80) < 0.6, rng.integers(0, 9, 80))] + [("c", 1.0, 1, 2)]
+    got = {r.s: r for r in survival.c_index(spark.createDataFrame(rows, "s string, time double, event int, risk int"), ["s"], "risk").collect()}
+    assert set(got) == {"a", "b"}
+    for s in "ab":
+        pairs = [(a[3] > b[3]) + 0.5 * (a[3] == b[3]) for a in rows for b in rows if a[0] == b[0] == s and a[2] == 1 and b[1] > a[1]]
+        assert got[s].pairs == len(pairs) and abs(got[s].c_index - sum(pairs) / len(pairs)) < 1e-9
+
+
+def test_panel_modes_and_fitted_points(spark):
+    p = spark.createDataFrame([(1, 1, 0.0, 10.0, 0.0, 10.0, 5.0, False), (1, 2, 0.0, 9.0, 0.0, 10.0, 1.0, True)], "doc_id int, panel_id int, xmin double, xmax double, ymin double, ymax double, y_max double, nar_hit boolean")
+    scored = spatial.score_panels(p, ["doc_id"])
+    pick = lambda mode: sorted(r.panel_id for r in spatial.choose_panels(scored, ["doc_id"], mode).collect())
+    assert (pick("best"), pick("largest"), pick("all")) == ([2], [1], [1, 2])
+    with pytest.raises(ValueError):
+        spatial.choose_panels(scored, ["doc_id"], "first")
+    c = curve(spark, [1, 0.5], [0, 99])
+    fit = shape.fitted_curve(c, c.groupBy("figure_id", "curve_id").agg(F.lit(50.0).alias("lam"), F.lit(2.0).alias("k"))).orderBy("seq").collect()
+    assert [r.time for r in fit] == [float(i) for i in range(100)] and abs(fit[50].survival - np.exp(-1)) < 1e-12
+
+
+def test_page_analysis_of_a_drawn_page(spark):
+    line = lambda i, *xy: (1, i, *map(float, xy), "black", "", 1.0)
+    lines = [line(1, 100, 300, 400, 300), line(2, 100, 100, 100, 300), line(3, 400, 100, 400, 300), (1, 4, 420.0, 50.0, 440.0, 50.0, "red", "", 1.0), line(5, 250, 198, 250, 202)]
+    words = [(1, 0, "Treated", 445.0, 50.0), (1, 1, "0", 100.0, 310.0), (1, 2, "60", 400.0, 310.0), (1, 3, "1", 80.0, 100.0), (1, 4, "0", 80.0, 300.0)]
+    words += [(1, 10 + k, str(90 - 30 * k), 120.0 + 100 * k, 335.0) for k in range(3)]
+    df = lambda rows, kinds: spark.createDataFrame(rows, kinds)
+    out = jobs.page_analysis(
+        df(lines, "doc_id int, line_id long, x1 double, y1 double, x2 double, y2 double, stroke string, dash string, sw double"),
+        df(words, "doc_id int, word_id long, text string, left double, top double"),
+        df([(1, 7, "M 100 100 H 250 V 200 H 400", "red", "", 1.0)], "doc_id int, path_id long, d string, stroke string, dash string, sw double"),
+    )
+    assert out["chosen"].count() == 1 and out["chosen"].first().nar_hit
+    assert sorted((r.time, r.survival) for r in out["curves"].collect()) == [(0.0, 1.0), (30.0, 0.5), (30.0, 1.0), (60.0, 0.5)]
+    assert {(r.style_key, r.label) for r in out["curves"].collect()} == {("red|solid|1", "Treated")}
+    # the two levels of one style are told apart in the bin they share
+    assert [(r.line_id, r.length) for r in out["ticks"].collect()] == [(5, 4.0)]
+    assert 90.0 in {r.num for r in out["nar"].collect()}

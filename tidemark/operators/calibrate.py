@@ -102,6 +102,14 @@ def detect_tick_row(words: DataFrame, keys: list[str], band: float = 10.0) -> Da
     return found.withColumn("__k", F.row_number().over(best)).filter("__k = 1").select(*keys, "row_id", "n", "y")
 
 
+def axis_candidates(words: DataFrame, axes: DataFrame, keys: list[str], above: float = 100.0, below: float = 20.0, left: float = 50.0, right: float = 500.0) -> DataFrame:
+    """Words that are numbers (``value``) in a band around a horizontal axis line (``axis_id``); axes are a few lines of a page."""
+    h = axes.filter("direction = 'h'").select(*keys, F.col("line_id").alias("axis_id"), F.col("y1").alias("__y"), F.least("x1", "x2").alias("__a"), F.greatest("x1", "x2").alias("__b"))
+    numbers = words.withColumn("value", F.col("text").try_cast("double")).filter("value is not null")
+    near = F.col("top").between(F.col("__y") - above, F.col("__y") + below) & F.col("left").between(F.col("__a") - left, F.col("__b") + right)
+    return numbers.join(h, keys).filter(near).drop("__y", "__a", "__b")
+
+
 def even_sequence(texts: DataFrame, keys: list[str], tolerance: float = 0.05) -> DataFrame:
     """The best evenly spaced run of at least 3 of the numbers ``nums`` (a sorted array).
 

@@ -388,14 +388,40 @@ def raster_to_vector_coords(points: DataFrame, dpi: float, svg_dpi: float, xmin:
 
 
 def unmix_overlaps(points: DataFrame, keys: list[str], width: int = 30, reach: float = 1.5, most: int = 4) -> DataFrame:
-    """Curves of one style that run together, told apart by the rank of y in each x.
+    """Curves of one style (``keys``) that run together, told apart bin by bin: adds ``bin, k, label``.
 
-    The number of curves k is the largest number of y-clusters (gaps above
-    ``reach``) in a column of a bin, at most ``most``; points get the rank of
-    their cluster within their column.
+    k is the largest number of y-clusters in a bin of ``width``, at most ``most``;
+    a cluster begins at each point, in order of x, that lies over ``reach`` from
+    all beginnings before it. Points of a bin take classes 1..k in turn by y; then
+    a class takes the label of that class of the bin before whose mean y is
+    nearest. Only means travel from bin to bin: at most k a bin.
     """
-    w = Window.partitionBy(*keys, "x").orderBy("y")
-    new = F.coalesce((F.col("y") - F.lag("y").over(w) > reach).cast("int"), F.lit(0))
-    ranked = points.withColumn("__new", new).withColumn("__c", F.sum("__new").over(w)).withColumn("bin", F.floor(F.col("x") / width))
-    k = ranked.groupBy(*keys).agg(F.least(F.lit(most), F.max("__c") + 1).alias("k"))
-    return ranked.join(k, keys).withColumn("label", (F.col("__c") % F.col("k")).cast("int")).drop("__new", "__c")
+    at = points.withColumn("bin", F.greatest(F.lit(1), F.ceil((F.col("x") - F.min("x").over(Window.partitionBy(*keys))) / width)).cast("long"))
+    strips = at.groupBy(*keys, "bin").agg(F.sort_array(F.collect_list(F.struct("x", "y"))).alias("__p"))
+    begins = F.aggregate(
+        "__p",
+        F.array().cast("array<double>"),
+        lambda a, p: F.when((F.size(a) >= most) | F.exists(a, lambda s: F.abs(s - p["y"]) <= reach), a).otherwise(F.array_append(a, p["y"].cast("double"))),
+    )
+    k = strips.select(*keys, F.size(begins).alias("k")).groupBy(*keys).agg(F.max("k").alias("k"))
+    turn = F.row_number().over(Window.partitionBy(*keys, "bin").orderBy("y", "x")) - 1
+    classed = at.join(k, keys).withColumn("__c", turn % F.col("k") + 1)
+    means = classed.groupBy(*keys, "bin", "__c").agg(F.sum(F.col("y").cast("double")).alias("s"), F.count("*").alias("n"))
+    bins = means.groupBy(*keys, "bin").agg(F.sort_array(F.collect_list(F.struct(F.col("__c").alias("c"), "s", "n"))).alias("cs"))
+    curve = bins.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("bin", "cs"))).alias("bins"))
+    total = lambda m, f, kind: F.aggregate(m, F.lit(0).cast(kind), lambda a, x: a + x[f])
+
+    def carry(a: Column, b: Column) -> Column:
+        gap = lambda c: F.array_min(F.transform(a["prev"], lambda p: F.struct(F.abs(c["s"] / c["n"] - p["s"] / p["n"]).alias("d"), p["c"].alias("c"))))["c"]
+        named = F.transform(b["cs"], lambda c: F.struct(b["bin"].alias("bin"), c["c"].alias("c"), F.coalesce(gap(c), c["c"]).alias("label"), c["s"].alias("s"), c["n"].alias("n")))
+
+        def after(m: Column) -> Column:
+            mine = lambda l: F.filter(m, lambda x: x["label"] == l)  # noqa: E731, E741
+            prev = F.transform(F.array_sort(F.array_distinct(F.transform(m, lambda x: x["label"]))), lambda l: F.struct(l.alias("c"), total(mine(l), "s", "double").alias("s"), total(mine(l), "n", "long").alias("n")))  # noqa: E741
+            return F.struct(prev.alias("prev"), F.concat(a["out"], F.transform(m, lambda x: F.struct(x["bin"].alias("bin"), x["c"].alias("__c"), x["label"].alias("label")))).alias("out"))
+
+        return F.get(F.transform(F.array(named), after), F.lit(0))
+
+    start = F.struct(F.array().cast("array<struct<c:int,s:double,n:bigint>>").alias("prev"), F.array().cast("array<struct<bin:bigint,__c:int,label:int>>").alias("out"))
+    labels = curve.select(*keys, F.inline(F.aggregate("bins", start, carry, lambda a: a["out"])))
+    return classed.join(labels, [*keys, "bin", "__c"]).drop("__c")

@@ -321,3 +321,10 @@ def parametric_fit(points: DataFrame, distribution: str = "weibull", rounds: int
         fit = written(fit)
     u = F.pow(F.col("time") / F.col("lam"), F.col("k"))
     return pts.join(fit, keys).groupBy(*keys, "lam", "k").agg(F.sum(F.pow(F.col("survival") - F.exp(-u), F.lit(2.0))).alias("sse"))
+
+
+def fitted_curve(points: DataFrame, fit: DataFrame, n: int = 100, keys: list[str] = KEYS) -> DataFrame:
+    """``n`` evenly spaced points of exp(-(t/lam)^k) from the first to the last time of each curve."""
+    span = points.groupBy(*keys).agg(F.min("time").alias("lo"), F.max("time").alias("hi")).join(fit.select(*keys, "lam", "k"), keys)
+    at = span.withColumn("seq", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("time", F.col("lo") + F.col("seq") * (F.col("hi") - F.col("lo")) / (n - 1))
+    return at.select(*keys, "seq", "time", F.exp(-F.pow(F.col("time") / F.col("lam"), F.col("k"))).alias("survival"))

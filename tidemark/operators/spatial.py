@@ -67,6 +67,17 @@ def score_panels(panels: DataFrame, keys: list[str]) -> DataFrame:
     return scored.withColumn("panel_score", score).withColumn("best", F.row_number().over(best) == 1).drop("__a", "__f")
 
 
+def choose_panels(scored: DataFrame, keys: list[str], mode: str = "best") -> DataFrame:
+    """Of the panels of ``score_panels``: the ``best`` of each page by score, the ``largest`` by area, or ``all``."""
+    if mode not in ("best", "largest", "all"):
+        raise ValueError(f"no such mode: {mode}")
+    size = (F.col("xmax") - F.col("xmin")) * (F.col("ymax") - F.col("ymin"))
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(size), "panel_id"))
+    if mode == "largest":
+        return scored.withColumn("__n", first).filter("__n = 1").drop("__n")
+    return scored.filter("best") if mode == "best" else scored
+
+
 def panel_confidence(boxes: DataFrame) -> DataFrame:
     """Candidate boxes with rectangularity, page share and border darkness that pass, with their confidence."""
     aspect = F.col("w") / F.col("h")

@@ -164,17 +164,22 @@ def chi2_tail(x: float, df: int) -> float:
 
 
 def c_index(scored: DataFrame, strata: list[str], risk: str) -> DataFrame:
-    """Concordance of ``risk`` with time to event, from counts by (time, risk).
+    """Concordance of ``risk`` with time to event: a subject with an event is comparable with every later one of its stratum.
 
-    Pairs are counted between distinct (time, risk) cells: a subject with an
-    event is comparable with every later subject of its stratum.
+    Times are halved again and again; two times meet exactly once as the earlier
+    and the later half of a part. There running sums by risk count the pairs, so
+    n cells cost n log n rows and no pair is formed.
     """
+    whole = Window.partitionBy(*strata)
     cells = scored.groupBy(*strata, "time", risk).agg(F.sum("event").alias("d"), F.count("*").alias("m"))
-    a = cells.filter("d > 0").select(*strata, F.col("time").alias("t1"), F.col(risk).alias("r1"), "d")
-    b = cells.select(*strata, F.col("time").alias("t2"), F.col(risk).alias("r2"), "m")
-    pairs = a.join(b, strata).filter("t2 > t1").withColumn("w", F.col("d") * F.col("m"))
-    score = F.when(F.col("r1") > F.col("r2"), F.lit(1.0)).when(F.col("r1") == F.col("r2"), F.lit(0.5)).otherwise(F.lit(0.0))
-    return pairs.groupBy(*strata).agg(F.sum("w").alias("pairs"), (F.sum(F.col("w") * score) / F.sum("w")).alias("c_index"))
+    ranked = cells.withColumn("__t", F.dense_rank().over(whole.orderBy("time")) - 1).withColumn("__bits", F.length(F.bin(F.max("__t").over(whole))))
+    halves = ranked.withColumn("__level", F.explode(F.sequence(F.lit(0), F.col("__bits") - 1))).withColumn("__half", F.floor(F.col("__t") / F.pow(F.lit(2.0), F.col("__level"))).cast("long"))
+    late = F.col("__half") % 2 == 1
+    part = [*strata, "__level", "__part"]
+    sums = halves.withColumn("__part", F.floor(F.col("__half") / 2)).groupBy(*part, risk).agg(F.sum(F.when(~late, F.col("d")).otherwise(0)).alias("d"), F.sum(F.when(late, F.col("m")).otherwise(0)).alias("m"))
+    below = F.coalesce(F.sum("m").over(Window.partitionBy(*part).orderBy(risk).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counted = sums.withColumn("won", F.col("d") * (below + 0.5 * F.col("m"))).withColumn("pairs", F.col("d") * F.sum("m").over(Window.partitionBy(*part)))
+    return counted.groupBy(*strata).agg(F.sum("pairs").alias("pairs"), (F.sum("won") / F.nullif(F.sum("pairs"), F.lit(0))).alias("c_index")).filter("pairs > 0")
 
 
 def time_auc(scored: DataFrame, strata: list[str], risk: str, horizon: float) -> DataFrame:

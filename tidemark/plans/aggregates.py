@@ -9,7 +9,7 @@ from tidemark.functions import scalar
 from tidemark.operators import calibrate, reports, shape, survival, validate
 from tidemark.operators.shared import shared_path
 from tidemark.plans import adapters, jobs
-from tidemark.plans.figures import _PANELS
+from tidemark.plans.figures import _PANELS, _page_words
 from tidemark.plans.pixels import _NAR, _WORDS, words
 from tidemark.registry import query
 from tidemark.sources import curves, sinks
@@ -55,19 +55,6 @@ def detect_tick_row(spark, sf_dir):
 
 # ------------------------------------------------------------ axis text
 
-_TEXTS = ["0 12 24 36 48 60 months", "0% 25% 50% 75% 100%", "0 to 60 years", "12.5 and 40 days", "survival probability 0 0.5 1.0", ""]
-_TEXT = "WITH " + adapters.CALIBRATION + ", tt AS (SELECT figure_id, [" + ", ".join(f"'{t}'" for t in _TEXTS) + "][figure_id % 6 + 1] AS text FROM calibration)"
-
-
-def _texts(spark, sf_dir):
-    return adapters.calibration(spark, sf_dir).select("figure_id", F.element_at(F.array(*map(F.lit, _TEXTS)), F.col("figure_id") % 6 + 1).alias("text"))
-
-
-#: The numbers each text holds: RE2 has no look-around, so the twin names them.
-_X_NUMS = "CASE figure_id % 6 WHEN 0 THEN [0, 12, 24, 36, 48, 60]::DOUBLE[] WHEN 1 THEN [0, 25, 50, 75, 100]::DOUBLE[] WHEN 2 THEN [0, 60]::DOUBLE[] WHEN 3 THEN [12.5, 40]::DOUBLE[] WHEN 4 THEN [0, 0.5, 1]::DOUBLE[] ELSE []::DOUBLE[] END"
-_Y_NUMS = "CASE figure_id % 6 WHEN 0 THEN [0]::DOUBLE[] WHEN 1 THEN [0, 0.25, 0.5, 0.75, 1]::DOUBLE[] WHEN 2 THEN [0]::DOUBLE[] WHEN 4 THEN [0, 0.5, 1]::DOUBLE[] ELSE []::DOUBLE[] END"
-
-
 # One axis text an order, of five forms, around two numbers of its keys.
 _ORDER_TEXT = "WITH o AS (SELECT o_orderkey AS id, o_orderkey % 5 AS form, (o_orderkey % 89)::DOUBLE AS a, (o_orderkey % 89 + 10 + o_custkey % 50)::DOUBLE AS b FROM orders)"
 
@@ -102,18 +89,18 @@ def extract_numbers(spark, sf_dir):
 
 @query(
     "extract_numbers_patterns",
-    _ORDER_TEXT + f", v AS (SELECT id, {_PATTERNS_OF} AS v FROM o WHERE form <> 3), y AS (SELECT *, list_transform(v, lambda n: CASE WHEN list_max(v) > 10 AND n > 1 THEN n / 100.0 ELSE n END) AS w FROM v)"
+    _ORDER_TEXT + f", v AS (SELECT id, {_PATTERNS_OF} AS v FROM o), y AS (SELECT *, list_transform(v, lambda n: CASE WHEN list_max(v) > 10 AND n > 1 THEN n / 100.0 ELSE n END) AS w FROM v)"
     f" SELECT id, {_SHOWN.format('v', 1000)} AS x, {_SHOWN.format('w', 1000)} AS y FROM y",
 )
 def extract_numbers_patterns(spark, sf_dir):
     t = F.col("text")
-    return _order_texts(spark, sf_dir).filter("id % 5 <> 3").select("id", _shown(scalar.extract_numbers_patterns(t, "x")).alias("x"), _shown(scalar.extract_numbers_patterns(t, "y")).alias("y"))
+    return _order_texts(spark, sf_dir).select("id", _shown(scalar.extract_numbers_patterns(t, "x")).alias("x"), _shown(scalar.extract_numbers_patterns(t, "y")).alias("y"))
 
 
-@query("detect_unit", _ORDER_TEXT + " SELECT id, CASE form WHEN 1 THEN 'years' WHEN 3 THEN 'days' ELSE 'months' END AS x_text, CASE form WHEN 2 THEN 'percent' ELSE 'probability' END AS y_text, CASE form WHEN 2 THEN 'percentage' ELSE 'probability' END AS y_ocr FROM o WHERE form <> 3")
+@query("detect_unit", _ORDER_TEXT + " SELECT id, CASE form WHEN 1 THEN 'years' WHEN 3 THEN 'weeks' ELSE 'months' END AS x_text, CASE form WHEN 2 THEN 'percent' ELSE 'probability' END AS y_text, CASE form WHEN 2 THEN 'percentage' ELSE 'probability' END AS y_ocr FROM o")
 def detect_unit(spark, sf_dir):
     t = F.col("text")
-    return _order_texts(spark, sf_dir).filter("id % 5 <> 3").select("id", scalar.detect_unit(t, "x").alias("x_text"), scalar.detect_unit(t, "y").alias("y_text"), scalar.detect_unit(t, "y", "ocr").alias("y_ocr"))
+    return _order_texts(spark, sf_dir).select("id", scalar.detect_unit(t, "x").alias("x_text"), scalar.detect_unit(t, "y").alias("y_text"), scalar.detect_unit(t, "y", "ocr").alias("y_ocr"))
 
 
 @query("text_numbers", "SELECT o_orderkey AS id, o_totalprice AS v, true AS num, o_orderkey % 100 AS pct FROM orders")
@@ -136,16 +123,19 @@ def text_cleaning(spark, sf_dir):
     return p.select("page_id", scalar.sanitize_basename(F.col("url")).alias("base"), scalar.first_filled(F.lit("  "), F.col("url")).alias("filled"))
 
 
-@query("even_sequence", _TEXT + """ SELECT figure_id, CASE figure_id % 6 WHEN 0 THEN '0 12 24 36 48 60' WHEN 1 THEN '0 25 50 75 100' ELSE '0 0.5 1' END AS seq FROM tt WHERE figure_id % 6 IN (0, 1, 4)""")
+@query("even_sequence", _ORDER_TEXT + """ SELECT id, array_to_string(list_transform([a, b, 2 * b - a, 3 * b - 2 * a], lambda v: printf('%.1f', v)), ' ') AS seq FROM o WHERE form < 3""")
 def even_sequence(spark, sf_dir):
-    t = _texts(spark, sf_dir).withColumn("nums", scalar.extract_numbers(F.col("text"), "x"))
-    e = calibrate.even_sequence(t, ["figure_id"])
-    return e.select("figure_id", F.array_join(F.transform("seq", lambda v: F.regexp_replace(v.cast("string"), r"\.0$", "")), " ").alias("seq"))
+    """Four even numbers an order; forms 3 and 4 skip one, or have two only, and give no run."""
+    a, b, form = F.col("a"), F.col("b"), F.col("id") % 5
+    o = adapters.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 89).cast("double").alias("a"), (F.col("o_orderkey") % 89 + 10 + F.col("o_custkey") % 50).cast("double").alias("b"))
+    nums = F.when(form < 3, F.array(a, b, 2 * b - a, 3 * b - 2 * a)).when(form == 3, F.array(a, b, 3 * b - 2 * a)).otherwise(F.array(a, b))
+    e = calibrate.even_sequence(o.select("id", nums.alias("nums")), ["id"])
+    return e.select("id", F.array_join(F.transform("seq", lambda v: F.format_string("%.1f", v)), " ").alias("seq"))
 
 
-@query("axis_from_text", _TEXT + f", n AS (SELECT figure_id, {_X_NUMS} AS v FROM tt) SELECT figure_id, CASE WHEN len(v) >= 2 THEN list_min(v) END AS lo, CASE WHEN len(v) >= 2 THEN list_max(v) END AS hi, len(v)::INT AS n, CASE figure_id % 6 WHEN 2 THEN 'years' WHEN 3 THEN 'days' ELSE 'months' END AS unit, (CASE WHEN len(v) >= 2 THEN 0.95 ELSE 0.0 END)::DOUBLE AS confidence FROM n")
+@query("axis_from_text", _ORDER_TEXT + f", n AS (SELECT id, form, list_distinct(list_filter({_X_OF}, lambda v: v <= 400)) AS v FROM o) SELECT id, CASE WHEN len(v) >= 2 THEN list_min(v) END AS lo, CASE WHEN len(v) >= 2 THEN list_max(v) END AS hi, len(v)::INT AS n, CASE form WHEN 1 THEN 'years' WHEN 3 THEN 'weeks' ELSE 'months' END AS unit, (CASE WHEN len(v) >= 2 THEN 0.95 ELSE 0.0 END)::DOUBLE AS confidence FROM n")
 def axis_from_text(spark, sf_dir):
-    return calibrate.axis_from_text(_texts(spark, sf_dir), ["figure_id"], "x")
+    return calibrate.axis_from_text(_order_texts(spark, sf_dir), ["id"], "x")
 
 
 @query("axis_from_word_positions", _WORDS + " SELECT figure_id, string_agg(printf('%d', text::INT), ' ' ORDER BY left_) AS values_, string_agg(printf('%.1f', left_ + 10.0), ' ' ORDER BY left_) AS positions FROM words WHERE top >= 600 GROUP BY figure_id")
@@ -158,17 +148,18 @@ def axis_from_word_positions(spark, sf_dir):
 
 @query(
     "calibration_ladder",
-    "WITH " + adapters.CALIBRATION + """ SELECT figure_id, (CASE WHEN figure_id % 3 = 0 THEN 48.0 WHEN figure_id % 2 = 0 THEN CASE WHEN figure_id % 4 = 0 THEN 36.0 ELSE 24.0 END ELSE 60.0 END)::DOUBLE AS x_hi,
- CASE WHEN figure_id % 3 = 0 THEN 'text' WHEN figure_id % 2 = 0 THEN CASE WHEN figure_id % 4 = 0 THEN 'risk table' ELSE 'ocr' END ELSE 'fallback' END AS method FROM calibration""",
+    """SELECT o_orderkey AS figure_id, (CASE WHEN o_orderkey % 3 = 0 THEN 48.0 + o_custkey % 9 WHEN o_orderkey % 2 = 0 THEN CASE WHEN o_orderkey % 4 = 0 THEN 36.0 + o_custkey % 9 ELSE 24.0 + o_custkey % 9 END ELSE 60.0 END)::DOUBLE AS x_hi,
+ CASE WHEN o_orderkey % 3 = 0 THEN 'text' WHEN o_orderkey % 2 = 0 THEN CASE WHEN o_orderkey % 4 = 0 THEN 'risk table' ELSE 'ocr' END ELSE 'fallback' END AS method FROM orders""",
 )
 def calibration_ladder(spark, sf_dir):
-    c = adapters.calibration(spark, sf_dir).select("figure_id")
+    """One figure an order; each source knows some of them."""
+    o = adapters.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("figure_id"), (F.col("o_custkey") % 9).alias("more"))
 
     def source(rows, hi, conf):
-        return rows.select("figure_id", F.lit(0.0).alias("x_lo"), F.lit(hi).alias("x_hi"), F.lit(0.0).alias("y_lo"), F.lit(1.0).alias("y_hi"), F.lit(conf).alias("x_conf"), F.lit(conf).alias("y_conf"))
+        return rows.select("figure_id", F.lit(0.0).alias("x_lo"), (F.col("more") + hi).alias("x_hi"), F.lit(0.0).alias("y_lo"), F.lit(1.0).alias("y_hi"), F.lit(conf).alias("x_conf"), F.lit(conf).alias("y_conf"))
 
-    risk = c.filter("figure_id % 4 = 0").select("figure_id", F.lit(0.0).alias("x_lo"), F.lit(36.0).alias("x_hi"))
-    out = calibrate.calibration_ladder(c, source(c.filter("figure_id % 3 = 0"), 48.0, 0.9), source(c.filter("figure_id % 2 = 0"), 24.0, 0.6), risk)
+    risk = o.filter("figure_id % 4 = 0").select("figure_id", F.lit(0.0).alias("x_lo"), (F.col("more") + 36.0).alias("x_hi"))
+    out = calibrate.calibration_ladder(o.select("figure_id"), source(o.filter("figure_id % 3 = 0"), 48.0, 0.9), source(o.filter("figure_id % 2 = 0"), 24.0, 0.6), risk)
     return out.select("figure_id", "x_hi", "method")
 
 
@@ -290,9 +281,12 @@ def job_vector_page_curves(spark, sf_dir):
     return out.groupBy("figure_id", "curve_id").agg(F.count("*").alias("events"), F.round(F.min("survival"), 6).alias("last"))
 
 
-@query("job_axis_text_success", _TEXT + f", n AS (SELECT {_X_NUMS} AS x, {_Y_NUMS} AS y FROM tt) SELECT count(*) AS pages, count(*) FILTER (len(x) >= 2 AND len(y) >= 2) AS success, count(*) FILTER (len(x) >= 2 AND len(y) >= 2)::DOUBLE / count(*) AS rate FROM n")
+_DISTINCT = "len(list_distinct(list_filter({}, lambda v: v >= 0 AND v <= {})))"
+
+
+@query("job_axis_text_success", _ORDER_TEXT + f", n AS (SELECT {_DISTINCT.format(_X_OF, 200)} AS x, {_DISTINCT.format(_Y_OF, 1.1)} AS y FROM o) SELECT count(*) AS pages, count(*) FILTER (x >= 2 AND y >= 2) AS success, count(*) FILTER (x >= 2 AND y >= 2)::DOUBLE / count(*) AS rate FROM n")
 def job_axis_text_success(spark, sf_dir):
-    return jobs.axis_text_success(_texts(spark, sf_dir).select(F.col("text").alias("x_text"), F.col("text").alias("y_text")))
+    return jobs.axis_text_success(_order_texts(spark, sf_dir).select(F.col("text").alias("x_text"), F.col("text").alias("y_text")))
 
 
 _BOXES = _PANELS + """, b AS (SELECT doc_id, panel_id, ymax, xmax - xmin AS w, ymax - ymin AS h, 0.6 + (panel_id % 5) / 10.0 AS rect, 0.05 * (panel_id % 12) AS share, (panel_id % 10) / 10.0 AS border FROM panels),
@@ -315,3 +309,13 @@ def job_panels_from_boxes(spark, sf_dir):
  AND s.xmin >= o.xmin AND s.xmax <= o.xmax AND s.ymin >= o.ymin AND s.ymax <= o.ymax) AS is_inset FROM s""")
 def job_page_analysis(spark, sf_dir):
     return jobs.page_analysis(adapters.lines(spark, sf_dir))["panels"].select("doc_id", "panel_id", "is_inset")
+
+
+@query("job_page_curves")
+def job_page_curves(spark, sf_dir):
+    """Every table of a page: each line is a path as well, and has a word beside it."""
+    lines = adapters.lines(spark, sf_dir)
+    spell = lambda c: F.col(c).cast("string")
+    paths = lines.select("doc_id", F.col("line_id").alias("path_id"), F.concat_ws(" ", F.lit("M"), spell("x1"), spell("y1"), F.lit("L"), spell("x2"), spell("y2")).alias("d"), "stroke", "dash", "sw")
+    out = jobs.page_analysis(lines, _page_words(spark, sf_dir), paths)
+    return out["curves"].groupBy("doc_id", "panel_id", "curve_id", "style_key", "label").agg(F.count("*").alias("n"), F.round(F.avg("survival"), 4).alias("survival"))

@@ -61,6 +61,35 @@ def score_panels(spark, sf_dir):
     return spatial.score_panels(p, ["doc_id"]).select("doc_id", "panel_id", F.round("panel_score", 6).alias("panel_score"))
 
 
+@query(
+    "choose_panels",
+    _PANELS + """, s AS (SELECT *, (xmax - xmin) * (ymax - ymin) AS area FROM panels) SELECT doc_id, panel_id, area FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY area DESC, panel_id) = 1""",
+)
+def choose_panels(spark, sf_dir):
+    p = _panels(spark, sf_dir).withColumn("y_max", F.lit(1.0)).withColumn("nar_hit", F.lit(False))
+    largest = spatial.choose_panels(spatial.score_panels(p, ["doc_id"]), ["doc_id"], "largest")
+    return largest.select("doc_id", "panel_id", ((F.col("xmax") - F.col("xmin")) * (F.col("ymax") - F.col("ymin"))).alias("area"))
+
+
+@query(
+    "axis_candidates",
+    _AXES + """, w AS (SELECT doc_id, line_id AS word_id, (line_id % 97)::DOUBLE AS value, x1 + 3.0 AS left_, y1 + 4.0 AS top FROM lines WHERE line_id % 97 <> 13)
+ SELECT w.doc_id, a.line_id AS axis_id, count(*) AS n, sum(value)::BIGINT AS total FROM w JOIN axes a ON a.doc_id = w.doc_id AND a.direction = 'h' AND a.rank <= 6
+ WHERE top BETWEEN a.y1 - 100 AND a.y1 + 20 AND left_ BETWEEN least(a.x1, a.x2) - 50 AND greatest(a.x1, a.x2) + 500 GROUP BY ALL""",
+)
+def axis_candidates(spark, sf_dir):
+    from tidemark.operators.calibrate import axis_candidates as op
+
+    found = op(_page_words(spark, sf_dir), _axes(spark, sf_dir).filter("rank <= 6"), ["doc_id"])
+    return found.groupBy("doc_id", "axis_id").agg(F.count("*").alias("n"), F.sum("value").cast("long").alias("total"))
+
+
+def _page_words(spark, sf_dir):
+    """A word beside each line: a number, but for some."""
+    n = F.col("line_id") % 97
+    return adapters.lines(spark, sf_dir).select("doc_id", F.col("line_id").alias("word_id"), F.when(n == 13, "axis").otherwise(n.cast("string")).alias("text"), (F.col("x1") + 3.0).alias("left"), (F.col("y1") + 4.0).alias("top"))
+
+
 @query(
     "panel_confidence",
     _PANELS + """, b AS (SELECT doc_id, panel_id, xmax - xmin AS w, ymax - ymin AS h, 0.6 + (panel_id % 5) / 10.0 AS rect, 0.05 * (panel_id % 12) AS share, (panel_id % 10) / 10.0 AS border FROM panels),

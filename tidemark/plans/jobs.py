@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalar
 from tidemark.operators import calibrate, cluster, shape, spatial, validate
+from tidemark.operators.shared import written
 
 KEYS = ["figure_id", "curve_id"]
 
@@ -93,11 +94,56 @@ def sample_monthly_series(pixels: DataFrame, calibration: DataFrame, width: floa
     return shape.bin_time(rows.select(*KEYS, t.alias("time"), s.alias("survival")))
 
 
-def page_analysis(lines: DataFrame) -> dict[str, DataFrame]:
-    """Axes, panels without insets marked, and line geometry of vector pages."""
-    axes = spatial.axis_lines(lines, ["doc_id"])
-    panels = spatial.flag_insets(spatial.build_panels(axes, ["doc_id"], top=12), ["doc_id"])
-    return {"axes": axes, "panels": panels}
+def page_analysis(lines: DataFrame, words: DataFrame | None = None, paths: DataFrame | None = None, mode: str = "best", keep_insets: bool = False) -> dict[str, DataFrame]:
+    """The tables of vector pages: ``axes`` and ``panels`` from ``lines`` alone.
+
+    With ``words`` (``doc_id, word_id, text, left, top``) also ``chosen``, the
+    panels with a fitted x and y axis, scored and picked by ``mode``, the numbers
+    at risk ``nar`` under them and the ``legend`` outside of them; with ``paths``
+    (``doc_id, path_id, d, stroke, dash, sw``) also their ``curves`` in time and
+    survival, unmixed and labelled, and the censor ``ticks`` on them.
+    """
+    page, panel = ["doc_id"], ["doc_id", "panel_id"]
+    axes = spatial.axis_lines(lines, page)
+    panels = spatial.flag_insets(spatial.build_panels(axes, page, top=12), page)
+    out = {"axes": axes, "panels": panels}
+    if words is None:
+        return out
+    box = panels.select(*panel, "xmin", "xmax", "ymin", "ymax", "is_inset") if keep_insets else panels.filter("not is_inset").select(*panel, "xmin", "xmax", "ymin", "ymax", "is_inset")
+    fits = _panel_axes(words, box)
+    at_risk = cluster.extract_nar(words.withColumnRenamed("doc_id", "figure_id"), box.withColumnRenamed("doc_id", "figure_id")).withColumnRenamed("figure_id", "doc_id")
+    hit = at_risk.select(*panel).distinct().withColumn("nar_hit", F.lit(True))
+    calibrated = box.join(fits, panel).join(hit, panel, "left").fillna(False, ["nar_hit"])
+    chosen = written(spatial.choose_panels(spatial.score_panels(calibrated, page), page, mode))
+    style = scalar.style_key(F.col("stroke"), F.col("dash"), F.col("sw"))
+    labels = words.filter(F.col("text").try_cast("double").isNull()).select("doc_id", F.col("text").alias("label"), F.col("left").alias("tx"), F.col("top").alias("ty"))
+    legend = spatial.nearest_label(lines.withColumn("style_key", style), labels, page, panels=chosen)
+    out |= {"chosen": chosen, "nar": at_risk.join(chosen.select(*panel), panel, "left_semi"), "legend": legend}
+    if paths is None:
+        return out
+    styled = paths.select("doc_id", "path_id", style.alias("style_key"))
+    inside = spatial.clip_to_panel(spatial.flatten_path(paths, ["doc_id", "path_id"]), chosen, page)
+    steps = shape.step_regularize(inside.select(*panel, "path_id", F.col("idx").alias("seq"), F.col("px").alias("time"), F.col("py").alias("survival")), 0.5, [*panel, "path_id"])
+    points = steps.join(styled, ["doc_id", "path_id"]).select(*panel, "style_key", "path_id", "seq", F.col("time").alias("x"), F.col("survival").alias("y"))
+    unmixed = cluster.unmix_overlaps(points, [*panel, "style_key"])
+    numbered = unmixed.withColumn("curve_id", F.dense_rank().over(Window.partitionBy(*panel).orderBy("style_key", "label"))).drop("label", "bin", "k")
+    mapped = numbered.join(chosen.select(*panel, "x_slope", "x_intercept", "y_slope", "y_intercept"), panel).select(
+        *panel, "curve_id", "style_key", "path_id", "seq", F.col("x").alias("px"), F.col("y").alias("py"), (F.col("x_slope") * F.col("x") + F.col("x_intercept")).alias("time"),
+        scalar.loose_survival(F.col("y_slope") * F.col("y") + F.col("y_intercept")).alias("survival"),
+    )
+    curves = written(spatial.attach_legend(mapped, legend, page))
+    ticks = spatial.assign_censor_ticks(lines, curves.select(*panel, "curve_id", "px", "py"), page, panels=chosen)
+    return out | {"curves": curves, "ticks": ticks}
+
+
+def _panel_axes(words: DataFrame, panels: DataFrame, below: float = 20.0, beside: float = 60.0) -> DataFrame:
+    """Panels whose numbers below and to the left fit an axis each: slopes, intercepts and ``y_max``, the largest number on y."""
+    panel = ["doc_id", "panel_id"]
+    near = words.withColumn("value", F.col("text").try_cast("double")).filter("value is not null").join(panels, "doc_id")
+    x = near.filter(F.col("left").between(F.col("xmin") - 5, F.col("xmax") + 5) & F.col("top").between(F.col("ymax"), F.col("ymax") + below)).select(*panel, F.col("left").alias("pos"), "value")
+    y = near.filter(F.col("left").between(F.col("xmin") - beside, F.col("xmin")) & F.col("top").between(F.col("ymin") - 5, F.col("ymax") + 5)).select(*panel, F.col("top").alias("pos"), "value")
+    fit = lambda ticks, a: calibrate.fit_axis_linear(ticks, panel).filter("slope is not null").select(*panel, F.col("slope").alias(f"{a}_slope"), F.col("intercept").alias(f"{a}_intercept"))
+    return fit(x, "x").join(fit(y, "y"), panel).join(y.groupBy(*panel).agg(F.max("value").alias("y_max")), panel)
 
 
 def axis_text_success(pages: DataFrame) -> DataFrame:

@@ -118,9 +118,18 @@ def raster_to_vector_coords(spark, sf_dir):
 
 @query(
     "unmix_overlaps",
-    _X + """, d AS (SELECT DISTINCT figure_id, x, y FROM pixels), n AS (SELECT *, coalesce((y - lag(y) OVER w > 1.5)::INT, 0) AS new_ FROM d WINDOW w AS (PARTITION BY figure_id, x ORDER BY y)),
- c AS (SELECT *, sum(new_) OVER (PARTITION BY figure_id, x ORDER BY y) AS c FROM n), k AS (SELECT figure_id, least(4, max(c) + 1) AS k FROM c GROUP BY ALL)
- SELECT figure_id, x, y, (x // 30)::BIGINT AS bin, k::BIGINT AS k, (c % k)::INT AS label FROM c JOIN k USING (figure_id)""",
+    _X.replace("WITH", "WITH RECURSIVE", 1) + """, d AS (SELECT DISTINCT figure_id, x, y FROM pixels), b AS (SELECT *, greatest(1, ceil((x - min(x) OVER (PARTITION BY figure_id)) / 30.0))::BIGINT AS bin FROM d),
+ sd AS (SELECT figure_id, bin, len(list_reduce(list([y::DOUBLE] ORDER BY x, y), lambda a, v: CASE WHEN len(a) >= 4 OR len(list_filter(a, lambda s: abs(s - v[1]) <= 1.5)) > 0 THEN a ELSE list_concat(a, v) END)) AS n FROM b GROUP BY ALL),
+ k AS (SELECT figure_id, max(n)::INT AS k FROM sd GROUP BY ALL),
+ c AS (SELECT b.*, k, ((row_number() OVER (PARTITION BY figure_id, bin ORDER BY y, x) - 1) % k + 1)::INT AS cls FROM b JOIN k USING (figure_id)),
+ ce AS (SELECT figure_id, bin, cls, sum(y)::DOUBLE AS s, count(*)::BIGINT AS n FROM c GROUP BY ALL),
+ o AS (SELECT figure_id, bin, row_number() OVER (PARTITION BY figure_id ORDER BY bin) AS i, cs FROM (SELECT figure_id, bin, list({'c': cls, 's': s, 'n': n} ORDER BY cls) AS cs FROM ce GROUP BY ALL)),
+ r AS (SELECT figure_id, bin, i, list_transform(cs, lambda e: {'c': e.c, 'label': e.c}) AS m, cs AS prev FROM o WHERE i = 1
+  UNION ALL SELECT figure_id, bin, i, list_transform(m, lambda e: {'c': e.c, 'label': e.label}) AS m,
+   list_transform(list_sort(list_distinct(list_transform(m, lambda e: e.label))), lambda l: {'c': l, 's': list_sum(list_transform(list_filter(m, lambda e: e.label = l), lambda e: e.s)), 'n': list_sum(list_transform(list_filter(m, lambda e: e.label = l), lambda e: e.n))::BIGINT}) AS prev
+   FROM (SELECT o.figure_id, o.bin, o.i, list_transform(o.cs, lambda e: {'c': e.c, 'label': list_sort(list_transform(r.prev, lambda q: {'d': abs(e.s / e.n - q.s / q.n), 'c': q.c}))[1].c, 's': e.s, 'n': e.n}) AS m FROM r JOIN o ON o.figure_id = r.figure_id AND o.i = r.i + 1)),
+ l AS (SELECT figure_id, bin, unnest(m) AS u FROM r)
+ SELECT figure_id, bin, x, y, k, u.label AS label FROM c JOIN l USING (figure_id, bin) WHERE u.c = cls""",
 )
 def unmix_overlaps(spark, sf_dir):
     return cluster.unmix_overlaps(adapters.pixels(spark, sf_dir).select("figure_id", "x", "y").distinct(), ["figure_id"])

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalar
 from tidemark.operators import reports, validate
+from tidemark.operators.shared import shared_path
 from tidemark.plans import adapters
 from tidemark.plans.points import _valid_sql
 from tidemark.registry import query
+from tidemark.sources import sinks
 
 _D = "WITH " + adapters.POINTS_DIRTY
 
@@ -24,6 +26,14 @@ def batch_summary(spark, sf_dir):
     return reports.batch_summary(_docs(spark, sf_dir))
 
 
+@query("write_summary_json", "SELECT count(*) AS documents, count(*) FILTER (doc_id % 3 = 0) AS failed, sum(doc_id % 3)::BIGINT AS curves FROM documents")
+def write_summary_json(spark, sf_dir):
+    """The totals written and read back."""
+    path = shared_path(spark, "summary")
+    sinks.write_summary_json(reports.batch_summary(_docs(spark, sf_dir)), path)
+    return spark.read.schema("documents long, failed long, curves long").json(path)
+
+
 _STATS = _D + """, l AS (SELECT *, time - lag(time) OVER (PARTITION BY figure_id, curve_id ORDER BY seq) < 0 AS back FROM dirty),
  st AS (SELECT figure_id, curve_id, count(*) AS n, max(time) - min(time) AS time_range, max(survival) - min(survival) AS survival_range, count(*) FILTER (back) = 0 AS time_monotone,
  bool_and(survival BETWEEN 0 AND 1) AS bounded, count(*) < 50 AS short FROM l GROUP BY ALL)"""

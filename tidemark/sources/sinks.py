@@ -27,6 +27,11 @@ def write_results_json(results: DataFrame, path: str) -> None:
     results.write.mode("overwrite").json(path)
 
 
+def write_summary_json(summary: DataFrame, path: str) -> None:
+    """The totals of a run (one row), with the documents that gave no curve."""
+    summary.withColumn("failed", F.col("documents") - F.col("with_curves")).coalesce(1).write.mode("overwrite").json(path)
+
+
 def km_artifact(km: DataFrame, keys: list[str]) -> DataFrame:
     """One JSON text a stratum with arrays by time."""
     fields = ["time", "survival", "std_err", "n_risk", "n_event", "n_censor"]
