@@ -276,10 +276,10 @@ def parametric_fit(spark, sf_dir):
 
 
 @query("fitted_curve", "WITH " + adapters.POINTS + """, f AS (SELECT figure_id, curve_id, min(time) AS lo, max(time) AS hi, max(time) / 2 AS lam FROM points GROUP BY ALL), g AS (SELECT *, unnest(range(100)) AS seq FROM f),
- t AS (SELECT *, lo + seq * (hi - lo) / 99 AS tm FROM g) SELECT figure_id, curve_id, seq::INT AS seq, round(tm + 1e-9, 6) AS time, round(exp(-pow(tm / lam, 1.5)), 6) AS survival FROM t""")
+ t AS (SELECT *, lo + seq * (hi - lo) / 99 AS tm FROM g) SELECT figure_id, curve_id, seq::INT AS seq, round(tm + 1e-9, 6) AS time, round(exp(-pow(tm / lam, 1.5)) + 1e-9, 6) AS survival FROM t""")
 def fitted_curve(spark, sf_dir):
     p = _p(spark, sf_dir)
-    return _r(shape.fitted_curve(p, p.groupBy("figure_id", "curve_id").agg((F.max("time") / 2).alias("lam"), F.lit(1.5).alias("k"))).withColumn("time", F.col("time") + 1e-9), "time", "survival")
+    return _r(shape.fitted_curve(p, p.groupBy("figure_id", "curve_id").agg((F.max("time") / 2).alias("lam"), F.lit(1.5).alias("k"))), "time", "survival")
 
 
 # ------------------------------------------------------------ validation
