@@ -2,8 +2,8 @@
 
 *Candidates.* The base kinds (email, ip, card, phone) are fixed patterns with
 fixed checks; spans that pass are always kept. Wider patterns propose further
-spans: digit groups like identity numbers, access tokens, and host-less mail
-addresses.
+spans: digit groups like identity numbers, access tokens and keys, values
+assigned to a password or key, and host-less mail addresses.
 
 *Labelers.* Five labelers vote yes, no or abstain on every candidate: a strict
 pattern, the shape of the span (digits, letters, length), a gazetteer of
@@ -11,8 +11,8 @@ provider and key names, context words before the span, and the characters
 around it.
 
 *Aggregation.* Expectation-maximisation over the counts of vote patterns
-estimates the share of true candidates and each labeler's reliability. Its
-posteriors, as soft labels, train a logistic regression over the kind, the votes
+estimates the share of true candidates and each labeler's reliability; base
+spans count as true. Its posteriors, as soft labels, train a logistic regression over the kind, the votes
 and features of the span (length, share of digits) and of the characters beside
 it. A proposed span is added if the regression gives it 0.5 or more and it
 overlaps no base span.
@@ -51,7 +51,9 @@ KINDS = ("email", "ip", "card", "phone")
 
 # Wider patterns that only propose spans.
 PROPOSED = {
-    "token": r"(?<![A-Za-z0-9])[A-Za-z0-9]{24,128}(?![A-Za-z0-9])",
+    "token": r"(?<![A-Za-z0-9])(?:(?:gh[a-z]_|xox[a-z]-|AIza|sk-)[A-Za-z0-9_-]{16,128}"
+    r"|(?=[A-Za-z]{0,128}[0-9])(?=[0-9]{0,128}[A-Za-z])[A-Za-z0-9]{16,128}|[A-Za-z]{24,128}|[0-9]{24,128})(?![A-Za-z0-9])",
+    "secret": r"(?<=(?i:password|passwd|pwd|secret|token|api[_-]?key)[\"']?\x20?[=:]\x20?[\"']?)[^\s\"',;=:]{6,128}",
     "account": r"(?<![A-Za-z0-9.-])[0-9]{2,4}(?:[\x20-][0-9]{2,6}){1,4}(?![A-Za-z0-9-])",
     "mailbox": r"(?<![A-Za-z0-9._%+@-])[A-Za-z][A-Za-z0-9._%+-]{1,63}@[A-Za-z0-9-]{2,63}(?![A-Za-z0-9.@-])",
 }
@@ -59,6 +61,9 @@ PROPOSED = {
 # Words that name providers, keys and ways to reach a person.
 GAZETTEER = r"(?i)(mail|gmail|yahoo|outlook|hotmail|proton|example|localhost|token|secret|passw|apikey|api_key|bearer|iban|ssn|account|passport)"
 CONTEXT = r"(?i)(e-?mail|contact|write to|call|phone|tel|fax|mobile|token|secret|key|password|bearer|ssn|iban|account|passport|card|id)\W{1,6}$"
+# An assignment to a name of a secret, and prefixes of issued access keys.
+ASSIGNED = r"(?i)(password|passwd|pwd|secret|token|api[_-]?key)[\"']?\s?[=:]\s?[\"']?$"
+ISSUED = r"^(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[a-z]_[A-Za-z0-9]{36,}|xox[a-z]-[A-Za-z0-9-]{16,}|AIza[A-Za-z0-9_-]{35}|sk-[A-Za-z0-9_-]{20,})$"
 REACH = 24
 LABELERS = ("pattern", "shape", "gazetteer", "context", "border")
 FEATURES = ("length", "digits", "left", "right")
@@ -129,6 +134,7 @@ def base_spans(text: Column) -> list[Column]:
 def proposed_spans(text: Column) -> Column:
     worth = {
         "token": text.rlike(PROPOSED["token"]),
+        "secret": text.rlike("(?i)passw|pwd|secret|token|api[_-]?key"),
         "account": text.rlike(PROPOSED["account"]),
         "mailbox": F.contains(text, F.lit("@")),
     }
@@ -145,14 +151,15 @@ def _votes(text: Column, s: Column) -> Column:
     right = F.substring(text, s["end"] + 1, F.lit(1))
     strict = (
         F.when(kind.isin(*KINDS), F.lit(2))
-        .when((kind == "token") & m.rlike("^(?:[0-9a-f]{32,}|[0-9A-F]{32,})$"), F.lit(2))
+        .when((kind == "token") & (m.rlike("^(?:[0-9a-f]{32,}|[0-9A-F]{32,})$") | m.rlike(ISSUED)), F.lit(2))
+        .when(kind.isin("token", "secret") & before.rlike(ASSIGNED), F.lit(2))
         .when((kind == "account") & m.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), F.lit(2))
         .when(kind == "mailbox", F.lit(1))
         .otherwise(F.lit(0))
     )
     share = n_digits / n
     shape = (
-        F.when(kind == "token", F.when(share.between(0.2, 0.85), F.lit(2)).otherwise(F.lit(0)))
+        F.when(kind.isin("token", "secret"), F.when(m.rlike("[A-Za-z]") & (n_digits >= 1), F.lit(2)).when(kind == "secret", F.lit(1)).otherwise(F.lit(0)))
         .when(kind.isin("account", "card", "phone"), F.when(n_digits.between(9, 19), F.lit(2)).otherwise(F.lit(0)))
         .when(kind == "ip", F.lit(2))
         .otherwise(F.when(m.rlike(r"[0-9._]"), F.lit(2)).otherwise(F.lit(1)))
@@ -173,7 +180,9 @@ def candidates(docs: DataFrame) -> DataFrame:
     found = docs.select("doc_id", text.alias("__t"), *[c.alias(f"n_{k}") for k, c in zip(KINDS, base_spans(text))], proposed_spans(text).alias("proposed"))
     t = F.col("__t")
     base = F.concat(*[F.col(f"n_{k}") for k in KINDS])
-    overlap = lambda s: F.exists(F.col("base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    overlap = lambda s: F.exists(F.col("base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])) | (
+        (s["kind"] == "secret") & F.exists(F.col("proposed"), lambda b: (b["kind"] == "token") & (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    )
     vote = lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"), _votes(t, s).alias("votes"))
     return (
         found.withColumn("base", base)
@@ -187,24 +196,36 @@ def candidates(docs: DataFrame) -> DataFrame:
     )
 
 
-def reliabilities(patterns: dict[str, int], rounds: int = 60) -> tuple[float, list[list[list[float]]], dict[str, float]]:
+def reliabilities(patterns: dict[str, int], sure: dict[str, int] | None = None, rounds: int = 60) -> tuple[float, list[list[list[float]]], dict[str, float]]:
     """EM over counts of vote patterns: the share of true candidates, P(vote | truth) by labeler, posteriors.
 
-    Starts from the majority of the votes; every estimate has one added count,
-    so no vote becomes impossible.
+    ``sure`` are counts of spans known to be true (the base spans, which passed
+    their checks): they hold the class of true spans in its place, where votes
+    alone could as well divide spans by kind. A labeler is taken to be no worse
+    than chance: its yes never counts against a span, its no never for it, and an
+    abstention says nothing. Starts from the majority of the votes; every estimate
+    has one added count, so no vote becomes impossible.
     """
+    sure = sure or {}
     post = {v: min(0.95, max(0.05, 0.5 + 0.15 * sum(int(x) - 1 for x in v))) for v in patterns}
     share, table = 0.5, []
     for _ in range(rounds):
-        mass = [1.0 + sum(n * (p if y else 1 - p) for v, n in patterns.items() for p in [post[v]]) for y in (0, 1)]
+        mass = [1.0 + sum(n * (post[v] if y else 1 - post[v]) for v, n in patterns.items()) for y in (0, 1)]
         share = mass[1] / sum(mass)
+        mass[1] += sum(sure.values())
         table = [
-            [[(1.0 + sum(n * (post[v] if y else 1 - post[v]) for v, n in patterns.items() if v[k] == x)) / (3.0 + mass[y]) for x in "012"] for y in (0, 1)]
+            [
+                [(1.0 + sum(n * (post[v] if y else 1 - post[v]) for v, n in patterns.items() if v[k] == x) + y * sum(n for v, n in sure.items() if v[k] == x)) / (2.0 + mass[y]) for x in "012"]
+                for y in (0, 1)
+            ]
             for k in range(len(LABELERS))
         ]
         for v in patterns:
-            odds = [log(share if y else 1 - share) + sum(log(table[k][y][int(x)]) for k, x in enumerate(v)) for y in (0, 1)]
-            post[v] = 1 / (1 + exp(min(700.0, odds[0] - odds[1])))
+            odds = log(share / (1 - share))
+            for k, x in enumerate(v):
+                said = log(table[k][1][int(x)] / table[k][0][int(x)])
+                odds += max(0.0, said) if x == "2" else min(0.0, said) if x == "0" else 0.0
+            post[v] = 1 / (1 + exp(min(700.0, -odds)))
     return share, table, post
 
 
@@ -215,13 +236,13 @@ def _features(kind: str, pattern: str) -> list[int]:
 
 
 def train(patterns: dict[tuple[str, str], int], post: dict[str, float], rounds: int = 300, rate: float = 1.0, decay: float = 1e-3) -> list[float]:
-    """Logistic regression on soft labels, by gradient descent over distinct (kind, pattern)."""
+    """Logistic regression on soft labels (base spans are true), by gradient descent over distinct (kind, pattern)."""
     size = len(KINDS) + len(PROPOSED) + 4 * (len(LABELERS) + len(FEATURES))
     rows = sorted(patterns.items())
     x = np.zeros((len(rows), size))
     for i, ((kind, pattern), _) in enumerate(rows):
         x[i, _features(kind, pattern)] = 1
-    y = np.array([post[v[: len(LABELERS)]] for (_, v), _ in rows])
+    y = np.array([1.0 if kind in KINDS else post[v[: len(LABELERS)]] for (kind, v), _ in rows])
     n = np.array([c for _, c in rows], float) / sum(patterns.values())
     w = np.zeros(size)
     for _ in range(rounds):
@@ -238,10 +259,12 @@ def find(docs: DataFrame) -> DataFrame:
     )  # at most 3 ** 5 * 4 ** 4 patterns a kind
     patterns = {(r["kind"], r["votes"]): r["count"] for r in counted}
     votes: dict[str, int] = {}
-    for (_, v), n in patterns.items():
-        votes[v[: len(LABELERS)]] = votes.get(v[: len(LABELERS)], 0) + n
+    sure: dict[str, int] = {}
+    for (kind, v), n in patterns.items():
+        of = sure if kind in KINDS else votes
+        of[v[: len(LABELERS)]] = of.get(v[: len(LABELERS)], 0) + n
     names = [*KINDS, *PROPOSED]
-    weights = train(patterns, reliabilities(votes)[2]) if patterns else [0.0] * (len(names) + 4 * (len(LABELERS) + len(FEATURES)))
+    weights = train(patterns, reliabilities(votes, sure)[2]) if patterns else [0.0] * (len(names) + 4 * (len(LABELERS) + len(FEATURES)))
 
     def score(s: Column) -> Column:
         terms = [F.element_at(F.array(*[F.lit(x) for x in weights[: len(names)]]), _rank(s["kind"]) + 1)]
