@@ -35,6 +35,13 @@ def test_plateaus_by_hand(spark):
     assert [r.level for r in seg] == [1.0, 0.8, 0.5]
 
 
+def test_folds_of_a_long_curve_keep_every_jump(spark):
+    c = curve(spark, [1.0 - 0.5 * (i % 2) for i in range(60_000)])
+    assert shape.keep_significant(c).count() == shape.dedupe_consecutive(c, 0.1).count() == 60_000
+    assert shape.step_regularize(c, 0.1).count() == 60_000
+    assert values(shape.isotonic_min_max(c), "survival")[::30_000] == [1.0, 0.75]
+
+
 def test_keep_significant_by_hand(spark):
     assert values(shape.keep_significant(curve(spark, [1, 0.997, 0.994, 0.99])), "survival") == [1.0, 0.994]
 

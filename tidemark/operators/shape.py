@@ -2,8 +2,7 @@
 
 A curve is the rows of one value of ``keys`` in the order (time, seq). Windows
 are always partitioned by the curve; folds that depend on the last kept point
-run over one sorted array per curve, whose length is bounded by the width of a
-figure once points are binned or decimated.
+walk once over a curve's rows in order, in an Arrow function.
 """
 
 from __future__ import annotations
@@ -12,6 +11,8 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,23 +70,35 @@ def bin_time(points: DataFrame, step: float = 1.0, drop_last_edge: bool = False,
     return rows.groupBy(*keys, left.cast("double").alias("time")).agg(F.median("survival").alias("survival"))
 
 
-def _folded(points: DataFrame, fields: list[str], keep: Callable[[Column, Column], Column], keys: list[str]) -> DataFrame:
-    """Keeps the first point, then every point for which ``keep(last kept, point)`` holds."""
-    row = F.struct(*ORDER, *[c for c in fields if c not in ORDER])
-    curve = points.groupBy(*keys).agg(F.sort_array(F.collect_list(row)).alias("pts"))
-    first = F.slice("pts", 1, 1)
-    kept = F.aggregate(
-        F.slice("pts", 2, F.greatest(F.size("pts") - 1, F.lit(0))),
-        F.struct(F.get("pts", F.lit(0)).alias("last"), first.alias("out")),
-        lambda a, x: F.when(keep(a["last"], x), F.struct(x.alias("last"), F.array_append(a["out"], x).alias("out"))).otherwise(a),
-        lambda a: a["out"],
-    )
-    return curve.select(*keys, F.inline(kept))
+def _by_curve(points: DataFrame, fields: list[str], fold: Callable[[pa.Table], pa.Table], keys: list[str]) -> DataFrame:
+    """``fold`` over the rows of each curve in order; time and memory grow with a curve's points, not with their square."""
+    names = list(dict.fromkeys([*keys, *ORDER, *fields]))
+    rows = points.select(*names)
+    order = [(c, "ascending") for c in names if c not in keys]
+
+    def run(curve: pa.Table) -> pa.Table:
+        return fold(curve.take(pc.sort_indices(curve, sort_keys=order, null_placement="at_start"))).select(names)
+
+    return rows.groupBy(*keys).applyInArrow(run, rows.schema)
+
+
+def _values(curve: pa.Table, name: str) -> list[float]:
+    """A column as numbers; a null is a NaN."""
+    return curve.column(name).cast(pa.float64()).to_numpy().tolist()
 
 
 def keep_significant(points: DataFrame, threshold: float = 0.005, keys: list[str] = KEYS) -> DataFrame:
-    """Points whose survival differs from the last kept one by more than ``threshold``."""
-    return _folded(points, ["survival"], lambda a, x: F.abs(x["survival"] - a["survival"]) > threshold, keys)
+    """Points whose survival differs from the last kept one by more than ``threshold``; the first point stays."""
+
+    def fold(curve: pa.Table) -> pa.Table:
+        kept, last = [], 0.0
+        for i, s in enumerate(_values(curve, "survival")):
+            if not kept or abs(s - last) > threshold:
+                kept.append(i)
+                last = s
+        return curve.take(kept)
+
+    return _by_curve(points, ["survival"], fold, keys)
 
 
 def detect_level_changes(points: DataFrame, keys: list[str] = KEYS) -> DataFrame:
@@ -95,30 +108,44 @@ def detect_level_changes(points: DataFrame, keys: list[str] = KEYS) -> DataFrame
 
 def dedupe_consecutive(points: DataFrame, tolerance: float = 0.01, keys: list[str] = KEYS) -> DataFrame:
     """Drops a point that lies within ``tolerance`` of the last kept one in both directions."""
-    return _folded(points, ["survival"], lambda a, x: ~((F.abs(x["time"] - a["time"]) < tolerance) & (F.abs(x["survival"] - a["survival"]) < tolerance)), keys)
+
+    def fold(curve: pa.Table) -> pa.Table:
+        kept, at = [], (0.0, 0.0)
+        for i, p in enumerate(zip(_values(curve, "time"), _values(curve, "survival"))):
+            if not kept or abs(p[0] - at[0]) >= tolerance or abs(p[1] - at[1]) >= tolerance:
+                kept.append(i)
+                at = p
+        return curve.take(kept)
+
+    return _by_curve(points, ["survival"], fold, keys)
 
 
 def step_regularize(points: DataFrame, tolerance: float, keys: list[str] = KEYS) -> DataFrame:
     """Turns near-horizontal and near-vertical moves into exact ones.
 
-    From the last kept point: a point that moved less than ``tolerance`` in both
-    directions is dropped, else the smaller of its two moves is undone.
+    From the last kept point, in the order of ``seq``: a point that moved less
+    than ``tolerance`` in both directions is dropped, else the smaller of its two
+    moves is undone.
     """
-    row = F.struct("seq", "time", "survival")
-    curve = points.groupBy(*keys).agg(F.sort_array(F.collect_list(row)).alias("pts"))
-
-    def step(a: Column, x: Column) -> Column:
-        last = F.element_at(a, -1)
-        dx, dy = F.abs(x["time"] - last["time"]), F.abs(x["survival"] - last["survival"])
-        moved = F.struct(
-            x["seq"].alias("seq"),
-            F.when(dx < dy, last["time"]).otherwise(x["time"]).alias("time"),
-            F.when(dx < dy, x["survival"]).otherwise(last["survival"]).alias("survival"),
-        )
-        return F.when((dx < tolerance) & (dy < tolerance), a).otherwise(F.array_append(a, moved))
 
-    kept = F.aggregate(F.slice("pts", 2, F.greatest(F.size("pts") - 1, F.lit(0))), F.slice("pts", 1, 1), step)
-    return curve.select(*keys, F.inline(kept))
+    def fold(curve: pa.Table) -> pa.Table:
+        curve = curve.take(pc.sort_indices(curve, sort_keys=[(c, "ascending") for c in ("seq", "time", "survival")], null_placement="at_start"))
+        kept, times, levels = [], [], []
+        for i, (x, y) in enumerate(zip(_values(curve, "time"), _values(curve, "survival"))):
+            if kept:
+                dx, dy = abs(x - times[-1]), abs(y - levels[-1])
+                if dx < tolerance and dy < tolerance:
+                    continue
+                x, y = (times[-1], y) if dx < dy else (x, levels[-1])
+            kept.append(i)
+            times.append(x)
+            levels.append(y)
+        out = curve.take(kept)
+        for name, values in (("time", times), ("survival", levels)):
+            out = out.set_column(out.schema.get_field_index(name), out.schema.field(name), pa.array(values, pa.float64()).cast(out.schema.field(name).type))
+        return out
+
+    return _by_curve(points, ["survival"], fold, keys)
 
 
 def detect_steps(points: DataFrame, least_change: float = 0.01, keys: list[str] = KEYS) -> DataFrame:
@@ -277,16 +304,15 @@ def isotonic_clean(points: DataFrame, subsample: int = 3, min_step: float = 0.00
 
 
 def isotonic_min_max(points: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """The same fit in SQL: min over i <= k of max over j >= k of mean(i..j), for curves of at most about 1,000 points."""
-    mean = points.groupBy(*keys, "time").agg(F.avg("survival").alias("y"), F.count("*").alias("w"))
-    w = Window.partitionBy(*keys).orderBy("time")
-    sums = mean.withColumn("k", F.row_number().over(w)).withColumn("sw", F.sum("w").over(w)).withColumn("sy", F.sum(F.col("y") * F.col("w")).over(w))
-    start = sums.select(*keys, F.col("k").alias("i"), (F.col("sw") - F.col("w")).alias("w0"), (F.col("sy") - F.col("y") * F.col("w")).alias("y0"))
-    end = sums.select(*keys, F.col("k").alias("j"), "sw", "sy")
-    means = start.join(end, keys).filter("i <= j").withColumn("m", (F.col("sy") - F.col("y0")) / (F.col("sw") - F.col("w0")))
-    best = means.withColumn("m", F.max("m").over(Window.partitionBy(*keys, "i").orderBy(F.desc("j")).rowsBetween(Window.unboundedPreceding, 0)))
-    fit = best.groupBy(*keys, F.col("j").alias("k")).agg(F.min("m").alias("fit"))
-    return sums.join(fit, [*keys, "k"]).select(*keys, "time", F.col("fit").alias("survival"))
+    """The fit alone, one row for each time: min over i <= k of max over j >= k of mean(i..j), found by pooling."""
+    mean = points.groupBy(*keys, "time").agg(F.avg("survival").cast("double").alias("survival"), F.count("*").alias("w"))
+
+    def fit(curve: pa.Table) -> pa.Table:
+        curve = curve.sort_by("time")
+        fitted = falling_fit(curve.column("survival").to_numpy(), curve.column("w").to_numpy())
+        return curve.set_column(curve.schema.get_field_index("survival"), "survival", pa.array(fitted, pa.float64())).drop_columns(["w"])
+
+    return mean.groupBy(*keys).applyInArrow(fit, mean.drop("w").schema)
 
 
 def parametric_fit(points: DataFrame, distribution: str = "weibull", rounds: int = 20, keys: list[str] = KEYS) -> DataFrame:
