@@ -51,7 +51,7 @@ KINDS = ("email", "ip", "card", "phone")
 
 # Wider patterns that only propose spans.
 PROPOSED = {
-    "token": r"(?<![A-Za-z0-9])(?:(?:gh[a-z]_|xox[a-z]-|AIza|sk-)[A-Za-z0-9_-]{16,128}"
+    "token": r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|(?:gh[a-z]_|xox[a-z]-|AIza|sk-)[A-Za-z0-9_-]{16,128}"
     r"|(?=[A-Za-z]{0,128}[0-9])(?=[0-9]{0,128}[A-Za-z])[A-Za-z0-9]{16,128}|[A-Za-z]{24,128}|[0-9]{24,128})(?![A-Za-z0-9])",
     "secret": r"(?<=(?i:password|passwd|pwd|secret|token|api[_-]?key)[\"']?\x20?[=:]\x20?[\"']?)[^\s\"',;=:]{6,128}",
     "account": r"(?<![A-Za-z0-9.-])[0-9]{2,4}(?:[\x20-][0-9]{2,6}){1,4}(?![A-Za-z0-9-])",
@@ -159,7 +159,7 @@ def _votes(text: Column, s: Column) -> Column:
     )
     share = n_digits / n
     shape = (
-        F.when(kind.isin("token", "secret"), F.when(m.rlike("[A-Za-z]") & (n_digits >= 1), F.lit(2)).when(kind == "secret", F.lit(1)).otherwise(F.lit(0)))
+        F.when(kind.isin("token", "secret"), F.when((m.rlike("[A-Za-z]") & (n_digits >= 1)) | m.rlike(ISSUED), F.lit(2)).when(kind == "secret", F.lit(1)).otherwise(F.lit(0)))
         .when(kind.isin("account", "card", "phone"), F.when(n_digits.between(9, 19), F.lit(2)).otherwise(F.lit(0)))
         .when(kind == "ip", F.lit(2))
         .otherwise(F.when(m.rlike(r"[0-9._]"), F.lit(2)).otherwise(F.lit(1)))
