@@ -10,8 +10,9 @@ occur once in the corpus end here.
 
 *Extend.* Around each anchor that occurs again, every window that chose it (up
 to ``length - anchor`` words to the left and to the right) is compared by its
-hash with the windows of the other occurrences. Consecutive windows that
-repeat form the maximal repeats, each ``length`` words or more.
+hash with the windows of the other occurrences: by 64 bits inside a block, by 128
+bits across blocks. Consecutive windows that repeat form the maximal repeats,
+each ``length`` words or more.
 
 *Scale.* Documents are dealt once into blocks by doc_id. A block settles the
 repeats inside it and sends one row per distinct anchor or window, so a
@@ -30,9 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, block_count, binary, gram_hash, is_in, signed, unsigned, with_block
+from .common import Words, block_count, binary, gram_hash, is_in, mix, signed, unsigned, with_block
 
 _LAST = np.iinfo(np.int64).max
+_SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
 
 OUT = "doc_id long, n_words long, n_removed long, kept string, spans array<struct<start:int,end:int>>"
 
@@ -62,6 +64,10 @@ class _Block:
         grams = gram_hash(self.words, self.length)
         return grams[self.at] if len(self.at) else np.empty(0, np.uint64)
 
+    def checks(self, at: np.ndarray) -> np.ndarray:
+        """A second hash of the windows that start at these places."""
+        return gram_hash(mix(self.words + _SECOND), self.length)[at] if len(at) else np.empty(0, np.uint64)
+
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
         """For each window the place and the hash of its anchor."""
         if not len(self.at):
@@ -92,7 +98,8 @@ def _extend(length: int, anchor: int):
         windows, first = np.unique(block.windows()[chosen], return_index=True)
         where = table.column("block")[0].as_py() if len(table) else 0
         ids = block.id_of[block.doc[chosen[first]]] if len(first) else np.empty(0, np.int64)
-        return pa.table({"seq": signed(windows), "block": pa.array(np.full(len(windows), where, np.int32)), "first_id": pa.array(ids)})
+        check = block.checks(block.at[chosen[first]])
+        return pa.table({"seq": signed(windows), "check": signed(check), "block": pa.array(np.full(len(windows), where, np.int32)), "first_id": pa.array(ids)})
 
     return run
 
@@ -148,9 +155,9 @@ def remove_repeats(docs: DataFrame, length: int = 20, anchor: int = 8, blocks: i
     dealt = with_block(docs, blocks or block_count(docs)).groupBy("block")
     seeds = dealt.applyInArrow(_seeds(length, anchor), "anchor long, block int, n int")
     again = seeds.withColumn("n", F.sum("n").over(Window.partitionBy("anchor"))).filter("n > 1").select("block", "anchor")
-    windows = dealt.cogroup(again.groupBy("block")).applyInArrow(_extend(length, anchor), "seq long, block int, first_id long")
+    windows = dealt.cogroup(again.groupBy("block")).applyInArrow(_extend(length, anchor), "seq long, check long, block int, first_id long")
     earlier = (
-        windows.withColumn("least", F.min("first_id").over(Window.partitionBy("seq")))
+        windows.withColumn("least", F.min("first_id").over(Window.partitionBy("seq", "check")))
         .filter("first_id > least")
         .select("block", "seq")
     )
