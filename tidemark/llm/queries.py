@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard_join, language_model, license_scan, line_dedup, mixing, pii, quality_rules, sharding, substring_dedup
+from . import decontamination, exact_dedup, hard_negatives, jaccard_join, language_model, license_scan, line_dedup, mixing, pii, quality_rules, sharding, substring_dedup, token_alignment
 from .common import documents
 
 
@@ -54,6 +54,24 @@ def op10_recurrent_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score(documents(spark, sf_dir))
 
 
+#: Tokenizer files; the folder is on every machine of a cluster.
+TOKENIZERS = ("/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model")
+
+
+def op11_angular_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.withColumn("label", label)).drop("positive_rank")
+
+
+def op12_pointer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.links(documents(spark, sf_dir), *TOKENIZERS)
+
+
+def op13_quotient_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.groups(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_pareto_mixing": op1_pareto_mixing,
     "op2_line_templates": op2_line_templates,
@@ -65,6 +83,9 @@ QUERIES = {
     "op8_quality_divergence": op8_quality_divergence,
     "op9_vector_sharding": op9_vector_sharding,
     "op10_recurrent_scoring": op10_recurrent_scoring,
+    "op11_angular_negatives": op11_angular_negatives,
+    "op12_pointer_alignment": op12_pointer_alignment,
+    "op13_quotient_dedup": op13_quotient_dedup,
 }
 
 _WORDS = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
@@ -89,4 +110,16 @@ WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format("translate(coalesce(text, '')
  reach(doc_id, least) AS (SELECT doc_id, doc_id FROM n UNION SELECT y, least FROM reach JOIN both_ ON x = reach.doc_id AND least < y)
 SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(m.least, w.doc_id) AS component_id
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(least) AS least FROM reach GROUP BY doc_id) m USING (doc_id)""",
+    "op11_angular_negatives": """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS q
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+ s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_dot_product(a.q, b.q)::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+ p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+ n AS (SELECT p.*, vec_id AS negative_id, score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5""",
+    "op13_quotient_dedup": """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
 }
