@@ -40,10 +40,13 @@ def brute(rows):
             ends.append(own)
         both = sorted(ends[0].keys() & ends[1].keys())
         links = [(ends[0][e], ends[1][e]) for e in both]
-        groups, low = [], 0
-        for e in both:
-            groups.append("|".join(",".join(str(own[k]) for k in sorted(own) if low < k <= e) for own in ends))
-            low = e
+        parts = [[[] for _ in both] for _ in ends]
+        for own, part in zip(ends, parts):
+            at = 0
+            for e in sorted(own):
+                part[at].append(str(own[e]))
+                at += e == both[at]
+        groups = ["|".join(",".join(part[k]) for part in parts) for k in range(len(both))]
         count.update(links)
         docs.append((doc_id, len(a), len(b), links, ";".join(groups)))
     most = Counter()
@@ -73,7 +76,7 @@ ROWS = [
     (7, "a ▁ is not given back"),
     (8, "日本語 и русский ไทย 😀👩‍👩‍👧 ​‍ 　x y \x85 z \x1c w ﻿ v"),
     (9, "x" * 3000 + " " + "ab" * 2000),
-    (10, "word and more " * 20_000),
+    (10, "word and more " * 4_000),
     (11, " "),
     (12, "nul \x00 inside"),
     (13, "é and ﬁ ligature Ⅳ ½"),
@@ -93,7 +96,7 @@ def test_empty_clashing_names_and_broken_text(spark):
     assert got(token_alignment.links(more, A, B)) == brute(ROWS[:5])
     assert got(token_alignment.links(df.limit(0), A, B)) == []
     broken = df.selectExpr("1L as doc_id", "cast(X'66FF6F' as string) as text").limit(1)
-    assert got(token_alignment.links(broken, A, B)) == [(1, 0, 0, 0, 0, 0, 0, "")]
+    assert got(token_alignment.links(broken, A, B)) == brute([(1, "f\ufffdo")])
 
 
 def test_remembered_pieces(spark, monkeypatch):

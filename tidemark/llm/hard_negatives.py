@@ -186,7 +186,9 @@ def row_bounds(turn: np.ndarray, norm: np.ndarray, rows: _Rows, tile: slice) ->
 def _between(least, most, norm, small, large) -> tuple[np.ndarray, np.ndarray]:
     high, low = np.cos(np.clip(least, 0.0, np.pi)), np.cos(np.clip(most, 0.0, np.pi))
     edge = norm * large * 1e-9 + 1.0
-    return norm * np.minimum(low * small, low * large) - edge, norm * np.maximum(high * small, high * large) + edge
+    down, up = norm * np.minimum(low * small, low * large) - edge, norm * np.maximum(high * small, high * large) + edge
+    # as scores are cut
+    return np.clip(down, -float(_LIMIT), float(_LIMIT)), np.clip(up, -float(_LIMIT), float(_LIMIT))
 
 
 def _best(parts: list[tuple], most: int) -> tuple[np.ndarray, ...]:

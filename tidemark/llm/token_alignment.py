@@ -24,7 +24,7 @@ that hold other white space are encoded whole.
 
 Defined cases: a null or empty text, and one whose tokens do not give back its
 bytes (the second tokenizer changes some characters), has no tokens: zeros and an
-empty hash; special tokens' strings are plain text; repeated rows count once each;
+empty hash; bytes that are no UTF-8 count as U+FFFD; special tokens' strings are plain text; repeated rows count once each;
 a null doc_id is carried; very long texts are encoded whole; other columns may
 have any name and are not read; an empty table gives an empty result.
 """
