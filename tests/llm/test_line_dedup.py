@@ -87,3 +87,14 @@ def test_variants_within_one_document_do_not_make_a_template(spark):
     assert [r.n_dropped for r in ld.drop_recurring(df, blocks=2).collect()] == [0, 0]
     df = spark.createDataFrame([*rows, (3, line.format("so", "kl"))], "doc_id long, text string")
     assert {r.doc_id: r.dropped for r in ld.drop_recurring(df, blocks=2).collect()} == {1: [1, 2, 3], 2: [], 3: [0]}
+
+
+def test_blocks_without_shared_or_any_lines(spark, sf_dir):
+    for rows in ([(1, "x"), (2, "y z")], [(1, ""), (2, None), (3, " \n ")], [(1, "only one")], [(None, "a b"), (2**63 - 1, "c")]):
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        for blocks in (1, 5):
+            got = sorted(((r.doc_id, r.text, r.dropped) for r in ld.drop_recurring(df, blocks=blocks).collect()), key=repr)
+            assert got == sorted(((i, t or "", []) for i, t in rows), key=repr)
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    few = {r.doc_id: r.dropped for r in ld.drop_recurring(table).collect()}
+    assert few == {r.doc_id: r.dropped for r in ld.drop_recurring(table, blocks=150).collect()}

@@ -20,7 +20,7 @@ document end after the first pass. Leaves hold distinct lines. Those of up to
 with the same result. Decisions go back to the blocks that hold the line.
 
 Defined cases: a null text is empty; blank lines stay and are not counted; a
-null doc_id counts as the largest; rows that repeat a doc_id count as one
+null doc_id counts as the largest (one document with 2^63 - 1); rows that repeat a doc_id count as one
 document, and equal places of them stay together; a very long text is one row of
 its block, a very long line one row of its leaf; on an empty table the
 result is empty. Other columns are ignored.
@@ -51,10 +51,12 @@ class _Lines:
     """The lines with a word of a block, in order of doc_id and text: ``leaf`` and ``line`` are hashes."""
 
     def __init__(self, table: pa.Table):
-        ids = [_LAST if i is None else i for i in table.column("doc_id").to_pylist()]
+        raw = table.column("doc_id").to_pylist()
+        ids = [_LAST if i is None else i for i in raw]
         texts = [t or b"" for t in binary(table.column("text"))]
         order = sorted(range(len(ids)), key=lambda d: (ids[d], texts[d]))
         self.ids = np.array([ids[d] for d in order], np.int64)
+        self.raw = [raw[d] for d in order]
         self.texts = [texts[d] for d in order]
         self.block = table.column("block")[0].as_py() if len(table) else 0
         words = Words(pa.array(self.texts, pa.large_binary()))
@@ -84,8 +86,10 @@ class _Lines:
 
 def _ends(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The first and the last place of each distinct key."""
+    if not len(keys):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     order = np.argsort(keys, kind="stable")
-    begins = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]])) if len(keys) else np.empty(0, np.int64)
+    begins = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]]))
     return order[begins], order[np.append(begins[1:], len(keys)) - 1]
 
 
@@ -210,7 +214,7 @@ def _cut(table: pa.Table, drop: pa.Table) -> pa.Table:
     n = len(texts)
     return pa.table(
         {
-            "doc_id": pa.array(x.ids, mask=x.ids == _LAST),
+            "doc_id": pa.array(x.raw, pa.int64()),
             "n_lines": np.bincount(x.doc, minlength=n).astype(np.int32),
             "n_dropped": np.bincount(x.doc[away], minlength=n).astype(np.int32),
             "text": pa.array(texts, pa.binary()).cast(pa.string()),
