@@ -46,7 +46,7 @@ from .common import binary, few_texts, materialize
 #: Pairs of ids whose counts may go to all tasks (13 bytes each).
 BROADCAST_PAIRS = 2_000_000
 #: Characters of the pieces of text that a worker remembers.
-REMEMBERED = 8_000_000
+REMEMBERED = 2_000_000
 #: Characters that some patterns take for white space and Python does not.
 _DOUBTFUL = "\u180e\u200b\u2060\ufeff"
 
@@ -200,7 +200,7 @@ def _encode(first: str, second: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _tokenizers(first, second)
         kind = pair_type(a.size, b.size)
-        for batch in few_texts(batches, 1 << 21):
+        for batch in few_texts(batches, 1 << 20):
             texts = [(x or b"").decode("utf-8", "replace") for x in binary(batch.column("text"))]
             some = [i for i, t in enumerate(texts) if t]
             of_a, of_b = a.encode([texts[i] for i in some]), b.encode([texts[i] for i in some])
