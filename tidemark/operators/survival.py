@@ -1,9 +1,10 @@
 """Time-to-event statistics over patient records.
 
-All operators compress to one row per (stratum, distinct time) with a partial
-aggregation before any window runs, so a window sees distinct times, not
-patients. ``strata`` is a list of columns; ``time`` and ``event`` (0 or 1) are
-columns of the records.
+All operators compress to one row per (stratum, distinct time) by a partial
+aggregation first. Where times are continuous these rows are as many as the
+patients, so risk sets are running sums in two levels (``scan``): one stratum is
+spread over many tasks. ``strata`` is a list of columns; ``time`` and ``event``
+(0 or 1) are columns of the records.
 """
 
 from __future__ import annotations
@@ -13,44 +14,52 @@ from math import erfc, exp, lgamma, log, sqrt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.scan import RANGE, running, same, spread
+
 Z95 = 1.959963984540054
 
 
 def life_table(ipd: DataFrame, strata: list[str], start: str | None = None) -> DataFrame:
     """``strata, time, n_risk, n_event, n_censor``; with ``start`` a subject is at risk in (start, time]."""
-    exits = ipd.groupBy(*strata, "time").agg(F.sum("event").alias("n_event"), F.sum(1 - F.col("event")).alias("n_censor"))
-    onward = Window.partitionBy(*strata).orderBy(F.desc("time")).rowsBetween(Window.unboundedPreceding, 0)
+    return _life_table(ipd, strata, start).drop(RANGE)
+
+
+def _life_table(ipd: DataFrame, strata: list[str], start: str | None) -> DataFrame:
+    """The life table, in ranges of (strata, time)."""
+    at = ipd.groupBy(*strata, "time").agg(F.sum("event").alias("n_event"), F.sum(1 - F.col("event")).alias("n_censor"))
+    leave = F.col("n_event") + F.col("n_censor")
     if start is None:
-        return exits.withColumn("n_risk", F.sum(F.col("n_event") + F.col("n_censor")).over(onward))
-    entries = ipd.groupBy(*strata, F.col(start).alias("time")).agg(F.count("*").alias("n_enter"))
+        return running(spread(at, strata, "time"), strata, "time", {"n_risk": leave}, descending=True)
     zero = F.lit(0).cast("long")
-    both = exits.select(*strata, "time", "n_event", "n_censor", zero.alias("n_enter")).unionByName(
-        entries.select(*strata, "time", zero.alias("n_event"), zero.alias("n_censor"), "n_enter")
-    )
+    entries = ipd.groupBy(*strata, F.col(start).alias("time")).agg(F.count("*").alias("n_enter"))
+    both = at.withColumn("n_enter", zero).unionByName(entries.select(*strata, "time", zero.alias("n_event"), zero.alias("n_censor"), "n_enter"))
     at = both.groupBy(*strata, "time").agg(*[F.sum(c).alias(c) for c in ("n_event", "n_censor", "n_enter")])
-    later = Window.partitionBy(*strata).orderBy(F.desc("time"))
-    out = F.sum(F.col("n_event") + F.col("n_censor")).over(later.rowsBetween(Window.unboundedPreceding, 0))
-    enter = F.sum("n_enter").over(later.rowsBetween(Window.unboundedPreceding, 0))
-    return at.withColumn("n_risk", out - enter).filter("n_event + n_censor > 0").drop("n_enter")
+    at = running(spread(at, strata, "time"), strata, "time", {"n_risk": leave - F.col("n_enter")}, descending=True)
+    return at.filter("n_event + n_censor > 0").drop("n_enter")
+
+
+def _product(ipd: DataFrame, strata: list[str], start: str | None = None) -> DataFrame:
+    """The life table with the product-limit estimate: ``log_s`` and ``var`` so far, ``survival`` at and ``before`` each time."""
+    n, d = F.col("n_risk"), F.col("n_event")
+    table = _life_table(ipd, strata, start).withColumn("hazard", F.when(d < n, F.log1p(-d / n)).otherwise(F.lit(0.0))).withColumn("last", (d >= n).cast("int"))
+    green = F.when(d < n, d / (n * (n - d))).otherwise(F.lit(0.0))
+    out = running(table, strata, "time", {"log_s": F.col("hazard"), "var": green, "ended": F.col("last")})
+    zero = F.lit(0.0)
+    return (
+        out.withColumn("survival", F.when(F.col("ended") > 0, zero).otherwise(F.exp("log_s")))
+        .withColumn("before", F.when(F.col("ended") > F.col("last"), zero).otherwise(F.exp(F.col("log_s") - F.col("hazard"))))
+        .drop("hazard", "last", "ended", RANGE)
+    )
 
 
 def km_fit(ipd: DataFrame, strata: list[str], start: str | None = None) -> DataFrame:
     """Kaplan-Meier estimate with Greenwood's standard error and log confidence limits."""
-    upto = Window.partitionBy(*strata).orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
-    n, d = F.col("n_risk"), F.col("n_event")
-    hazard = F.when(d < n, F.log1p(-d / n)).otherwise(F.lit(0.0))
-    ended = F.max((d >= n).cast("int")).over(upto) == 1
-    green = F.sum(F.when(d < n, d / (n * (n - d))).otherwise(F.lit(0.0))).over(upto)
-    logs = F.sum(hazard).over(upto)
     return (
-        life_table(ipd, strata, start)
-        .withColumn("log_s", logs)
-        .withColumn("var", green)
-        .withColumn("survival", F.when(ended, F.lit(0.0)).otherwise(F.exp("log_s")))
+        _product(ipd, strata, start)
         .withColumn("std_err", F.col("survival") * F.sqrt("var"))
         .withColumn("lower", F.when(F.col("survival") > 0, F.exp(F.col("log_s") - Z95 * F.sqrt("var"))))
         .withColumn("upper", F.when(F.col("survival") > 0, F.least(F.lit(1.0), F.exp(F.col("log_s") + Z95 * F.sqrt("var")))))
-        .drop("log_s", "var")
+        .drop("log_s", "var", "before")
     )
 
 
@@ -73,34 +82,24 @@ def survival_quantiles(ipd: DataFrame, strata: list[str], levels: tuple[float, .
 
 def rmst(ipd: DataFrame, strata: list[str], taus: tuple[float, ...] = (12.0, 24.0, 36.0)) -> DataFrame:
     """Area under the survival curve up to each tau."""
-    km = km_fit(ipd, strata)
-    later = F.lead("time").over(Window.partitionBy(*strata).orderBy("time"))
-    steps = km.withColumn("next", later)
+    km = _product(ipd, strata)
 
     def area(tau: float) -> Column:
-        end = F.least(F.coalesce("next", F.lit(tau)), F.lit(tau))
-        return F.least(F.min("time"), F.lit(tau)) + F.sum(F.when(F.col("time") < tau, F.col("survival") * (end - F.col("time"))).otherwise(F.lit(0.0)))
+        # by parts: each drop of the curve counts up to its time, what is left up to tau
+        drops = F.sum(F.when(F.col("time") < tau, (F.col("before") - F.col("survival")) * F.col("time")).otherwise(F.lit(0.0)))
+        return drops + F.coalesce(F.min(F.when(F.col("time") < tau, F.col("survival"))), F.lit(1.0)) * tau
 
-    return steps.groupBy(*strata).agg(*[area(t).alias(f"rmst_{t:g}") for t in taus])
+    return km.groupBy(*strata).agg(*[area(t).alias(f"rmst_{t:g}") for t in taus])
 
 
 def logrank(ipd: DataFrame, strata: list[str], group: str) -> DataFrame:
     """Two-group log-rank test in each stratum: observed and expected events of the first group, variance, chi-square."""
     groups = ipd.groupBy(*strata).agg(F.min(group).alias("first_group"), F.countDistinct(group).alias("groups"))
-    table = ipd.groupBy(*strata, "time").agg(F.sum("event").alias("d"), F.count("*").alias("m"))
-    mine = (
-        ipd.join(groups, strata)
-        .filter(F.col(group) == F.col("first_group"))
-        .groupBy(*strata, "time")
-        .agg(F.sum("event").alias("d1"), F.count("*").alias("m1"))
-    )
-    later = Window.partitionBy(*strata).orderBy(F.desc("time")).rowsBetween(Window.unboundedPreceding, 0)
-    at = (
-        table.join(mine, [*strata, "time"], "left")
-        .fillna(0, ["d1", "m1"])
-        .withColumn("n", F.sum("m").over(later))
-        .withColumn("n1", F.sum("m1").over(later))
+    first = F.col(group) == F.col("first_group")
+    table = ipd.join(groups.filter("groups = 2"), strata).groupBy(*strata, "time").agg(
+        F.sum("event").alias("d"), F.count("*").alias("m"), F.sum(F.when(first, F.col("event")).otherwise(0)).alias("d1"), F.count(F.when(first, 1)).alias("m1")
     )
+    at = running(spread(table, strata, "time"), strata, "time", {"n": F.col("m"), "n1": F.col("m1")}, descending=True)
     d, n, n1 = F.col("d"), F.col("n"), F.col("n1")
     var = F.when(n > 1, d * (n1 / n) * (1 - n1 / n) * (n - d) / (n - 1)).otherwise(F.lit(0.0))
     sums = at.groupBy(*strata).agg(F.sum("d1").alias("observed"), F.sum(d * n1 / n).alias("expected"), F.sum(var).alias("variance"))
@@ -109,14 +108,18 @@ def logrank(ipd: DataFrame, strata: list[str], group: str) -> DataFrame:
     ).drop("groups")
 
 
+def _at_risk(grid: DataFrame, keys: list[str]) -> DataFrame:
+    """``n`` of the group and ``n_all`` of the stratum at risk at each time of a group's grid."""
+    return running(spread(grid, keys, "time"), keys, "time", {"n": F.col("m"), "n_all": F.col("m_all")}, descending=True).drop(RANGE)
+
+
 def logrank_terms(ipd: DataFrame, strata: list[str], group: str) -> DataFrame:
     """Observed minus expected events of every group, for tests of any number of groups."""
     table = ipd.groupBy(*strata, group, "time").agg(F.sum("event").alias("d"), F.count("*").alias("m"))
     total = table.groupBy(*strata, "time").agg(F.sum("d").alias("d_all"), F.sum("m").alias("m_all"))
     keys = table.select(*strata, group).distinct()
     grid = keys.join(total, strata).join(table, [*strata, group, "time"], "left").fillna(0, ["d", "m"])
-    mine = Window.partitionBy(*strata, group).orderBy(F.desc("time")).rowsBetween(Window.unboundedPreceding, 0)
-    at = grid.withColumn("n", F.sum("m").over(mine)).withColumn("n_all", F.sum("m_all").over(mine))
+    at = _at_risk(grid, [*strata, group])
     return at.groupBy(*strata, group).agg(F.sum("d").alias("observed"), F.sum(F.col("d_all") * F.col("n") / F.col("n_all")).alias("expected"))
 
 
@@ -129,8 +132,7 @@ def logrank_test(ipd: DataFrame, strata: list[str], group: str) -> DataFrame:
     table = ipd.groupBy(*strata, group, "time").agg(F.sum("event").alias("d"), F.count("*").alias("m"))
     total = table.groupBy(*strata, "time").agg(F.sum("d").alias("d_all"), F.sum("m").alias("m_all"))
     grid = table.select(*strata, group).distinct().join(total, strata).join(table, [*strata, group, "time"], "left").fillna(0, ["d", "m"])
-    mine = Window.partitionBy(*strata, group).orderBy(F.desc("time")).rowsBetween(Window.unboundedPreceding, 0)
-    at = grid.withColumn("n", F.sum("m").over(mine)).withColumn("n_all", F.sum("m_all").over(mine)).filter("d_all > 0")
+    at = _at_risk(grid, [*strata, group]).filter("d_all > 0")
     other = at.select(*strata, "time", F.col(group).alias("other"), F.col("n").alias("n_other"))
     share = F.col("n") / F.col("n_all")
     same = F.when(F.col(group) == F.col("other"), F.lit(1.0)).otherwise(F.lit(0.0))
@@ -170,16 +172,17 @@ def c_index(scored: DataFrame, strata: list[str], risk: str) -> DataFrame:
     and the later half of a part. There running sums by risk count the pairs, so
     n cells cost n log n rows and no pair is formed.
     """
-    whole = Window.partitionBy(*strata)
     cells = scored.groupBy(*strata, "time", risk).agg(F.sum("event").alias("d"), F.count("*").alias("m"))
-    ranked = cells.withColumn("__t", F.dense_rank().over(whole.orderBy("time")) - 1).withColumn("__bits", F.length(F.bin(F.max("__t").over(whole))))
+    times = running(spread(cells.select(*strata, "time").distinct(), strata, "time"), strata, "time", {"__t": F.lit(1)}, strict=True).drop(RANGE)
+    bits = times.groupBy(*strata).agg(F.length(F.bin(F.max("__t"))).alias("__bits"))
+    ranked = same(same(cells, times, [*strata, "time"]), bits, strata)
     halves = ranked.withColumn("__level", F.explode(F.sequence(F.lit(0), F.col("__bits") - 1))).withColumn("__half", F.floor(F.col("__t") / F.pow(F.lit(2.0), F.col("__level"))).cast("long"))
     late = F.col("__half") % 2 == 1
     part = [*strata, "__level", "__part"]
     sums = halves.withColumn("__part", F.floor(F.col("__half") / 2)).groupBy(*part, risk).agg(F.sum(F.when(~late, F.col("d")).otherwise(0)).alias("d"), F.sum(F.when(late, F.col("m")).otherwise(0)).alias("m"))
-    below = F.coalesce(F.sum("m").over(Window.partitionBy(*part).orderBy(risk).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counted = sums.withColumn("won", F.col("d") * (below + 0.5 * F.col("m"))).withColumn("pairs", F.col("d") * F.sum("m").over(Window.partitionBy(*part)))
-    return counted.groupBy(*strata).agg(F.sum("pairs").alias("pairs"), (F.sum("won") / F.nullif(F.sum("pairs"), F.lit(0))).alias("c_index")).filter("pairs > 0")
+    counted = running(spread(sums, part, risk), part, risk, {"below": F.col("m")}, strict=True).withColumn("won", F.col("d") * (F.col("below") + 0.5 * F.col("m")))
+    parts = counted.groupBy(*part).agg((F.sum("d") * F.sum("m")).alias("pairs"), F.sum("won").alias("won"))
+    return parts.groupBy(*strata).agg(F.sum("pairs").alias("pairs"), (F.sum("won") / F.nullif(F.sum("pairs"), F.lit(0))).alias("c_index")).filter("pairs > 0")
 
 
 def time_auc(scored: DataFrame, strata: list[str], risk: str, horizon: float) -> DataFrame:
@@ -188,9 +191,9 @@ def time_auc(scored: DataFrame, strata: list[str], risk: str, horizon: float) ->
         F.sum(F.when((F.col("time") <= horizon) & (F.col("event") == 1), 1).otherwise(0)).alias("cases"),
         F.sum(F.when(F.col("time") > horizon, 1).otherwise(0)).alias("controls"),
     )
-    below = F.coalesce(F.sum("controls").over(Window.partitionBy(*strata).orderBy(risk).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = running(spread(cells, strata, risk), strata, risk, {"below": F.col("controls")}, strict=True)
     return (
-        cells.withColumn("won", F.col("cases") * (below + 0.5 * F.col("controls")))
+        ranked.withColumn("won", F.col("cases") * (F.col("below") + 0.5 * F.col("controls")))
         .groupBy(*strata)
         .agg(F.sum("cases").alias("cases"), F.sum("controls").alias("controls"), (F.sum("won") / F.nullif(F.sum("cases") * F.sum("controls"), F.lit(0))).alias("auc"))
     )
