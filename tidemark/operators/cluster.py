@@ -102,34 +102,65 @@ def _distance(a: str, b: str) -> Column:
     return out
 
 
-def _nearest(rows: DataFrame, centres: DataFrame, keys: list[str]) -> DataFrame:
-    """Each row with its nearest centre; centres are k rows a figure, packed into one array."""
-    packed = centres.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("cluster", *[f"c{i}" for i in range(len(FEATURES))]))).alias("__c"))
+def _nearest(rows: DataFrame, centres: DataFrame, keys: list[str], by: list[str] | None = None) -> DataFrame:
+    """Each row with its nearest centre; centres are k rows a figure (and other columns of ``by``), packed into one array."""
+    packed = centres.groupBy(*(by or keys)).agg(F.sort_array(F.collect_list(F.struct("cluster", *[f"c{i}" for i in range(len(FEATURES))]))).alias("__c"))
     dist = lambda c: sum(((F.col(f"f{i}") - c[f"c{i}"]) * (F.col(f"f{i}") - c[f"c{i}"]) for i in range(len(FEATURES))), F.lit(0.0))
     best = F.array_min(F.transform("__c", lambda c: F.struct(dist(c).alias("d2"), c["cluster"].alias("cluster"))))
     return rows.join(packed, keys).withColumn("__b", best).withColumn("cluster", F.col("__b.cluster")).withColumn("d2", F.col("__b.d2")).drop("__b", "__c")
 
 
-def kmeans_groups(rows: DataFrame, keys: list[str], k: int, rounds: int = 8) -> DataFrame:
-    """``rows`` (with f0..f2 and ``id``) with ``cluster`` and squared distance ``d2``, for all figures at once.
+STARTS = 10
 
-    Seeds by farthest points: the row nearest the mean, then again and again the
-    row farthest from the seeds so far. Then Lloyd rounds, one aggregation each.
-    Clusters are numbered by their centres, so labels do not depend on seeds.
+
+def _seeds(rows: DataFrame, keys: list[str], k: int, starts: int) -> DataFrame:
+    """``keys, __start, cluster, c0..c2``: ``k`` seeds for each start, all starts in one aggregation a seed.
+
+    Start 0 takes the row nearest the mean, then again and again the row farthest
+    from its seeds. The others draw a row with weights by squared distance to
+    their seeds: the largest of log(u) / weight, where u comes from a hash of row,
+    start and seed.
     """
-    mean = rows.groupBy(*keys).agg(*[F.avg(f"f{i}").alias(f"c{i}") for i in range(len(FEATURES))])
-    pick = lambda df, by: df.groupBy(*keys).agg(F.max_by(F.struct(*FEATURES), F.struct(by, -F.col("id"))).alias("s"))
-    seed = pick(rows.join(mean, keys).withColumn("__d", -_distance("f", "c")), F.col("__d"))
-    centres = seed.select(*keys, F.lit(0).alias("cluster"), *[F.col(f"s.f{i}").alias(f"c{i}") for i in range(len(FEATURES))])
+    tries = F.explode(F.sequence(F.lit(0), F.lit(starts - 1)))
+    mean = rows.groupBy(*keys).agg(*[F.avg(f"f{i}").alias(f"c{i}") for i in range(len(FEATURES))]).select("*", tries.alias("__start"))
+    by = [*keys, "__start"]
+
+    def pick(df: DataFrame, far: Column, weight: Column, j: int) -> DataFrame:
+        u = (F.pmod(F.xxhash64("id", "__start", F.lit(j)), F.lit(1 << 52)) + 1) / float(1 << 52)
+        draw = F.when(weight > 0, F.log(u) / weight).otherwise(F.lit(float("-inf")))
+        order = F.when(F.col("__start") == 0, far).otherwise(draw)
+        best = df.groupBy(*by).agg(F.max_by(F.struct(*FEATURES), F.struct(order, -F.col("id"))).alias("s"))
+        return best.select(*by, F.lit(j).alias("cluster"), *[F.col(f"s.f{i}").alias(f"c{i}") for i in range(len(FEATURES))])
+
+    centres = pick(rows.join(mean, keys), -_distance("f", "c"), F.lit(1.0), 0)
     for j in range(1, k):
-        far = pick(_nearest(rows, centres, keys), F.col("d2"))
-        more = far.select(*keys, F.lit(j).alias("cluster"), *[F.col(f"s.f{i}").alias(f"c{i}") for i in range(len(FEATURES))])
-        centres = written(centres.unionByName(more))
+        centres = written(centres)
+        centres = centres.unionByName(pick(_nearest(rows, centres, keys, by), F.col("d2"), F.col("d2"), j))
+    return written(centres)
+
+
+def kmeans_for(rows: DataFrame, keys: list[str], ks: list[int], rounds: int = 8, starts: int = STARTS) -> DataFrame:
+    """``rows`` (with f0..f2 and ``id``) once for each ``k``, with ``cluster`` and squared distance ``d2``, for all figures at once.
+
+    Every k and every start is a key, so a Lloyd round is one aggregation for all
+    of them; the first k seeds of a start serve each k. The start with the least
+    inertia is kept. Clusters are numbered by their centres, so labels do not
+    depend on seeds.
+    """
+    by = [*keys, "k", "__start"]
+    centres = _seeds(rows, keys, max(ks), starts).withColumn("k", F.explode(F.array(*map(F.lit, ks)))).filter("cluster < k")
     for _ in range(rounds):
-        moved = _nearest(rows, centres, keys).groupBy(*keys, "cluster").agg(*[F.avg(f"f{i}").alias(f"c{i}") for i in range(len(FEATURES))])
-        centres = written(moved)
-    order = F.row_number().over(Window.partitionBy(*keys).orderBy(*[f"c{i}" for i in range(len(FEATURES))])) - 1
-    return _nearest(rows, centres.withColumn("cluster", order), keys)
+        centres = written(_nearest(rows, centres, keys, by).groupBy(*by, "cluster").agg(*[F.avg(f"f{i}").alias(f"c{i}") for i in range(len(FEATURES))]))
+    cost = _nearest(rows, centres, keys, by).groupBy(*by).agg(F.sum("d2").alias("cost"))
+    best = cost.groupBy(*keys, "k").agg(F.min_by("__start", F.struct("cost", "__start")).alias("__start"))
+    centres = written(centres.join(best, by, "left_semi"))
+    order = F.row_number().over(Window.partitionBy(*keys, "k").orderBy(*[f"c{i}" for i in range(len(FEATURES))])) - 1
+    return _nearest(rows, centres.withColumn("cluster", order), keys, [*keys, "k"])
+
+
+def kmeans_groups(rows: DataFrame, keys: list[str], k: int, rounds: int = 8, starts: int = STARTS) -> DataFrame:
+    """``rows`` with ``cluster`` and ``d2`` for one k."""
+    return kmeans_for(rows, keys, [k], rounds, starts).drop("k")
 
 
 def inertia(clustered: DataFrame, keys: list[str]) -> DataFrame:
@@ -137,21 +168,29 @@ def inertia(clustered: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def silhouette(clustered: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys, silhouette``: mean of (b - a) / max(a, b), from the distances a to the own centre and b to the nearest other one.
+    """``keys, silhouette``: mean of (b - a) / max(a, b) over squared distances, as if from all pairs of rows.
 
-    Distances to centres stand in for mean distances to all members, which would
-    take every pair of rows. Halved if a cluster holds less than 1 % of the rows.
+    a is the mean squared distance to the other rows of the own cluster, b the
+    least mean squared distance to those of another. A cluster's count, sum and
+    sum of squared norms give both: the squared distances of x to n rows add up
+    to n |x|^2 + sum |y|^2 - 2 x . sum y. A row alone in its cluster scores 0.
+    Halved if a cluster holds less than 1 % of the rows; -1 for a single cluster.
     """
-    centres = clustered.groupBy(*keys, "cluster").agg(F.count("*").alias("n"), *[F.avg(f"f{i}").alias(f"c{i}") for i in range(len(FEATURES))])
-    packed = centres.groupBy(*keys).agg(F.collect_list(F.struct("cluster", *[f"c{i}" for i in range(len(FEATURES))])).alias("__c"), (F.min("n") < 0.01 * F.sum("n")).alias("__small"))
-    dist = lambda c: sum(((F.col(f"f{i}") - c[f"c{i}"]) * (F.col(f"f{i}") - c[f"c{i}"]) for i in range(len(FEATURES))), F.lit(0.0))
-    near = lambda own: F.array_min(F.transform(F.filter("__c", lambda c: (c["cluster"] == F.col("cluster")) == F.lit(own)), lambda c: F.sqrt(dist(c))))
-    rows = clustered.join(packed, keys).select(*keys, "__small", near(True).alias("a"), near(False).alias("b"))
-    one = F.when(F.greatest("a", "b") > 0, (F.col("b") - F.col("a")) / F.greatest("a", "b")).otherwise(F.lit(0.0))
-    return rows.groupBy(*keys).agg((F.avg(one) * F.when(F.max("__small"), F.lit(0.5)).otherwise(F.lit(1.0))).alias("silhouette"))
-
-
-def auto_k(rows: DataFrame, keys: list[str], most: int = 6, rounds: int = 5, method: str = "silhouette") -> DataFrame:
+    features = range(len(FEATURES))
+    norm = sum((F.col(f"f{i}") * F.col(f"f{i}") for i in features), F.lit(0.0))
+    moments = clustered.groupBy(*keys, "cluster").agg(F.count("*").alias("n"), F.sum(norm).alias("q"), *[F.sum(f"f{i}").alias(f"s{i}") for i in features])
+    packed = moments.groupBy(*keys).agg(F.collect_list(F.struct("cluster", "n", "q", *[f"s{i}" for i in features])).alias("__c"), (F.min("n") < 0.01 * F.sum("n")).alias("__small"))
+    total = lambda c: F.greatest(c["n"] * norm + c["q"] - 2.0 * sum((F.col(f"f{i}") * c[f"s{i}"] for i in features), F.lit(0.0)), F.lit(0.0))
+    part = lambda own: F.filter("__c", lambda c: (c["cluster"] == F.col("cluster")) == F.lit(own))
+    own = F.get(F.transform(part(True), lambda c: F.when(c["n"] > 1, total(c) / (c["n"] - 1))), F.lit(0))
+    other = F.array_min(F.transform(part(False), lambda c: total(c) / c["n"]))
+    rows = clustered.join(packed, keys).select(*keys, "__small", (F.size("__c") > 1).alias("__two"), own.alias("a"), other.alias("b"))
+    one = F.when(F.col("a").isNull() | (F.greatest("a", "b") <= 0), F.lit(0.0)).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
+    mean = F.when(F.bool_and("__two"), F.avg(one) * F.when(F.max("__small"), F.lit(0.5)).otherwise(F.lit(1.0))).otherwise(F.lit(-1.0))
+    return rows.groupBy(*keys).agg(mean.alias("silhouette"))
+
+
+def auto_k(rows: DataFrame, keys: list[str], most: int = 6, rounds: int = 5, method: str = "silhouette", starts: int = STARTS) -> DataFrame:
     """``keys, k``: the number of groups in 1..most; 1 below 100 rows.
 
     ``silhouette`` takes the k with the largest one, ``elbow`` that at the
@@ -160,28 +199,28 @@ def auto_k(rows: DataFrame, keys: list[str], most: int = 6, rounds: int = 5, met
     """
     if method not in ("silhouette", "elbow", "combined"):
         raise ValueError(f"no such method: {method}")
-    every = None
-    for k in range(1, most + 1):
-        groups = kmeans_groups(rows, keys, k, rounds)
-        groups = written(groups.select(*keys, "cluster", "d2", *FEATURES)) if method != "elbow" else groups
-        one = inertia(groups, keys).withColumn("k", F.lit(k))
-        if method != "elbow":
-            one = one.join(silhouette(groups, keys), keys) if k > 1 else one.withColumn("silhouette", F.lit(-1.0))
-        every = one if every is None else every.unionByName(one)
-    size = rows.groupBy(*keys).agg(F.count("*").alias("n"))
+    return choose_k(kmeans_for(rows, keys, list(range(1, most + 1)), rounds, starts), keys, method)
+
+
+def choose_k(groups: DataFrame, keys: list[str], method: str = "silhouette") -> DataFrame:
+    """``keys, k`` from rows clustered for every k from 1 on."""
+    groups = written(groups.select(*keys, "k", "cluster", "d2", *FEATURES))
+    each = inertia(groups, [*keys, "k"])
     if method != "elbow":
-        every = written(every)
-        by_silhouette = every.groupBy(*keys).agg(F.max_by("k", F.struct("silhouette", -F.col("k"))).alias("s"))
+        each = each.join(silhouette(groups, [*keys, "k"]), [*keys, "k"])
+    each = written(each)
+    by_silhouette = each.groupBy(*keys).agg(F.max_by("k", F.struct("silhouette", -F.col("k"))).alias("k")) if method != "elbow" else None
+    by_elbow = None
     if method != "silhouette":
         w = Window.partitionBy(*keys).orderBy("k")
         bend = F.lag("inertia").over(w) - 2 * F.col("inertia") + F.lead("inertia").over(w)
-        by_elbow = every.withColumn("bend", bend).filter("bend is not null").groupBy(*keys).agg(F.max_by("k", F.struct("bend", -F.col("k"))).alias("e"))
-    if method == "silhouette":
-        best = by_silhouette.withColumnRenamed("s", "k")
-    elif method == "elbow":
-        best = by_elbow.withColumnRenamed("e", "k")
+        bent = each.withColumn("bend", bend).groupBy(*keys).agg(F.max_by("k", F.when(F.col("bend").isNotNull(), F.struct("bend", -F.col("k")))).alias("e"))
+        by_elbow = bent.select(*keys, F.coalesce("e", F.lit(1)).alias("k"))
+    if method == "combined":
+        best = by_silhouette.join(by_elbow.withColumnRenamed("k", "e"), keys).withColumn("k", F.least("k", F.col("e") + 1)).drop("e")
     else:
-        best = by_silhouette.join(by_elbow, keys).withColumn("k", F.least("s", F.col("e") + 1)).drop("s", "e")
+        best = by_silhouette if method == "silhouette" else by_elbow
+    size = groups.filter("k = 1").groupBy(*keys).agg(F.count("*").alias("n"))
     return best.join(size, keys).select(*keys, F.when(F.col("n") < 100, 1).otherwise(F.col("k")).alias("k"))
 
 

@@ -169,73 +169,82 @@ def match_by_position(rows: DataFrame, curves: DataFrame, keys: list[str], row_o
 
 # ------------------------------------------------------------ paths
 
+#: Numbers that a drawing command takes.
 _ARGS = {"M": 2, "L": 2, "H": 1, "V": 1, "Q": 4, "C": 6, "Z": 0}
+_NUMBER = r"([-+]?(?:[0-9]*\.)?[0-9]+(?:[eE][-+]?[0-9]+)?)"
+
+
+def path_moves(paths: DataFrame, keys: list[str]) -> DataFrame:
+    """One row for each move of a path's pen: ``keys, seg, rep, cmd, args``, in order of ``seg, rep``.
+
+    A command with the numbers of several moves gives as many rows; after the
+    first point of M (m) they are L (l).
+    """
+    part = F.posexplode(F.regexp_extract_all("d", F.lit(r"([MLHVQCZmlhvqcz][^MLHVQCZmlhvqcz]*)"), F.lit(1))).alias("seg", "__t")
+    split = paths.select(*keys, part).select(*keys, "seg", F.substring("__t", 1, 1).alias("cmd"), F.regexp_extract_all("__t", F.lit(_NUMBER), F.lit(1)).cast("array<double>").alias("n"))
+    need = F.element_at(F.create_map(*[F.lit(x) for k, v in _ARGS.items() for x in (k, v)]), F.upper("cmd"))
+    count = F.when(need == 0, F.lit(1)).otherwise(F.floor(F.size("n") / need)).cast("int")
+    rows = split.withColumn("need", need).withColumn("rep", F.explode(F.when(count > 0, F.sequence(F.lit(0), count - 1))))
+    cmd = F.when((F.col("rep") > 0) & (F.col("cmd") == "M"), "L").when((F.col("rep") > 0) & (F.col("cmd") == "m"), "l").otherwise(F.col("cmd"))
+    return rows.select(*keys, "seg", "rep", cmd.alias("cmd"), F.slice("n", F.col("rep") * F.col("need") + 1, F.col("need")).alias("args"))
 
 
 def flatten_path(paths: DataFrame, keys: list[str]) -> DataFrame:
     """``keys, idx, px, py`` of SVG path strings ``d``: M L H V Q C Z, absolute and relative, repeated arguments too.
 
-    Tokens are folded in order with the pen's position; a curve is sampled at
+    ``keys`` name a path. Its moves become rows; where the pen stands is a
+    segmented running sum of the relative moves, which an absolute one, a new
+    subpath or a Z starts again. All windows have one order, so a path is sorted
+    once and costs time in proportion to its length. A curve is sampled at
     ceil(max(3, min(30, chord / 0.25))) parameters.
     """
-    tokens = F.regexp_extract_all("d", F.lit(r"([MLHVQCZmlhvqcz]|[-+]?(?:[0-9]*\.)?[0-9]+(?:[eE][-+]?[0-9]+)?)"), F.lit(1))
-    xy = "struct<x:double,y:double>"
+    up = F.upper("cmd")
+    rel, move, close = F.col("cmd") != up, up == "M", up == "Z"
+    last = lambda back: F.get("args", F.size("args") - 1 - back)
     zero = F.lit(0.0)
-    state = F.struct(
-        F.lit("").alias("cmd"), F.array().cast("array<double>").alias("args"), zero.alias("x"), zero.alias("y"), zero.alias("sx"), zero.alias("sy"), F.array().cast(f"array<{xy}>").alias("out")
+    value = {"x": F.when(up == "H", last(0)).when((up != "V") & ~close, last(1)), "y": F.when((up == "V") | ((up != "H") & ~close), last(0))}
+    order = Window.partitionBy(*keys).orderBy("seg", "rep")
+    upto, before = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
+    rows = path_moves(paths, keys).withColumns({"at": F.row_number().over(order), **{f"v{c}": v for c, v in value.items()}})
+
+    # inside a piece (from a subpath's start or a Z on): the last absolute value, and the sum of the relative moves
+    rows = rows.withColumns({f"sum_{c}": F.sum(F.when(rel & ~move & ~close, F.coalesce(f"v{c}", zero)).otherwise(zero)).over(upto) for c in "xy"} | {"piece": F.last(F.when(move | close, F.col("at")), ignorenulls=True).over(upto)})
+    fixed = lambda c: F.struct(F.col("at"), F.col(f"v{c}").alias("v"), F.col(f"sum_{c}").alias("s"))
+    rows = rows.withColumns(
+        {f"abs_{c}": F.last(F.when(~rel & ~move & ~close & F.col(f"v{c}").isNotNull(), fixed(c)), ignorenulls=True).over(upto) for c in "xy"}
+        | {f"from_{c}": F.last(F.when(move | close, F.col(f"sum_{c}")), ignorenulls=True).over(upto) for c in "xy"}
     )
-
-    def point(x: Column, y: Column) -> Column:
-        return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
-
-    def step(a: Column, t: Column) -> Column:
-        return F.when(t.rlike("^[A-Za-z]$"), command(a, t)).otherwise(argument(a, t.cast("double")))
-
-    def command(a: Column, t: Column) -> Column:
-        close = F.upper(t) == "Z"
-        return F.struct(
-            t.alias("cmd"), F.array().cast("array<double>").alias("args"), F.when(close, a["sx"]).otherwise(a["x"]).alias("x"), F.when(close, a["sy"]).otherwise(a["y"]).alias("y"),
-            a["sx"].alias("sx"), a["sy"].alias("sy"), F.when(close, F.array_append(a["out"], point(a["sx"], a["sy"]))).otherwise(a["out"]).alias("out"),
-        )
-
-    need = F.create_map(*[F.lit(x) for k, v in _ARGS.items() for x in (k, v)])
-
-    def argument(a: Column, v: Column) -> Column:
-        args = F.array_append(a["args"], v)
-        full = F.size(args) >= F.element_at(need, F.upper(a["cmd"]))
-        waiting = F.struct(a["cmd"].alias("cmd"), args.alias("args"), a["x"].alias("x"), a["y"].alias("y"), a["sx"].alias("sx"), a["sy"].alias("sy"), a["out"].alias("out"))
-        return F.when(full, draw(a, args)).otherwise(waiting)
-
-    def draw(a: Column, args: Column) -> Column:
-        up = F.upper(a["cmd"])
-        rel = a["cmd"] != up
-        ox, oy = F.when(rel, a["x"]).otherwise(zero), F.when(rel, a["y"]).otherwise(zero)
-        arg = lambda i: F.get(args, F.lit(i))
-        last = F.size(args)
-        x = F.when(up == "V", a["x"]).when(up == "H", arg(0) + ox).otherwise(F.get(args, last - 2) + ox)
-        y = F.when(up == "H", a["y"]).when(up == "V", arg(0) + oy).otherwise(F.get(args, last - 1) + oy)
-        chord = F.sqrt((x - a["x"]) * (x - a["x"]) + (y - a["y"]) * (y - a["y"]))
-        n = F.ceil(F.greatest(F.lit(3.0), F.least(F.lit(30.0), chord / 0.25))).cast("int")
-        ts = F.transform(F.sequence(F.lit(1), n - 1), lambda i: i / (n - 1.0))
-        u = lambda t: 1.0 - t
-        quad = F.transform(ts, lambda t: point(u(t) * u(t) * a["x"] + 2.0 * u(t) * t * (arg(0) + ox) + t * t * x, u(t) * u(t) * a["y"] + 2.0 * u(t) * t * (arg(1) + oy) + t * t * y))
-        cube = F.transform(
-            ts,
-            lambda t: point(
-                u(t) * u(t) * u(t) * a["x"] + 3.0 * u(t) * u(t) * t * (arg(0) + ox) + 3.0 * u(t) * t * t * (arg(2) + ox) + t * t * t * x,
-                u(t) * u(t) * u(t) * a["y"] + 3.0 * u(t) * u(t) * t * (arg(1) + oy) + 3.0 * u(t) * t * t * (arg(3) + oy) + t * t * t * y,
-            ),
-        )
-        drawn = F.when(up == "Q", quad).when(up == "C", cube).otherwise(F.array(point(x, y)))
-        move = up == "M"
-        after = F.when(a["cmd"] == "M", "L").when(a["cmd"] == "m", "l").otherwise(a["cmd"])
-        return F.struct(
-            after.alias("cmd"), F.array().cast("array<double>").alias("args"), x.alias("x"), y.alias("y"), F.when(move, x).otherwise(a["sx"]).alias("sx"),
-            F.when(move, y).otherwise(a["sy"]).alias("sy"), F.concat(a["out"], drawn).alias("out"),
-        )
-
-    pts = F.aggregate(tokens, state, step, lambda a: a["out"])
-    return paths.select(*keys, F.posexplode(pts).alias("idx", "p")).select(*keys, "idx", F.col("p.x").alias("px"), F.col("p.y").alias("py"))
+    known = lambda c: F.coalesce(F.col(f"abs_{c}.at") > F.coalesce("piece", F.lit(0)), F.lit(False))
+    # else the place is this much from the subpath's start
+    rows = rows.withColumns({f"known_{c}": known(c) for c in "xy"} | {f"off_{c}": F.when(known(c), F.col(f"abs_{c}.v") + F.col(f"sum_{c}") - F.col(f"abs_{c}.s")).otherwise(F.col(f"sum_{c}") - F.coalesce(f"from_{c}", zero)) for c in "xy"})
+
+    # starts of subpaths: known, or this much from the one before
+    rows = rows.withColumns({f"prior_{c}": F.lag(F.struct(F.col(f"known_{c}").alias("k"), F.col(f"off_{c}").alias("v"))).over(order) for c in "xy"})
+    sure = lambda c: ~rel | F.coalesce(F.col(f"prior_{c}.k"), F.lit(False))
+    step = lambda c: F.when(rel, F.col(f"v{c}") + F.coalesce(F.col(f"prior_{c}.v"), zero)).otherwise(F.col(f"v{c}"))
+    rows = rows.withColumns({f"go_{c}": F.sum(F.when(move & ~sure(c), step(c)).otherwise(zero)).over(upto) for c in "xy"})
+    anchor = lambda c: F.last(F.when(move & sure(c), F.struct(step(c).alias("v"), F.col(f"go_{c}").alias("s"))), ignorenulls=True).over(upto)
+    rows = rows.withColumns({f"anchor_{c}": anchor(c) for c in "xy"})
+    start = lambda c: F.coalesce(F.col(f"anchor_{c}.v"), zero) + F.col(f"go_{c}") - F.coalesce(F.col(f"anchor_{c}.s"), zero)
+    rows = rows.withColumns({c: F.when(F.col(f"known_{c}"), F.col(f"off_{c}")).otherwise(start(c) + F.col(f"off_{c}")) for c in "xy"})
+
+    rows = rows.withColumns({f"pen_{c}": F.coalesce(F.lag(c).over(order), zero) for c in "xy"})
+    dx, dy = F.col("x") - F.col("pen_x"), F.col("y") - F.col("pen_y")
+    n = F.when(up.isin("Q", "C"), F.ceil(F.greatest(F.lit(3.0), F.least(F.lit(30.0), F.sqrt(dx * dx + dy * dy) / 0.25))).cast("int") - 1).otherwise(F.lit(1))
+    rows = rows.withColumn("points", n)
+    rows = rows.withColumn("first", F.coalesce(F.sum("points").over(before), F.lit(0))).withColumn("i", F.explode(F.sequence(F.lit(1), F.col("points"))))
+    t = F.col("i") / F.col("points")
+    u = 1.0 - t
+
+    def drawn(c: str, k: int) -> Column:
+        """The curve's coordinate; its control points have it at every second number from ``k``."""
+        base = F.when(rel, F.col(f"pen_{c}")).otherwise(zero)
+        a = lambda i: F.get("args", F.lit(i)) + base
+        quad = u * u * F.col(f"pen_{c}") + 2.0 * u * t * a(k) + t * t * F.col(c)
+        cube = u * u * u * F.col(f"pen_{c}") + 3.0 * u * u * t * a(k) + 3.0 * u * t * t * a(k + 2) + t * t * t * F.col(c)
+        return F.when(up == "Q", quad).when(up == "C", cube).otherwise(F.col(c))
+
+    return rows.select(*keys, (F.col("first") + F.col("i") - 1).cast("int").alias("idx"), drawn("x", 0).alias("px"), drawn("y", 1).alias("py"))
 
 
 def path_candidates(paths: DataFrame, keys: list[str], least: int = 20) -> DataFrame:

@@ -114,6 +114,31 @@ PIXELS = """pixels AS (SELECT (l_suppkey % 10)::INT AS figure_id, (l_partkey % 6
  (l_partkey * 37 % 256)::INT AS r, (l_suppkey * 53 % 256)::INT AS g, (l_orderkey * 91 % 256)::INT AS b FROM lineitem)"""
 
 
+def raster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The curves of ``points`` drawn as solid steps of one pixel, each pixel by the first curve that covers it."""
+    p = points(spark, sf_dir).select("figure_id", "curve_id", F.floor(F.col("time") * 10).cast("int").alias("x"), (F.floor((F.lit(1.0) - F.col("survival")) * 300.0).cast("int") + 40 + F.col("curve_id") * 30).alias("y"))
+    w = Window.partitionBy("figure_id", "curve_id").orderBy("x")
+    top = p.groupBy("figure_id", "curve_id", "x").agg(F.max("y").alias("y")).withColumn("y", F.max("y").over(w))
+    ends = top.withColumn("last_y", F.coalesce(F.lag("y").over(w), "y")).withColumn("next_x", F.coalesce(F.lead("x").over(w), F.col("x") + 1))
+    up = ends.select("figure_id", "curve_id", "x", F.explode(F.sequence("last_y", "y")).alias("y"))
+    along = ends.select("figure_id", "curve_id", F.explode(F.sequence("x", F.col("next_x") - 1)).alias("x"), "y")
+    return up.union(along).groupBy("figure_id", "x", "y").agg(F.min("curve_id").alias("curve_id"))
+
+
+RASTER = POINTS + """, rp AS (SELECT figure_id, curve_id, floor(time * 10)::INT AS x, floor((1.0 - survival) * 300.0)::INT + 40 + curve_id * 30 AS y FROM points),
+rt AS (SELECT figure_id, curve_id, x, max(max(y)) OVER (PARTITION BY figure_id, curve_id ORDER BY x) AS y FROM rp GROUP BY figure_id, curve_id, x),
+re AS (SELECT *, coalesce(lag(y) OVER w, y) AS last_y, coalesce(lead(x) OVER w, x + 1) AS next_x FROM rt WINDOW w AS (PARTITION BY figure_id, curve_id ORDER BY x)),
+rr AS (SELECT figure_id, curve_id, x, unnest(range(last_y, y + 1))::INT AS y FROM re UNION ALL SELECT figure_id, curve_id, unnest(range(x, next_x))::INT AS x, y FROM re),
+raster AS (SELECT figure_id, x, y, min(curve_id) AS curve_id FROM rr GROUP BY ALL)"""
+
+
+def painted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``raster`` with a colour for each curve."""
+    colours = F.array(*[F.array(*map(F.lit, c)) for c in ((215, 25, 28), (26, 150, 65), (43, 60, 200), (150, 40, 160), (10, 140, 150), (200, 140, 10))])
+    c = F.get(colours, F.col("curve_id") % 6)
+    return raster(spark, sf_dir).select("figure_id", "x", "y", *[F.get(c, F.lit(i)).alias(n) for i, n in enumerate("rgb")])
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vector lines of twenty documents."""
     flat = F.col("o_orderkey") % 2 == 0

@@ -245,9 +245,14 @@ def job_clean_validate_catalog(spark, sf_dir):
     return jobs.clean_validate_catalog(px, adapters.calibration(spark, sf_dir), 540.0, 480.0)["catalog"]
 
 
-@query("job_curves_from_pixels")
+@query(
+    "job_curves_from_pixels",
+    "WITH " + adapters.RASTER + """, m AS (SELECT figure_id, curve_id AS c, avg(y) AS mean_y, count(*) AS n FROM raster GROUP BY ALL)
+ SELECT figure_id, row_number() OVER (PARTITION BY figure_id ORDER BY mean_y)::INT - 1 AS curve_id, n FROM m""",
+)
 def job_curves_from_pixels(spark, sf_dir):
-    out = jobs.curves_from_pixels(adapters.pixels(spark, sf_dir), k=2)
+    """The number of curves is found; on curves of one colour each the twin knows them."""
+    out = jobs.curves_from_pixels(adapters.painted(spark, sf_dir))
     return out.groupBy("figure_id", "curve_id").agg(F.count("*").alias("n"))
 
 

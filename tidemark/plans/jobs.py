@@ -21,11 +21,8 @@ def curves_from_pixels(pixels: DataFrame, k: int | None = None, light: float = 0
     feats = rows.select("figure_id", "id", "x", "y", F.col("l").alias("f0"), (F.col("s") * F.cos(angle)).alias("f1"), (F.col("s") * F.sin(angle)).alias("f2"))
     std = cluster.standardize(feats, ["figure_id"])
     if k is None:
-        found = cluster.auto_k(std, ["figure_id"])
-        parts = [cluster.kmeans_groups(std.join(found.filter(F.col("k") == i).select("figure_id"), "figure_id", "left_semi"), ["figure_id"], i, 5) for i in range(1, 7)]
-        grouped = parts[0]
-        for p in parts[1:]:
-            grouped = grouped.unionByName(p)
+        every = written(cluster.kmeans_for(std, ["figure_id"], [1, 2, 3, 4, 5, 6], 5))
+        grouped = every.join(cluster.choose_k(every, ["figure_id"]), ["figure_id", "k"], "left_semi").drop("k")
     else:
         grouped = cluster.kmeans_groups(std, ["figure_id"], k, 5)
     order = cluster.order_curves_by_height(grouped.withColumn("cluster", F.col("cluster")), ["figure_id", "cluster"]).select("figure_id", "cluster", (F.col("rank") - 1).alias("curve_id"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalar
 from tidemark.operators import cluster, validate
+from tidemark.operators.shared import written
 from tidemark.plans import adapters
 from tidemark.registry import query
 
@@ -142,18 +143,14 @@ def order_curves_by_height(spark, sf_dir):
 
 @query(
     "filter_candidates",
-    _X + """, l AS (SELECT figure_id, (g % 4) AS curve_id, x, y, x - lag(x) OVER w AS dx, abs(y - lag(y) OVER w) AS dy FROM pixels WINDOW w AS (PARTITION BY figure_id, g % 4 ORDER BY x, y)),
+    "WITH " + adapters.RASTER + """, l AS (SELECT figure_id, curve_id, x, y, x - lag(x) OVER w AS dx, abs(y - lag(y) OVER w) AS dy FROM raster WINDOW w AS (PARTITION BY figure_id, curve_id ORDER BY x, y)),
  s AS (SELECT figure_id, curve_id, count(*) AS n, max(x) - min(x) AS w, max(y) - min(y) AS h, max(dx) AS gap, avg(dy) AS dy FROM l GROUP BY ALL),
- q AS (SELECT * FROM s WHERE n >= 100 AND w::DOUBLE / greatest(h, 1) >= 1.2 AND w >= 192 AND gap <= 100 AND dy <= 1000)
- SELECT figure_id, curve_id, n, w, h, gap FROM q QUALIFY row_number() OVER (PARTITION BY figure_id ORDER BY n DESC, curve_id) <= 2""",
+ q AS (SELECT * FROM s WHERE n >= 100 AND w::DOUBLE / greatest(h, 1) >= 1.5 AND w >= 0.3 * 640 AND gap <= 100 AND dy <= 10)
+ SELECT figure_id, curve_id, n, w, h, gap, row_number() OVER (PARTITION BY figure_id ORDER BY n DESC, curve_id)::INT AS rank FROM q QUALIFY rank <= 3""",
 )
 def filter_candidates(spark, sf_dir):
-    p = adapters.pixels(spark, sf_dir).withColumn("curve_id", F.col("g") % 4)
-    w = Window.partitionBy("figure_id", "curve_id").orderBy("x", "y")
-    moves = p.withColumn("dx", F.col("x") - F.lag("x").over(w)).withColumn("dy", F.abs(F.col("y") - F.lag("y").over(w)))
-    s = moves.groupBy("figure_id", "curve_id").agg(F.count("*").alias("n"), (F.max("x") - F.min("x")).alias("w"), (F.max("y") - F.min("y")).alias("h"), F.max("dx").alias("gap"), F.avg("dy").alias("dy"))
-    good = s.filter((F.col("n") >= 100) & (F.col("w") / F.greatest(F.col("h"), F.lit(1)) >= 1.2) & (F.col("w") >= 192) & (F.col("gap") <= 100) & (F.col("dy") <= 1000))
-    return good.withColumn("k", F.row_number().over(Window.partitionBy("figure_id").orderBy(F.desc("n"), "curve_id"))).filter("k <= 2").select("figure_id", "curve_id", "n", "w", "h", "gap")
+    found = cluster.filter_candidates(adapters.raster(spark, sf_dir), 640.0, 3)
+    return found.select("figure_id", "curve_id", "n", "w", "h", "gap", "rank")
 
 
 def _vectors(spark, sf_dir):
@@ -180,7 +177,25 @@ def kmeans_colors(spark, sf_dir):
 
 @query("auto_k")
 def auto_k(spark, sf_dir):
-    return cluster.auto_k(_vectors(spark, sf_dir), ["figure_id"], most=4, rounds=3, method="combined")
+    """All three methods over one clustering for k from 1 to 4."""
+    groups = written(cluster.kmeans_for(_vectors(spark, sf_dir), ["figure_id"], [1, 2, 3, 4], 3))
+    found = [cluster.choose_k(groups, ["figure_id"], m).withColumn("method", F.lit(m)) for m in ("silhouette", "elbow", "combined")]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+@query(
+    "silhouette",
+    """WITH f AS (SELECT label % 4 AS figure_id, vec_id AS id, embedding[1]::DOUBLE AS f0, embedding[2]::DOUBLE AS f1, embedding[3]::DOUBLE AS f2, vec_id % 3 AS cluster FROM embeddings),
+ d AS (SELECT a.figure_id, a.id, a.cluster, b.cluster AS other, sum((a.f0 - b.f0) ** 2 + (a.f1 - b.f1) ** 2 + (a.f2 - b.f2) ** 2) AS s, count(*) AS n
+  FROM f a JOIN f b ON a.figure_id = b.figure_id GROUP BY ALL),
+ r AS (SELECT figure_id, id, max(CASE WHEN cluster = other THEN s / nullif(n - 1, 0) END) AS a, min(CASE WHEN cluster <> other THEN s / n END) AS b FROM d GROUP BY ALL)
+ SELECT figure_id, round(avg(CASE WHEN a IS NULL THEN 0.0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM r GROUP BY ALL""",
+)
+def silhouette(spark, sf_dir):
+    """From moments; the twin takes every pair."""
+    v = adapters.table(spark, sf_dir, "embeddings")
+    rows = v.select((F.col("label") % 4).alias("figure_id"), (F.col("vec_id") % 3).alias("cluster"), *[F.get("embedding", F.lit(i)).cast("double").alias(f"f{i}") for i in range(3)])
+    return cluster.silhouette(rows, ["figure_id"]).withColumn("silhouette", F.round("silhouette", 6))
 
 
 @query("cluster_confidence")
