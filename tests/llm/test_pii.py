@@ -88,3 +88,12 @@ def test_em_finds_the_reliable_labeler():
     assert table[0][1][2] > table[0][0][2]
     w = train({("token", good + "3211"): 300, ("token", bad + "2000"): 700}, post)
     assert len(every_pattern()) == 243 and len(w) == 44
+
+
+def test_long_secrets_are_whole_and_rows_do_not_cross(spark):
+    key, run, word = "sk-" + "Ab1_" * 40, "a1" * 150, "p4$" * 70
+    df = spark.createDataFrame([(1, f"the api key {key} is new"), (1, f"password: {word}"), (1, f"token {run}."), (1, "write to ann@example.org"), (None, "nothing here"), (None, "bob@example.org")], "doc_id long, text string")
+    spans = sorted(s.text for r in find(df).collect() for s in r.spans if s.kind in ("token", "secret"))
+    assert spans == sorted([key, run, word])
+    out = redact(df).collect()
+    assert len(out) == 6 and not any(x in r.text for r in out for x in ("@", key[:20], run[:20], word[:20]))

@@ -51,9 +51,9 @@ KINDS = ("email", "ip", "card", "phone")
 
 # Wider patterns that only propose spans.
 PROPOSED = {
-    "token": r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|(?:gh[a-z]_|xox[a-z]-|AIza|sk-)[A-Za-z0-9_-]{16,128}"
-    r"|(?=[A-Za-z]{0,128}[0-9])(?=[0-9]{0,128}[A-Za-z])[A-Za-z0-9]{16,128}|[A-Za-z]{24,128}|[0-9]{24,128})(?![A-Za-z0-9])",
-    "secret": r"(?<=(?i:password|passwd|pwd|secret|token|api[_-]?key)[\"']?\x20?[=:]\x20?[\"']?)[^\s\"',;=:]{6,128}",
+    "token": r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|(?:gh[a-z]_|xox[a-z]-|AIza|sk-)[A-Za-z0-9_-]{16,}+"
+    r"|(?=[A-Za-z]*+[0-9])(?=[0-9]*+[A-Za-z])[A-Za-z0-9]{16,}+|[A-Za-z]{24,}+|[0-9]{24,}+)(?![A-Za-z0-9])",
+    "secret": r"(?<=(?i:password|passwd|pwd|secret|token|api[_-]?key)[\"']?\x20?[=:]\x20?[\"']?)[^\s\"',;=:]{6,}+",
     "account": r"(?<![A-Za-z0-9.-])[0-9]{2,4}(?:[\x20-][0-9]{2,6}){1,4}(?![A-Za-z0-9-])",
     "mailbox": r"(?<![A-Za-z0-9._%+@-])[A-Za-z][A-Za-z0-9._%+-]{1,63}@[A-Za-z0-9-]{2,63}(?![A-Za-z0-9.@-])",
 }
@@ -297,8 +297,9 @@ def joined(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """Texts with every span replaced by its kind in brackets: ``doc_id, text``; needs distinct doc_ids."""
-    spans = find(docs).select(F.col("doc_id").alias("__id"), "spans")
+    """Texts with every span replaced by its kind in brackets: ``doc_id, text``. Rows are known by their place, so doc_ids may repeat or be null."""
+    keyed = materialize(docs.select(F.monotonically_increasing_id().alias("__row"), "doc_id", F.col("text").cast("string").alias("text")), "rows")
+    spans = find(keyed.select(F.col("__row").alias("doc_id"), "text")).select(F.col("doc_id").alias("__row"), "spans")
     text = F.coalesce(F.col("text"), F.lit(""))
     cut = F.aggregate(
         "spans",
@@ -308,7 +309,7 @@ def redact(docs: DataFrame) -> DataFrame:
         ),
         lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.char_length(text))),
     )
-    return docs.select("doc_id", "text").join(spans, F.col("doc_id").eqNullSafe(F.col("__id"))).select("doc_id", cut.alias("text"))
+    return keyed.join(spans, "__row").select("doc_id", cut.alias("text"))
 
 
 def every_pattern() -> list[str]:
