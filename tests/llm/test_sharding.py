@@ -36,3 +36,15 @@ def test_hot_group_and_edges(spark):
     check(out, None, slack=0.01)
     assert shard(df.limit(0)).count() == 0
     assert [r.slot for r in shard(df.filter("doc_id is null")).collect()] == [0]
+
+
+def test_repeated_rows_very_long_texts_and_clashing_names(spark):
+    rows = [(None, "abcd") for _ in range(4000)] + [(i, f"{i:04d}") for i in range(4000)]
+    out = shard(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(out) == len(rows)
+    check(out, None, slack=0.05)
+    rows = [(0, "x" * 5_000_000), (1, "y" * 4_000_000)] + [(i, "word " * (i % 7)) for i in range(2, 3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "1 as row", "2 as shard", "3 as item", "4 as size")
+    out = shard(df).collect()
+    big = {r.doc_id: r.shard for r in out if r.doc_id < 2}
+    assert len(out) == len(rows) and big[0] != big[1]

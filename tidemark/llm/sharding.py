@@ -7,15 +7,17 @@ its demand and the shard's residual capacity is highest.
 *Scale.* What is packed is bounded. Groups are dealt by hash into ``cells``
 cells, and a cell is placed as one item. A group with more than
 1/(32 * shards) of any of the three sums is an item of its own; at most
-3 * 32 * shards groups can be so large. Such a group is split by doc_id into
+3 * 32 * shards groups can be so large. Such a group is split by row into
 chunks no larger than a cell should be, so a text that a third of all rows
-share is dealt over the shards. The driver sees the items' sums (some
+share is dealt over the shards, whatever their doc_ids are. The driver sees the items' sums (some
 thousands of rows at any input size), never documents. Slots come from one
 window per item plus the item's offset; texts are not shuffled.
 
 Defined cases: a null text counts as empty for bytes, tokens, checksum and
 grouping; empty texts weigh one byte each; repeated rows get slots of their
-own; a null doc_id sorts first; on an empty table the result is empty.
+own; a null doc_id sorts first; rows alike in doc_id and text share slots in any
+order, and of shards with equal dot products the first is taken; a very long
+text is an item of its own; on an empty table the result is empty.
 Columns named like an added one are replaced.
 """
 
@@ -50,6 +52,7 @@ def shard(docs: DataFrame, shards: int = 8, cells: int = CELLS) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     slim = materialize(
         docs.select(
+            F.monotonically_increasing_id().alias("row"),
             "doc_id",
             (F.octet_length(text) + 1).cast("long").alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
@@ -76,7 +79,7 @@ def shard(docs: DataFrame, shards: int = 8, cells: int = CELLS) -> DataFrame:
         first += chunks
     heavy_items = spark.createDataFrame(rows, "group long, first int, chunks int")
 
-    item = F.when(F.col("chunks").isNull(), F.pmod(F.col("group"), F.lit(cells))).otherwise(F.col("first") + F.pmod(F.xxhash64("doc_id", F.lit(9)), F.col("chunks")))
+    item = F.when(F.col("chunks").isNull(), F.pmod(F.col("group"), F.lit(cells))).otherwise(F.col("first") + F.pmod(F.xxhash64("row", F.lit(9)), F.col("chunks")))
     dealt = slim.join(F.broadcast(heavy_items), "group", "left").withColumn("item", item.cast("int"))
     items = dealt.groupBy("item").agg(*sums).orderBy("item").collect()  # at most cells + chunks rows
     demands = np.array([[(r[d] or 0) / whole[d] for d in DIMENSIONS] for r in items])
