@@ -39,7 +39,9 @@ from .common import Words, binary, block_count, materialize, mix, with_block
 
 DEPTH = 3
 CONSTANT, TAIL = 0.6, 5
-LEAF_BYTES = 8_000_000
+LEAF_BYTES = 4_000_000
+#: Text of a block: a task holds several arrays of eight bytes for each of its bytes.
+BLOCK_BYTES = 4_000_000
 
 OUT = "doc_id long, n_lines int, n_dropped int, text string, dropped array<int>"
 _LAST = np.iinfo(np.int64).max
@@ -225,7 +227,7 @@ def _cut(table: pa.Table, drop: pa.Table) -> pa.Table:
 
 def drop_recurring(docs: DataFrame, blocks: int | None = None) -> DataFrame:
     """``doc_id, n_lines, n_dropped, text, dropped`` for every document; ``dropped`` are line numbers."""
-    dealt = with_block(docs, blocks or block_count(docs), "doc_id", "text").groupBy("block")
+    dealt = with_block(docs, blocks or block_count(docs, BLOCK_BYTES), "doc_id", "text").groupBy("block")
     leaves = materialize(dealt.applyInArrow(_leaves, "leaf long, block int, first_doc long, last_doc long"), "leaves")
     often = leaves.groupBy("leaf").agg(F.min("first_doc").alias("a"), F.max("last_doc").alias("b")).filter("a <> b").select("leaf")
     wanted = leaves.join(often, "leaf").select("block", "leaf")
