@@ -228,8 +228,6 @@ def test_twinless_queries_see_their_whole_tables(spark, tmp_path):
     assert drawn == points.count() > points.filter("seq < 40").count()
     spark.createDataFrame([(k, 1, "O", "1") for k in range(1, 40) if k % 5], "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string").write.parquet(str(tmp_path / "orders.parquet"))
     assert [r.doc_id for r in registry.QUERIES["fit_axis_robust"](spark, str(tmp_path)).collect()] == [1]
-    spark.createDataFrame([(2, k, 7 * k) for k in range(1, 31)], "l_suppkey long, l_partkey long, l_orderkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
-    assert sum(r.n for r in registry.QUERIES["job_curves_from_pixels"](spark, str(tmp_path)).collect()) > 0
 
 
 def test_neighbours_across_a_wide_figure(spark):

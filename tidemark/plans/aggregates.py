@@ -228,6 +228,47 @@ def write_km_artifact(spark, sf_dir):
     return back.select("study_id", F.size("time").alias("times"), total("n_event").alias("events"), total("n_censor").alias("censored"))
 
 
+@query("incremental_curves", "WITH " + adapters.POINTS + " SELECT 'events' AS doc_id, figure_id, curve_id, count(*) AS n_points, 'events_p1_f' || figure_id || '_curve' || (curve_id + 1) || '.csv' AS csv_path FROM points GROUP BY ALL")
+def incremental(spark, sf_dir):
+    """Curve files streamed in batches; the catalogue of whole batches."""
+    from tidemark.streaming.incremental import KEYS, incremental_curves, read_committed
+
+    path, out, check = (shared_path(spark, n) for n in ("files", "stream", "progress"))
+    p = adapters.points(spark, sf_dir).select(F.lit("events").alias("doc_id"), F.lit(1).alias("page"), "figure_id", "curve_id", "time", "survival")
+    sinks.write_curve_points(p, path, KEYS)
+    incremental_curves(spark, path, out, check, files=20, named=False).awaitTermination()
+    return read_committed(spark, out, "catalog").select("doc_id", "figure_id", "curve_id", "n_points", "csv_path")
+
+
+@query(
+    "write_curve_catalog",
+    "WITH " + adapters.POINTS + " SELECT 'd' || (figure_id % 3) AS pdf_name, 'f' || figure_id AS figure_id, curve_id, count(*) AS n_points, 'd' || (figure_id % 3) || '_p' || (figure_id % 4) || '_f' || figure_id || '_curve' || (curve_id + 1) || '.csv' AS csv_path FROM points GROUP BY ALL",
+)
+def write_curve_catalog(spark, sf_dir):
+    """Results nested by document, written as JSON, read back and listed in a catalogue."""
+    each = adapters.points(spark, sf_dir).groupBy("figure_id", "curve_id").agg(F.count("*").alias("n_points"))
+    figures = each.groupBy("figure_id").agg(F.collect_list(F.struct("curve_id", "n_points")).alias("curves"))
+    named = figures.select(F.concat(F.lit("d"), F.col("figure_id") % 3).alias("pdf_name"), F.struct(F.concat(F.lit("f"), F.col("figure_id")).alias("figure_id"), (F.col("figure_id") % 4).alias("page"), "curves").alias("f"))
+    path, catalog = shared_path(spark, "results"), shared_path(spark, "catalog")
+    sinks.write_results_json(named.groupBy("pdf_name").agg(F.collect_list("f").alias("figures")), path)
+    sinks.write_curve_catalog(curves.read_results(spark, path, lines=True), catalog)
+    return spark.read.parquet(catalog).select("pdf_name", "figure_id", "curve_id", "n_points", "csv_path")
+
+
+@query(
+    "consolidate_curves",
+    "WITH " + adapters.POINTS + " SELECT 'figure_id=' || figure_id AS source_pdf, count(*) AS n, round(sum(survival), 4) AS total FROM points GROUP BY figure_id",
+)
+def consolidate(spark, sf_dir):
+    """Point files of all folders as one table; the folder names the document."""
+    from tidemark.sources.curves import POINT
+
+    path = shared_path(spark, "folders")
+    sinks.write_curve_points(adapters.points(spark, sf_dir).select("figure_id", "time", "survival"), path, ["figure_id"])
+    back = curves.consolidate_curves(spark, f"{path}/*/*.csv", POINT)
+    return back.groupBy("source_pdf").agg(F.count("*").alias("n"), F.round(F.sum("survival"), 4).alias("total"))
+
+
 @query("job_monthly_series", "WITH " + adapters.POINTS + ", " + adapters.CALIBRATION + """, px AS (SELECT figure_id, curve_id, seq, time * 8.0 AS x, (1.0 - survival) * 400.0 AS y FROM points),
  c AS (SELECT figure_id, curve_id, x_lo + x / 480.0 * (x_hi - x_lo) AS time, least(greatest(y_hi - y / 400.0 * (y_hi - y_lo), y_lo), y_hi) AS survival FROM px JOIN calibration USING (figure_id))
  SELECT figure_id, curve_id, floor(time)::DOUBLE AS time, round(median(survival) + 1e-9, 5) AS survival FROM c GROUP BY ALL""")

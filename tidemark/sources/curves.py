@@ -39,9 +39,9 @@ def read_curve_points(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """Nested run results, one document a row."""
-    return spark.read.schema(RESULT).option("multiLine", True).json(path)
+def read_results(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Nested run results, one document a row; ``lines`` if each line of a file is a document, as our own writer has it."""
+    return spark.read.schema(RESULT).option("multiLine", not lines).json(path)
 
 
 def flatten_results(results: DataFrame) -> DataFrame:

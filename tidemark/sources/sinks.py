@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -11,12 +11,18 @@ def write_curve_points(points: DataFrame, path: str, keys: list[str]) -> None:
     points.repartition(*keys).sortWithinPartitions(*keys, "time").write.mode("overwrite").option("header", True).partitionBy(*keys).csv(path)
 
 
+def curve_file(doc: Column, page: Column, figure: Column, curve: Column) -> Column:
+    """The file name of a curve."""
+    name = F.concat_ws("_", doc, F.concat(F.lit("p"), page), figure, F.concat(F.lit("curve"), curve + 1))
+    return F.concat(name, F.lit(".csv"))
+
+
 def curve_catalog(results: DataFrame) -> DataFrame:
     from tidemark.sources.curves import flatten_results
 
     flat = flatten_results(results)
-    name = F.concat_ws("_", F.col("pdf_name"), F.concat(F.lit("p"), F.col("page")), F.col("figure_id"), F.concat(F.lit("curve"), F.col("curve_id") + 1))
-    return flat.select("pdf_name", "figure_id", "page", "curve_id", "n_points", F.concat(name, F.lit(".csv")).alias("csv_path"), "calibration_valid")
+    name = curve_file(F.col("pdf_name"), F.col("page"), F.col("figure_id"), F.col("curve_id"))
+    return flat.select("pdf_name", "figure_id", "page", "curve_id", "n_points", name.alias("csv_path"), "calibration_valid")
 
 
 def write_curve_catalog(results: DataFrame, path: str) -> None:
