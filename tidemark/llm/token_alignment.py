@@ -18,9 +18,11 @@ are shuffled, and a pair of ids has one row in all. While there are at most two
 million pairs the counts go to all tasks as arrays; beyond that the pairs of each
 document, counted, are joined with them by shuffle.
 
-The first tokenizer splits before each space that stands between two characters
-that are no white space, so such pieces are encoded once and remembered; texts
-that hold other white space are encoded whole.
+Both tokenizers split before each space that stands between two characters that
+are no white space (the first by its pattern, the second as no piece of its
+vocabulary holds such a space but as its first character), so the parts between
+such spaces are encoded once and remembered; a text with another space, or with a
+part whose tokens do not give back its bytes, is encoded whole.
 
 Defined cases: a null or empty text, and one whose tokens do not give back its
 bytes (the second tokenizer changes some characters), has no tokens: zeros and an
@@ -33,6 +35,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -46,7 +49,7 @@ from .common import binary, few_texts, materialize
 #: Pairs of ids whose counts may go to all tasks (13 bytes each).
 BROADCAST_PAIRS = 2_000_000
 #: Characters of the pieces of text that a worker remembers.
-REMEMBERED = 2_000_000
+REMEMBERED = 3_000_000
 #: Characters that some patterns take for white space and Python does not.
 _DOUBTFUL = "\u180e\u200b\u2060\ufeff"
 
@@ -59,7 +62,7 @@ def _byte_level() -> dict[str, int]:
 
 
 class ByteLevel:
-    """A byte-level tokenizer file: ids of texts, and the bytes of each id."""
+    """A byte-level tokenizer file: ids of a space and each text, and the bytes of each id."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks use the cores
@@ -73,41 +76,9 @@ class ByteLevel:
         for token, i in self.tokenizer.get_vocab().items():
             self.bytes[i] = bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()
         self.length = np.array([len(x) for x in self.bytes], np.int64)
-        self.known: dict[str, bytes | None] = {}
-        self.held = 0
-
-    def _packed(self, texts: list[str]) -> list[bytes | None]:
-        """Ids of each text as packed int32; None if their bytes are not the text's."""
-        out = []
-        for text, e in zip(texts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-            whole = b"".join(map(self.bytes.__getitem__, e.ids)) == text.encode()
-            out.append(np.array(e.ids, np.int32).tobytes() if whole else None)
-        return out
 
-    def encode(self, texts: list[str]) -> list[np.ndarray | None]:
-        """Ids of a space and each text; None where the tokens do not give back the bytes."""
-        if self.held > REMEMBERED:
-            self.known, self.held = {}, 0
-        pieces = [text.split(" ") for text in texts]
-        fresh, whole = {}, []
-        for parts in pieces:
-            for p in parts:
-                if p not in self.known and p not in fresh:
-                    fresh[p] = bool(p) and not (p[0].isspace() or p[-1].isspace() or p[0] in _DOUBTFUL or p[-1] in _DOUBTFUL)
-                    self.held += len(p)
-        cut = [p for p, fine in fresh.items() if fine]
-        # pieces at whose edges a cut may be wrong are None: texts with one of them are encoded whole
-        self.known |= dict.fromkeys(fresh)
-        self.known |= zip(cut, self._packed([" " + p for p in cut]))
-        out: list[np.ndarray | None] = []
-        for i, parts in enumerate(pieces):
-            found = list(map(self.known.__getitem__, parts))
-            out.append(None if None in found else np.frombuffer(b"".join(found), np.int32))
-            if None in found:
-                whole.append(i)
-        for i, data in zip(whole, self._packed([" " + texts[i] for i in whole])):
-            out[i] = None if data is None else np.frombuffer(data, np.int32)
-        return out
+    def ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
 
 
 class Pieces:
@@ -118,23 +89,64 @@ class Pieces:
 
         self.model = SentencePieceProcessor(model_file=path)
         self.size = self.model.get_piece_size()
-        self.bytes = []
+        self.bytes, self.splits = [], True
         for i in range(self.size):
             piece = self.model.id_to_piece(i)
             self.bytes.append(bytes([int(piece[3:-1], 16)]) if self.model.is_byte(i) else piece.replace("▁", " ").encode())
+            # no piece spans a space that stands between other characters
+            self.splits &= "▁" not in piece.lstrip("▁")
         self.length = np.array([len(x) for x in self.bytes], np.int64)
 
-    def encode(self, texts: list[str]) -> list[np.ndarray | None]:
-        out: list[np.ndarray | None] = []
-        for text, ids in zip(texts, self.model.encode(texts, num_threads=1) if texts else []):
-            whole = b"".join(map(self.bytes.__getitem__, ids)) == b" " + text.encode()
-            out.append(np.array(ids, np.int32) if whole else None)
+    def ids(self, texts: list[str]) -> list[list[int]]:
+        return self.model.encode(texts, num_threads=1) if texts else []
+
+
+class Encoder:
+    """Both tokenizers' ids of texts; parts of texts between single spaces are encoded once and remembered."""
+
+    def __init__(self, first: str, second: str):
+        self.a, self.b = ByteLevel(first), Pieces(second)
+        self.known: dict[str, tuple[bytes, bytes] | None] = {}
+        self.held = 0
+
+    def _packed(self, texts: list[str]) -> list[tuple[bytes, bytes] | None]:
+        """Ids of each text as packed 32-bit numbers; None if some tokens' bytes are not those of a space and the text."""
+        of_a, of_b, out = self.a.bytes.__getitem__, self.b.bytes.__getitem__, []
+        for text, a, b in zip(texts, self.a.ids(texts), self.b.ids(texts)):
+            data = b" " + text.encode()
+            fine = b"".join(map(of_a, a)) == data and b"".join(map(of_b, b)) == data
+            out.append((array("i", a).tobytes(), array("i", b).tobytes()) if fine else None)
+        return out
+
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
+        if self.held > REMEMBERED:
+            self.known, self.held = {}, 0
+        parts = [text.split(" ") for text in texts]
+        fresh: dict[str, None] = {}
+        for some in parts:
+            fresh.update(dict.fromkeys([p for p in some if p not in self.known]))
+        # a cut is right only between two characters that are no white space
+        cut = [p for p in fresh if p and not (p[0].isspace() or p[-1].isspace() or p[0] in _DOUBTFUL or p[-1] in _DOUBTFUL)] if self.b.splits else []
+        self.held += sum(map(len, fresh))
+        self.known |= fresh
+        self.known |= zip(cut, self._packed(cut))
+        out: list[tuple[np.ndarray, np.ndarray] | None] = []
+        whole = []
+        for i, some in enumerate(parts):
+            found = list(map(self.known.__getitem__, some))
+            if None in found:
+                whole.append(i)
+                out.append(None)
+            else:
+                out.append(tuple(np.frombuffer(b"".join([x[k] for x in found]), np.int32) for k in (0, 1)))
+        for i, data in zip(whole, self._packed([texts[i] for i in whole])):
+            out[i] = None if data is None else tuple(np.frombuffer(x, np.int32) for x in data)
         return out
 
 
 @lru_cache(maxsize=2)
-def _tokenizers(first: str, second: str) -> tuple[ByteLevel, Pieces]:
-    return ByteLevel(first), Pieces(second)
+def _encoder(first: str, second: str) -> Encoder:
+    return Encoder(first, second)
 
 
 def align(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -198,13 +210,15 @@ def _written(ids_a, ids_b, label_a, label_b, ends, partner) -> tuple[np.ndarray,
 
 def _encode(first: str, second: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = _tokenizers(first, second)
+        encoder = _encoder(first, second)
+        a, b = encoder.a, encoder.b
         kind = pair_type(a.size, b.size)
         for batch in few_texts(batches, 1 << 20):
             texts = [(x or b"").decode("utf-8", "replace") for x in binary(batch.column("text"))]
             some = [i for i, t in enumerate(texts) if t]
-            of_a, of_b = a.encode([texts[i] for i in some]), b.encode([texts[i] for i in some])
-            fine = [k for k in range(len(some)) if of_a[k] is not None and of_b[k] is not None]
+            found = encoder.encode([texts[i] for i in some])
+            fine = [k for k, x in enumerate(found) if x is not None]
+            of_a, of_b = ([x[t] if x is not None else None for x in found] for t in (0, 1))
             n_a, n_b, n_groups = (np.zeros(len(texts), np.int64) for _ in range(3))
             hashes, links = [""] * len(texts), [b""] * len(texts)
             if fine:
@@ -317,7 +331,7 @@ def pair_counts(aligned: DataFrame, size_a: int, size_b: int) -> DataFrame:
 def links(docs: DataFrame, first: str, second: str, broadcast_pairs: int = BROADCAST_PAIRS) -> DataFrame:
     """One row a document: ``doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256``."""
     spark = docs.sparkSession
-    a, b = _tokenizers(first, second)
+    a, b = _encoder(first, second).a, _encoder(first, second).b
     kind = pair_type(a.size, b.size)
     aligned = alignments(docs, first, second)
     counts = materialize(pair_counts(aligned, a.size, b.size), "counts")
