@@ -113,6 +113,11 @@ def _nearest(rows: DataFrame, centres: DataFrame, keys: list[str], by: list[str]
 STARTS = 10
 
 
+def _mean(c: str) -> Column:
+    """The mean of a feature over rows that stand for ``n`` each."""
+    return F.sum(F.col("n") * F.col(c)) / F.sum("n")
+
+
 def _seeds(rows: DataFrame, keys: list[str], k: int, starts: int) -> DataFrame:
     """``keys, __start, cluster, c0..c2``: ``k`` seeds for each start, all starts in one aggregation a seed.
 
@@ -122,7 +127,7 @@ def _seeds(rows: DataFrame, keys: list[str], k: int, starts: int) -> DataFrame:
     start and seed.
     """
     tries = F.explode(F.sequence(F.lit(0), F.lit(starts - 1)))
-    mean = rows.groupBy(*keys).agg(*[F.avg(f"f{i}").alias(f"c{i}") for i in range(len(FEATURES))]).select("*", tries.alias("__start"))
+    mean = rows.groupBy(*keys).agg(*[_mean(f"f{i}").alias(f"c{i}") for i in range(len(FEATURES))]).select("*", tries.alias("__start"))
     by = [*keys, "__start"]
 
     def pick(df: DataFrame, far: Column, weight: Column, j: int) -> DataFrame:
@@ -132,10 +137,10 @@ def _seeds(rows: DataFrame, keys: list[str], k: int, starts: int) -> DataFrame:
         best = df.groupBy(*by).agg(F.max_by(F.struct(*FEATURES), F.struct(order, -F.col("id"))).alias("s"))
         return best.select(*by, F.lit(j).alias("cluster"), *[F.col(f"s.f{i}").alias(f"c{i}") for i in range(len(FEATURES))])
 
-    centres = pick(rows.join(mean, keys), -_distance("f", "c"), F.lit(1.0), 0)
+    centres = pick(rows.join(mean, keys), -_distance("f", "c"), F.col("n"), 0)
     for j in range(1, k):
         centres = written(centres)
-        centres = centres.unionByName(pick(_nearest(rows, centres, keys, by), F.col("d2"), F.col("d2"), j))
+        centres = centres.unionByName(pick(_nearest(rows, centres, keys, by), F.col("d2"), F.col("n") * F.col("d2"), j))
     return written(centres)
 
 
@@ -148,10 +153,12 @@ def kmeans_for(rows: DataFrame, keys: list[str], ks: list[int], rounds: int = 8,
     depend on seeds.
     """
     by = [*keys, "k", "__start"]
-    centres = _seeds(rows, keys, max(ks), starts).withColumn("k", F.explode(F.array(*map(F.lit, ks)))).filter("cluster < k")
+    # rows alike move together: one row stands for all of them
+    kinds = written(rows.groupBy(*keys, *FEATURES).agg(F.min("id").alias("id"), F.count("*").alias("n")))
+    centres = _seeds(kinds, keys, max(ks), starts).withColumn("k", F.explode(F.array(*map(F.lit, ks)))).filter("cluster < k")
     for _ in range(rounds):
-        centres = written(_nearest(rows, centres, keys, by).groupBy(*by, "cluster").agg(*[F.avg(f"f{i}").alias(f"c{i}") for i in range(len(FEATURES))]))
-    cost = _nearest(rows, centres, keys, by).groupBy(*by).agg(F.sum("d2").alias("cost"))
+        centres = written(_nearest(kinds, centres, keys, by).groupBy(*by, "cluster").agg(*[_mean(f"f{i}").alias(f"c{i}") for i in range(len(FEATURES))]))
+    cost = _nearest(kinds, centres, keys, by).groupBy(*by).agg(F.sum(F.col("n") * F.col("d2")).alias("cost"))
     best = cost.groupBy(*keys, "k").agg(F.min_by("__start", F.struct("cost", "__start")).alias("__start"))
     centres = written(centres.join(best, by, "left_semi"))
     order = F.row_number().over(Window.partitionBy(*keys, "k").orderBy(*[f"c{i}" for i in range(len(FEATURES))])) - 1
