@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalar
+from tidemark.operators.spatial import in_boxes
 
 KEYS = ["figure_id", "curve_id"]
 
@@ -103,11 +104,11 @@ def detect_tick_row(words: DataFrame, keys: list[str], band: float = 10.0) -> Da
 
 
 def axis_candidates(words: DataFrame, axes: DataFrame, keys: list[str], above: float = 100.0, below: float = 20.0, left: float = 50.0, right: float = 500.0) -> DataFrame:
-    """Words that are numbers (``value``) in a band around a horizontal axis line (``axis_id``); axes are a few lines of a page."""
-    h = axes.filter("direction = 'h'").select(*keys, F.col("line_id").alias("axis_id"), F.col("y1").alias("__y"), F.least("x1", "x2").alias("__a"), F.greatest("x1", "x2").alias("__b"))
+    """Words that are numbers (``value``) in a band around a horizontal axis line (``axis_id``)."""
+    y, a, b = F.col("y1"), F.least("x1", "x2"), F.greatest("x1", "x2")
+    zones = axes.filter("direction = 'h'").select(*keys, F.col("line_id").alias("axis_id"), (a - left).alias("__a"), (b + right).alias("__b"), (y - above).alias("__c"), (y + below).alias("__d"))
     numbers = words.withColumn("value", F.col("text").try_cast("double")).filter("value is not null")
-    near = F.col("top").between(F.col("__y") - above, F.col("__y") + below) & F.col("left").between(F.col("__a") - left, F.col("__b") + right)
-    return numbers.join(h, keys).filter(near).drop("__y", "__a", "__b")
+    return in_boxes(numbers, zones, keys, "left", "top", ("__a", "__b", "__c", "__d")).drop("__a", "__b", "__c", "__d")
 
 
 def even_sequence(texts: DataFrame, keys: list[str], tolerance: float = 0.05) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalar
 from tidemark.operators.shared import written
+from tidemark.operators.spatial import in_boxes
 
 # ------------------------------------------------------------ rows of words
 
@@ -74,8 +75,8 @@ def parse_at_risk(words: DataFrame, keys: list[str], reach: float = 10.0) -> Dat
 def extract_nar(words: DataFrame, panels: DataFrame, band: float = 40.0, gap: float = 3.0) -> DataFrame:
     """Numbers in the band under each panel, as ``y_grp, col, num``; at least 3 numbers a panel."""
     w = words.withColumn("num", scalar.parse_number(F.col("text"))).filter("num is not null")
-    inside = F.broadcast(panels) if panels.isLocal() else panels
-    rows = w.join(inside, "figure_id").filter((F.col("left") >= F.col("xmin")) & (F.col("left") <= F.col("xmax")) & (F.col("top") > F.col("ymax")) & (F.col("top") <= F.col("ymax") + band))
+    under = panels.withColumn("__to", F.col("ymax") + band)
+    rows = in_boxes(w, under, ["figure_id"], "left", "top", ("xmin", "xmax", "ymax", "__to")).filter("top > ymax").drop("__to")
     rows = rows.withColumn("__n", F.count("*").over(Window.partitionBy("figure_id", "panel_id"))).filter("__n >= 3").drop("__n")
     banded = cluster_rows_gap(rows, ["figure_id", "panel_id"], "top", gap).withColumnRenamed("row_id", "y_grp")
     col = F.row_number().over(Window.partitionBy("figure_id", "panel_id", "y_grp").orderBy("left", "word_id")) - 1

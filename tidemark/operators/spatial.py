@@ -6,6 +6,8 @@ local; the exact distance or range is checked afterwards.
 
 from __future__ import annotations
 
+from math import log
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,13 +43,49 @@ def build_panels(axes: DataFrame, keys: list[str], top: int = 6, apart: float =
     return box.filter(F.col("xmax") - F.col("xmin") >= least_width).withColumn("panel_id", F.row_number().over(w))
 
 
+#: The side of a grid cell at the lowest level; at each level above it is four times as long.
+CELL = 32.0
+LEVELS = 12
+BOX = ("xmin", "xmax", "ymin", "ymax")
+
+
+def box_pairs(points: DataFrame, boxes: DataFrame, keys: list[str], x: str, y: str, box: tuple[str, str, str, str] = BOX) -> DataFrame:
+    """Points with the boxes of their page that share a grid cell with them.
+
+    A box lies in the cells of the level where it is at most two cells wide and
+    high, so in nine at most; a point lies in one cell of each level that its
+    page's boxes use. A pair meets once. Boxes too large for any level, infinite
+    ones too, meet all points of their page.
+    """
+    x1, x2, y1, y2 = (F.col(c).cast("double") for c in box)
+    span = F.greatest(x2 - x1, y2 - y1)
+    level = F.greatest(F.lit(0), F.ceil(F.log(F.greatest(span, F.lit(1e-9)) / (2 * CELL)) / log(4.0)).cast("int"))
+    large = (span > 2 * CELL * 4.0 ** (LEVELS - 1)) | (F.abs(x1) > 1e15) | (F.abs(y1) > 1e15)
+    fine = (x1 <= x2) & (y1 <= y2)
+    held = boxes.filter(fine).withColumn("__level", F.when(large, F.lit(LEVELS)).otherwise(level))
+    side = F.lit(CELL) * F.pow(F.lit(4.0), F.col("__level"))
+    whole = F.col("__level") == LEVELS
+    at = lambda v: F.when(whole, F.lit(0).cast("long")).otherwise(F.floor(v / side).cast("long"))
+    cells = held.withColumn("__cx", F.explode(F.sequence(at(x1), at(x2)))).withColumn("__cy", F.explode(F.sequence(at(y1), at(y2))))
+    used = held.groupBy(*keys).agg(F.collect_set("__level").alias("__levels"))
+    near = points.join(used, keys).withColumn("__level", F.explode("__levels")).drop("__levels")
+    near = near.withColumn("__cx", at(F.col(x).cast("double"))).withColumn("__cy", at(F.col(y).cast("double")))
+    return near.join(cells, [*keys, "__level", "__cx", "__cy"]).drop("__level", "__cx", "__cy")
+
+
+def in_boxes(points: DataFrame, boxes: DataFrame, keys: list[str], x: str, y: str, box: tuple[str, str, str, str] = BOX) -> DataFrame:
+    """Each point with each box of its page that holds it, edges included; other columns of both must differ in name."""
+    x1, x2, y1, y2 = (F.col(c) for c in box)
+    return box_pairs(points, boxes, keys, x, y, box).filter((F.col(x) >= x1) & (F.col(x) <= x2) & (F.col(y) >= y1) & (F.col(y) <= y2))
+
+
 def flag_insets(panels: DataFrame, keys: list[str], share: float = 0.25) -> DataFrame:
     """``is_inset``: inside another panel of the page and at most ``share`` of the largest panel's area."""
     area = (F.col("xmax") - F.col("xmin")) * (F.col("ymax") - F.col("ymin"))
     sized = panels.withColumn("area", area).withColumn("__most", F.max(area).over(Window.partitionBy(*keys)))
-    box = ("xmin", "xmax", "ymin", "ymax", "panel_id")
-    outer = panels.select(*keys, *[F.col(c).alias(f"__{c}") for c in box])
-    inside = sized.join(outer, keys).filter("panel_id <> __panel_id and xmin >= __xmin and xmax <= __xmax and ymin >= __ymin and ymax <= __ymax").select(*keys, "panel_id").distinct().withColumn("__in", F.lit(True))
+    outer = panels.select(*keys, *[F.col(c).alias(f"__{c}") for c in (*BOX, "panel_id")])
+    corners = in_boxes(panels.select(*keys, *BOX, "panel_id"), outer, keys, "xmin", "ymin", tuple(f"__{c}" for c in BOX))
+    inside = corners.filter("panel_id <> __panel_id and xmax <= __xmax and ymax <= __ymax").select(*keys, "panel_id").distinct().withColumn("__in", F.lit(True))
     out = sized.join(inside, [*keys, "panel_id"], "left")
     return out.withColumn("is_inset", F.coalesce(F.col("__in"), F.lit(False)) & (F.col("area") <= share * F.col("__most"))).drop("__in", "__most")
 
@@ -111,12 +149,9 @@ def nearest_within(left: DataFrame, right: DataFrame, keys: list[str], lxy: tupl
 
 
 def _in_panels(at: DataFrame, panels: DataFrame, keys: list[str], how: str) -> DataFrame:
-    """Rows of ``at(mx, my)`` with a panel around them (left_semi), or without one (left_anti)."""
-    box = panels.select(*[F.col(k).alias(f"__{k}") for k in keys], *[F.col(c).alias(f"__{c}") for c in ("xmin", "xmax", "ymin", "ymax")])
-    on = F.col("mx").between(F.col("__xmin"), F.col("__xmax")) & F.col("my").between(F.col("__ymin"), F.col("__ymax"))
-    for k in keys:
-        on &= F.col(k) == F.col(f"__{k}")
-    return at.join(box, on, how)
+    """Rows of ``at(line_id, mx, my)`` with a panel around them (left_semi), or without one (left_anti)."""
+    held = in_boxes(at.select(*keys, "line_id", "mx", "my"), panels.select(*keys, *BOX), keys, "mx", "my")
+    return at.join(held.select(*keys, "line_id").distinct(), [*keys, "line_id"], how)
 
 
 def nearest_label(swatches: DataFrame, texts: DataFrame, keys: list[str], reach: float = 25.0, panels: DataFrame | None = None, longest: float = 40.0) -> DataFrame:
@@ -149,15 +184,19 @@ def attach_legend(curves: DataFrame, legend: DataFrame, keys: list[str]) -> Data
 
 def clip_to_panel(points: DataFrame, panels: DataFrame, keys: list[str]) -> DataFrame:
     """Points inside a panel of their page, with its id."""
-    box = panels.select(*keys, "panel_id", "xmin", "xmax", "ymin", "ymax")
-    inside = (F.col("px") >= F.col("xmin")) & (F.col("px") <= F.col("xmax")) & (F.col("py") >= F.col("ymin")) & (F.col("py") <= F.col("ymax"))
-    return points.join(box, keys).filter(inside).drop("xmin", "xmax", "ymin", "ymax")
+    return in_boxes(points, panels.select(*keys, "panel_id", *BOX), keys, "px", "py").drop(*BOX)
 
 
 def text_in_region(words: DataFrame, regions: DataFrame, keys: list[str]) -> DataFrame:
-    """The words whose boxes overlap each region, joined in reading order."""
+    """The words whose boxes overlap each region, joined in reading order.
+
+    A region grown by its page's largest word holds the corner of each word that may overlap it.
+    """
+    most = words.groupBy(*keys).agg(F.max("width").alias("__w"), F.max("height").alias("__h"))
+    grown = regions.join(most, keys).select(*regions.columns, (F.col("rx1") - F.col("__w")).alias("__x1"), (F.col("ry1") - F.col("__h")).alias("__y1"))
+    near = in_boxes(words, grown, keys, "left", "top", ("__x1", "rx2", "__y1", "ry2"))
     hit = (F.col("left") < F.col("rx2")) & (F.col("left") + F.col("width") > F.col("rx1")) & (F.col("top") < F.col("ry2")) & (F.col("top") + F.col("height") > F.col("ry1"))
-    rows = words.join(regions, keys).filter(hit).groupBy(*keys, "region_id").agg(F.sort_array(F.collect_list(F.struct("top", "left", "text"))).alias("w"))
+    rows = near.filter(hit).groupBy(*keys, "region_id").agg(F.sort_array(F.collect_list(F.struct("top", "left", "text"))).alias("w"))
     return rows.select(*keys, "region_id", F.array_join(F.transform("w", lambda x: x["text"]), " ").alias("text"))
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.scan import RANGE, running, same, spread
+from tidemark.operators.shared import written
 
 Z95 = 1.959963984540054
 
@@ -214,3 +215,114 @@ def reconstruct_ipd(steps: DataFrame, keys: list[str]) -> DataFrame:
     leave = F.coalesce("t2", "time")
     each = F.concat(F.array_repeat(F.lit(1), F.greatest(F.col("events"), F.lit(0))), F.array_repeat(F.lit(0), F.greatest(F.col("censored"), F.lit(0))))
     return counts.select(*keys, "seq", leave.alias("time"), F.posexplode(each).alias("patient", "event"))
+
+
+# ------------------------------------------------------------ records from a curve and numbers at risk
+
+
+def _drops(time, survival, n: int, s: float, start: float, end: float, censored: int):
+    """Events at each drop of the curve while ``censored`` patients leave evenly between ``start`` and ``end``.
+
+    The estimate so far, not the curve, is compared with the next drop, so what
+    rounding leaves is made up for later.
+    """
+    import numpy as np
+
+    out = np.zeros(len(time), np.int64)
+    span = end - start
+    gone = 0
+    for k in range(len(time)):
+        away = min(censored, int(censored * (time[k] - start) / span + 0.5)) if span > 0 else censored
+        at = n - gone - away
+        if at <= 0 or s <= 0:
+            break
+        d = min(at, max(0, int(round(at * (1 - survival[k] / s)))))
+        out[k] = d
+        gone += d
+        s *= 1 - d / at
+    return out
+
+
+def _solve(keys: list[str]):
+    """Bisects the number censored in an interval, until its last number at risk (or its number of events) is met."""
+
+    def run(rows):
+        import numpy as np
+        import pandas as pd
+
+        r = rows.sort_values("time")
+        one = r.iloc[0]
+        known = r[r["survival"].notna()]
+        time, survival = known["time"].to_numpy(), known["survival"].to_numpy()
+        n, start, end, s = int(one["n0"]), float(one["t0"]), float(one["t1"]), float(one["s0"])
+        after, target = one["n1"], one["target"]
+        left = 0 if pd.isna(after) else int(after)
+
+        def over(c: int) -> bool:
+            """Whether more should be censored."""
+            d = _drops(time, survival, n, s, start, end, c).sum()
+            return d > target if pd.isna(after) else n - d - c > left
+
+        lo, hi = 0, max(0, n - left)
+        if not (pd.isna(after) and pd.isna(target)):
+            while lo < hi:
+                mid = (lo + hi) // 2
+                lo, hi = (mid + 1, hi) if over(mid) else (lo, mid)
+        d = _drops(time, survival, n, s, start, end, lo)
+        # rounding may leave some events too many for the next number at risk: the latest go
+        spare = int(d.sum()) - (n - left)
+        for k in range(len(d) - 1, -1, -1):
+            if spare > 0:
+                less = min(spare, int(d[k]))
+                d[k] -= less
+                spare -= less
+        c = n - left - int(d.sum())
+        inside = min(c, lo) if pd.isna(after) else c
+        at = start + (np.arange(inside) + 0.5) / max(1, inside) * (end - start)
+        leave = np.concatenate([time, at, [end]])
+        events = np.concatenate([np.ones(len(time)), np.zeros(inside + 1)]).astype(np.int32)
+        count = np.concatenate([d, np.ones(inside), [c - inside]]).astype(np.int64)
+        out = pd.DataFrame({"time": leave, "event": events, "n": count})
+        for k in keys:
+            out[k] = one[k]
+        return out[out["n"] > 0][[*keys, "time", "event", "n"]]
+
+    return run
+
+
+def fit_ipd(points: DataFrame, risk: DataFrame, keys: list[str], totals: DataFrame | None = None) -> DataFrame:
+    """Patient records ``keys, time, event`` from a survival curve and reported numbers at risk.
+
+    ``points`` are ``keys, time, survival``; ``risk`` are ``keys, time, n_risk``
+    (patients with time at or after it); ``totals`` may give ``keys, events``.
+    Between two numbers at risk the number censored is searched until the events
+    that the curve then shows leave exactly the next number. After the last one
+    it is searched until the events add up to the total, and who is left is
+    censored at the curve's end. Points before the first number at risk are not
+    used. An interval is solved in one task; intervals of all curves at once.
+    """
+    w = Window.partitionBy(*keys).orderBy("time")
+    steps = risk.withColumn("t1", F.lead("time").over(w)).withColumn("n1", F.lead("n_risk").over(w))
+    known = steps.select(*keys, "time", F.lit(0).alias("__o"), F.struct(F.col("time").alias("t0"), F.col("n_risk").cast("double").alias("n0"), "t1", F.col("n1").cast("double").alias("n1")).alias("at"), F.lit(None).cast("double").alias("survival"))
+    both = known.unionByName(points.select(*keys, "time", F.lit(1).alias("__o"), F.lit(None).cast(known.schema["at"].dataType).alias("at"), F.col("survival").cast("double").alias("survival")))
+    # an interval begins with its number at risk; what drops at that time belongs to it
+    upto = Window.partitionBy(*keys).orderBy("time", "__o").rowsBetween(Window.unboundedPreceding, 0)
+    placed = both.withColumn("at", F.last("at", ignorenulls=True).over(upto)).withColumn("s0", F.coalesce(F.last(F.when(F.col("__o") == 1, F.col("survival")), ignorenulls=True).over(upto), F.lit(1.0)))
+    ends = points.groupBy(*keys).agg(F.max("time").alias("__end"))
+    rows = placed.filter("at is not null").join(ends, keys, "left").select(
+        *keys, "at.t0", "at.n0", F.coalesce("at.t1", F.greatest("at.t0", F.coalesce("__end", "at.t0"))).cast("double").alias("t1"), "at.n1", "s0", F.col("time").cast("double").alias("time"), "survival", "__o"
+    )
+    first = Window.partitionBy(*keys, "t0").orderBy("time", "__o")
+    rows = rows.withColumn("s0", F.first("s0").over(first)).drop("__o")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.select(*keys).schema) + ", time double, event int, n long"
+    none = F.lit(None).cast("double")
+    inner = written(rows.filter("n1 is not null").withColumn("target", none).groupBy(*keys, "t0").applyInPandas(_solve(keys), kinds))
+    last = rows.filter("n1 is null")
+    if totals is None:
+        last = last.withColumn("target", none)
+    else:
+        seen = inner.filter("event = 1").groupBy(*keys).agg(F.sum("n").alias("__seen"))
+        want = totals.join(seen, keys, "left").select(*keys, (F.col("events") - F.coalesce("__seen", F.lit(0))).cast("double").alias("target"))
+        last = last.join(want, keys, "left")
+    every = inner.unionByName(last.groupBy(*keys, "t0").applyInPandas(_solve(keys), kinds))
+    return every.withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).select(*keys, "time", "event")

@@ -136,9 +136,11 @@ def page_analysis(lines: DataFrame, words: DataFrame | None = None, paths: DataF
 def _panel_axes(words: DataFrame, panels: DataFrame, below: float = 20.0, beside: float = 60.0) -> DataFrame:
     """Panels whose numbers below and to the left fit an axis each: slopes, intercepts and ``y_max``, the largest number on y."""
     panel = ["doc_id", "panel_id"]
-    near = words.withColumn("value", F.col("text").try_cast("double")).filter("value is not null").join(panels, "doc_id")
-    x = near.filter(F.col("left").between(F.col("xmin") - 5, F.col("xmax") + 5) & F.col("top").between(F.col("ymax"), F.col("ymax") + below)).select(*panel, F.col("left").alias("pos"), "value")
-    y = near.filter(F.col("left").between(F.col("xmin") - beside, F.col("xmin")) & F.col("top").between(F.col("ymin") - 5, F.col("ymax") + 5)).select(*panel, F.col("top").alias("pos"), "value")
+    numbers = words.withColumn("value", F.col("text").try_cast("double")).filter("value is not null").select("doc_id", "left", "top", "value")
+    zone = lambda x1, x2, y1, y2: panels.select(*panel, *[e.alias(c) for c, e in zip(spatial.BOX, (x1, x2, y1, y2))])
+    xmin, xmax, ymin, ymax = (F.col(c) for c in spatial.BOX)
+    x = spatial.in_boxes(numbers, zone(xmin - 5, xmax + 5, ymax, ymax + below), ["doc_id"], "left", "top").select(*panel, F.col("left").alias("pos"), "value")
+    y = spatial.in_boxes(numbers, zone(xmin - beside, xmin, ymin - 5, ymax + 5), ["doc_id"], "left", "top").select(*panel, F.col("top").alias("pos"), "value")
     fit = lambda ticks, a: calibrate.fit_axis_linear(ticks, panel).filter("slope is not null").select(*panel, F.col("slope").alias(f"{a}_slope"), F.col("intercept").alias(f"{a}_intercept"))
     return fit(x, "x").join(fit(y, "y"), panel).join(y.groupBy(*panel).agg(F.max("value").alias("y_max")), panel)
 

@@ -163,6 +163,19 @@ def reconstruct_ipd(spark, sf_dir):
     return survival.reconstruct_ipd(steps, ["study_id"]).groupBy("study_id", "time").agg(F.sum("event").alias("events"), F.count("*").alias("patients"))
 
 
+@query(
+    "fit_ipd",
+    "WITH " + adapters.IPD + ", g AS (SELECT unnest([0.0, 6.0, 12.0, 18.0, 24.0, 36.0, 48.0, 60.0])::DOUBLE AS grid_time), s AS (SELECT DISTINCT study_id FROM ipd)"
+    " SELECT s.study_id, grid_time, (SELECT count(*) FROM ipd i WHERE i.study_id = s.study_id AND i.time >= grid_time)::BIGINT AS n_risk FROM s, g",
+)
+def fit_ipd(spark, sf_dir):
+    """Records fitted to each study's curve and numbers at risk; the twin counts the true records at risk."""
+    ipd = adapters.ipd(spark, sf_dir)
+    km = survival.km_fit(ipd, ["study_id"]).select("study_id", "time", "survival")
+    risk = survival.at_risk_table(ipd, ["study_id"], GRID).select("study_id", F.col("grid_time").alias("time"), "n_risk")
+    return survival.at_risk_table(survival.fit_ipd(km, risk, ["study_id"]), ["study_id"], GRID)
+
+
 @query(
     "study_summary",
     "WITH " + adapters.NMA + " SELECT study_id, arm, count(*) AS n, sum(event)::BIGINT AS events FROM nma GROUP BY ALL",
