@@ -16,18 +16,17 @@ from tidemark.sources import curves, sinks
 
 # ------------------------------------------------------------ ticks
 
-_T = "WITH " + adapters.LINES + ", tk AS (SELECT doc_id, (line_id % 40)::DOUBLE AS pos, (line_id % 40) * 1.5 + (line_id % 7) * 0.1 AS value FROM lines WHERE line_id % 5 = 0)"
+_T = "WITH " + adapters.LINES + ", tk AS (SELECT doc_id, (line_id % 40)::DOUBLE AS pos, (line_id % 40) * 1.5 + (line_id % 7) * 0.1 AS value FROM lines)"
 
 
-def _ticks(spark, sf_dir, every=1):
-    """Ticks of all lines or, as the twins have it, of every fifth."""
+def _ticks(spark, sf_dir):
     n = F.col("line_id")
-    return adapters.lines(spark, sf_dir).filter(n % every == 0).select("doc_id", (n % 40).cast("double").alias("pos"), ((n % 40) * 1.5 + (n % 7) * 0.1).alias("value"))
+    return adapters.lines(spark, sf_dir).select("doc_id", (n % 40).cast("double").alias("pos"), ((n % 40) * 1.5 + (n % 7) * 0.1).alias("value"))
 
 
 @query("fit_axis_linear", _T + " SELECT doc_id, count(*) AS n, round(regr_slope(value, pos), 6) AS slope, round(regr_intercept(value, pos), 6) AS intercept, round(regr_r2(value, pos), 6) AS r2, coalesce(regr_r2(value, pos) < 0.95, true) AS warning FROM tk GROUP BY doc_id HAVING count(*) >= 2")
 def fit_axis_linear(spark, sf_dir):
-    f = calibrate.fit_axis_linear(_ticks(spark, sf_dir, 5), ["doc_id"])
+    f = calibrate.fit_axis_linear(_ticks(spark, sf_dir), ["doc_id"])
     return f.select("doc_id", "n", *[F.round(c, 6).alias(c) for c in ("slope", "intercept", "r2")], "warning")
 
 
@@ -43,7 +42,7 @@ def fit_axis_robust(spark, sf_dir):
  SELECT doc_id, n, round((b[2] - a[2]) / nullif(b[1] - a[1], 0), 6) AS slope, round(a[2] - (b[2] - a[2]) / nullif(b[1] - a[1], 0) * a[1], 6) AS intercept FROM e""",
 )
 def fit_axis_two_point(spark, sf_dir):
-    f = calibrate.fit_axis_two_point(_ticks(spark, sf_dir, 5), ["doc_id"])
+    f = calibrate.fit_axis_two_point(_ticks(spark, sf_dir), ["doc_id"])
     return f.select("doc_id", "n", F.round("slope", 6).alias("slope"), F.round("intercept", 6).alias("intercept"))
 
 
@@ -255,6 +254,20 @@ def write_curve_catalog(spark, sf_dir):
     return spark.read.parquet(catalog).select("pdf_name", "figure_id", "curve_id", "n_points", "csv_path")
 
 
+@query("read_svg_lines", "WITH " + adapters.LINES + " SELECT x1, y1, x2, y2, stroke, 'translate(' || doc_id || ' 0) scale(2)' AS transform, 'line ' || line_id || ' & more' AS label FROM lines")
+def read_svg_lines(spark, sf_dir):
+    """Lines and their labels written as SVG, each page in nested groups beside definitions, and read back."""
+    lines = adapters.lines(spark, sf_dir)
+    line = F.format_string("<line x1='%s' y1=\"%s\" x2='%s' y2=\"%s\" stroke='%s'/><text x='%s' y='1'>line <tspan>%s</tspan> &amp; more</text>", "x1", "y1", "x2", "y2", "stroke", "x1", "line_id")
+    pages = lines.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_id", line.alias("e")))), lambda p: p["e"]), "\n").alias("all"))
+    defs = "<defs><defs><line x1='7'/></defs><g><line x1='8'/></g></defs>"
+    page = F.concat(F.lit(f"<svg>{defs}<g transform='translate("), F.col("doc_id"), F.lit(" 0)'><g/><g transform=\"scale(2)\">"), F.col("all"), F.lit("</g></g></svg>"))
+    path = shared_path(spark, "svg")
+    pages.repartition(20, "doc_id").select(page.alias("value")).write.text(path)
+    texts = curves.read_svg_texts(spark, path).select("doc_id", (F.col("element_id") - 1).alias("line_id"), F.col("text").alias("label"))
+    return curves.read_svg_lines(spark, path).join(texts, ["doc_id", "line_id"]).select("x1", "y1", "x2", "y2", "stroke", "transform", "label")
+
+
 @query(
     "consolidate_curves",
     "WITH " + adapters.POINTS + " SELECT 'figure_id=' || figure_id AS source_pdf, count(*) AS n, round(sum(survival), 4) AS total FROM points GROUP BY figure_id",

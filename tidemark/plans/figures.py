@@ -18,9 +18,9 @@ def _axes(spark, sf_dir):
     return spatial.axis_lines(adapters.lines(spark, sf_dir), ["doc_id"])
 
 
-@query("axis_lines", _AXES + " SELECT doc_id, line_id, direction, length, rank FROM axes WHERE rank <= 20")
+@query("axis_lines", _AXES + " SELECT doc_id, line_id, direction, length, rank FROM axes")
 def axis_lines(spark, sf_dir):
-    return _axes(spark, sf_dir).filter("rank <= 20").select("doc_id", "line_id", "direction", "length", "rank")
+    return _axes(spark, sf_dir).select("doc_id", "line_id", "direction", "length", "rank")
 
 
 _PANELS = _AXES + """, hz AS (SELECT doc_id, y1 AS hy, least(x1, x2) AS hx1, greatest(x1, x2) AS hx2 FROM axes WHERE direction = 'h' AND rank <= 12),
@@ -200,12 +200,12 @@ def clip_to_panel(spark, sf_dir):
 
 @query(
     "text_in_region",
-    _L + """, w AS (SELECT doc_id, 'w' || (line_id % 50)::VARCHAR AS text, x1 AS left_, y1 AS top FROM lines WHERE line_id % 4 = 0)
+    _L + """, w AS (SELECT doc_id, 'w' || (line_id % 50)::VARCHAR AS text, x1 AS left_, y1 AS top FROM lines)
  SELECT doc_id, r AS region_id, string_agg(text, ' ' ORDER BY top, left_, text) AS text FROM w, (SELECT unnest([0, 1]) AS r)
  WHERE left_ < 500 AND left_ + 20 > 0 AND top < 60 + 340 * r AND top + 8 > 340 * r GROUP BY ALL""",
 )
 def text_in_region(spark, sf_dir):
-    lines = adapters.lines(spark, sf_dir).filter("line_id % 4 = 0")
+    lines = adapters.lines(spark, sf_dir)
     words = lines.select("doc_id", F.concat(F.lit("w"), (F.col("line_id") % 50).cast("string")).alias("text"), F.col("x1").alias("left"), F.col("y1").alias("top"), F.lit(20.0).alias("width"), F.lit(8.0).alias("height"))
     r = F.explode(F.array(*[F.struct(F.lit(i).alias("region_id"), F.lit(0.0).alias("rx1"), F.lit(500.0).alias("rx2"), F.lit(340.0 * i).alias("ry1"), F.lit(60.0 + 340 * i).alias("ry2")) for i in (0, 1)]))
     regions = lines.select("doc_id").distinct().select("doc_id", r.alias("r")).select("doc_id", "r.*")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,34 +58,87 @@ def consolidate_curves(spark: SparkSession, glob: str, schema: T.StructType) ->
     return _finite(raw.withColumn("source_pdf", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1)))
 
 
-def _svg(spark: SparkSession, path: str, tag: str) -> DataFrame:
+_TOKEN = r"""(?s)(<!--.*?-->|<!\[CDATA\[.*?\]\]>|<(?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^<]++)"""
+#: The entities of XML; the ampersand last.
+_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&"))
+
+
+def svg_tokens(spark: SparkSession, path: str) -> DataFrame:
+    """Tags and texts of SVG files in order: ``doc_id, pos, token, tag, kind, level, in_defs``.
+
+    ``kind`` is open, close, single or text; ``level`` is how deep an element
+    lies, the same for its two tags. Depth is a running sum over a file.
+    """
     files = spark.read.text(path, wholetext=True).withColumn("doc_id", F.col("_metadata.file_name"))
-    # definitions are not drawn
-    bare = F.regexp_replace("value", r"(?s)<defs\b.*?</defs>", "")
-    element = F.regexp_extract_all(bare, F.lit(rf"(?s)(<{tag}\b[^>]*>(?:[^<]*)?)"), F.lit(1))
-    return files.select("doc_id", F.posexplode(element).alias("element_id", "e"))
+    rows = files.select("doc_id", F.posexplode(F.regexp_extract_all("value", F.lit(_TOKEN), F.lit(1))).alias("pos", "token"))
+    tag = F.regexp_extract("token", r"^</?\s*([A-Za-z_][A-Za-z0-9_:.-]*)", 1)
+    name = F.regexp_replace(tag, "^.*:", "")
+    kind = (
+        F.when(~F.col("token").startswith("<") | F.col("token").startswith("<![CDATA["), "text").when(F.col("token").startswith("</"), "close")
+        .when(name == "", None).when(F.col("token").endswith("/>"), "single").otherwise("open")
+    )
+    rows = rows.withColumn("tag", name).withColumn("kind", kind).filter("kind is not null")
+    upto = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    step = F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)
+    inside = lambda t: F.sum(F.when(F.col("tag") == t, step).otherwise(0)).over(upto) > 0
+    rows = rows.withColumn("in_defs", inside("defs")).withColumn("in_text", inside("text")).withColumn("__deep", F.sum(step).over(upto))
+    return rows.withColumn("level", F.when(F.col("kind").isin("close", "single"), F.col("__deep") + 1).otherwise(F.col("__deep"))).drop("__deep")
 
 
-def _attr(name: str) -> F.Column:
-    return F.nullif(F.regexp_extract("e", rf"\s{name}\s*=\s*\"([^\"]*)\"", 1), F.lit(""))
+def _svg(spark: SparkSession, path: str, tag: str) -> DataFrame:
+    """Drawn elements of a kind, definitions left out: ``doc_id, element_id, e, transform``.
+
+    ``transform`` holds those of the groups around an element and its own, from
+    the outermost on. An element asks at each level above it for the last tag
+    opened there, so rows grow with depth, not with the number of groups.
+    """
+    tokens = svg_tokens(spark, path).withColumn("e", F.col("token"))
+    own = _attr("transform")
+    found = tokens.filter((F.col("tag") == tag) & F.col("kind").isin("open", "single") & ~F.col("in_defs"))
+    opened = tokens.filter("kind = 'open'").select("doc_id", "pos", "level", F.struct(own.alias("t")).alias("open"), F.lit(False).alias("asks"))
+    asked = found.filter("level > 1").select("doc_id", "pos", F.explode(F.sequence(F.lit(1), F.col("level") - 1)).alias("level"), F.lit(None).cast("struct<t:string>").alias("open"), F.lit(True).alias("asks"))
+    last = Window.partitionBy("doc_id", "level").orderBy("pos", "asks").rowsBetween(Window.unboundedPreceding, 0)
+    above = opened.unionByName(asked).withColumn("open", F.last("open", ignorenulls=True).over(last)).filter("asks and open.t is not null")
+    chain = above.groupBy("doc_id", "pos").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("level", "open.t"))), lambda x: x["t"]), " ").alias("around"))
+    return found.join(chain, ["doc_id", "pos"], "left").select("doc_id", F.col("pos").alias("element_id"), "e", F.nullif(F.concat_ws(" ", "around", own), F.lit("")).alias("transform"))
+
+
+def _attr(name: str) -> Column:
+    either = [F.regexp_extract("e", rf"\s{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)')", i) for i in (1, 2)]
+    return F.nullif(F.concat(*either), F.lit(""))
 
 
 def read_svg_lines(spark: SparkSession, path: str) -> DataFrame:
     n = lambda a: F.coalesce(_attr(a).try_cast("double"), F.lit(0.0))
     return _svg(spark, path, "line").select(
         "doc_id", F.col("element_id").alias("line_id"), *[n(c).alias(c) for c in ("x1", "y1", "x2", "y2")],
-        _attr("stroke").alias("stroke"), _attr("stroke-width").try_cast("double").alias("sw"), _attr("stroke-dasharray").alias("dash"),
+        _attr("stroke").alias("stroke"), _attr("stroke-width").try_cast("double").alias("sw"), _attr("stroke-dasharray").alias("dash"), "transform",
     )
 
 
 def read_svg_texts(spark: SparkSession, path: str) -> DataFrame:
-    text = F.trim(F.regexp_extract("e", r">([^<]*)$", 1))
-    return _svg(spark, path, "text").select("doc_id", "element_id", text.alias("text"), *[_attr(c).try_cast("double").alias(c) for c in ("x", "y")]).filter("text <> ''")
+    """Texts with what their spans hold; a text without a place takes that of its first span."""
+    tokens = svg_tokens(spark, path).withColumn("e", F.col("token"))
+    upto = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    start = F.last(F.when((F.col("tag") == "text") & (F.col("kind") == "open"), F.col("pos")), ignorenulls=True).over(upto)
+    inside = tokens.withColumn("element_id", start).filter("in_text and not in_defs")
+    plain = F.regexp_replace("token", r"(?s)^<!\[CDATA\[(.*)\]\]>$", "$1")
+    for entity, c in _ENTITIES:
+        plain = F.replace(plain, F.lit(entity), F.lit(c))
+    piece = F.when(F.col("kind") == "text", F.struct("pos", plain.alias("t")))
+    span = (F.col("tag") == "tspan") & (F.col("kind") == "open")
+    parts = inside.groupBy("doc_id", "element_id").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(piece)), lambda p: p["t"]), "").alias("text"),
+        *[F.min_by(_attr(c), F.when(span & _attr(c).isNotNull(), F.col("pos"))).alias(f"span_{c}") for c in "xy"],
+    )
+    rows = _svg(spark, path, "text").join(parts, ["doc_id", "element_id"])
+    place = [F.coalesce(_attr(c), F.col(f"span_{c}")).try_cast("double").alias(c) for c in "xy"]
+    return rows.select("doc_id", "element_id", F.trim(F.regexp_replace("text", r"\s+", " ")).alias("text"), *place, "transform").filter("text <> ''")
 
 
 def read_svg_paths(spark: SparkSession, path: str) -> DataFrame:
     """Paths that are stroked and not filled."""
-    rows = _svg(spark, path, "path").select("doc_id", F.col("element_id").alias("path_id"), _attr("d").alias("d"), _attr("stroke").alias("stroke"), _attr("fill").alias("fill"), _attr("transform").alias("transform"))
+    rows = _svg(spark, path, "path").select("doc_id", F.col("element_id").alias("path_id"), _attr("d").alias("d"), _attr("stroke").alias("stroke"), _attr("fill").alias("fill"), "transform")
     return rows.filter("d is not null and stroke is not null and stroke <> 'none' and coalesce(fill, 'none') = 'none'").drop("fill")
 
 
