@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from math import pi
+from math import ceil, log2, pi
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -347,35 +347,37 @@ def filter_solid(curves: DataFrame, scores: DataFrame, keys: list[str], confiden
 # ------------------------------------------------------------ neighbours
 
 
-def knn_join(pixels: DataFrame, keys: list[str], k: int, cell: int = 8) -> DataFrame:
-    """The k nearest other pixels of each pixel within ``cell`` to two cells' reach: ``id, other, d, rank``.
+def knn_pairs(pixels: DataFrame, keys: list[str], k: int, cell: int = 8) -> DataFrame:
+    """Pairs ``id, other, d`` that hold the k nearest other pixels of each pixel.
 
-    Pixels meet in grid cells with the 3 x 3 cells around them; where that finds
-    fewer than k closer than one cell, the rest of the figure is searched with
-    cells of four times the size, and so on until all have k or the figure ends.
+    A pyramid counts the pixels of grid cells whose side doubles from level to
+    level. A pixel takes the lowest level where its own cell holds k others: all
+    of these lie within a cell's diagonal, so the k nearest lie in the 5 x 5 cells
+    around. A cell of the level below holds k pixels at most, so at each level a
+    pixel meets some 100 k that look for it, however dense other places are.
+    Where a figure has no such cell, the top level sees all of it.
     """
-    total = pixels.groupBy(*keys).agg(F.count("*").alias("__all"))
     extent = pixels.groupBy(*keys).agg(F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("e")).agg(F.max("e")).first()[0] or 0
-    todo, done, size, last = pixels, None, cell, False
-    # a cell as large as a figure's diagonal sees all of it
-    while not last:
-        last = size >= 1.5 * extent
-        at = lambda c: F.floor(F.col(c) / size)  # noqa: B023, E731
-        offsets = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-        probe = todo.select(*keys, "id", "x", "y", offsets.alias("o")).withColumn("cx", at("x") + F.col("o.i")).withColumn("cy", at("y") + F.col("o.j"))
-        held = pixels.select(*keys, F.col("id").alias("other"), F.col("x").alias("x2"), F.col("y").alias("y2"), at("x").alias("cx"), at("y").alias("cy"))
-        d = F.sqrt(((F.col("x") - F.col("x2")) * (F.col("x") - F.col("x2")) + (F.col("y") - F.col("y2")) * (F.col("y") - F.col("y2"))).cast("double"))
-        pairs = probe.join(held, [*keys, "cx", "cy"]).filter("id <> other").select(*keys, "id", "other", d.alias("d"))
-        w = Window.partitionBy(*keys, "id").orderBy("d", "other")
-        ranked = pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-        sure = ranked.groupBy(*keys, "id").agg(F.count_if(F.col("d") <= size).alias("n")).join(total, keys).filter((F.col("n") >= k) | (F.col("n") >= F.col("__all") - 1)).select(*keys, "id")
-        found = written(ranked.join(sure, [*keys, "id"], "left_semi"))
-        done = found if done is None else done.unionByName(found)
-        todo = written(todo.join(found.select(*keys, "id").distinct(), [*keys, "id"], "left_anti"))
-        if not todo.limit(1).count():
-            break
-        size *= 4
-    return done
+    top = max(0, ceil(log2((extent + 1) / cell)))
+    side = F.lit(float(cell)) * F.pow(F.lit(2.0), F.col("__level"))
+    at = lambda c: F.floor(F.col(c) / side).cast("long")
+    placed = pixels.select(*keys, "id", "x", "y", F.explode(F.sequence(F.lit(0), F.lit(top))).alias("__level")).withColumn("cx", at("x")).withColumn("cy", at("y"))
+    where = [*keys, "__level", "cx", "cy"]
+    full = placed.groupBy(*where).agg(F.count("*").alias("n")).filter((F.col("n") > k) | (F.col("__level") == top)).drop("n")
+    mine = placed.join(full, where).groupBy(*keys, "id").agg(F.min(F.struct("__level", "cx", "cy", "x", "y")).alias("c")).select(*keys, "id", "c.*")
+    offsets = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-2, 3) for j in range(-2, 3)]))
+    probe = mine.withColumn("o", offsets).withColumn("cx", F.col("cx") + F.col("o.i")).withColumn("cy", F.col("cy") + F.col("o.j")).drop("o")
+    held = placed.select(*where, F.col("id").alias("other"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    dx, dy = (F.col("x") - F.col("x2")).cast("double"), (F.col("y") - F.col("y2")).cast("double")
+    d = F.sqrt(dx * dx + dy * dy)
+    near = (F.col("__level") == top) | (d <= side * 1.5)
+    return probe.join(held, where).filter("id <> other").filter(near).select(*keys, "id", "other", d.alias("d"))
+
+
+def knn_join(pixels: DataFrame, keys: list[str], k: int, cell: int = 8) -> DataFrame:
+    """The k nearest other pixels of each pixel, all of them if a figure has fewer: ``id, other, d, rank``."""
+    w = Window.partitionBy(*keys, "id").orderBy("d", "other")
+    return knn_pairs(pixels, keys, k, cell).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def knn_coherence(pixels: DataFrame, keys: list[str], k: int = 20) -> DataFrame:
