@@ -166,3 +166,13 @@ def test_edges(spark):
     assert len(got) == 6 and {r.n_tokens for r in got} == {1, 3, 2, 20_001}
     assert lm.score(df.limit(0)).count() == 0
     assert [r.train_tokens for r in lm.score(df.filter("doc_id is null")).collect()] == [0]
+
+
+def test_scores_do_not_depend_on_partitions_or_order(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(lm, "REPLICA_BYTES", 60_000)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    found = [{r.doc_id: r for r in lm.score(docs.repartition(n).orderBy("doc_id", ascending=n > 1) if n > 1 else docs.coalesce(1)).collect()} for n in (1, 9)]
+    assert found[0].keys() == found[1].keys()
+    assert all(abs(found[0][i].score - r.score) <= 1e-4 * (1 + abs(r.score)) for i, r in found[1].items())
+    held = [r for r in found[0].values() if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)

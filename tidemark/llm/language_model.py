@@ -12,10 +12,11 @@ smoothed share of the class by the counts; each such class keeps room for one
 unseen word. So every word has a probability, and known words sum to at most 1.
 
 *Training.* Truncated backpropagation in numpy over every training document, at
-every size, with the state carried from window to window. Each task is a replica
-that trains on the documents it reads, in pieces of at most ``PIECE`` tokens; Spark
-averages the replicas' weights by their tokens (as whole numbers, so that the
-order of the sum does not matter).
+every size, with the state carried from window to window. Documents are dealt by hash
+to replicas of about ``REPLICA_BYTES`` of text each, however many tasks there are;
+a replica trains in pieces of at most ``PIECE`` tokens, and Spark averages the
+replicas' weights by their tokens (as whole numbers, so that the order of the
+sum does not matter). So scores do not depend on how the table is partitioned.
 
 *Scoring.* A task packs whole documents into lanes, carries the state through
 each document from its first to its last word, and adds up log10 P. Counts of
@@ -43,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, commonest, few_texts, materialize, mix, signed, unsigned
+from .common import Words, commonest, few_texts, materialize, mix, signed, unsigned, with_block
 
 HIDDEN = 16
 HEAD, WIDTH, TAILS = 2048, 64, 32
@@ -55,6 +56,8 @@ ROWS = 1024
 PIECE = 2048
 #: Bytes of text that are trained on, or scored, together.
 TRAIN_BYTES, SCORE_BYTES = 6_000_000, 12_000_000
+#: Text that one replica trains on.
+REPLICA_BYTES = 16_000_000
 RATE = 0.01
 #: Weights are averaged in steps of this.
 GRAIN = 2.0**-40
@@ -441,31 +444,37 @@ def _views(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarra
 
 
 def _train_replica(vocabulary):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """``i, w``: the task's weights, each times its share of all training tokens, in whole grains."""
+    def run(table: pa.Table) -> pa.Table:
+        """``i, w``: the replica's weights, each times its share of all training tokens, in whole grains."""
         v = vocabulary.value
         adam = Adam(start(v))
         seen = 0
-        for batch in few_texts(batches, TRAIN_BYTES):
+        table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")]).select(["text"])
+        for batch in few_texts(table.to_batches(), TRAIN_BYTES):
             ids, first = tokens(batch.column("text"))
             words, back = np.unique(ids, return_inverse=True)
             train(adam, v.find(words)[2][back], first)
             seen += len(ids)
-        if seen:
-            w = np.round(np.clip(adam.flat.astype(np.float64), -1000, 1000) * (seen / v.total) / GRAIN).astype(np.int64)
-            for lo in range(0, len(w), 50_000):
-                part = w[lo : lo + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(lo, lo + len(part), dtype=np.int32)), pa.array(part)], ["i", "w"])
+        w = np.round(np.clip(adam.flat.astype(np.float64), -1000, 1000) * (seen / v.total) / GRAIN).astype(np.int64)
+        return pa.table({"i": pa.array(np.arange(len(w), dtype=np.int32)), "w": pa.array(w)})
 
     return run
 
 
 def fit(parts: DataFrame, vocabulary: Vocabulary, shared_vocabulary) -> dict[str, np.ndarray]:
-    """Weights averaged over the tasks' replicas: one pass over every training document."""
+    """Weights averaged over replicas: one pass over every training document.
+
+    A replica trains on the documents that a hash deals to it, about
+    ``REPLICA_BYTES`` of text at any size of the corpus, in the order of doc_id
+    and text. So the weights do not depend on partitions or tasks.
+    """
     p = start(vocabulary)
     if not vocabulary.total:
         return p
-    trained = parts.filter("not held_out").select("text").mapInArrow(_train_replica(shared_vocabulary), "i int, w long")
+    known = parts.filter("not held_out")
+    total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    dealt = with_block(known, max(1, ceil(total / REPLICA_BYTES)), "doc_id", "text").groupBy("block")
+    trained = dealt.applyInArrow(_train_replica(shared_vocabulary), "i int, w long")
     rows = trained.groupBy("i").agg(F.sum("w").alias("w")).toArrow()  # the weights once
     flat = np.zeros(rows.num_rows)
     flat[rows.column("i").to_numpy()] = rows.column("w").to_numpy() * GRAIN
