@@ -35,7 +35,7 @@ def test_held_out_accuracy():
         ("Released under the MIT License.", "mit"), ("All rights reserved.", "proprietary"),
     ):
         assert (m.classify(text.encode()) or ("none",))[0] == family, (text, m.classify(text.encode()))
-    for text in (b"he copied the licence plate", b"the public domain of numbers is large", b"permission to land was given", b"a b"):
+    for text in (b"he copied the licence plate", b"the public domain of numbers is large", b"permission to land was given", b"a b", b"free of charge to any person", b""):
         assert m.classify(text) is None
 
 
@@ -53,3 +53,29 @@ def test_notices_without_a_frequent_cue_and_hard_wrapped(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = sorted((r.doc_id, r.paragraph, r.family, r.text) for r in ls.scan(df).collect())
     assert got == [(0, 0, "cc-by", texts[0]), (1, 2, "mit", wrapped), (2, 0, "mit", wrapped)]
+
+
+def test_notices_of_other_words(spark):
+    """Two words are enough, no cue word is needed, and a whole scan gives what each paragraph alone gives."""
+    want = {
+        "License: MIT": "mit", "SPDX-License-Identifier: MIT": "mit", "GNU Affero General Public License v3": "agpl",
+        "Use in source and binary forms, with or without modification, are permitted provided that the following conditions are met": "bsd",
+        "Licensed to the Apache Software Foundation (ASF) under one or more contributor license agreements": "apache",
+        "he may not use this file": None, "the terms of the deal": None,
+    }
+    df = spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")
+    got = {r.doc_id: r.family for r in ls.scan(df).collect()}
+    assert {t: got.get(i) for i, t in enumerate(want)} == want
+
+
+def test_scan_is_that_of_each_paragraph():
+    table = pq.read_table("/root/testdata/sf0.01/documents.parquet").to_pylist()
+    m = ls.fit([b"some prose of a line that says nothing at all"] * 20)
+    seen = 0
+    for r in table:
+        text = (r["text"] or "").encode()
+        got = [(k, f) for k, f, *_ in m.notices(text)]
+        each = {k: y[0] for k, line in enumerate(text.split(b"\n")) if (y := m.classify(line))}
+        assert {k: f for k, f in got if k in each} == each
+        seen += len(each)
+    assert seen

@@ -19,7 +19,9 @@ some kind by the model (``NOTICE``), with ``CONFIRM`` of the pairs of any
 template without its names, are reported as ``unknown``.
 
 *Scale.* The model (a bounded table) goes to every task; documents are scanned
-once as they lie, without a shuffle.
+once as they lie, without a shuffle. Any report needs a word pair of a template, so
+a document without one is done after one look at its pairs, and so is a paragraph;
+nothing else decides what the model sees.
 
 *Paragraphs.* Each line is one, and so are the lines between two blank ones
 together (a hard-wrapped notice) if none of them is a notice; ``paragraph`` is
@@ -43,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary, gram_hash
+from .common import binary, gram_hash, is_in
 
 DIMENSIONS = 1 << 15
 NEGATIVES = 2_000
@@ -61,17 +63,24 @@ TEMPLATES = {
         "Released under the MIT License.",
         "This project is licensed under the terms of the MIT license.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+        "SPDX-License-Identifier: MIT",
+        "License: MIT",
     ],
     "apache": [
         "Licensed under the Apache License, Version 2.0.",
         "you may not use this file except in compliance with the License. You may obtain a copy of the License at",
         "SPDX-License-Identifier: Apache-2.0",
+        "Licensed to the Apache Software Foundation (ASF) under one or more contributor license agreements",
     ],
     "gpl": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License",
         "Released under the GPL v3.",
     ],
+    "agpl": [
+        "Licensed under the GNU Affero General Public License v3.",
+        "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+    ],
     "lgpl": [
         "This library is licensed under the GNU Lesser General Public License, version 2.1.",
         "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License",
@@ -106,7 +115,7 @@ TEMPLATES = {
 }
 # Words by which templates name their family; and names of other licences.
 NAMES = frozenset(
-    "mit apache apache-2.0 gnu general public lesser gpl v3 bsd 3-clause mozilla cc by by-sa by-nc cc0 creative commons attribution attribution-noncommercial international".split()
+    "mit apache apache-2.0 gnu general public lesser affero gpl v3 bsd 3-clause mozilla cc by by-sa by-nc cc0 creative commons attribution attribution-noncommercial international".split()
 )
 OTHERS = "ISC; Zlib; Artistic; EUPL 1.2; Eclipse Public; Boost Software; Unlicense; WTFPL; Open Software; Academic Free; Python Software Foundation; SIL Open Font; Custom; Example; Community; Vendor"
 UNKNOWN = "unknown"
@@ -150,9 +159,10 @@ class _Template:
 
 
 class Model:
-    def __init__(self, weights: np.ndarray, bias: np.ndarray, temperature: float, cues: np.ndarray):
-        self.weights, self.bias, self.temperature, self.cues = weights, bias, temperature, cues
+    def __init__(self, weights: np.ndarray, bias: np.ndarray, temperature: float):
+        self.weights, self.bias, self.temperature = weights, bias, temperature
         self.templates = {f: [_Template(t) for t in ts] for f, ts in TEMPLATES.items()}
+        self.pairs = np.unique(np.concatenate([t.pairs for ts in self.templates.values() for t in ts]))
 
     def probabilities(self, rows: list[np.ndarray]) -> np.ndarray:
         scores = np.array([self.weights[r].sum(axis=0) / np.sqrt(max(1, len(r))) for r in rows]) + self.bias
@@ -170,8 +180,10 @@ class Model:
     def classify(self, paragraph: bytes) -> tuple[str, float, float] | None:
         """(family, probability, share of a template confirmed), or nothing."""
         h = _hashes(paragraph)
-        if len(h) < 3 or not np.isin(h, self.cues).any():
-            return None  # no word of any template that prose lacks: no template can be confirmed
+        return self.judge(h) if is_in(gram_hash(h, 2), self.pairs).any() else None
+
+    def judge(self, h: np.ndarray) -> tuple[str, float, float] | None:
+        """The same of a paragraph's words, which hold a word pair of some template (no other can be confirmed)."""
         p = self.probabilities([_slots(h)])[0]
         best = int(p.argmax())
         if best and FAMILIES[best] != UNKNOWN and p[best] >= CONFIDENT and (share := self.confirm(FAMILIES[best], h)) >= CONFIRM:
@@ -182,14 +194,26 @@ class Model:
 
     def notices(self, text: bytes) -> Iterator[tuple[int, str, float, float, bytes]]:
         """(line, family, probability, share, paragraph) of lines, and of runs of lines in which no line is a notice."""
+        h = _hashes(text)
+        pairs = np.flatnonzero(is_in(gram_hash(h, 2), self.pairs))
+        if not len(pairs):
+            return
         lines = text.split(b"\n")
+        ends = np.cumsum([len(x.split()) for x in lines])
+        # pairs before a word's place: a stretch of words holds one if the count grows inside it
+        before = np.searchsorted(pairs, np.arange(len(h) + 1))
+
+        def judge(a: int, b: int):
+            lo, hi = int(ends[a - 1]) if a else 0, int(ends[b - 1])
+            return self.judge(h[lo:hi]) if hi - lo > 1 and before[hi - 1] > before[lo] else None
+
         start = 0
         while start < len(lines):
             end = start
             while end < len(lines) and lines[end].strip():
                 end += 1
-            found = [(k, *y, lines[k]) for k in range(start, end) if (y := self.classify(lines[k]))]
-            if not found and end - start > 1 and (whole := self.classify(b"\n".join(lines[start:end]))):
+            found = [(k, *y, lines[k]) for k in range(start, end) if (y := judge(k, k + 1))]
+            if not found and end - start > 1 and (whole := judge(start, end)):
                 found = [(start, *whole, b"\n".join(lines[start:end]))]
             yield from found
             start = end + 1
@@ -281,12 +305,10 @@ def fit(negatives: list[bytes], rounds: int = 150, rate: float = 0.5, decay: flo
         x = s / t
         loss = float(np.mean(np.log(np.exp(x - x.max(axis=1, keepdims=True)).sum(axis=1)) - (x - x.max(axis=1, keepdims=True))[np.arange(len(x)), labels[held]])) if len(x) else 0.0
         best = min(best, (loss, t))
-    words = {w.strip(_MARKS).lower() for ts in TEMPLATES.values() for t in ts for w in t.encode().split()}
-    cues = np.unique(np.array([xxhash.xxh3_64_intdigest(w) for w in sorted(words) if w in _CUES], np.uint64))
-    return Model(weights, bias, best[1], cues)
+    return Model(weights, bias, best[1])
 
 
-# Words of which every template holds at least one.
+# Words that prose and notices share; prose is trained with some strewn in.
 _CUES = frozenset(
     b"license licensed mit apache gpl gnu bsd mozilla cc creative commons copyright rights permission redistribution redistribute spdx-license-identifier domain copy".split()
 )
@@ -312,13 +334,16 @@ def _scan(model):
 
 
 def sample_negatives(docs: DataFrame, most: int = NEGATIVES) -> list[bytes]:
-    """Up to ``most`` paragraphs without a cue word, by the hash of the doc_id."""
+    """Up to ``most`` paragraphs without a cue word that are like no template, by the hash of the doc_id."""
+    templates = [_Template(t) for ts in TEMPLATES.values() for t in ts]
     lines = docs.select(F.xxhash64("doc_id", F.lit(4)).alias("h"), F.get(F.split("text", "\n"), F.lit(0)).alias("p"))
     # a share of the documents that holds some times as many, so that no task sends more than its part
     share = min(1.0, 8.0 * most / max(1, docs.count()))
     lines = lines.filter(F.pmod(F.col("h"), F.lit(1 << 40)) < int(share * (1 << 40)))
     picked = lines.filter("p is not null").filter(~F.col("p").rlike(_NO_NEGATIVE)).filter(F.col("p").rlike(r"\S+\s+\S+\s+\S+"))
-    return [r["p"].encode() for r in picked.orderBy("h", "p").limit(most).collect()]
+    found = [r["p"].encode() for r in picked.orderBy("h", "p").limit(most).collect()]
+    have = [gram_hash(_hashes(p), 2) for p in found]
+    return [p for p, h in zip(found, have) if not any(np.isin(t.pairs, h).mean() >= CONFIRM for t in templates)]
 
 
 def scan(docs: DataFrame, negatives: int = NEGATIVES) -> DataFrame:
