@@ -347,15 +347,15 @@ def filter_solid(curves: DataFrame, scores: DataFrame, keys: list[str], confiden
 # ------------------------------------------------------------ neighbours
 
 
-def knn_pairs(pixels: DataFrame, keys: list[str], k: int, cell: int = 8) -> DataFrame:
+def knn_pairs(pixels: DataFrame, keys: list[str], k: int, cell: int = 4) -> DataFrame:
     """Pairs ``id, other, d`` that hold the k nearest other pixels of each pixel.
 
     A pyramid counts the pixels of grid cells whose side doubles from level to
-    level. A pixel takes the lowest level where its own cell holds k others: all
-    of these lie within a cell's diagonal, so the k nearest lie in the 5 x 5 cells
-    around. A cell of the level below holds k pixels at most, so at each level a
-    pixel meets some 100 k that look for it, however dense other places are.
-    Where a figure has no such cell, the top level sees all of it.
+    level. A pixel takes the lowest level where the 3 x 3 cells around it hold k
+    others: all of these lie within two diagonals, so the k nearest lie in the
+    7 x 7 cells around. One level below, 3 x 3 cells hold k pixels at most, so at
+    each level a pixel meets some 50 k that look for it, however dense other
+    places are. The top level sees all of a figure.
     """
     extent = pixels.groupBy(*keys).agg(F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("e")).agg(F.max("e")).first()[0] or 0
     top = max(0, ceil(log2((extent + 1) / cell)))
@@ -363,18 +363,20 @@ def knn_pairs(pixels: DataFrame, keys: list[str], k: int, cell: int = 8) -> Data
     at = lambda c: F.floor(F.col(c) / side).cast("long")
     placed = pixels.select(*keys, "id", "x", "y", F.explode(F.sequence(F.lit(0), F.lit(top))).alias("__level")).withColumn("cx", at("x")).withColumn("cy", at("y"))
     where = [*keys, "__level", "cx", "cy"]
-    full = placed.groupBy(*where).agg(F.count("*").alias("n")).filter((F.col("n") > k) | (F.col("__level") == top)).drop("n")
+    grid = lambda reach: F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1)]))
+    moved = {c: F.col(c) + F.col(f"o.{o}") for c, o in (("cx", "i"), ("cy", "j"))}
+    around = placed.groupBy(*where).agg(F.count("*").alias("n")).withColumn("o", grid(1)).withColumns(moved).groupBy(*where).agg(F.sum("n").alias("n"))
+    full = around.filter((F.col("n") > k) | (F.col("__level") == top)).drop("n")
     mine = placed.join(full, where).groupBy(*keys, "id").agg(F.min(F.struct("__level", "cx", "cy", "x", "y")).alias("c")).select(*keys, "id", "c.*")
-    offsets = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-2, 3) for j in range(-2, 3)]))
-    probe = mine.withColumn("o", offsets).withColumn("cx", F.col("cx") + F.col("o.i")).withColumn("cy", F.col("cy") + F.col("o.j")).drop("o")
+    probe = mine.withColumn("o", grid(3)).withColumns(moved).drop("o")
     held = placed.select(*where, F.col("id").alias("other"), F.col("x").alias("x2"), F.col("y").alias("y2"))
     dx, dy = (F.col("x") - F.col("x2")).cast("double"), (F.col("y") - F.col("y2")).cast("double")
     d = F.sqrt(dx * dx + dy * dy)
-    near = (F.col("__level") == top) | (d <= side * 1.5)
+    near = (F.col("__level") == top) | (d <= side * 2.83)
     return probe.join(held, where).filter("id <> other").filter(near).select(*keys, "id", "other", d.alias("d"))
 
 
-def knn_join(pixels: DataFrame, keys: list[str], k: int, cell: int = 8) -> DataFrame:
+def knn_join(pixels: DataFrame, keys: list[str], k: int, cell: int = 4) -> DataFrame:
     """The k nearest other pixels of each pixel, all of them if a figure has fewer: ``id, other, d, rank``."""
     w = Window.partitionBy(*keys, "id").orderBy("d", "other")
     return knn_pairs(pixels, keys, k, cell).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

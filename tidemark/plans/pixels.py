@@ -204,6 +204,25 @@ def cluster_confidence(spark, sf_dir):
     return c.withColumn("confidence", F.round("confidence", 6))
 
 
+@query(
+    "cluster_confidence_given",
+    """WITH f AS (SELECT label % 4 AS figure_id, vec_id % 3 AS cluster, embedding[1]::DOUBLE AS f0, embedding[2]::DOUBLE AS f1, embedding[3]::DOUBLE AS f2 FROM embeddings),
+ c AS (SELECT figure_id, cluster, count(*) AS n, avg(f0) AS c0, avg(f1) AS c1, avg(f2) AS c2 FROM f GROUP BY ALL),
+ s AS (SELECT figure_id, cluster, avg(sqrt((f0 - c0) ** 2 + (f1 - c1) ** 2 + (f2 - c2) ** 2)) AS spread FROM f JOIN c USING (figure_id, cluster) GROUP BY ALL),
+ g AS (SELECT a.figure_id, a.cluster, min(sqrt((a.c0 - b.c0) ** 2 + (a.c1 - b.c1) ** 2 + (a.c2 - b.c2) ** 2)) AS gap FROM c a JOIN c b ON a.figure_id = b.figure_id AND a.cluster <> b.cluster GROUP BY ALL)
+ SELECT figure_id, cluster, n, round(0.4 * least(1.0, n::DOUBLE / sum(n) OVER (PARTITION BY figure_id) * count(*) OVER (PARTITION BY figure_id)) + 0.4 * least(1.0, coalesce(gap, 1.0)) + 0.2 / (1.0 + spread), 6) AS confidence
+ FROM c JOIN s USING (figure_id, cluster) LEFT JOIN g USING (figure_id, cluster)""",
+)
+def cluster_confidence_given(spark, sf_dir):
+    """Confidence of clusters that are given, so that the twin knows them."""
+    v = adapters.table(spark, sf_dir, "embeddings")
+    rows = v.select((F.col("label") % 4).alias("figure_id"), (F.col("vec_id") % 3).alias("cluster"), *[F.get("embedding", F.lit(i)).cast("double").alias(f"f{i}") for i in range(3)])
+    centres = rows.groupBy("figure_id", "cluster").agg(*[F.avg(f"f{i}").alias(f"c{i}") for i in range(3)])
+    d2 = sum(((F.col(f"f{i}") - F.col(f"c{i}")) * (F.col(f"f{i}") - F.col(f"c{i}")) for i in range(3)), F.lit(0.0))
+    given = rows.join(centres, ["figure_id", "cluster"]).withColumn("d2", d2).drop("c0", "c1", "c2")
+    return cluster.cluster_confidence(given, ["figure_id"]).withColumn("confidence", F.round("confidence", 6))
+
+
 def _clustered_pixels(spark, sf_dir):
     p = adapters.pixels(spark, sf_dir).groupBy("figure_id", "x", "y").agg(F.min("g").alias("g"))
     return p.select("figure_id", (F.col("y") * 640 + F.col("x")).alias("id"), "x", "y", (F.col("g") % 3).alias("cluster"))
