@@ -161,8 +161,12 @@ def detect_unit(text: Column, axis: str, variant: str = "text") -> Column:
     return out
 
 
-def text_confidence(text: Column) -> Column:
-    """0.5, more for digits, units of time and marks of a scale, less for very short or odd texts; 0 to 1."""
+def text_confidence(text: Column, odd_share: float | None = 0.5) -> Column:
+    """0.5, more for digits, units of time and marks of a scale, less for very short texts; 0 to 1.
+
+    Less too where more than ``odd_share`` of the characters are neither letters,
+    digits nor blanks; None asks for no such deduction.
+    """
     filled = F.coalesce(text, F.lit(""))
     odd = F.char_length(F.regexp_replace(filled, r"[\p{L}\p{N} ]", "")) / F.greatest(F.char_length(filled), F.lit(1))
     add = lambda cond, v: F.when(cond, F.lit(v)).otherwise(F.lit(0.0))
@@ -172,7 +176,7 @@ def text_confidence(text: Column) -> Column:
         + add(F.lower(filled).rlike("month|year|day|week|time"), 0.15)
         + add(filled.rlike(r"%|0\.|1\.0"), 0.15)
         + add(F.char_length(filled) < 3, -0.2)
-        + add(odd > 0.5, -0.2)
+        + (F.lit(0.0) if odd_share is None else add(odd > odd_share, -0.2))
     )
     return F.when(filled == "", F.lit(0.0)).otherwise(clip(score, F.lit(0.0), F.lit(1.0)))
 
