@@ -135,23 +135,45 @@ def _cells(df: DataFrame, x: str, y: str, size: float, around: bool) -> DataFram
     return df.withColumn("__o", near).withColumn("__cx", F.floor(F.col(x) / size) + F.col("__o.i")).withColumn("__cy", F.floor(F.col(y) / size) + F.col("__o.j")).drop("__o")
 
 
+def place_pairs(left: DataFrame, right: DataFrame, keys: list[str], rxy: tuple[str, str], reach: float) -> DataFrame:
+    """Each place ``__l0, __l1`` of ``left`` with the rows of ``right`` within ``reach`` and the distance ``dist``."""
+    a = _cells(left, "__l0", "__l1", reach, around=True)
+    b = _cells(right, *rxy, reach, around=False)
+    dx, dy = F.col("__l0") - F.col(rxy[0]), F.col("__l1") - F.col(rxy[1])
+    return a.join(b, [*keys, "__cx", "__cy"]).withColumn("dist", F.sqrt(dx * dx + dy * dy)).filter(F.col("dist") <= reach)
+
+
+def _places(rows: DataFrame, keys: list[str], xy: tuple[str, str]) -> DataFrame:
+    return rows.select(*keys, *[F.col(c).alias(f"__l{i}") for i, c in enumerate(xy)]).distinct()
+
+
+def _first_by_place(rows: DataFrame, keys: list[str], xy: tuple[str, str], own: list[str]) -> DataFrame:
+    """Of the rows in one place the first by ``own``, which may be empty."""
+    first = rows.groupBy(*keys, *xy).agg(F.min(F.struct(*own) if own else F.lit(1)).alias("__first"))
+    return first.select(*keys, *xy, *[F.col(f"__first.{c}").alias(c) for c in own])
+
+
 def nearest_within(left: DataFrame, right: DataFrame, keys: list[str], lxy: tuple[str, str], rxy: tuple[str, str], reach: float, tie: list[str]) -> DataFrame:
     """Each left row with its nearest right row within ``reach`` and the distance ``dist``; rows without one are dropped.
 
-    ``left`` needs a unique ``line_id``; ties go by the right columns ``tie``.
+    Ties go by the right columns ``tie``. Only places meet: of right rows in one
+    place the first by ``tie`` stands for all, and a left place is looked up once
+    for all of its rows.
     """
-    a = _cells(left, *lxy, reach, around=True)
-    b = _cells(right, *rxy, reach, around=False)
-    dx, dy = F.col(lxy[0]) - F.col(rxy[0]), F.col(lxy[1]) - F.col(rxy[1])
-    pairs = a.join(b, [*keys, "__cx", "__cy"]).withColumn("dist", F.sqrt(dx * dx + dy * dy)).filter(F.col("dist") <= reach)
-    w = Window.partitionBy(*keys, "line_id").orderBy("dist", *tie)
-    return pairs.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n", "__cx", "__cy")
+    rest = [c for c in right.columns if c not in (*keys, *rxy, *tie)]
+    own = [c for c in dict.fromkeys((*tie, *rest)) if c not in (*keys, *rxy)]
+    pairs = place_pairs(_places(left, keys, lxy), _first_by_place(right, keys, rxy, own), keys, rxy, reach)
+    # where ``tie`` names the place itself, it is the same for all rows of a place
+    found = pairs.groupBy(*keys, "__l0", "__l1").agg(F.min(F.struct("dist", *tie, *[c for c in (*rxy, *own) if c not in tie])).alias("__n"))
+    given = [*own, *rxy, "dist"]
+    found = found.select(*keys, *[F.col(c).alias(f"__k{i}") for i, c in enumerate(("__l0", "__l1"))], *[F.col(f"__n.{c}").alias(c) for c in given])
+    return left.withColumns({f"__k{i}": F.col(c) for i, c in enumerate(lxy)}).join(found, [*keys, "__k0", "__k1"]).drop("__k0", "__k1")
 
 
 def _in_panels(at: DataFrame, panels: DataFrame, keys: list[str], how: str) -> DataFrame:
-    """Rows of ``at(line_id, mx, my)`` with a panel around them (left_semi), or without one (left_anti)."""
-    held = in_boxes(at.select(*keys, "line_id", "mx", "my"), panels.select(*keys, *BOX), keys, "mx", "my")
-    return at.join(held.select(*keys, "line_id").distinct(), [*keys, "line_id"], how)
+    """Rows of ``at(mx, my)`` with a panel around them (left_semi), or without one (left_anti); each place is asked once."""
+    held = in_boxes(at.select(*keys, "mx", "my").distinct(), panels.select(*keys, *BOX), keys, "mx", "my")
+    return at.join(held.select(*keys, "mx", "my").distinct(), [*keys, "mx", "my"], how)
 
 
 def nearest_label(swatches: DataFrame, texts: DataFrame, keys: list[str], reach: float = 25.0, panels: DataFrame | None = None, longest: float = 40.0) -> DataFrame:
@@ -161,7 +183,7 @@ def nearest_label(swatches: DataFrame, texts: DataFrame, keys: list[str], reach:
     """
     mx, my = scalar.line_midpoint(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
     length = scalar.line_length(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
-    at = swatches.filter((length > 0) & (length <= longest)).withColumn("mx", mx).withColumn("my", my)
+    at = swatches.filter((length > 0) & (length <= longest)).select(*keys, "style_key", mx.alias("mx"), my.alias("my")).distinct()
     if panels is not None:
         at = _in_panels(at, panels, keys, "left_anti")
     found = nearest_within(at, texts, keys, ("mx", "my"), ("tx", "ty"), reach, ["label"])
