@@ -448,7 +448,8 @@ def unmix_overlaps(points: DataFrame, keys: list[str], width: int = 30, reach: f
     nearest. Only means travel from bin to bin: at most k a bin.
     """
     at = points.withColumn("bin", F.greatest(F.lit(1), F.ceil((F.col("x") - F.min("x").over(Window.partitionBy(*keys))) / width)).cast("long"))
-    strips = at.groupBy(*keys, "bin").agg(F.sort_array(F.collect_list(F.struct("x", "y"))).alias("__p"))
+    # a repeated point begins no cluster
+    strips = at.select(*keys, "bin", "x", "y").distinct().groupBy(*keys, "bin").agg(F.sort_array(F.collect_list(F.struct("x", "y"))).alias("__p"))
     begins = F.aggregate(
         "__p",
         F.array().cast("array<double>"),

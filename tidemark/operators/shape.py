@@ -7,7 +7,7 @@ walk once over a curve's rows in order, in an Arrow function.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -125,27 +125,35 @@ def step_regularize(points: DataFrame, tolerance: float, keys: list[str] = KEYS)
 
     From the last kept point, in the order of ``seq``: a point that moved less
     than ``tolerance`` in both directions is dropped, else the smaller of its two
-    moves is undone.
+    moves is undone. Curves pass in one stream, so a curve of few points costs
+    no call of its own and a long one is never held whole.
     """
 
-    def fold(curve: pa.Table) -> pa.Table:
-        curve = curve.take(pc.sort_indices(curve, sort_keys=[(c, "ascending") for c in ("seq", "time", "survival")], null_placement="at_start"))
-        kept, times, levels = [], [], []
-        for i, (x, y) in enumerate(zip(_values(curve, "time"), _values(curve, "survival"))):
-            if kept:
-                dx, dy = abs(x - times[-1]), abs(y - levels[-1])
-                if dx < tolerance and dy < tolerance:
-                    continue
-                x, y = (times[-1], y) if dx < dy else (x, levels[-1])
-            kept.append(i)
-            times.append(x)
-            levels.append(y)
-        out = curve.take(kept)
-        for name, values in (("time", times), ("survival", levels)):
-            out = out.set_column(out.schema.get_field_index(name), out.schema.field(name), pa.array(values, pa.float64()).cast(out.schema.field(name).type))
-        return out
-
-    return _by_curve(points, ["survival"], fold, keys)
+    names, at = [*keys, *ORDER, "survival"], Window.partitionBy(*keys).orderBy("seq", "time", "survival")
+    curves = points.select(*names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # curves follow each other in order of their points; all that is carried on is the last kept point
+        px = py = 0.0
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            kept, times, levels = [], [], []
+            for i, (new, x, y) in enumerate(zip(rows.column("__new").to_pylist(), _values(rows, "time"), _values(rows, "survival"))):
+                if not new:
+                    dx, dy = abs(x - px), abs(y - py)
+                    if dx < tolerance and dy < tolerance:
+                        continue
+                    x, y = (px, y) if dx < dy else (x, py)
+                px, py = x, y
+                kept.append(i)
+                times.append(x)
+                levels.append(y)
+            out = rows.select(names).take(kept)
+            for name, values in (("time", times), ("survival", levels)):
+                out = out.set_column(out.schema.get_field_index(name), out.schema.field(name), pa.array(values, pa.float64()).cast(out.schema.field(name).type))
+            yield from out.to_batches()
+
+    return curves.withColumn("__new", F.row_number().over(at) == 1).mapInArrow(run, curves.schema)
 
 
 def detect_steps(points: DataFrame, least_change: float = 0.01, keys: list[str] = KEYS) -> DataFrame:

@@ -122,7 +122,7 @@ def page_analysis(lines: DataFrame, words: DataFrame | None = None, paths: DataF
     inside = spatial.clip_to_panel(spatial.flatten_path(paths, ["doc_id", "path_id"]), chosen, page)
     steps = shape.step_regularize(inside.select(*panel, "path_id", F.col("idx").alias("seq"), F.col("px").alias("time"), F.col("py").alias("survival")), 0.5, [*panel, "path_id"])
     points = steps.join(styled, ["doc_id", "path_id"]).select(*panel, "style_key", "path_id", "seq", F.col("time").alias("x"), F.col("survival").alias("y"))
-    unmixed = cluster.unmix_overlaps(points, [*panel, "style_key"])
+    unmixed = cluster.unmix_overlaps(written(points), [*panel, "style_key"])
     numbered = unmixed.withColumn("curve_id", F.dense_rank().over(Window.partitionBy(*panel).orderBy("style_key", "label"))).drop("label", "bin", "k")
     mapped = numbered.join(chosen.select(*panel, "x_slope", "x_intercept", "y_slope", "y_intercept"), panel).select(
         *panel, "curve_id", "style_key", "path_id", "seq", F.col("x").alias("px"), F.col("y").alias("py"), (F.col("x_slope") * F.col("x") + F.col("x_intercept")).alias("time"),
