@@ -54,6 +54,11 @@ def known_arms(ipd: DataFrame) -> list[str]:
     return arms
 
 
+def cells_of(ipd: DataFrame, strata: list[str]) -> DataFrame:
+    """``strata, arm, time, d, m``: events and patients that leave, all that an analysis asks of the records."""
+    return ipd.groupBy(*strata, "arm", "time").agg(F.sum("event").alias("d"), F.count("*").alias("m"))
+
+
 def risk_sets(ipd: DataFrame, strata: list[str]) -> DataFrame:
     """``strata, time, arm, d, n``: events and numbers at risk of every arm at every event time.
 
@@ -61,13 +66,18 @@ def risk_sets(ipd: DataFrame, strata: list[str]) -> DataFrame:
     numbers at risk are running sums in two levels over these. Without strata
     every arm meets every event time, for at most ``MOST_ARMS`` arms.
     """
-    cells = ipd.groupBy(*strata, "arm", "time").agg(F.sum("event").alias("d"), F.count("*").alias("m"))
+    return risk_sets_of_cells(cells_of(ipd, strata), strata)
+
+
+def risk_sets_of_cells(rows: DataFrame, strata: list[str]) -> DataFrame:
+    """``risk_sets`` of records added up, one row or more for a (stratum, arm, time)."""
+    cells = written(rows.groupBy(*strata, "arm", "time").agg(F.sum("d").alias("d"), F.sum("m").alias("m")))
     times = cells.groupBy(*strata, "time").agg(F.sum("d").alias("__d")).filter("__d > 0").select(*strata, "time")
     exits = cells.select(*strata, "arm", "time", "d", "m", F.lit(False).alias("__g"))
     if strata:
         grid = cells.select(*strata, "arm").distinct().join(times, strata)
     else:
-        grid = times.withColumn("arm", F.explode(F.array(*[F.lit(a).cast("string") for a in known_arms(ipd)])))
+        grid = times.withColumn("arm", F.explode(F.array(*[F.lit(a).cast("string") for a in known_arms(cells)])))
     grid = grid.select(*strata, "arm", "time", F.lit(0).cast("long").alias("d"), F.lit(0).cast("long").alias("m"), F.lit(True).alias("__g"))
     every = exits.unionByName(grid).groupBy(*strata, "arm", "time").agg(F.sum("d").alias("d"), F.sum("m").alias("m"), F.bool_or("__g").alias("__g"))
     parts = [*strata, "arm"]
@@ -131,13 +141,18 @@ def cox_hr(ipd: DataFrame, reference: str | None = None, stratify: bool = False,
     distinct risk set however many events tie there. Steps are halved while the
     likelihood falls. A separated arm has null limits and a warning.
     """
-    spark = ipd.sparkSession
+    return cox_of_cells(written(cells_of(ipd, ["study_id"] if stratify else [])), reference, stratify, rounds)
+
+
+def cox_of_cells(cells: DataFrame, reference: str | None = None, stratify: bool = False, rounds: int = 25) -> DataFrame:
+    """``cox_hr`` of what ``cells_of`` gives; it reads ``cells`` three times."""
+    spark = cells.sparkSession
     strata = ["study_id"] if stratify else []
-    arms = known_arms(ipd.filter("arm is not null"))
+    arms = known_arms(cells.filter("arm is not null"))
     ref = reference or (arms[0] if arms else None)
     free = [a for a in arms if a != ref]
     sets = written(
-        risk_sets(ipd, strata).groupBy(*strata, "time").agg(F.map_from_entries(F.collect_list(F.struct("arm", F.struct(F.col("d").cast("double").alias("d"), F.col("n").cast("double").alias("n"))))).alias("at"))
+        risk_sets_of_cells(cells, strata).groupBy(*strata, "time").agg(F.map_from_entries(F.collect_list(F.struct("arm", F.struct(F.col("d").cast("double").alias("d"), F.col("n").cast("double").alias("n"))))).alias("at"))
     )
     pair = lambda a, f: F.coalesce(F.try_element_at("at", F.lit(a))[f], F.lit(0.0))
     wide = written(sets.select(*[pair(a, f).alias(f"{f}{i}") for i, a in enumerate([ref, *free]) for f in ("d", "n")]).groupBy(*[f"{f}{i}" for i in range(len(arms)) for f in ("d", "n")]).agg(F.count("*").alias("times"))) if arms else None
@@ -219,13 +234,13 @@ def league_table(hr: DataFrame, as_written: bool = False) -> DataFrame:
 
 
 def run_nma(ipd: DataFrame, stratify: bool = False) -> dict[str, DataFrame]:
-    """All tables of an analysis by name."""
-    from tidemark.operators.records import study_summary
-
-    edges = treatment_edges(ipd)
-    vertices = ipd.select(F.col("arm").alias("treatment")).distinct()
-    hr = cox_hr(ipd, stratify=stratify)
+    """All tables of an analysis by name. The records are read once: all else comes from their ``cells_of``."""
+    cells = written(cells_of(ipd, ["study_id"]))
+    arms = cells.select("study_id", "arm").distinct()
+    edges = written(treatment_edges(arms))
+    vertices = arms.select(F.col("arm").alias("treatment")).distinct()
+    hr = cox_of_cells(cells, stratify=stratify)
     return {
-        "studies": study_summary(ipd), "edges": edges, "components": network_components(edges, vertices), "hazard_ratios": hr,
+        "studies": cells.groupBy("study_id", "arm").agg(F.sum("m").alias("n"), F.sum("d").alias("events")), "edges": edges, "components": network_components(edges, vertices), "hazard_ratios": hr,
         "ranking": rank_treatments(hr), "league": league_table(hr),
     }
