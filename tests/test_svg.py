@@ -32,3 +32,20 @@ def test_long_path_and_many_groups(spark, tmp_path):
     got = curves.read_svg_lines(spark, str(tmp_path)).collect()
     assert len(got) == 3000 and all(r.transform == f"t{int(r.x1)}" for r in got)
     assert curves.read_svg_paths(spark, str(tmp_path)).first().d == d
+
+
+def test_a_page_fills_sheets(spark, sf_dir, monkeypatch):
+    """However many lines a page has, no file and no row holds more than about a sheet of them."""
+    from tidemark.plans import aggregates
+
+    sizes, given = [], curves.read_svg_lines
+
+    def read(session, path):
+        sizes.extend(r.n for r in session.read.text(path, wholetext=True).selectExpr("length(value) AS n").collect())
+        return given(session, path)
+
+    monkeypatch.setattr(aggregates, "SHEET", 10, raising=False)
+    monkeypatch.setattr(curves, "read_svg_lines", read)
+    rows = aggregates.read_svg_lines(spark, sf_dir).collect()
+    lines = aggregates.adapters.lines(spark, sf_dir).count()
+    assert len(rows) == lines == len({r.label for r in rows}) and max(sizes) < 30 * 200 < sum(sizes) / 20

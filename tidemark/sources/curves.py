@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from itertools import islice
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,14 +68,25 @@ _TOKEN = r"""(?s)(<!--.*?-->|<!\[CDATA\[.*?\]\]>|<(?:[^>"']++|"[^"]*+"|'[^']*+')
 _ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&"))
 
 
+def _cut(batches: Iterator[pa.RecordBatch], most: int = 20_000) -> Iterator[pa.RecordBatch]:
+    """Tokens of whole files in their order, passed on ``most`` at a time, so a file's tokens are never held together."""
+    token = re.compile(_TOKEN)
+    for batch in batches:
+        for name, text in zip(batch.column(0), batch.column(1)):
+            found = enumerate(m.group(1) for m in token.finditer(text.as_py()))
+            while part := list(islice(found, most)):
+                pos, tokens = zip(*part)
+                yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(part), pa.string()), pa.array(pos, pa.int32()), pa.array(tokens, pa.string())], names=["doc_id", "pos", "token"])
+
+
 def svg_tokens(spark: SparkSession, path: str) -> DataFrame:
     """Tags and texts of SVG files in order: ``doc_id, pos, token, tag, kind, level, in_defs``.
 
     ``kind`` is open, close, single or text; ``level`` is how deep an element
     lies, the same for its two tags. Depth is a running sum over a file.
     """
-    files = spark.read.text(path, wholetext=True).withColumn("doc_id", F.col("_metadata.file_name"))
-    rows = files.select("doc_id", F.posexplode(F.regexp_extract_all("value", F.lit(_TOKEN), F.lit(1))).alias("pos", "token"))
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("doc_id"), "value")
+    rows = files.mapInArrow(_cut, "doc_id string, pos int, token string")
     tag = F.regexp_extract("token", r"^</?\s*([A-Za-z_][A-Za-z0-9_:.-]*)", 1)
     name = F.regexp_replace(tag, "^.*:", "")
     kind = (
