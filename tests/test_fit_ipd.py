@@ -69,3 +69,21 @@ def test_numbers_at_risk_bind(spark, total):
     out = survival.fit_ipd(points, risk, ["k"], totals)
     assert out.count() == 10 and out.filter("time >= 4").count() == 9
     assert out.filter("event = 1").count() <= 6 and out.agg(F.max("time")).first()[0] == 5.0
+
+
+def test_patients_of_an_interval_are_one_row_in_its_task():
+    """Two million censored in an interval: the solver hands on counts, not patients."""
+    import pandas as pd
+
+    rows = pd.DataFrame({"k": 1, "time": [1.0, 2.0], "survival": [0.9, 0.8], "n0": 4e6, "t0": 0.0, "t1": 10.0, "n1": 1.5e6, "s0": 1.0, "target": np.nan})
+    out = survival._solve(["k"])(rows)
+    assert len(out) <= 4 and out["n"].sum() == 2_500_000
+
+
+def test_large_intervals_spread_evenly(spark):
+    points = spark.createDataFrame([(0, 50.0, 1.0)], "k int, time double, survival double")
+    risk = spark.createDataFrame([(0, 0.0, 70_000), (0, 10.0, 5_000)], "k int, time double, n_risk long")
+    out = survival.fit_ipd(points, risk, ["k"])
+    got = np.sort(out.filter("time < 10").toPandas().time.to_numpy())
+    assert out.count() == 70_000 and len(got) == 65_000
+    assert np.allclose(got, (np.arange(65_000) + 0.5) / 65_000 * 10)

@@ -278,14 +278,16 @@ def _solve(keys: list[str]):
                 spare -= less
         c = n - left - int(d.sum())
         inside = min(c, lo) if pd.isna(after) else c
-        at = start + (np.arange(inside) + 0.5) / max(1, inside) * (end - start)
-        leave = np.concatenate([time, at, [end]])
-        events = np.concatenate([np.ones(len(time)), np.zeros(inside + 1)]).astype(np.int32)
-        count = np.concatenate([d, np.ones(inside), [c - inside]]).astype(np.int64)
-        out = pd.DataFrame({"time": leave, "event": events, "n": count})
+        # who leaves inside is one row here, however many they are
+        out = pd.DataFrame(
+            {
+                "time": np.concatenate([time, [start, end]]), "event": np.concatenate([np.ones(len(time)), [0, 0]]).astype(np.int32),
+                "n": np.concatenate([d, [inside, c - inside]]).astype(np.int64), "span": np.concatenate([np.zeros(len(time)), [end - start, 0.0]]),
+            }
+        )
         for k in keys:
             out[k] = one[k]
-        return out[out["n"] > 0][[*keys, "time", "event", "n"]]
+        return out[out["n"] > 0][[*keys, "time", "event", "n", "span"]]
 
     return run
 
@@ -299,7 +301,8 @@ def fit_ipd(points: DataFrame, risk: DataFrame, keys: list[str], totals: DataFra
     that the curve then shows leave exactly the next number. After the last one
     it is searched until the events add up to the total, and who is left is
     censored at the curve's end. Points before the first number at risk are not
-    used. An interval is solved in one task; intervals of all curves at once.
+    used. An interval is solved in one task from the curve's points
+    in it; its patients are told apart afterwards, by all tasks.
     """
     w = Window.partitionBy(*keys).orderBy("time")
     steps = risk.withColumn("t1", F.lead("time").over(w)).withColumn("n1", F.lead("n_risk").over(w))
@@ -314,7 +317,7 @@ def fit_ipd(points: DataFrame, risk: DataFrame, keys: list[str], totals: DataFra
     )
     first = Window.partitionBy(*keys, "t0").orderBy("time", "__o")
     rows = rows.withColumn("s0", F.first("s0").over(first)).drop("__o")
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.select(*keys).schema) + ", time double, event int, n long"
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.select(*keys).schema) + ", time double, event int, n long, span double"
     none = F.lit(None).cast("double")
     inner = written(rows.filter("n1 is not null").withColumn("target", none).groupBy(*keys, "t0").applyInPandas(_solve(keys), kinds))
     last = rows.filter("n1 is null")
@@ -325,4 +328,21 @@ def fit_ipd(points: DataFrame, risk: DataFrame, keys: list[str], totals: DataFra
         want = totals.join(seen, keys, "left").select(*keys, (F.col("events") - F.coalesce("__seen", F.lit(0))).cast("double").alias("target"))
         last = last.join(want, keys, "left")
     every = inner.unionByName(last.groupBy(*keys, "t0").applyInPandas(_solve(keys), kinds))
-    return every.withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).select(*keys, "time", "event")
+    return _patients(every, keys)
+
+
+#: Patients that one row is told apart into at a time.
+_BLOCK = 10_000
+
+
+def _patients(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """``n`` patients for each row; those of a ``span`` leave evenly over it.
+
+    Rows are cut into blocks that are dealt to all tasks before they become
+    patients, so neither a task nor an array holds an interval's patients.
+    """
+    first = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / _BLOCK).cast("long")))
+    blocks = counts.withColumn("__block", first).withColumn("__from", F.col("__block") * _BLOCK).repartition(*keys, "time", "event", "__from")
+    each = blocks.withColumn("__i", F.explode(F.sequence(F.col("__from"), F.least(F.col("__from") + _BLOCK, F.col("n")) - 1)))
+    time = F.when(F.col("span") != 0, F.col("time") + (F.col("__i") + 0.5) / F.col("n") * F.col("span")).otherwise(F.col("time"))
+    return each.select(*keys, time.alias("time"), "event")
