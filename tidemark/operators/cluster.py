@@ -394,8 +394,9 @@ def knn_coherence(pixels: DataFrame, keys: list[str], k: int = 20) -> DataFrame:
 
 def envelope_by_coherence(pixels: DataFrame, keys: list[str], least: int = 10) -> DataFrame:
     """One y for each x of a group, the most coherent; x gaps filled from the left; y (downward) never falls back up."""
-    whole = pixels.withColumn("__n", F.count("*").over(Window.partitionBy(*keys))).filter(F.col("__n") >= least)
-    best = whole.groupBy(*keys, "x").agg(F.max_by("y", F.struct(F.col("coherence"), -F.col("y"))).alias("y"))
+    # pixels are added up by column first, so no window sees those of a whole group
+    columns = pixels.groupBy(*keys, "x").agg(F.max_by("y", F.struct(F.col("coherence"), -F.col("y"))).alias("y"), F.count("*").alias("__n"))
+    best = columns.withColumn("__n", F.sum("__n").over(Window.partitionBy(*keys))).filter(F.col("__n") >= least).drop("__n")
     span = best.groupBy(*keys).agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
     grid = span.select(*keys, F.explode(F.sequence("lo", "hi")).alias("x"))
     upto = Window.partitionBy(*keys).orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
