@@ -36,3 +36,32 @@ def test_pairs_are_bounded_by_k_a_pixel(spark):
         xy = np.concatenate([rng.normal((0, 0), 40, (n, 2)), rng.uniform(-20_000, 20_000, (n // 4, 2))]).astype(int)
         df = spark.createDataFrame([(0, i, int(a), int(b)) for i, (a, b) in enumerate(xy)], "f int, id long, x int, y int")
         assert cluster.knn_pairs(df, ["f"], k).count() <= 100 * k * len(xy)
+
+
+def test_pairs_do_not_grow_with_density(spark):
+    k = 5
+    # every place of a square holds a pixel; and one place holds many
+    full = [(0, 100 * y + x, x, y) for x in range(70) for y in range(70)]
+    heap = [(1, i, 3, 4) for i in range(400)] + [(1, 400 + i, 3 + i, 5) for i in range(5)]
+    for rows in (full, heap):
+        df = spark.createDataFrame(rows, "f int, id long, x int, y int")
+        assert cluster.knn_pairs(df, ["f"], k).count() <= 4 * k * len(rows)
+
+
+def test_dense_places_and_fractions(spark):
+    rng = np.random.default_rng(5)
+    k = 5
+    xy = np.concatenate([[(x, y) for x in range(12) for y in range(12)], np.tile([[5, 5]], (20, 1)), np.tile([[40, 40]], (9, 1)), rng.normal((900, -7), 0.3, (60, 2)), [(10**6, 10**6 + 0.1), (10**6 + 0.3, 10**6 + 0.1)]]).astype(float)
+    ids = rng.permutation(len(xy))
+    rows = [(0, int(i), float(a), float(b)) for i, (a, b) in zip(ids, xy)] + [(1, 7, 0.5, 0.5)]
+    df = spark.createDataFrame(rows, "f int, id long, x double, y double")
+    got = {(r.f, r.id, r.other, r["rank"]) for r in cluster.knn_join(df, ["f"], k).collect()}
+    assert got == brute(rows, k)
+
+
+def test_coherence_by_hand(spark):
+    rows = [(0, 1, 0, 0, 1), (0, 2, 2, 0, 1), (0, 3, 0, 1, 2), (0, 4, 0, 0, 2)]
+    df = spark.createDataFrame(rows, "f int, id long, x int, y int, cluster int")
+    got = {r.id: round(r.coherence, 9) for r in cluster.knn_coherence(df, ["f"], 2).collect()}
+    # 1: 4 in its own place, then 3; 2: 1 before 4 at the same distance; 3: 1 before 4; 4: 1, then 3
+    assert got == {1: round((-100 - 1) / 2, 9), 2: round((0.25 - 0.25) / 2, 9), 3: round((-1 + 1) / 2, 9), 4: round((-100 + 1) / 2, 9)}

@@ -347,49 +347,66 @@ def filter_solid(curves: DataFrame, scores: DataFrame, keys: list[str], confiden
 # ------------------------------------------------------------ neighbours
 
 
-def knn_pairs(pixels: DataFrame, keys: list[str], k: int, cell: int = 4) -> DataFrame:
-    """Pairs ``id, other, d`` that hold the k nearest other pixels of each pixel.
-
-    A pyramid counts the pixels of grid cells whose side doubles from level to
-    level. A pixel takes the lowest level where the 3 x 3 cells around it hold k
-    others: all of these lie within two diagonals, so the k nearest lie in the
-    7 x 7 cells around. One level below, 3 x 3 cells hold k pixels at most, so at
-    each level a pixel meets some 50 k that look for it, however dense other
-    places are. The top level sees all of a figure.
+def knn_reach(pixels: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """``keys, x, y, reach``: within ``reach`` of each place lie more than k pixels, or all of its figure.
+
+    A pyramid counts the pixels of grid cells, one pixel wide at the lowest level
+    and twice as wide at each level above, and keeps their extent. Where the 3 x 3
+    cells around a place hold more than k pixels, their farthest corner is such a
+    reach; the least of all levels is taken. The top level sees all of a figure.
     """
+    places = pixels.groupBy(*keys, "x", "y").agg(F.count("*").alias("n"))
     extent = pixels.groupBy(*keys).agg(F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("e")).agg(F.max("e")).first()[0] or 0
-    top = max(0, ceil(log2((extent + 1) / cell)))
-    side = F.lit(float(cell)) * F.pow(F.lit(2.0), F.col("__level"))
+    top = ceil(log2(extent + 1))
+    side = F.pow(F.lit(2.0), F.col("__level"))
     at = lambda c: F.floor(F.col(c) / side).cast("long")
-    placed = pixels.select(*keys, "id", "x", "y", F.explode(F.sequence(F.lit(0), F.lit(top))).alias("__level")).withColumn("cx", at("x")).withColumn("cy", at("y"))
+    placed = places.withColumn("__level", F.explode(F.sequence(F.lit(0), F.lit(top)))).withColumn("cx", at("x")).withColumn("cy", at("y"))
     where = [*keys, "__level", "cx", "cy"]
-    grid = lambda reach: F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1)]))
-    moved = {c: F.col(c) + F.col(f"o.{o}") for c, o in (("cx", "i"), ("cy", "j"))}
-    around = placed.groupBy(*where).agg(F.count("*").alias("n")).withColumn("o", grid(1)).withColumns(moved).groupBy(*where).agg(F.sum("n").alias("n"))
+    steps = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    cells = placed.groupBy(*where).agg(F.sum("n").alias("n"), F.min("x").alias("x1"), F.max("x").alias("x2"), F.min("y").alias("y1"), F.max("y").alias("y2"))
+    spread = cells.withColumn("o", steps).withColumns({"cx": F.col("cx") + F.col("o.i"), "cy": F.col("cy") + F.col("o.j")})
+    around = spread.groupBy(*where).agg(F.sum("n").alias("n"), *[f(c).alias(c) for f, c in ((F.min, "x1"), (F.max, "x2"), (F.min, "y1"), (F.max, "y2"))])
     full = around.filter((F.col("n") > k) | (F.col("__level") == top)).drop("n")
-    mine = placed.join(full, where).groupBy(*keys, "id").agg(F.min(F.struct("__level", "cx", "cy", "x", "y")).alias("c")).select(*keys, "id", "c.*")
-    probe = mine.withColumn("o", grid(3)).withColumns(moved).drop("o")
-    held = placed.select(*where, F.col("id").alias("other"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    far = lambda c: F.greatest(F.col(c) - F.col(f"{c}1"), F.col(f"{c}2") - F.col(c)).cast("double")
+    reach = F.sqrt(far("x") * far("x") + far("y") * far("y"))
+    return placed.join(full, where).groupBy(*keys, "x", "y").agg(F.min(reach).alias("reach"))
+
+
+def knn_pairs(pixels: DataFrame, keys: list[str], k: int, own: list[str] = []) -> DataFrame:  # noqa: B006
+    """Pairs ``id, other, d`` that hold the k nearest other pixels of each pixel, and columns ``own`` of both (``other_`` before those of the other).
+
+    A pixel meets the places in the square of its reach, which holds about k pixels:
+    where it is wider than 3 x 3 places, the 3 x 3 cells half as wide hold k at most.
+    Of a place only the first k + 1 by id are met; no pixel has more of them among its
+    k nearest. So pairs grow with the pixels, however dense these are. Coordinates are
+    whole numbers, or about one apart; finer ones are right too, but pairs of a place
+    of 1 x 1 are all formed. The input is read once and written to the shared folder.
+    """
+    pixels = written(pixels.select(*keys, "id", "x", "y", *own))
+    first = F.row_number().over(Window.partitionBy(*keys, "x", "y").orderBy("id"))
+    held = pixels.withColumn("__n", first).filter(F.col("__n") <= k + 1)
+    held = held.select(*keys, F.col("id").alias("other"), F.col("x").alias("x2"), F.col("y").alias("y2"), *[F.col(c).alias(f"other_{c}") for c in own])
+    # the margin is for coordinates that are no whole numbers; the exact reach is asked afterwards
+    wide = F.col("reach") + 1e-6
+    square = {"xmin": F.col("x") - wide, "xmax": F.col("x") + wide, "ymin": F.col("y") - wide, "ymax": F.col("y") + wide}
+    squares = written(pixels.join(knn_reach(pixels, keys, k), [*keys, "x", "y"]).withColumns(square))
     dx, dy = (F.col("x") - F.col("x2")).cast("double"), (F.col("y") - F.col("y2")).cast("double")
     d = F.sqrt(dx * dx + dy * dy)
-    near = (F.col("__level") == top) | (d <= side * 2.83)
-    return probe.join(held, where).filter("id <> other").filter(near).select(*keys, "id", "other", d.alias("d"))
+    near = in_boxes(held, squares, keys, "x2", "y2", cell=2.0).filter("id <> other").filter(d <= F.col("reach"))
+    return near.select(*keys, "id", "other", d.alias("d"), *own, *[f"other_{c}" for c in own])
 
 
-def knn_join(pixels: DataFrame, keys: list[str], k: int, cell: int = 4) -> DataFrame:
-    """The k nearest other pixels of each pixel, all of them if a figure has fewer: ``id, other, d, rank``."""
+def knn_join(pixels: DataFrame, keys: list[str], k: int, own: list[str] = []) -> DataFrame:  # noqa: B006
+    """The k nearest other pixels of each pixel, all of them if a figure has fewer: ``id, other, d, rank``, and ``own`` as in ``knn_pairs``."""
     w = Window.partitionBy(*keys, "id").orderBy("d", "other")
-    return knn_pairs(pixels, keys, k, cell).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return knn_pairs(pixels, keys, k, own).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def knn_coherence(pixels: DataFrame, keys: list[str], k: int = 20) -> DataFrame:
     """Mean over the k nearest of 1 / max(d, 0.1)^2, positive for the same ``cluster``, negative for another."""
-    near = knn_join(pixels, keys, k)
-    mine = pixels.select(*keys, "id", F.col("cluster").alias("__a"))
-    theirs = pixels.select(*keys, F.col("id").alias("other"), F.col("cluster").alias("__b"))
     pull = F.lit(1.0) / F.pow(F.greatest(F.col("d"), F.lit(0.1)), F.lit(2.0))
-    signed = F.when(F.col("__a") == F.col("__b"), pull).otherwise(-pull)
-    return near.join(mine, [*keys, "id"]).join(theirs, [*keys, "other"]).groupBy(*keys, "id").agg((F.sum(signed) / k).alias("coherence"))
+    signed = F.when(F.col("cluster") == F.col("other_cluster"), pull).otherwise(-pull)
+    return knn_join(pixels, keys, k, ["cluster"]).groupBy(*keys, "id").agg((F.sum(signed) / k).alias("coherence"))
 
 
 def envelope_by_coherence(pixels: DataFrame, keys: list[str], least: int = 10) -> DataFrame:

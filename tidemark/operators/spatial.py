@@ -49,21 +49,21 @@ LEVELS = 12
 BOX = ("xmin", "xmax", "ymin", "ymax")
 
 
-def box_pairs(points: DataFrame, boxes: DataFrame, keys: list[str], x: str, y: str, box: tuple[str, str, str, str] = BOX) -> DataFrame:
+def box_pairs(points: DataFrame, boxes: DataFrame, keys: list[str], x: str, y: str, box: tuple[str, str, str, str] = BOX, cell: float = CELL) -> DataFrame:
     """Points with the boxes of their page that share a grid cell with them.
 
     A box lies in the cells of the level where it is at most two cells wide and
     high, so in nine at most; a point lies in one cell of each level that its
     page's boxes use. A pair meets once. Boxes too large for any level, infinite
-    ones too, meet all points of their page.
+    ones too, meet all points of their page. ``cell`` is the side at the lowest level.
     """
     x1, x2, y1, y2 = (F.col(c).cast("double") for c in box)
     span = F.greatest(x2 - x1, y2 - y1)
-    level = F.greatest(F.lit(0), F.ceil(F.log(F.greatest(span, F.lit(1e-9)) / (2 * CELL)) / log(4.0)).cast("int"))
-    large = (span > 2 * CELL * 4.0 ** (LEVELS - 1)) | (F.abs(x1) > 1e15) | (F.abs(y1) > 1e15)
+    level = F.greatest(F.lit(0), F.ceil(F.log(F.greatest(span, F.lit(1e-9)) / (2 * cell)) / log(4.0)).cast("int"))
+    large = (span > 2 * cell * 4.0 ** (LEVELS - 1)) | (F.abs(x1) > 1e15) | (F.abs(y1) > 1e15)
     fine = (x1 <= x2) & (y1 <= y2)
     held = boxes.filter(fine).withColumn("__level", F.when(large, F.lit(LEVELS)).otherwise(level))
-    side = F.lit(CELL) * F.pow(F.lit(4.0), F.col("__level"))
+    side = F.lit(float(cell)) * F.pow(F.lit(4.0), F.col("__level"))
     whole = F.col("__level") == LEVELS
     at = lambda v: F.when(whole, F.lit(0).cast("long")).otherwise(F.floor(v / side).cast("long"))
     cells = held.withColumn("__cx", F.explode(F.sequence(at(x1), at(x2)))).withColumn("__cy", F.explode(F.sequence(at(y1), at(y2))))
@@ -73,10 +73,10 @@ def box_pairs(points: DataFrame, boxes: DataFrame, keys: list[str], x: str, y: s
     return near.join(cells, [*keys, "__level", "__cx", "__cy"]).drop("__level", "__cx", "__cy")
 
 
-def in_boxes(points: DataFrame, boxes: DataFrame, keys: list[str], x: str, y: str, box: tuple[str, str, str, str] = BOX) -> DataFrame:
+def in_boxes(points: DataFrame, boxes: DataFrame, keys: list[str], x: str, y: str, box: tuple[str, str, str, str] = BOX, cell: float = CELL) -> DataFrame:
     """Each point with each box of its page that holds it, edges included; other columns of both must differ in name."""
     x1, x2, y1, y2 = (F.col(c) for c in box)
-    return box_pairs(points, boxes, keys, x, y, box).filter((F.col(x) >= x1) & (F.col(x) <= x2) & (F.col(y) >= y1) & (F.col(y) <= y2))
+    return box_pairs(points, boxes, keys, x, y, box, cell).filter((F.col(x) >= x1) & (F.col(x) <= x2) & (F.col(y) >= y1) & (F.col(y) <= y2))
 
 
 def flag_insets(panels: DataFrame, keys: list[str], share: float = 0.25) -> DataFrame:
