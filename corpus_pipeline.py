@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import decontamination, jaccard_join, mixing, quality_rules, sharding
-from tidemark.llm.common import documents, materialize
+from tidemark.llm.common import documents, materialize, new_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,10 +52,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on documents; each stage's rows are written before the next reads them."""
+    """All stages on documents; each stage's rows are written before the next reads them, in place of those of the stage before that."""
     docs = documents(spark, sf_dir)
+    paths = [new_path(spark, "stage") for _ in range(2)]
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = materialize(docs, f"stage-{k}")
+            docs = materialize(docs, f"stage-{k}", paths[k % 2])
     return docs

@@ -1,3 +1,4 @@
+import os
 from collections import Counter
 
 import pytest
@@ -9,7 +10,7 @@ from tests.llm.test_decontamination import windows  # noqa: E402
 from tests.llm.test_jaccard_join import brute  # noqa: E402
 from tests.llm.test_quality_rules import measures  # noqa: E402
 from tidemark.llm import decontamination as dc  # noqa: E402
-from tidemark.llm.common import materialize  # noqa: E402
+from tidemark.llm.common import materialize, shared_dir  # noqa: E402
 
 
 def test_stages_on_whole_table(spark, sf_dir, tmp_path):
@@ -62,3 +63,14 @@ def test_awkward_rows_pass_every_stage(spark, sf_dir):
             assert name == "sharding" or out.columns == docs.columns
             step = materialize(out, "step")
             assert step.count() <= 3 * max(1, start.count())
+
+
+def test_a_stage_is_written_in_place_of_the_one_before_the_last(spark, sf_dir, monkeypatch):
+    stages = [(str(k), lambda s, docs, d, k=k: docs.filter(F.col("doc_id") % (k + 2) > 0)) for k in range(5)]
+    monkeypatch.setattr(corpus_pipeline, "STAGES", stages)
+    shared = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(shared)) if os.path.isdir(shared) else set()
+    got = sorted(r.doc_id for r in corpus_pipeline.run(spark, sf_dir).collect())
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    assert got == sorted(r.doc_id for r in docs.collect() if all(r.doc_id % (k + 2) for k in range(5)))
+    assert len(set(os.listdir(shared)) - before) == 2
